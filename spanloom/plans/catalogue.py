@@ -1,0 +1,11 @@
+"""Registry of the engine's queries and of the SQL that DuckDB runs beside them."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
