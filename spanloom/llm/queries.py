@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.llm import mixing, sharding
+from spanloom.llm import mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op5_sharding": sharding.op5_sharding,
         "op7_mixing": mixing.op7_mixing,
+        "op9_quality": quality.op9_quality,
     }
 
 
