@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spanloom.llm import mixing, quality, sharding
+from spanloom.llm import decontamination, mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op4_decontamination": decontamination.op4_decontamination,
         "op5_sharding": sharding.op5_sharding,
         "op7_mixing": mixing.op7_mixing,
         "op9_quality": quality.op9_quality,

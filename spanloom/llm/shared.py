@@ -59,6 +59,7 @@ _R = np.uint64(0x9E3779B97F4A7C15 | 3)
 _RW = np.uint64(0xD1342543DE82EF95 | 2 | 1)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+_PLAIN = np.array([_SEPARATOR[c] or c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -107,17 +108,22 @@ class Words:
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word and hash of every window of n consecutive words of one document."""
-        total = len(self.hash)
-        if total < n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        up, down = _WORDS.get(total)
-        c = np.zeros(total + 1, np.uint64)
-        np.cumsum(self.hash * up[:total], out=c[1:])
-        h = mix((c[n:] - c[:-n]) * down[: total - n + 1], n)
-        at = np.flatnonzero(self.doc[n - 1 :] == self.doc[: total - n + 1])
+        h = window_hashes(self.hash, n)
+        at = np.flatnonzero(self.doc[n - 1 :] == self.doc[: len(h)]) if len(h) else np.zeros(0, np.int64)
         return at, h[at]
 
 
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every n consecutive hashes of words."""
+    total = len(words)
+    if total < n:
+        return np.zeros(0, np.uint64)
+    up, down = _WORDS.get(total)
+    c = np.zeros(total + 1, np.uint64)
+    np.cumsum(words * up[:total], out=c[1:])
+    return mix((c[n:] - c[:-n]) * down[: total - n + 1], n)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 of all texts in one array and the offsets of each; null counts as empty."""
     a = texts.cast(pa.large_string())
@@ -128,13 +134,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """The words [^\\x20\\x09-\\x0D]+ of each text; lower: with A-Z in lower case."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False) -> Words:
+    """The words [^\\x20\\x09-\\x0D]+ of each text; lower: with A-Z in lower case; plain: ASCII punctuation parts words too."""
     n = len(data)
     if lower:
         data = _LOWER[data]
     inside = np.zeros(n + 2, dtype=bool)
-    np.logical_not(_SEPARATOR[data], out=inside[1:-1])
+    np.logical_not((_PLAIN if plain else _SEPARATOR)[data], out=inside[1:-1])
     starts, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < n)]
