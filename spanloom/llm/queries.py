@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from spanloom.llm import decontamination, mixing, quality, sharding
+from spanloom.llm import decontamination, jaccard, mixing, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_sharding": sharding.op5_sharding,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op7_mixing": mixing.op7_mixing,
         "op9_quality": quality.op9_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_jaccard": jaccard.OP6_SQL}
