@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from spanloom.llm import decontamination, jaccard, mixing, quality, sharding
+from spanloom.llm import decontamination, jaccard, media, mixing, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op3_warc": warc.op3_warc,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_sharding": sharding.op5_sharding,
         "op6_jaccard": jaccard.op6_jaccard,
         "op7_mixing": mixing.op7_mixing,
         "op9_quality": quality.op9_quality,
+        "op10_media": media.op10_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard": jaccard.OP6_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op6_jaccard": jaccard.OP6_SQL}
