@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import decontamination, jaccard, media, mixing, quality, sharding, warc
+from spanloom.llm import decontamination, jaccard, media, mixing, quality, secrets, sharding, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_sharding": sharding.op5_sharding,
         "op6_jaccard": jaccard.op6_jaccard,
         "op7_mixing": mixing.op7_mixing,
+        "op8_secrets": secrets.op8_secrets,
         "op9_quality": quality.op9_quality,
         "op10_media": media.op10_media,
     }
