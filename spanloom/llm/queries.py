@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spanloom.llm import decontamination, jaccard, media, mixing, quality, secrets, sharding, warc
+from spanloom.llm import decontamination, jaccard, media, mixing, quality, secrets, sharding, substrings, warc
 
 
 def queries() -> dict:
     return {
+        "op2_substrings": substrings.op2_substrings,
         "op3_warc": warc.op3_warc,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_sharding": sharding.op5_sharding,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.OP3_SQL, "op6_jaccard": jaccard.OP6_SQL}
+    return {"op2_substrings": substrings.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_jaccard": jaccard.OP6_SQL}
