@@ -1,0 +1,441 @@
+"""HTML extraction: a layout-aware rendering of all visible text.
+
+A tokenizer (tags, text, comments, raw text of scripts and the like) feeds a tree builder with the implied tags of HTML:
+elements whose end tags may be left out are closed by what follows them, wrong end tags are ignored, and cells, rows and
+list items get their place. The tree is rendered with block spacing (a blank line around paragraphs, headings, lists,
+tables; a new line for other blocks), bullets and numbers of lists, indented nested lists, tables with their cells in
+aligned columns, preformatted text as it is, and character references decoded.
+
+Not visible: head, script, style, template, noscript (scripting is taken to be on), and other elements that don't show
+text; the attributes hidden, aria-hidden="true" and type="hidden"; inline styles display:none and visibility:hidden;
+closed details except their summary; comments. Everything else is kept, navigation and advertisements too: this
+operator renders and doesn't judge.
+
+Null or empty html has an empty text and no blocks. Damaged html never fails: what isn't a tag is text. Nesting is not
+limited by the stack; tags nested deeper than MAX_DEPTH are taken for their contents, as browsers do. Rows are rendered
+alone, so equal rows are equal, and an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import html as entities
+import re
+from dataclasses import dataclass, field
+from unicodedata import east_asian_width
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+MAX_DEPTH = 512
+
+# Element classes of HTML.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style xmp iframe noembed noframes noscript plaintext".split())
+ESCAPABLE = frozenset("textarea title".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select map area param source track title meta link base".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure hr fieldset form article section".split())
+BLOCKS = PARAGRAPHS | frozenset("html body div header footer main nav aside address li dt dd tr caption thead tbody tfoot details summary figcaption legend center dir hgroup search option optgroup td th".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+#: A start tag closes these open elements, up to the elements of the second set.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "rt": ({"rt", "rp"}, {"ruby"}),
+    "rp": ({"rt", "rp"}, {"ruby"}),
+    "body": ({"head"}, {"html"}),
+}
+#: An end tag doesn't reach through these.
+WALLS = frozenset("table td th caption template html body".split())
+
+_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*?>""")
+#: A-Z in lower case, without other letters whose lower case has another length.
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_SPACES = re.compile(r"[ \t\n\r\f]+")
+_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+
+
+@dataclass(slots=True)
+class Node:
+    tag: str
+    attributes: dict = field(default_factory=dict)
+    children: list = field(default_factory=list)
+
+
+# --- tokens and tree -----------------------------------------------------------------------------------------------
+
+
+def tokens(source: str):
+    """("text", s), ("start", tag, attributes, closed) and ("end", tag) of source."""
+    at, n = 0, len(source)
+    low = None
+    while at < n:
+        m = _TAG.search(source, at)
+        if not m:
+            yield "text", source[at:]
+            return
+        if m.start() > at:
+            yield "text", source[at : m.start()]
+        if m[1]:
+            end = source.find("-->", m.end() - 2 if source.startswith("<!-->", m.start()) else m.end())
+            at = n if end < 0 else end + 3
+            continue
+        if m[2]:
+            end = source.find(">", m.end())
+            at = n if end < 0 else end + 1
+            continue
+        close = source.find(">", m.end())
+        if close < 0:
+            return  # an unfinished tag at the end is dropped
+        inner = source[m.end() : close]
+        if '"' in inner or "'" in inner:
+            whole = _END.match(source, m.end())
+            if whole:
+                close = whole.end() - 1
+                inner = source[m.end() : close]
+        tag, at = m[4].lower(), close + 1
+        if m[3]:
+            yield "end", tag
+            continue
+        attributes = {}
+        if inner and not inner.isspace():
+            for a in _ATTRIBUTE.finditer(inner):
+                value = next((v for v in (a[2], a[3], a[4]) if v is not None), "")
+                attributes.setdefault(a[1].lower(), entities.unescape(value) if "&" in value else value)
+        yield "start", tag, attributes, inner.endswith("/")
+        if tag in RAW or tag in ESCAPABLE:
+            low = low or source.translate(_LOWER)
+            end = low.find(f"</{tag}", at) if tag != "plaintext" else -1
+            end = n if end < 0 else end
+            if end > at:
+                yield ("text" if tag in ESCAPABLE else "raw"), source[at:end]
+            at = end
+
+
+def build(source: str) -> Node:
+    """The tree of source under one root."""
+    root = Node("#root")
+    stack = [root]
+
+    def close(tags, walls) -> None:
+        """Close the nearest open element of tags, with what is open in it, unless a wall stands before."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in tags:
+                del stack[i:]
+                return close(tags, walls) if tags is not P else None
+            if stack[i].tag in walls:
+                return
+
+    for token in tokens(source):
+        kind, what = token[0], token[1]
+        if kind in ("text", "raw"):
+            if kind == "text" and "&" in what:
+                what = entities.unescape(what)
+            stack[-1].children.append(what)
+        elif kind == "start":
+            _, tag, attributes, closed = token
+            if tag in IMPLIED:
+                close(*IMPLIED[tag])
+            if tag in ENDS_P:
+                close(P, WALLS)
+                if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag in HEADINGS:
+                    stack.pop()
+            if tag == "tr" and stack[-1].tag == "table":
+                stack.append(_add(stack, "tbody", {}))
+            elif tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+                if stack[-1].tag == "table":
+                    stack.append(_add(stack, "tbody", {}))
+                stack.append(_add(stack, "tr", {}))
+            if tag in ("html", "body") and any(x.tag == tag for x in stack):
+                continue
+            node = _add(stack, tag, attributes)
+            foreign = closed and any(x.tag in ("svg", "math") for x in stack)
+            if tag not in VOID and not foreign and len(stack) < MAX_DEPTH:
+                stack.append(node)
+        elif what == "br":
+            _add(stack, "br", {})
+        elif what == "p" and not any(x.tag == "p" for x in stack):
+            _add(stack, "p", {})
+        else:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == what or what in HEADINGS and stack[i].tag in HEADINGS:
+                    del stack[i:]
+                    break
+                if stack[i].tag in WALLS and what not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "template"):
+                    break
+                if stack[i].tag == "table" and what != "table":
+                    break
+    return root
+
+
+P = frozenset({"p"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _add(stack: list[Node], tag: str, attributes: dict) -> Node:
+    node = Node(tag, attributes)
+    stack[-1].children.append(node)
+    return node
+
+
+def visible(node: Node) -> bool:
+    if node.tag in HIDDEN:
+        return False
+    a = node.attributes
+    if not a:
+        return True
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or node.tag == "input" and a.get("type", "").lower() == "hidden" or node.tag == "dialog" and "open" not in a:
+        return False
+    return not ("style" in a and _GONE.search(a["style"]))
+
+
+# --- rendering -----------------------------------------------------------------------------------------------------
+
+
+class Page:
+    """Text in the making: pending spaces and line breaks are written when more text follows."""
+
+    def __init__(self):
+        self.out: list[str] = []
+        self.breaks = 0
+        self.space = False
+        self.indent: list[str] = []
+        self.bullet = ""
+        self.blocks = 0
+
+    def block(self, lines: int) -> None:
+        if self.out:
+            self.breaks = max(self.breaks, lines)
+        self.space = False
+
+    def _flush(self) -> None:
+        if self.breaks or not self.out:
+            self.out.append("\n" * self.breaks)
+            self.blocks += 1
+            lead = "".join(self.indent)
+            if self.bullet:
+                lead, self.bullet = lead[: len(lead) - len(self.bullet)] + self.bullet, ""
+            self.out.append(lead)
+            self.breaks, self.space = 0, False
+        elif self.bullet:
+            self.out.append(self.bullet)
+            self.bullet = ""
+        elif self.space:
+            self.out.append(" ")
+            self.space = False
+
+    def inline(self, text: str) -> None:
+        words = _SPACES.sub(" ", text)
+        if words == " " or not words:
+            self.space = self.space or bool(words)
+            return
+        if words[0] == " ":
+            self.space = True
+            words = words[1:]
+        tail = words[-1] == " "
+        self._flush()
+        self.out.append(words[:-1] if tail else words)
+        self.space = tail
+
+    def lines(self, text: str) -> None:
+        """Preformatted text: each line as it is."""
+        for i, line in enumerate(text.split("\n")):
+            if i:
+                self.breaks += 1 if self.out else 0
+                self.space = False
+            if line:
+                self._flush()
+                self.out.append(line.rstrip("\r"))
+
+    def text(self) -> str:
+        return "".join(self.out)
+
+
+def width(s: str) -> int:
+    """Columns that s takes: two for wide characters."""
+    return len(s) if s.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def _cells(row: Node) -> list[Node]:
+    return [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
+
+
+def _rows(table: Node) -> list[Node]:
+    out = []
+    for c in table.children:
+        if isinstance(c, Node) and visible(c):
+            if c.tag == "tr":
+                out.append(c)
+            elif c.tag in ("thead", "tbody", "tfoot"):
+                out += [r for r in c.children if isinstance(r, Node) and r.tag == "tr" and visible(r)]
+    return out
+
+
+def _span(cell: Node, name: str) -> int:
+    value = cell.attributes.get(name, "1").strip()
+    return max(1, min(int(value), 1000)) if value.isdigit() and len(value) < 7 else 1
+
+
+def table_lines(table: Node) -> list[str]:
+    """The rows of a table with their cells in aligned columns, joined by two blanks; a cell may have several lines."""
+    grid: list[list[tuple[int, list[str]]]] = []
+    below: dict[int, int] = {}  # columns that a cell above still takes, and for how many rows
+    for row in _rows(table):
+        line, at, taken = [], 0, dict(below)
+        for cell in _cells(row):
+            while taken.get(at, 0):
+                at += 1
+            line.append((at, render(cell).split("\n")))
+            n = _span(cell, "colspan")
+            for k in range(at, at + n):
+                below[k] = max(below.get(k, 0), _span(cell, "rowspan"))
+            at += n
+        below = {k: v - 1 for k, v in below.items() if v > 1}
+        grid.append(line)
+    widths: dict[int, int] = {}
+    for line in grid:
+        for i, (at, lines) in enumerate(line):
+            if i + 1 < len(line) and line[i + 1][0] == at + 1 or i + 1 == len(line):
+                widths[at] = max(widths.get(at, 0), *map(width, lines))
+    places, x = {}, 0
+    for k in range(max([at for line in grid for at, _ in line], default=-1) + 1):
+        places[k] = x
+        x += widths[k] + 2 if k in widths else 0
+    out = []
+    for line in grid:
+        for i in range(max([len(lines) for _, lines in line], default=0)):
+            text = ""
+            for at, lines in line:
+                if i < len(lines) and lines[i]:
+                    gap = places[at] - width(text)
+                    text += " " * max(gap, 2 if text else 0) + lines[i]
+            out.append(text.rstrip())
+    return out
+
+
+def render(node: Node, page: Page | None = None) -> str:
+    """The visible text below node, by a walk without recursion (tables recurse by their nesting, which is bounded)."""
+    page = page or Page()
+    walk: list = [(node, False)]
+    pre = 0
+    lists: list[list] = []  # [kind, next number]
+    for_each = lambda n: walk.extend((c, False) for c in reversed(n.children))
+    while walk:
+        item, leaving = walk.pop()
+        if isinstance(item, str):
+            (page.lines if pre else page.inline)(item)
+            continue
+        tag = item.tag
+        if leaving:
+            if tag in ("ul", "ol", "menu", "dir"):
+                lists.pop()
+            elif tag in ("li", "dd", "blockquote"):
+                page.indent.pop()
+                page.bullet = ""
+            elif tag in ("pre", "textarea"):
+                pre -= 1
+            elif tag == "q":
+                page.inline("”")
+            if tag in BLOCKS:
+                page.block(2 if tag in PARAGRAPHS and not (tag in ("ul", "ol", "menu") and lists) else 1)
+            continue
+        if item is node:
+            for_each(item)
+            continue
+        if not visible(item):
+            continue
+        if tag == "br":
+            page.breaks += 1 if page.out else 0
+            page.space = False
+            continue
+        if tag == "wbr" or tag == "col":
+            continue
+        if tag == "img":
+            if alt := item.attributes.get("alt", "").strip():
+                page.inline(alt)
+            continue
+        if tag == "input":
+            if item.attributes.get("type", "text").lower() in ("submit", "button", "reset"):
+                page.inline(item.attributes.get("value", ""))
+            continue
+        if tag == "table":
+            page.block(2)
+            for c in item.children:
+                if isinstance(c, Node) and c.tag == "caption" and visible(c):
+                    page.lines(render(c))
+                    page.block(1)
+            for line in table_lines(item):
+                page.lines(line)
+                page.block(1)
+            stray = [c for c in item.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag not in ("caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr")]
+            page.block(2)
+            walk.extend((c, False) for c in reversed(stray))
+            continue
+        if tag in BLOCKS:
+            page.block(2 if tag in PARAGRAPHS and not (tag in ("ul", "ol", "menu") and lists) else 1)
+        walk.append((item, True))
+        if tag in ("ul", "ol", "menu", "dir"):
+            start = item.attributes.get("start", "1").strip()
+            lists.append([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+        elif tag == "li":
+            if lists and lists[-1][0] == "ol":
+                value = item.attributes.get("value", "").strip()
+                number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else lists[-1][1]
+                lists[-1][1] = number + 1
+                page.bullet = f"{number}. "
+            else:
+                page.bullet = "- "
+            page.indent.append(" " * len(page.bullet))
+        elif tag == "dd":
+            page.indent.append("    ")
+        elif tag == "blockquote":
+            page.indent.append("  ")
+        elif tag in ("pre", "textarea"):
+            pre += 1
+            if item.children and isinstance(item.children[0], str) and item.children[0].startswith("\n"):
+                item.children[0] = item.children[0][1:]
+        elif tag == "q":
+            page.inline("“")
+        elif tag == "details" and "open" not in item.attributes:
+            walk.extend((c, False) for c in reversed(item.children) if isinstance(c, Node) and c.tag == "summary")
+            continue
+        for_each(item)
+    return page.text()
+
+
+def extract(source: str | None) -> str:
+    return render(build(source or ""))
+
+
+def render_pages(pages: DataFrame) -> DataFrame:
+    """The columns of pages without html, with text, n_chars, n_lines and n_blocks (runs of lines between blank ones)."""
+    keep = [c for c in pages.columns if c not in ("html", "text", "n_chars", "n_lines", "n_blocks")]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                texts = [extract(h) for h in part.column("html").to_pylist()]
+                lines = [len([x for x in t.split("\n") if x]) for t in texts]
+                blocks = [len([x for x in re.split(r"\n{2,}", t) if x.strip()]) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(lines, pa.int64()), pa.array(blocks, pa.int64())], names=[*keep, "text", "n_chars", "n_lines", "n_blocks"])
+
+    schema = pages.select(*keep).schema
+    for name, kind in (("text", "string"), ("n_chars", "bigint"), ("n_lines", "bigint"), ("n_blocks", "bigint")):
+        schema = schema.add(name, {"string": "string", "bigint": "long"}[kind])
+    return pages.select(*keep, "html").mapInArrow(run, schema)
+
+
+def op1_html(spark, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return render_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spanloom.llm import decontamination, jaccard, media, mixing, quality, secrets, sharding, substrings, warc
+from spanloom.llm import decontamination, html, jaccard, media, mixing, quality, secrets, sharding, substrings, warc
 
 
 def queries() -> dict:
     return {
+        "op1_html": html.op1_html,
         "op2_substrings": substrings.op2_substrings,
         "op3_warc": warc.op3_warc,
         "op4_decontamination": decontamination.op4_decontamination,
