@@ -12,7 +12,12 @@ least `percent` / 100. The join is exact: up to collisions of 58-bit shingle has
    shingle stands at positions i and j has at least i + j elements that are not shared, and must have at most
    (|x| + |y|) (1 - t) / (1 + t): so later blocks are skipped whole. Sets of one component are skipped too, a list of one
    component as a whole: their answers are derived from the similar sets' computed ones and could add no component.
-5. Pairs that remain are bounded by their indexed shingles (whatever is in one's part of the order and not in the other's is not
+5. A set that was compared with such a smallest set X is in X's family, and its differences from X are its edits. For two
+   sets w and y of one family without a common edit, J(w, y) is at most J(X, w) and J(X, y): all of X is in w or y, and
+   nothing else in both. So if they link, both link with X, which is known; only pairs of a family that share an edit
+   are compared, and the index skips pairs of one family. Two sets differ by the symmetric difference of their edits, so
+   edits are indexed like shingles, rare ones first, and the bound on positions i + j holds for them too.
+6. Pairs that remain are bounded by their indexed shingles (whatever is in one's part of the order and not in the other's is not
    shared) and then verified with the whole sets.
 
 So a group of near copies gives a link per member and not per pair. Rows of one doc_id are one document. Null and empty
@@ -91,22 +96,47 @@ def _pieces(a: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"piece": pa.array(range(len(parts)), pa.int32()), "body": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
-def rarity(documents: DataFrame, k: int) -> np.ndarray:
-    """A level 0..40 by shingle counter: the bit length of its count over all documents."""
+def rarity(frame: DataFrame, hashes) -> np.ndarray:
+    """A level 0..40 by counter: the bit length of its count over all hashes that hashes(batch) gives in runs."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in slices(batch):
-                w = words_of(*text_bytes(part.column("text")), lower=True)
-                counts += np.bincount(w.windows(k)[1] & np.uint64(COUNTERS - 1), minlength=COUNTERS)
+            for h in hashes(batch):
+                counts += np.bincount(h & np.uint64(COUNTERS - 1), minlength=COUNTERS)
         yield _pieces(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
-    merged = merge_pieces(documents.select("text").mapInArrow(run, "piece int, body binary"), COUNTERS * 4 // _PIECE, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
+    merged = merge_pieces(frame.mapInArrow(run, "piece int, body binary"), COUNTERS * 4 // _PIECE, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
     counts = np.concatenate([np.frombuffer(b, np.int32) for b in merged]) if merged else np.zeros(COUNTERS, np.int32)
     return np.ceil(np.log2(counts.astype(float) + 1)).astype(np.uint8)
 
 
+def shingle_rarity(documents: DataFrame, k: int) -> np.ndarray:
+    """The levels of all shingles of all documents."""
+
+    def hashes(batch):
+        for part in slices(batch):
+            yield words_of(*text_bytes(part.column("text")), lower=True).windows(k)[1]
+
+    return rarity(documents.select("text"), hashes)
+
+
+def ranked_edits(family: DataFrame) -> DataFrame:
+    """family (id, comp, fam, n, prefix) with the edits in prefix in a global order, rare ones first."""
+
+    def hashes(batch):
+        yield np.concatenate([np.frombuffer(b, np.uint64) for b in batch.column("prefix").to_pylist()] or [np.zeros(0, np.uint64)])
+
+    levels = rarity(family.select("prefix"), hashes)
+
+    def run(batches):
+        for batch in batches:
+            order = [ranked(np.frombuffer(b, np.uint64), levels).tobytes() for b in batch.column("prefix").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "comp", "fam", "n")), pa.array(order, pa.binary())], names=["id", "comp", "fam", "n", "prefix"])
+
+    return family.mapInArrow(run, family.schema)
+
+
 def describe_sets(documents: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """doc_id, n, f1 and f2 (fingerprint of the set), prefix, signatures; n 0 for documents without shingles."""
 
@@ -144,8 +174,8 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def index_pairs(sets: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components (columns id, comp, n, prefix) that share an indexed shingle early enough."""
-    names = ["part", "token", "ids", "comps", "sizes", "places"]
+    """Pairs (a, b), a < b, of different components and families (id, comp, fam, n, prefix) that share an indexed element early enough."""
+    names = ["part", "token", "ids", "comps", "fams", "sizes", "places"]
 
     def post(batches):
         for batch in batches:
@@ -159,28 +189,28 @@ def index_pairs(sets: DataFrame, parts: int, percent: int) -> DataFrame:
             place = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
             part = (mix(token, 6) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            ids, comps = np.array(batch.column("id"), np.int64), np.array(batch.column("comp"), np.int64)
+            ids, comps, fams = (np.array(batch.column(c), np.int64) for c in ("id", "comp", "fam"))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             out = {c: [] for c in names}
             for p in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[p] : cuts[p + 1]]
                 r = row[at]
-                for c, v in zip(names, (int(p), token[at].tobytes(), pack(ids[r]), pack(comps[r]), pack(n[r].astype(np.int32)), pack(place[at].astype(np.int32))), strict=True):
+                for c, v in zip(names, (int(p), token[at].tobytes(), pack(ids[r]), pack(comps[r]), pack(fams[r]), pack(n[r].astype(np.int32)), pack(place[at].astype(np.int32))), strict=True):
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in names[1:])]))
 
     def read(batches):
         got = [[] for _ in names[1:]]
         for batch in batches:
-            for g, c, kind in zip(got, names[1:], (np.uint64, np.int64, np.int64, np.int32, np.int32), strict=True):
+            for g, c, kind in zip(got, names[1:], (np.uint64, np.int64, np.int64, np.int64, np.int32, np.int32), strict=True):
                 for b in batch.column(c).to_pylist():
                     g.append(np.frombuffer(b, kind) if c == "token" else unpack(b, kind))
         if not got[0]:
             return
-        token, ids, comps, sizes, places = (np.concatenate(g) for g in got)
+        token, ids, comps, fams, sizes, places = (np.concatenate(g) for g in got)
         seen = np.zeros(0, dtype=[("a", np.int64), ("b", np.int64)])
         waiting: list[np.ndarray] = []
-        for a, b in skipping_pairs(token, ids, comps, sizes.astype(np.int64), places.astype(np.int64), percent):
+        for a, b in skipping_pairs(token, ids, comps, fams, sizes.astype(np.int64), places.astype(np.int64), percent):
             found = np.zeros(len(a), dtype=seen.dtype)
             found["a"], found["b"] = np.minimum(a, b), np.maximum(a, b)
             waiting.append(np.unique(found))
@@ -191,24 +221,24 @@ def index_pairs(sets: DataFrame, parts: int, percent: int) -> DataFrame:
         for i in range(0, len(seen), 50_000):
             yield pa.RecordBatch.from_pydict({"a": seen["a"][i : i + 50_000].copy(), "b": seen["b"][i : i + 50_000].copy()})
 
-    posted = sets.select("id", "comp", "n", "prefix").mapInArrow(post, "part int, token binary, ids binary, comps binary, sizes binary, places binary")
+    posted = sets.select("id", "comp", "fam", "n", "prefix").mapInArrow(post, "part int, token binary, ids binary, comps binary, fams binary, sizes binary, places binary")
     return posted.repartitionById(parts, F.col("part")).mapInArrow(read, "a bigint, b bigint").distinct()
 
 
-def skipping_pairs(token, ids, comps, sizes, places, percent: int):
-    """Arrays of pairs (a, b) of different components from index lists, by blocks of positions."""
+def skipping_pairs(token, ids, comps, fams, sizes, places, percent: int):
+    """Arrays of pairs (a, b) of different components and families from index lists, by blocks of positions."""
     order = np.lexsort((sizes, places, token))
-    token, ids, comps, sizes, places = (v[order] for v in (token, ids, comps, sizes, places))
+    token, ids, comps, fams, sizes, places = (v[order] for v in (token, ids, comps, fams, sizes, places))
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     if not len(starts):
         return
     length = np.diff(np.append(starts, len(token)))
-    one = np.minimum.reduceat(comps, starts) == np.maximum.reduceat(comps, starts)
+    one = (np.minimum.reduceat(comps, starts) == np.maximum.reduceat(comps, starts)) | (np.minimum.reduceat(fams, starts) == np.maximum.reduceat(fams, starts))
     left = 100 - percent
 
     def fits(x, y):
         small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-        return (comps[x] != comps[y]) & (small * 100 >= large * percent) & ((places[x] + places[y]) * (100 + percent) <= left * (small + large))
+        return (comps[x] != comps[y]) & (fams[x] != fams[y]) & (small * 100 >= large * percent) & ((places[x] + places[y]) * (100 + percent) <= left * (small + large))
 
     # The last block of positions that an element can pair with: the other set has at most 100 / percent its size.
     reach = left * (sizes + sizes * 100 // percent) // (100 + percent) - places
@@ -225,11 +255,13 @@ def skipping_pairs(token, ids, comps, sizes, places, percent: int):
         shift += 1
     for k in np.flatnonzero(~one & (length > 64)):
         a, b = starts[k], starts[k] + length[k]
-        known, number = np.unique(comps[a:b], return_counts=True)
-        main = known[number.argmax()]
-        other = a + np.flatnonzero(comps[a:b] != main)
+        # The largest component or family of the list makes no pairs of its own; only the others are compared with all.
+        groups = [(v[a:b], *np.unique(v[a:b], return_counts=True)) for v in (comps, fams)]
+        of, known, number = max(groups, key=lambda g: g[2].max())
+        inside = of == known[number.argmax()]
+        rest, other = a + np.flatnonzero(inside), a + np.flatnonzero(~inside)
         for i, x in enumerate(other):
-            y = np.concatenate([a + np.flatnonzero(comps[a:b] == main), other[i + 1 :]])
+            y = np.concatenate([rest, other[i + 1 :]])
             y = y[places[y] <= reach[x]]
             y = y[fits(np.full(len(y), x), y)]
             if len(y):
@@ -260,8 +292,15 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Only sets of documents that take part are made."""
+def edits_of(a: int, x: np.ndarray, y: np.ndarray) -> bytes:
+    """Keys of what y has more and less than the set x of a."""
+    salt = np.uint64(a & (2**64 - 1))
+    more, less = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+    return np.unique(np.concatenate([mix(mix(np.full(len(v), salt), seed) ^ v, seed) for v, seed in ((more, 11), (less, 12))])).tobytes()
+
+
+def compared(pairs: DataFrame, documents: DataFrame, k: int, percent: int, edits: bool = False) -> DataFrame:
+    """The pairs (a, b) with linked, by their whole sets, and if wanted b's edits of a. Only sets of documents that take part are made."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = 1 << max(16, min(FILTER_BITS.bit_length() - 1, math.ceil(math.log2(16 * max(1, ids.count())))))
 
@@ -288,14 +327,15 @@ def verified(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Da
 
     def compare(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            ok, changes = [], []
+            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 ok.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                changes.append(edits_of(a, x, y) if edits else None)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(changes, pa.binary())], names=["a", "b", "linked", "edits"])
 
     both = pairs.join(whole.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, linked boolean, edits binary")
 
 
 # --- components ----------------------------------------------------------------------------------------------------
@@ -323,15 +363,20 @@ def join_components(documents: DataFrame, k: int = 3, percent: int = 90) -> Data
     """doc_id, n_shingles and component_id of all rows of documents (doc_id, text)."""
     size = stored_bytes(documents)
     parts = parts_for(size, 2 << 20, 32)
-    described = materialize(describe_sets(documents, k, percent, rarity(documents, k)), "described")
+    described = materialize(describe_sets(documents, k, percent, shingle_rarity(documents, k)), "described")
     sets = materialize(described.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys")), "classes")
     index = sets.select("id", "n", "prefix")
     near = materialize(possible(similar_pairs(sets, percent), index, percent), "near")
-    first = materialize(verified(near, documents, k, percent), "links")
-    comps = components(first)
-    known = index.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    rest = materialize(possible(index_pairs(known, parts, percent), index, percent), "rest")
-    second = verified(rest, documents, k, percent)
+    first = materialize(compared(near, documents, k, percent, edits=True), "links")
+    comps = components(first.filter("linked"))
+    # A set is in the family of the smallest one that it was compared with; others are families of their own.
+    family = first.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "edits")).alias("f")).select("id", F.col("f.a").alias("fam"), F.col("f.edits").alias("edits"))
+    known = index.join(comps, "id", "left").join(family, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), F.coalesce("fam", "id").alias("fam"), "n", "prefix", "edits")
+    known = materialize(known, "known")
+    changed = known.filter("edits is not null").select("id", "comp", F.col("id").alias("fam"), "n", F.col("edits").alias("prefix"))
+    pairs = index_pairs(known, parts, percent).union(index_pairs(ranked_edits(changed), parts, percent)).distinct()
+    rest = materialize(possible(pairs, index, percent), "rest")
+    second = compared(rest, documents, k, percent).filter("linked")
     named = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("comp").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     tops = components(named(named(second, "a"), "b").select("a", "b"))
     final = known.join(tops.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("component"))
