@@ -288,15 +288,15 @@ def _span(cell: Node, name: str) -> int:
 
 def table_lines(table: Node) -> list[str]:
     """The rows of a table with their cells in aligned columns, joined by two blanks; a cell may have several lines."""
-    grid: list[list[tuple[int, list[str]]]] = []
+    grid: list[list[tuple[int, int, list[str]]]] = []
     below: dict[int, int] = {}  # columns that a cell above still takes, and for how many rows
     for row in _rows(table):
         line, at, taken = [], 0, dict(below)
         for cell in _cells(row):
             while taken.get(at, 0):
                 at += 1
-            line.append((at, render(cell).split("\n")))
             n = _span(cell, "colspan")
+            line.append((at, n, render(cell).split("\n")))
             for k in range(at, at + n):
                 below[k] = max(below.get(k, 0), _span(cell, "rowspan"))
             at += n
@@ -304,18 +304,17 @@ def table_lines(table: Node) -> list[str]:
         grid.append(line)
     widths: dict[int, int] = {}
     for line in grid:
-        for i, (at, lines) in enumerate(line):
-            if i + 1 < len(line) and line[i + 1][0] == at + 1 or i + 1 == len(line):
-                widths[at] = max(widths.get(at, 0), *map(width, lines))
+        for at, n, lines in line:
+            widths[at] = max(widths.get(at, 0), *(map(width, lines) if n == 1 else ()), 0)
     places, x = {}, 0
-    for k in range(max([at for line in grid for at, _ in line], default=-1) + 1):
+    for k in range(max([at for line in grid for at, _, _ in line], default=-1) + 1):
         places[k] = x
         x += widths[k] + 2 if k in widths else 0
     out = []
     for line in grid:
-        for i in range(max([len(lines) for _, lines in line], default=0)):
+        for i in range(max([len(lines) for _, _, lines in line], default=0)):
             text = ""
-            for at, lines in line:
+            for at, _, lines in line:
                 if i < len(lines) and lines[i]:
                     gap = places[at] - width(text)
                     text += " " * max(gap, 2 if text else 0) + lines[i]
