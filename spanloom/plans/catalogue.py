@@ -49,13 +49,13 @@ def oracle_sql() -> dict[str, str]:
 
 register("scan_lines", "SELECT a, res, b AS begin, e AS \"end\" FROM line", line=True)(lambda s, d: derive.lines(s, d).select("a", "res", "begin", "end"))
 register("scan_words", "SELECT a, res, b AS begin, e AS \"end\" FROM word", word=True)(lambda s, d: derive.words(s, d).select("a", "res", "begin", "end"))
-register("scan_resource_by_id", "SELECT doc_id AS res, length(text) AS textlen FROM documents WHERE 'doc' || doc_id = 'doc7'")(lambda s, d: scans.lookup(derive.corpus(s, d), "resources", "doc7").select("res", "textlen"))
+register("scan_resource_by_id", "SELECT doc_id AS res, length(text) AS textlen FROM documents WHERE 'doc' || doc_id = 'doc7'")(lambda s, d: scans.lookup(derive.metadata(s, d), "resources", "doc7").select("res", "textlen"))
 register("scan_annotation_by_temporary_id", f"SELECT a, res, b AS begin, e AS \"end\" FROM line WHERE a = {3 * BASE}", line=True)(lambda s, d: traversals.annotation_selections(c := derive.corpus(s, d), scans.lookup(c, "annotations", f"!A{3 * BASE}")).select("a", "res", "begin", "end"))
 _KNOWN = "known AS (SELECT DISTINCT res, b, e FROM (SELECT res, b, e FROM line UNION ALL SELECT res, b, e FROM word))"
 register("scan_known_selections", "SELECT res, b AS begin, e AS \"end\" FROM known", True, True, _KNOWN)(lambda s, d: derive.corpus(s, d).textselections.select("res", "begin", "end"))
 register("scan_selections_in_range", "SELECT res, b AS begin, e AS \"end\" FROM known WHERE b >= 100 AND b < 200", True, True, _KNOWN)(lambda s, d: scans.selections_in_range(derive.corpus(s, d), 100, 200).select("res", "begin", "end"))
 register("scan_positions", "SELECT DISTINCT res, \"at\" FROM (SELECT res, b AS \"at\" FROM known UNION ALL SELECT res, e FROM known)", True, True, _KNOWN)(lambda s, d: scans.positions(derive.corpus(s, d)))
-register("scan_selection_by_offset", "SELECT doc_id AS res, length(text) - 9 AS begin, length(text) AS \"end\" FROM documents WHERE doc_id = 5 AND length(text) >= 9")(lambda s, d: scans.selection(derive.corpus(s, d), 5, Offset.parse("-9:-0")).select("res", "begin", "end"))
+register("scan_selection_by_offset", "SELECT doc_id AS res, length(text) - 9 AS begin, length(text) AS \"end\" FROM documents WHERE doc_id = 5 AND length(text) >= 9")(lambda s, d: scans.selection(derive.metadata(s, d), 5, Offset.parse("-9:-0")).select("res", "begin", "end"))
 
 # --- traversals ----------------------------------------------------------------------------------------------------
 
@@ -69,14 +69,14 @@ def words_in_lines(s, d):
 
 register("join_annotation_text", "SELECT a, piece AS text FROM line", line=True)(lambda s, d: traversals.annotation_text(c := derive.corpus(s, d), derive.lines(s, d)).select("a", "text"))
 register("join_resource_annotations", "SELECT res, count(*) AS n FROM (SELECT res FROM line UNION ALL SELECT res FROM word) GROUP BY res", True, True)(lambda s, d: traversals.resource_annotations(c := derive.corpus(s, d), c.resources).groupBy("res").agg(F.count("*").alias("n")))
-register("join_resource_metadata", f"SELECT doc_id AS res, doc_id * {BASE} + {LABEL * KIND} AS a FROM labels UNION ALL SELECT doc_id, doc_id * {BASE} + {ORIGIN * KIND} FROM documents")(lambda s, d: traversals.resource_annotations(c := derive.corpus(s, d), c.resources, metadata=True))
-register("join_data_annotations", f"SELECT doc_id * {BASE} + {LABEL * KIND} AS a FROM labels WHERE toxic = 1")(lambda s, d: traversals.data_annotations(c := derive.corpus(s, d), traversals.find_data(c, "corpus", "toxic", v.equals(1))).select("a"))
-register("join_data_resources", "SELECT doc_id AS res FROM labels WHERE quality = 0")(lambda s, d: traversals.data_resources(c := derive.corpus(s, d), traversals.find_data(c, "corpus", "quality", v.equals(0)), metadata=True).select("res"))
-register("join_key_annotations", f"SELECT doc_id * {BASE} + {ORIGIN * KIND} AS a FROM documents WHERE lang IS NOT NULL")(lambda s, d: traversals.key_annotations(c := derive.corpus(s, d), scans.lookup(c, "keys", "lang", "corpus")).select("a"))
-register("join_key_resources", "SELECT doc_id AS res FROM labels")(lambda s, d: traversals.key_resources(c := derive.corpus(s, d), scans.lookup(c, "keys", "toxic", "corpus"), metadata=True).select("res"))
-register("join_annotation_keys", f"SELECT doc_id * {BASE} + {LABEL * KIND} AS a, k AS key_id FROM labels, (VALUES ('quality'), ('toxic')) t(k)")(lambda s, d: traversals.annotation_keys(c := derive.corpus(s, d), c.targets.filter(F.col("kind") == "ResourceSelector").join(derive.read(s, d, "labels").select(F.col("doc_id").alias("res")), "res", "left_semi").filter(F.col("a") % BASE == LABEL * KIND)).join(c.keys, ["set", "key"]).select("a", F.col("id").alias("key_id")))
-register("join_find_data", "SELECT DISTINCT 'lang=' || lang AS id FROM documents WHERE lang <> 'en'")(lambda s, d: derive.corpus(s, d).data.join(traversals.find_data(derive.corpus(s, d), "corpus", "lang", v.negate(v.equals("en"))).select("data"), "data", "left_semi").select("id"))
-register("join_resources_by_metadata", "SELECT doc_id AS res FROM documents WHERE source = 'src3'")(lambda s, d: traversals.resources_by_metadata(c := derive.corpus(s, d), traversals.find_data(c, "corpus", "source", v.equals("src3"))).select("res"))
+register("join_resource_metadata", f"SELECT doc_id AS res, doc_id * {BASE} + {LABEL * KIND} AS a FROM labels UNION ALL SELECT doc_id, doc_id * {BASE} + {ORIGIN * KIND} FROM documents")(lambda s, d: traversals.resource_annotations(c := derive.metadata(s, d), c.resources, metadata=True))
+register("join_data_annotations", f"SELECT doc_id * {BASE} + {LABEL * KIND} AS a FROM labels WHERE toxic = 1")(lambda s, d: traversals.data_annotations(c := derive.metadata(s, d), traversals.find_data(c, "corpus", "toxic", v.equals(1))).select("a"))
+register("join_data_resources", "SELECT doc_id AS res FROM labels WHERE quality = 0")(lambda s, d: traversals.data_resources(c := derive.metadata(s, d), traversals.find_data(c, "corpus", "quality", v.equals(0)), metadata=True).select("res"))
+register("join_key_annotations", f"SELECT doc_id * {BASE} + {ORIGIN * KIND} AS a FROM documents WHERE lang IS NOT NULL")(lambda s, d: traversals.key_annotations(c := derive.metadata(s, d), scans.lookup(c, "keys", "lang", "corpus")).select("a"))
+register("join_key_resources", "SELECT doc_id AS res FROM labels")(lambda s, d: traversals.key_resources(c := derive.metadata(s, d), scans.lookup(c, "keys", "toxic", "corpus"), metadata=True).select("res"))
+register("join_annotation_keys", f"SELECT doc_id * {BASE} + {LABEL * KIND} AS a, k AS key_id FROM labels, (VALUES ('quality'), ('toxic')) t(k)")(lambda s, d: traversals.annotation_keys(c := derive.metadata(s, d), c.targets.filter(F.col("kind") == "ResourceSelector").join(derive.read(s, d, "labels").select(F.col("doc_id").alias("res")), "res", "left_semi").filter(F.col("a") % BASE == LABEL * KIND)).join(c.keys, ["set", "key"]).select("a", F.col("id").alias("key_id")))
+register("join_find_data", "SELECT DISTINCT 'lang=' || lang AS id FROM documents WHERE lang <> 'en'")(lambda s, d: derive.metadata(s, d).data.join(traversals.find_data(derive.metadata(s, d), "corpus", "lang", v.negate(v.equals("en"))).select("data"), "data", "left_semi").select("id"))
+register("join_resources_by_metadata", "SELECT doc_id AS res FROM documents WHERE source = 'src3'")(lambda s, d: traversals.resources_by_metadata(c := derive.metadata(s, d), traversals.find_data(c, "corpus", "source", v.equals("src3"))).select("res"))
 
 # --- values: events as typed values --------------------------------------------------------------------------------
 
@@ -127,20 +127,20 @@ register("data_display", "SELECT event_id, CAST(user_id AS VARCHAR) AS shown FRO
 # --- filters -------------------------------------------------------------------------------------------------------
 
 _META = f"SELECT doc_id * {BASE} + {LABEL * KIND} AS a FROM labels WHERE "
-register("filter_annotations_data", _META + "quality = 1 OR toxic = 1")(lambda s, d: filters.annotations_with_data(c := derive.corpus(s, d), c.annotations, traversals.find_data(c, "corpus", "quality", v.equals(1)).union(traversals.find_data(c, "corpus", "toxic", v.equals(1)))).select("a"))
-register("filter_annotations_data_all", _META + "quality = 1 AND toxic = 1")(lambda s, d: filters.annotations_with_data(c := derive.corpus(s, d), c.annotations, traversals.find_data(c, "corpus", "quality", v.equals(1)).union(traversals.find_data(c, "corpus", "toxic", v.equals(1))), every=True).select("a"))
-register("filter_annotations_key", _META + "true")(lambda s, d: filters.annotations_with_key(c := derive.corpus(s, d), c.annotations, scans.lookup(c, "keys", "quality", "corpus")).select("a"))
-register("filter_annotations_value", _META + "quality >= 1 OR toxic >= 1")(lambda s, d: filters.annotations_with_value(c := derive.corpus(s, d), c.annotations, v.compare("ge", 1)).select("a"))
+register("filter_annotations_data", _META + "quality = 1 OR toxic = 1")(lambda s, d: filters.annotations_with_data(c := derive.metadata(s, d), c.annotations, traversals.find_data(c, "corpus", "quality", v.equals(1)).union(traversals.find_data(c, "corpus", "toxic", v.equals(1)))).select("a"))
+register("filter_annotations_data_all", _META + "quality = 1 AND toxic = 1")(lambda s, d: filters.annotations_with_data(c := derive.metadata(s, d), c.annotations, traversals.find_data(c, "corpus", "quality", v.equals(1)).union(traversals.find_data(c, "corpus", "toxic", v.equals(1))), every=True).select("a"))
+register("filter_annotations_key", _META + "true")(lambda s, d: filters.annotations_with_key(c := derive.metadata(s, d), c.annotations, scans.lookup(c, "keys", "quality", "corpus")).select("a"))
+register("filter_annotations_value", _META + "quality >= 1 OR toxic >= 1")(lambda s, d: filters.annotations_with_value(c := derive.metadata(s, d), c.annotations, v.compare("ge", 1)).select("a"))
 register("filter_annotations_text", "SELECT a FROM word WHERE piece = 'the'", word=True)(lambda s, d: filters.annotations_with_text(c := derive.corpus(s, d), derive.words(s, d), "the").select("a"))
 register("filter_annotations_text_nocase", "SELECT a FROM word WHERE lower(piece) = 'the'", word=True)(lambda s, d: filters.annotations_with_text(c := derive.corpus(s, d), derive.words(s, d), "THE", case_sensitive=False).select("a"))
 register("filter_annotations_regex", "SELECT a FROM word WHERE regexp_matches(piece, '^th[a-z]+on$')", word=True)(lambda s, d: filters.annotations_matching(c := derive.corpus(s, d), derive.words(s, d), "^th[a-z]+on$").select("a"))
 register("filter_annotations_resource", "SELECT a FROM line WHERE res = 11", line=True)(lambda s, d: filters.annotations_on_resource(c := derive.corpus(s, d), derive.lines(s, d), scans.lookup(c, "resources", "doc11")).select("a"))
-register("filter_resources_metadata", "SELECT doc_id AS res FROM documents WHERE lang = 'de'")(lambda s, d: filters.resources_with_data(c := derive.corpus(s, d), c.resources, traversals.find_data(c, "corpus", "lang", v.equals("de")), metadata=True).select("res"))
+register("filter_resources_metadata", "SELECT doc_id AS res FROM documents WHERE lang = 'de'")(lambda s, d: filters.resources_with_data(c := derive.metadata(s, d), c.resources, traversals.find_data(c, "corpus", "lang", v.equals("de")), metadata=True).select("res"))
 register("filter_resources_data_on_text", "SELECT DISTINCT res FROM line", line=True)(lambda s, d: filters.resources_with_data(c := derive.corpus(s, d), c.resources, traversals.find_data(c, "corpus", "type", v.equals("line"))).select("res"))
 register("filter_selections_annotation", "SELECT DISTINCT w.res, w.b AS begin, w.e AS \"end\" FROM word w JOIN line l ON l.res = w.res AND l.b = w.b AND l.e = w.e", True, True)(lambda s, d: filters.selections_with_annotations(c := derive.corpus(s, d), derive.words(s, d).select("res", "begin", "end").distinct(), derive.lines(s, d)))
-register("filter_data_value", "SELECT DISTINCT 'source=' || source AS id FROM documents WHERE source IN ('src1', 'src2')")(lambda s, d: filters.data_with_value(derive.corpus(s, d).data, v.either(v.equals("src1"), v.equals("src2"))).select("id"))
-register("filter_all_or_nothing", "SELECT doc_id AS res FROM documents WHERE (SELECT count(*) FROM documents WHERE doc_id IN (1, 2)) = 2")(lambda s, d: filters.all_or_nothing((c := derive.corpus(s, d)).resources.select("res"), c.resources.filter(F.col("res").isin(1, 2)), ["res"]))
-register("filter_no_substore", "SELECT doc_id AS res FROM documents WHERE lang <> 'fr'")(lambda s, d: filters.in_substore(mutations.associate(mutations.add_substore(c := derive.corpus(s, d), "french"), derive.read(s, d, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("item")), "resource", 0), c.resources, "res", "resource", None).select("res"))
+register("filter_data_value", "SELECT DISTINCT 'source=' || source AS id FROM documents WHERE source IN ('src1', 'src2')")(lambda s, d: filters.data_with_value(derive.metadata(s, d).data, v.either(v.equals("src1"), v.equals("src2"))).select("id"))
+register("filter_all_or_nothing", "SELECT doc_id AS res FROM documents WHERE (SELECT count(*) FROM documents WHERE doc_id IN (1, 2)) = 2")(lambda s, d: filters.all_or_nothing((c := derive.metadata(s, d)).resources.select("res"), c.resources.filter(F.col("res").isin(1, 2)), ["res"]))
+register("filter_no_substore", "SELECT doc_id AS res FROM documents WHERE lang <> 'fr'")(lambda s, d: filters.in_substore(mutations.associate(mutations.add_substore(c := derive.metadata(s, d), "french"), derive.read(s, d, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("item")), "resource", 0), c.resources, "res", "resource", None).select("res"))
 
 # --- span relations ------------------------------------------------------------------------------------------------
 
@@ -202,7 +202,9 @@ register("order_borders", "SELECT res, min(b) AS begin, max(e) AS \"end\" FROM l
 
 
 def _language(name: str, text: str, sql: str, columns: dict[str, str], **parts) -> None:
-    register(f"lang_{name}", sql, **parts)(lambda s, d: compiler.run(derive.corpus(s, d), text).select(*[F.col(k).alias(x) for k, x in columns.items()]))
+    """Queries whose SQL needs no lines or words are about metadata alone."""
+    store = derive.corpus if parts else derive.metadata
+    register(f"lang_{name}", sql, **parts)(lambda s, d: compiler.run(store(s, d), text).select(*[F.col(k).alias(x) for k, x in columns.items()]))
 
 
 _language("data", 'SELECT ANNOTATION ?x WHERE DATA corpus toxic = 1;', _META.replace("AS a", "AS a") + "toxic = 1", {"x_a": "a"})
@@ -219,10 +221,10 @@ _language("data_of_annotation", f'SELECT RESOURCE ?r WHERE ID doc4; {{ SELECT AN
 
 # --- changes -------------------------------------------------------------------------------------------------------
 
-register("mut_delete", f"SELECT count(*) AS n FROM labels WHERE NOT coalesce(toxic = 1, false)")(lambda s, d: compiler.change(derive.corpus(s, d), "DELETE ANNOTATION ?x { SELECT ANNOTATION ?x WHERE DATA corpus toxic = 1; }").annotations.filter(F.col("a") % BASE == LABEL * KIND).agg(F.count("*").alias("n")))
-register("mut_add", "SELECT count(*) AS n FROM documents WHERE lang = 'de'")(lambda s, d: traversals.data_annotations(c := compiler.change(derive.corpus(s, d), 'ADD ANNOTATION ?x WITH DATA mine flag "german"; TARGET ?r; { SELECT RESOURCE ?r WHERE DATA AS METADATA corpus lang = de; }'), traversals.find_data(c, "mine", "flag", v.equals("german"))).agg(F.count("*").alias("n")))
-register("mut_remove_key", "SELECT 0 AS left_over, count(*) AS n FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL")(lambda s, d: (c := mutations.remove_keys(b := derive.corpus(s, d), scans.lookup(b, "keys", "toxic", "corpus"))).annotations.filter(F.col("a") % BASE == LABEL * KIND).agg(F.count("*").alias("n")).select(F.lit(0).alias("left_over"), "n"))
-register("mut_reindex")(lambda s, d: mutations.reindex(derive.corpus(s, d)).annotations.agg(F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("n")))
+register("mut_delete", f"SELECT count(*) AS n FROM labels WHERE NOT coalesce(toxic = 1, false)")(lambda s, d: compiler.change(derive.metadata(s, d), "DELETE ANNOTATION ?x { SELECT ANNOTATION ?x WHERE DATA corpus toxic = 1; }").annotations.filter(F.col("a") % BASE == LABEL * KIND).agg(F.count("*").alias("n")))
+register("mut_add", "SELECT count(*) AS n FROM documents WHERE lang = 'de'")(lambda s, d: traversals.data_annotations(c := compiler.change(derive.metadata(s, d), 'ADD ANNOTATION ?x WITH DATA mine flag "german"; TARGET ?r; { SELECT RESOURCE ?r WHERE DATA AS METADATA corpus lang = de; }'), traversals.find_data(c, "mine", "flag", v.equals("german"))).agg(F.count("*").alias("n")))
+register("mut_remove_key", "SELECT 0 AS left_over, count(*) AS n FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL")(lambda s, d: (c := mutations.remove_keys(b := derive.metadata(s, d), scans.lookup(b, "keys", "toxic", "corpus"))).annotations.filter(F.col("a") % BASE == LABEL * KIND).agg(F.count("*").alias("n")).select(F.lit(0).alias("left_over"), "n"))
+register("mut_reindex")(lambda s, d: mutations.reindex(derive.metadata(s, d)).annotations.agg(F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("n")))
 
 # --- extensions ----------------------------------------------------------------------------------------------------
 

@@ -46,16 +46,21 @@ def _targets(spans: DataFrame) -> DataFrame:
     return spans.select("a", F.lit(0).alias("pos"), F.lit(TEXT).alias("kind"), "res", null("bigint").alias("ts"), "begin", "end", F.lit("BeginBegin").alias("mode"), null("bigint").alias("target_a"), null("bigint").alias("set"), null("bigint").alias("key"), null("bigint").alias("data"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> Store:
+def metadata(spark: SparkSession, sf_dir: str) -> Store:
+    """The store of documents with labels and origins as metadata and no annotations on texts."""
+    return corpus(spark, sf_dir, layers=False)
+
+
+def corpus(spark: SparkSession, sf_dir: str, layers: bool = True) -> Store:
     """The store of documents: lines and words (key type), labels and origins as metadata."""
     res = resources(spark, sf_dir)
-    spans = {LINE: pieces(res, r"\n", LINE), WORD: pieces(res, r"[ \n]", WORD)}
+    spans = {LINE: pieces(res, r"\n", LINE), WORD: pieces(res, r"[ \n]", WORD)} if layers else {}
     labels = read(spark, sf_dir, "labels").select((F.col("doc_id") * BASE + LABEL * KIND).alias("a"), F.col("doc_id").alias("res"), F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
     origin = read(spark, sf_dir, "documents").select((F.col("doc_id") * BASE + ORIGIN * KIND).alias("a"), F.col("doc_id").alias("res"), "lang", "source")
     code = lambda key, col: F.when(col.isNotNull(), F.concat(F.lit(f"{key}="), col.cast("string")))
     # Data handles are hashes of key and value, so that annotations refer to them without a join.
     handle = lambda key, col: F.pmod(F.xxhash64(code(key, col)), F.lit(1 << 62))
-    used = [spans[k].select("a", F.lit(0).alias("pos"), handle("type", F.lit(name)).alias("data")) for k, name in ((LINE, "line"), (WORD, "word"))]
+    used = [spans[k].select("a", F.lit(0).alias("pos"), handle("type", F.lit(name)).alias("data")) for k, name in ((LINE, "line"), (WORD, "word")) if layers]
     pairs = [(labels, ["quality", "toxic"], "Int"), (origin, ["lang", "source"], "String")]
     data = [(spark.range(1).select(F.lit(name).alias("v")), "type", "String") for name in ("line", "word")]
     for df, names, kind in pairs:
@@ -69,13 +74,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> Store:
     annotation_data = used[0]
     for u in used[1:]:
         annotation_data = annotation_data.unionByName(u)
-    text = spans[LINE].unionByName(spans[WORD])
+    empty = Store.empty(spark)
+    text = spans[LINE].unionByName(spans[WORD]) if layers else empty.spans().select("a", "res", "begin", "end")
     meta = labels.select("a", "res").unionByName(origin.select("a", "res"))
     about = _targets(meta.select("a", "res", F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end"))).withColumns({"kind": F.lit(RESOURCE), "mode": F.lit(None).cast("string")})
-    selections = intern(text)
+    selections = intern(text) if layers else empty.textselections
     targets = _targets(text).drop("ts").join(selections, ["res", "begin", "end"]).select(*[c.split()[0] for c in SCHEMAS["targets"].split(", ")]).unionByName(about)
     every = text.select("a").unionByName(meta.select("a"))
-    empty = Store.empty(spark)
     return empty.with_tables(
         resources=res,
         textselections=selections,
