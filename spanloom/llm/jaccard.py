@@ -121,20 +121,13 @@ def shingle_rarity(documents: DataFrame, k: int) -> np.ndarray:
     return rarity(documents.select("text"), hashes)
 
 
-def ranked_edits(family: DataFrame) -> DataFrame:
-    """family (id, comp, fam, n, prefix) with the edits in prefix in a global order, rare ones first."""
+def edit_rarity(family: DataFrame) -> np.ndarray:
+    """The levels of all edits (column prefix)."""
 
     def hashes(batch):
         yield np.concatenate([np.frombuffer(b, np.uint64) for b in batch.column("prefix").to_pylist()] or [np.zeros(0, np.uint64)])
 
-    levels = rarity(family.select("prefix"), hashes)
-
-    def run(batches):
-        for batch in batches:
-            order = [ranked(np.frombuffer(b, np.uint64), levels).tobytes() for b in batch.column("prefix").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "comp", "fam", "n")), pa.array(order, pa.binary())], names=["id", "comp", "fam", "n", "prefix"])
-
-    return family.mapInArrow(run, family.schema)
+    return rarity(family.select("prefix"), hashes)
 
 
 def describe_sets(documents: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
@@ -173,14 +166,18 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return keyed.join(heads, "key").filter(fits).select("a", F.col("id").alias("b")).distinct()
 
 
-def index_pairs(sets: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components and families (id, comp, fam, n, prefix) that share an indexed element early enough."""
+def index_pairs(sets: DataFrame, parts: int, percent: int, levels: np.ndarray | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of different components and families (id, comp, fam, n, prefix) that share an indexed element early enough.
+
+    levels: puts the elements of prefix in their global order here; otherwise they are in it.
+    """
     names = ["part", "token", "ids", "comps", "fams", "sizes", "places"]
 
     def post(batches):
         for batch in batches:
             n = np.array(batch.column("n"), np.int64)
             body = [np.frombuffer(b, np.uint64) for b in batch.column("prefix").to_pylist()]
+            body = body if levels is None else [ranked(b, levels) for b in body]
             count = np.array([len(b) for b in body], np.int64)
             if not count.sum():
                 continue
@@ -374,7 +371,7 @@ def join_components(documents: DataFrame, k: int = 3, percent: int = 90) -> Data
     known = index.join(comps, "id", "left").join(family, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), F.coalesce("fam", "id").alias("fam"), "n", "prefix", "edits")
     known = materialize(known, "known")
     changed = known.filter("edits is not null").select("id", "comp", F.col("id").alias("fam"), "n", F.col("edits").alias("prefix"))
-    pairs = index_pairs(known, parts, percent).union(index_pairs(ranked_edits(changed), parts, percent)).distinct()
+    pairs = index_pairs(known, parts, percent).union(index_pairs(changed, parts, percent, edit_rarity(changed))).distinct()
     rest = materialize(possible(pairs, index, percent), "rest")
     second = compared(rest, documents, k, percent).filter("linked")
     named = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("comp").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
