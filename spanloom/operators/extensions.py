@@ -110,7 +110,7 @@ def validate(store: Store, annotations: DataFrame, vocabulary: str = VALIDATION)
     spans = traversals.selection_text(store, traversals.annotation_selections(store, annotations)).select("a", "pos", "text")
     parts = spans.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("parts"))
     joined = annotations.select("a").distinct().join(parts, "a", "left").join(info, "a", "left")
-    text = F.array_join("parts", F.coalesce("delimiter", F.lit("")))
+    text = F.call_function("array_join", F.col("parts"), F.coalesce("delimiter", F.lit("")))
     valid = F.when(F.col("_text").isNotNull(), text == F.col("_text")).when(F.col("_sum").isNotNull(), F.sha1(F.encode(text, "utf-8")) == F.col("_sum"))
     return joined.select("a", valid.alias("valid"))
 
