@@ -58,13 +58,14 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     all_blocks = F.size("blocks") == whole(last) - first + 1
     words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
 
-    def piece(b):
+    def piece(w, b):
         begin = F.greatest(b * BLOCK - F.col("start"), F.lit(0).cast("long"))
         end = F.least((b + 1) * BLOCK - F.col("start"), F.col("size"))
-        return F.slice(F.col("_words"), (begin + 1).cast("int"), (end - begin).cast("int"))
+        return F.slice(w, (begin + 1).cast("int"), (end - begin).cast("int"))
 
-    rows = rows.withColumn("_words", F.when(all_blocks, F.array().cast("array<string>")).otherwise(words))
-    text = F.when(all_blocks, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("blocks", piece)), " "))
+    # The words are a lambda's variable: as a column they would be put into the inner lambda and found again for each block.
+    join_blocks = lambda w: F.array_join(F.flatten(F.transform("blocks", lambda b: piece(w, b))), " ")
+    text = F.when(all_blocks, F.col("text")).otherwise(F.element_at(F.transform(F.array(words), join_blocks), 1))
     out = rows.withColumn("text", text)
     return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out).select(columns)
 
