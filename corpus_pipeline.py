@@ -13,6 +13,8 @@ from spanloom.llm import decontamination, jaccard, mixing, quality, sharding
 from spanloom.llm.shared import materialize
 
 BLOCK = 32
+#: Near copies share this percentage of their shingles of five words. (op6 alone is bound to three words and 90.)
+SHINGLE, LIKE = 5, 80
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id stay; documents without words are in no group.
     """
-    found = jaccard.join_components(docs.select("doc_id", "text"))
+    found = jaccard.join_components(docs.select("doc_id", "text"), SHINGLE, LIKE)
     others = materialize(found.filter("component_id != doc_id").select("doc_id").distinct(), "others")
     # Rows that repeat an id: known by their ids alone, so that no text is sorted where there are none.
     repeated = materialize(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")

@@ -106,6 +106,12 @@ def test_jaccard(spark, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == components_of(rows)
 
 
+def test_jaccard_of_five_words(spark):
+    rows = corpus(3)
+    out = jaccard.join_components(frame(spark, rows), 5, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == components_of(rows, 5, 80)
+
+
 def test_jaccard_of_a_large_family_with_far_members(spark):
     """Members, some too far from the first one, and sub-families that share edits."""
     rng = random.Random(9)

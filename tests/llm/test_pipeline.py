@@ -55,3 +55,12 @@ def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_go(spark):
+    """Copies with two words changed, 20 words appended or 15 cut; a copy with a tenth of its words changed stays."""
+    text = [f"w{i}" for i in range(100)]
+    changed = lambda at: [f"new{i}" if i in at else w for i, w in enumerate(text)]
+    rows = [text, changed({30, 60}), text + [f"more{i}" for i in range(20)], text[:85], changed(set(range(5, 100, 10)))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.keep_one_of_each_group(spark, docs, SF).collect()) == [0, 4]
