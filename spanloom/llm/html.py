@@ -2,12 +2,13 @@
 
 A tokenizer (tags, text, comments, raw text of scripts and the like) feeds a tree builder with the implied tags of HTML:
 elements whose end tags may be left out are closed by what follows them, wrong end tags are ignored, and cells, rows and
-list items get their place. The tree is rendered with block spacing (a blank line around paragraphs, headings, lists,
+list items get their place. As in browsers, what can't stand in a table, its sections and rows stands before the table, and
+cells, rows and sections are lifted out of elements that open between them and the table. The tree is rendered with block spacing (a blank line around paragraphs, headings, lists,
 tables; a new line for other blocks), bullets and numbers of lists, indented nested lists, tables with their cells in
 aligned columns, preformatted text as it is, and character references decoded.
 
 Not visible: head, script, style, template, noscript (scripting is taken to be on), and other elements that don't show
-text; the attributes hidden, aria-hidden="true" and type="hidden"; inline styles display:none and visibility:hidden;
+text; what isn't drawn of svg (all but text and foreignObject) and the annotations of math; the attributes hidden, aria-hidden="true" and type="hidden"; inline styles display:none and visibility:hidden;
 closed details except their summary; comments. Everything else is kept, navigation and advertisements too: this
 operator renders and doesn't judge.
 
@@ -32,7 +33,7 @@ MAX_DEPTH = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript plaintext".split())
 ESCAPABLE = frozenset("textarea title".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist select map area param source track title meta link base".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas annotation annotation-xml mphantom datalist select map area param source track title meta link base".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table pre blockquote figure hr fieldset form article section".split())
 BLOCKS = PARAGRAPHS | frozenset("html body div header footer main nav aside address li dt dd tr caption thead tbody tfoot details summary figcaption legend center dir hgroup search option optgroup td th".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -51,8 +52,16 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "rt": ({"rt", "rp"}, {"ruby"}),
     "rp": ({"rt", "rp"}, {"ruby"}),
+    "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+SECTIONS = frozenset("thead tbody tfoot".split())
+#: Elements that hold no text or other elements of their own; the start tags that stand in them, and in what.
+FRAMES = SECTIONS | {"table", "tr"}
+INSIDE = {"td": FRAMES, "th": FRAMES, "tr": SECTIONS | {"table"}} | dict.fromkeys([*SECTIONS, "caption", "colgroup"], frozenset({"table"}))
+IN_FRAMES = frozenset("td th tr thead tbody tfoot caption colgroup col form script style template".split())
+#: Elements of svg whose contents are not drawn in their place.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
 #: An end tag doesn't reach through these.
 WALLS = frozenset("table td th caption template html body".split())
 
@@ -136,12 +145,31 @@ def build(source: str) -> Node:
             if stack[i].tag in walls:
                 return
 
+    def frame() -> int:
+        """The place of the table in the stack whose frame (and no cell or caption of it) is the nearest around; 0 if none."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "table":
+                return i
+            if stack[i].tag in ("td", "th", "caption", "template"):
+                return 0
+        return 0
+
+    def put(child) -> None:
+        """Add child to the open element, or before the table if that is a frame of one."""
+        space = isinstance(child, str) and child.isspace()
+        if stack[-1].tag == "colgroup" and not space:
+            stack.pop()
+        if stack[-1].tag in FRAMES and not space and (i := frame()):
+            stack[i - 1].children.insert(-1, child)
+        else:
+            stack[-1].children.append(child)
+
     for token in tokens(source):
         kind, what = token[0], token[1]
         if kind in ("text", "raw"):
             if kind == "text" and "&" in what:
                 what = entities.unescape(what)
-            stack[-1].children.append(what)
+            put(what)
         elif kind == "start":
             _, tag, attributes, closed = token
             if tag in IMPLIED:
@@ -150,6 +178,11 @@ def build(source: str) -> Node:
                 close(P, WALLS)
                 if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag in HEADINGS:
                     stack.pop()
+            if tag == "table" and (i := frame()):
+                del stack[i:]
+            if tag in INSIDE and frame():
+                while stack[-1].tag not in INSIDE[tag]:
+                    stack.pop()
             if tag == "tr" and stack[-1].tag == "table":
                 stack.append(_add(stack, "tbody", {}))
             elif tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -158,14 +191,19 @@ def build(source: str) -> Node:
                 stack.append(_add(stack, "tr", {}))
             if tag in ("html", "body") and any(x.tag == tag for x in stack):
                 continue
-            node = _add(stack, tag, attributes)
+            if stack[-1].tag in FRAMES | {"colgroup"} and tag not in IN_FRAMES:
+                put(node := Node(tag, attributes))
+            else:
+                node = _add(stack, tag, attributes)
+                if tag == "form" and stack[-1].tag in FRAMES and frame():
+                    continue
             foreign = closed and any(x.tag in ("svg", "math") for x in stack)
             if tag not in VOID and not foreign and len(stack) < MAX_DEPTH:
                 stack.append(node)
         elif what == "br":
-            _add(stack, "br", {})
+            put(Node("br"))
         elif what == "p" and not any(x.tag == "p" for x in stack):
-            _add(stack, "p", {})
+            put(Node("p"))
         else:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == what or what in HEADINGS and stack[i].tag in HEADINGS:
@@ -322,6 +360,19 @@ def table_lines(table: Node) -> list[str]:
     return out
 
 
+def drawn(svg: Node) -> list[Node]:
+    """The elements below svg that show text."""
+    out, walk = [], list(reversed(svg.children))
+    while walk:
+        c = walk.pop()
+        if isinstance(c, Node) and visible(c) and c.tag not in UNDRAWN:
+            if c.tag in ("text", "foreignobject"):
+                out.append(c)
+            else:
+                walk += reversed(c.children)
+    return out
+
+
 def render(node: Node, page: Page | None = None) -> str:
     """The visible text below node, by a walk without recursion (tables recurse by their nesting, which is bounded)."""
     page = page or Page()
@@ -376,9 +427,13 @@ def render(node: Node, page: Page | None = None) -> str:
             for line in table_lines(item):
                 page.lines(line)
                 page.block(1)
-            stray = [c for c in item.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag not in ("caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr")]
             page.block(2)
-            walk.extend((c, False) for c in reversed(stray))
+            continue
+        if tag == "svg":
+            for c in drawn(item):
+                page.block(1)
+                page.inline(render(c))
+                page.block(1)
             continue
         if tag in BLOCKS:
             page.block(2 if tag in PARAGRAPHS and not (tag in ("ul", "ol", "menu") and lists) else 1)

@@ -151,6 +151,30 @@ def test_html(source):
     assert html.extract(source) == CASES[source]
 
 
+TABLES = {
+    "<table><tr><form><td>X</td></form></tr></table>": "X",
+    "<table><tr>Note<td>x</table>": "Note\n\nx",
+    "<table><tbody>Note<tr><td>x</table>y": "Note\n\nx\n\ny",
+    "<table><tbody><form><tr><td>x<td>y</form></table>": "x  y",
+    "<table><tr><div>D<td>x</td></div><td>y</table>": "D\n\nx  y",
+    "<table><div><tr><td>x<tr><td>y</div></table>": "x\ny",
+    "<table><tr><td>x<table><tr>N<td>y</table></table>": "xN\ny",
+    "<table><tr><td>a</td><table><tr><td>b</table>": "a\n\nb",
+    "<table><tr><td>x<caption>C</caption></table>": "C\nx",
+    "<table><colgroup>N<col><tr><td>x</table>": "N\n\nx",
+    "<table><tr> <td>a</td> <td>b</td> </tr> </table>": "a  b",
+    "<tr>Note<td>x": "Note\nx",
+    "<table>s<b>t</b><tr><td>x</table>": "st\n\nx",
+    "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>": "x=1",
+    "a<svg><title>t</title><defs><text>no</text></defs><g><path d=''/><text>S<tspan>T</tspan></text></g></svg>b": "a\nST\nb",
+}
+
+
+@pytest.mark.parametrize("source", TABLES)
+def test_html_drops_no_text_of_tables_and_foreign_elements(source):
+    assert html.extract(source) == TABLES[source]
+
+
 def test_html_never_fails():
     rng = random.Random(5)
     parts = ["<p>", "</p>", "<table>", "<td>", "</table>", "<tr>", "<li>", "<ul>", "</ul>", "text ", "<b", ">", "<!--", "-->", "&amp", "<pre>", "\n", "<script>", "</script>", "<div hidden>", "</div>", '"', "='x'"]
