@@ -29,8 +29,9 @@ WINDOW = 20
 RUN = r"[A-Za-z0-9+/=_-]{20,}"
 #: Bits a character, of at most log2(16) and log2(20).
 HEX_BITS, OTHER_BITS = 3.0, 3.7
-#: Candidates that are no secrets: identifiers in the form of UUIDs, letters only (long words), digits only, dashed or slashed words.
-ALLOWED = (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", r"[A-Za-z]+", r"[0-9]+", r"[=_-]+", r"(?:[a-z]+|[A-Z][a-z]*)(?:[-_/](?:[a-z]+|[A-Z][a-z]*))+")
+#: Candidates that are no secrets: identifiers in the form of UUIDs, words in one case, capitalised or
+#: in camel case (other letters are judged by their entropy), digits only, dashed or slashed words.
+ALLOWED = (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", r"[a-z]+", r"[A-Z]+", r"[a-z]*(?:[A-Z][a-z]+)+", r"[0-9]+", r"[=_-]+", r"(?:[a-z]+|[A-Z][a-z]*)(?:[-_/](?:[a-z]+|[A-Z][a-z]*))+")
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 

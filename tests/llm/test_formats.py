@@ -241,5 +241,13 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_of_letters_only(spark):
+    keys = ["qWErtYUiopASdfGHjkLZ", "TGhKJvQzXbNmWcRyPdLs"]
+    words = ["internationalizationwords", "Donaudampfschifffahrt", "DONAUDAMPFSCHIFFFAHRT", "theQuickBrownFoxJumpsOver", "AbstractFactoryBuilderProxy"]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + words)], "doc_id long, text string")
+    found = {r.doc_id: [tuple(x) for x in r["all"]] for r in secrets.scan(df).collect()}
+    assert found == {i: [(4, 3, 24)] if i < len(keys) else [] for i in range(len(keys) + len(words))}
+
+
 def test_struct_sizes():
     assert struct.calcsize("<III") == 12 and struct.calcsize("<IBI") == 9
