@@ -53,6 +53,14 @@ def stored_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 def parts_for(size: int, target: int, least: int) -> int:
     """So many partitions that each gets about target bytes."""
     return max(least, math.ceil(size / target))

@@ -251,3 +251,19 @@ def test_secrets_of_letters_only(spark):
 
 def test_struct_sizes():
     assert struct.calcsize("<III") == 12 and struct.calcsize("<IBI") == 9
+
+
+def test_secrets_of_long_texts(spark):
+    """Long dashed and camel-case runs, a long key, many spans: no stack is used up and the spans are those of brute force."""
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = "".join(rng.choice(letters) for _ in range(3000))
+    low = "ab1" * 300
+    texts = ["ab-" * 20_000 + "ab", "Abc" * 20_000, low + key + low, "é" + low + key[:700], "deadbeefdeadbeef 😀" * 700, (key[:25] + " ") * 400]
+    df = spark.createDataFrame([(i, t, "b", "f") for i, t in enumerate(texts)], "doc_id long, text string, Base string, _found string")
+    out = secrets.scan(df).collect()
+    for r in out:
+        assert [tuple(x) for x in r["all"]] == sorted(base_spans(r.text) + entropy_spans(r.text)), r.text[:60]
+        assert r["_found"] == "f"
+    million = spark.createDataFrame([(1, "".join(rng.choices(letters, k=1_000_000)))], "doc_id long, text string")
+    assert [(x.start, x.end) for x in secrets.scan(million).first()["all"] if x.kind == 3] == [(0, 1_000_000)]
