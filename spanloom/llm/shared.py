@@ -18,9 +18,14 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine does if all tasks run on it; on a cluster it would not, and this raises.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.spanloom.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.spanloom.shared.dir", found)
     return found
@@ -68,8 +73,7 @@ def parts_for(size: int, target: int, least: int) -> int:
 
 # --- words ---------------------------------------------------------------------------------------------------------
 
-_R = np.uint64(0x9E3779B97F4A7C15 | 3)
-_RW = np.uint64(0xD1342543DE82EF95 | 2 | 1)
+_STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _PLAIN = np.array([_SEPARATOR[c] or c < 128 and not chr(c).isalnum() for c in range(256)])
@@ -77,26 +81,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                x = np.full(n, b, dtype=np.uint64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x, dtype=np.uint64))
-        return self.up, self.down
-
-
-_BYTES, _WORDS = _Powers(_R), _Powers(_RW)
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit words whose output bits all depend on all input bits."""
     x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -108,9 +92,30 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+#: Pseudorandom values of a byte at a place in its word, for two independent hashes; further places are computed.
+_NEAR = 64
+_VALUES = [mix(np.arange(_NEAR << 8, dtype=np.uint64), 20 + lane) for lane in (0, 1)]
+
+
+def word_hashes(chars: np.ndarray, lengths: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of words that stand in chars one after the other: sums of values drawn for each byte and its place."""
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(chars), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+    key = (np.minimum(place, _NEAR - 1) << 8) | chars
+    values = _VALUES[lane][key]
+    far = np.flatnonzero(place >= _NEAR - 1) if int(lengths.max()) >= _NEAR else place[:0]
+    values[far] = mix((place[far].astype(np.uint64) << np.uint64(8)) | chars[far], 30 + lane)
+    return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _STEP, 1 + lane)
+
+
 @dataclass
 class Words:
-    """The words of some documents: document index, byte span in data, 64-bit hash, all by word; first word by document."""
+    """The words of some documents: document index, byte span in data, 64-bit hash, all by word; first word by document.
+
+    chars: the words' bytes one after the other.
+    """
 
     data: np.ndarray
     doc: np.ndarray
@@ -118,6 +123,11 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    chars: np.ndarray
+
+    def second(self) -> np.ndarray:
+        """A further hash of each word; the two together have 128 bits."""
+        return word_hashes(self.chars, self.end - self.start, 1)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word and hash of every window of n consecutive words of one document."""
@@ -126,15 +136,28 @@ class Words:
         return at, h[at]
 
 
+def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of left sequences followed by right ones. No sum of powers: equal sums in another order don't agree."""
+    x = left * _STEP + right
+    x ^= x >> np.uint64(32)
+    x *= _TURN
+    x ^= x >> np.uint64(29)
+    return x
+
+
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of every n consecutive hashes of words."""
-    total = len(words)
-    if total < n:
+    """The hash of every n consecutive hashes of words, from those of halves, quarters and so on."""
+    if len(words) < n or n < 1:
         return np.zeros(0, np.uint64)
-    up, down = _WORDS.get(total)
-    c = np.zeros(total + 1, np.uint64)
-    np.cumsum(words * up[:total], out=c[1:])
-    return mix((c[n:] - c[:-n]) * down[: total - n + 1], n)
+    count, power, width, out, done = len(words) - n + 1, words, 1, None, 0
+    while True:
+        if n & width:
+            piece = power[done : done + count]
+            out, done = piece if out is None else join_hashes(out, piece), done + width
+        if done == n:
+            return mix(out, n)
+        power = join_hashes(power[:-width], power[width:])
+        width *= 2
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,13 +183,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain:
     starts[edges] |= inside[1:-1][edges]
     ends[edges - 1] |= inside[1:-1][edges - 1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _BYTES.get(n + 1)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=c[1:])
-    h = mix((c[e] - c[s]) * down[s], 1) ^ (e - s).astype(np.uint64)
+    chars = data[inside[1:-1]]
+    h = word_hashes(chars, e - s)
     first = np.searchsorted(s, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(data, doc, s, e, h, first)
+    return Words(data, doc, s, e, h, first, chars)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text"):

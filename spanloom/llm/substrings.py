@@ -8,18 +8,20 @@ window's length, where twice would pass it), until the wanted length is reached
 * On the first level not every short window has to be tested: of the short windows in one full window, the one with the
   smallest hash is. Equal full windows hold equal short windows and so test the same one. A full window is a candidate
   on the next level if the one that it stands on survived; above that, if both of its halves did.
-* A level deals hashes to partitions by value. A batch of documents sends each of its different windows once, for its smallest
-  document; other documents of the batch are known to follow it there and then. So a passage that a third of all documents share
-  sends a row's worth per batch, not per document. A partition finds windows of two or more documents, and returns the
-  places of survivors and of those of documents that aren't the first.
+* A level deals hashes to partitions by value. A batch of documents asks once for each of its different windows, for its smallest
+  document that has it. Other documents of the batch follow it, which decides about them there and then: their places go
+  straight to the documents. So a passage that a third of all documents share sends one question per batch to its partition.
+  A partition finds windows of two or more documents, and returns the places of survivors.
 
 The removal: each word that is covered by a window of `window` words whose words also start in a document with a smaller
 id goes. Windows are judged on the input. Longer repeats are covered by windows of this length, so levels above it
 remove nothing more; they tell how long repeats are.
 
-Null text has no words. Rows without an id are kept as they are and make nobody repeat. Rows that repeat an id are one
-document as far as order goes (none is smaller), and their places are told apart by the window's hash. Hashes have 64
-bits. An empty table gives an empty result.
+Null text has no words. Rows without an id are kept as they are and make nobody repeat. Rows that repeat an id are judged
+each by its own text, none of them smaller than another: a place comes back with its window's hash, and a row takes it only if its own window
+there has that hash. Windows are hashed with 64 bits on the levels that only choose candidates and with 128 on those that
+decide, by functions without the structure of sums of powers. Long texts are taken whole, one at a time. Columns other than doc_id and text,
+whatever their names, play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import Words, mix, pack, parts_for, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
+from spanloom.llm.shared import Words, materialize, mix, pack, parts_for, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
 
 SHORTEST = 6
-_ENTRIES = "part int, hashes binary, ids binary, places binary, later binary"
-_PLACES = "doc_id bigint, alive binary, later binary"
+_ENTRIES = "part int, direct boolean, hashes binary, seconds binary, ids binary, places binary, many binary"
+_SURVIVORS = "home int, ids binary, places binary, checks binary, later binary"
+_PLACES = "doc_id bigint, alive binary, later binary, checks binary, later_checks binary"
 
 
 def levels(window: int, longest: int | None = None) -> list[int]:
@@ -69,124 +72,140 @@ def anchors(w: Words, short: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at, where[at]
 
 
-def candidates(w: Words, alive: list[np.ndarray] | None, before: int, length: int, window: int) -> np.ndarray:
-    """First words of the windows to test at a length, from the survivors (places in each document) of the level before."""
+def true_places(w: Words, places: list[np.ndarray], checks: list[np.ndarray], length: int) -> np.ndarray:
+    """Of each word whether a window of length starts there that is among places, a list by document, with its hash."""
+    h, flag = window_hashes(w.hash, length), np.zeros(len(w.hash) + 1, dtype=bool)
+    for i, (p, c) in enumerate(zip(places, checks, strict=True)):
+        at = p + w.first[i]
+        ok = at + length <= w.first[i + 1]
+        at, c = at[ok], c[ok]
+        flag[at[h[at] == c]] = True
+    return flag
+
+
+def candidates(w: Words, alive: np.ndarray | None, before: int, length: int, window: int) -> np.ndarray:
+    """First words of the windows to test at a length, from the survivors (a flag by word) of the level before."""
     if alive is None:
         return sampled(w, length, window) if length < window else w.windows(length)[0]
-    flag = np.zeros(len(w.hash) + 1, dtype=bool)
-    for i, places in enumerate(alive):
-        p = places + w.first[i]
-        flag[p[p < w.first[i + 1]]] = True
     if before < window:
         if length >= window:
             at, on = anchors(w, before, window)
-            return at[flag[on]]
+            return at[alive[on]]
         at = w.windows(length)[0]  # between the first level and the window, short windows near a survivor
-        near = np.convolve(flag.astype(np.int64), np.ones(2 * window, np.int64))
+        near = np.convolve(alive.astype(np.int64), np.ones(2 * window, np.int64))
         return at[near[np.minimum(at + window - 1, len(near) - 1)] > 0]
     at = w.windows(length)[0]
-    return at[flag[at] & flag[at + (length - before)]]
+    return at[alive[at] & alive[at + (length - before)]]
+
+
+def _lists(batch, column: str, dtype) -> list[np.ndarray]:
+    return [unpack(b, dtype) if b else np.zeros(0, dtype) for b in batch.column(column).to_pylist()]
+
+
+def _homes(d: np.ndarray, homes: int) -> np.ndarray:
+    return (mix(d.view(np.uint64), 10) % np.uint64(homes)).astype(np.int64)
 
 
 def _send(documents: DataFrame, length: int, before: int, window: int, parts: int) -> DataFrame:
     """Entries of one level: of each batch its different windows with their smallest document, by partition of the hash."""
-    given = "alive" in documents.columns
+    given, decides = "alive" in documents.columns, length >= window
 
     def run(batches):
-        names = ["part", "hashes", "ids", "places", "later"]
-        schema = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in names[1:])])
+        names = ["part", "direct", "hashes", "seconds", "ids", "places", "many"]
+        schema = pa.schema([("part", pa.int32()), ("direct", pa.bool_()), *((n, pa.binary()) for n in names[2:])])
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
-            h, d, p = [], [], []
+            h, h2, d, p = [], [], [], []
             for part in slices(batch):
                 w = words_of(*text_bytes(part.column("text")))
-                alive = [unpack(b, np.int32) if b else np.zeros(0, np.int32) for b in part.column("alive").to_pylist()] if given else None
+                alive = true_places(w, _lists(part, "alive", np.int32), _lists(part, "checks", np.uint64), before) if given else None
                 at = candidates(w, alive, before, length, window)
                 if len(at):
                     h.append(window_hashes(w.hash, length)[at])
+                    h2.append(window_hashes(w.second(), length)[at] if decides else np.zeros(len(at), np.uint64))
                     d.append(np.array(part.column("doc_id"), np.int64)[w.doc[at]])
                     p.append((at - w.first[w.doc[at]]).astype(np.int32))
             if not h:
                 continue
-            h, d, p = np.concatenate(h), np.concatenate(d), np.concatenate(p)
-            order = np.lexsort((p, d, h))
-            h, d, p = h[order], d[order], p[order]
-            new = np.append(True, h[1:] != h[:-1])
-            head = np.flatnonzero(new)
-            lead = d[head][np.cumsum(new) - 1]
-            follows = d > lead
-            more = np.logical_or.reduceat(follows, head)[np.cumsum(new) - 1]
-            # One row per window and batch asks; what is already known of the others goes along and comes back.
-            first_row = np.zeros(len(h), dtype=bool)
-            first_row[head] = True
-            kind = np.where(first_row, np.where(more, 1, 0), np.where(follows, 3, 2)).astype(np.uint8)
-            where = (mix(h, 9) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[by], np.arange(parts + 1))
+            h, h2, d, p = (np.concatenate(x) for x in (h, h2, d, p))
+            order = np.lexsort((p, d, h2, h))
+            h, h2, d, p = (x[order] for x in (h, h2, d, p))
+            new = np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]))
+            head, group = np.flatnonzero(new), np.cumsum(new) - 1
+            follows = d > d[head][group]
+            many = np.logical_or.reduceat(follows, head)[group]
             out = {n: [] for n in names}
-            for k in np.flatnonzero(np.diff(cuts)):
-                i = by[cuts[k] : cuts[k + 1]]
-                for n, v in zip(names, (int(k), h[i[kind[i] < 2]].tobytes(), pack(d[i]), pack(p[i]), kind[i].tobytes()), strict=True):
-                    out[n].append(v)
+            # Questions go to the partition of their hash; those that follow need no answer and are spread by document.
+            for direct, chosen in ((False, np.flatnonzero(~follows)), (True, np.flatnonzero(follows))):
+                where = (mix(h[chosen], 9) % np.uint64(parts)).astype(np.int64) if not direct else _homes(d[chosen], parts)
+                by = np.argsort(where, kind="stable")
+                cuts = np.searchsorted(where[by], np.arange(parts + 1))
+                for k in np.flatnonzero(np.diff(cuts)):
+                    i = chosen[by[cuts[k] : cuts[k + 1]]]
+                    second = h2[i].tobytes() if decides and not direct else b""
+                    for n, v in zip(names, (int(k), direct, h[i].tobytes(), second, pack(d[i]), pack(p[i]), np.packbits(many[i]).tobytes()), strict=True):
+                        out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    return documents.select("doc_id", "text", *(["alive"] if given else [])).mapInArrow(run, _ENTRIES)
+    return documents.select("doc_id", "text", *(["alive", "checks"] if given else [])).mapInArrow(run, _ENTRIES)
 
 
 def _repeated(entries: DataFrame, parts: int, homes: int, only_later: bool) -> DataFrame:
-    """Rows (home, ids, places, later) of survivors: windows that two or more documents hold; later: not the first of them."""
+    """Rows (doc_id, places and hashes of survivors): windows that two or more documents hold; later: not the first of them."""
 
-    def run(batches):
-        hs, ds, ps, ks, gs, groups = [], [], [], [], [], 0
-        for batch in batches:
-            for h, d, p, k in zip(*(batch.column(c).to_pylist() for c in ("hashes", "ids", "places", "later")), strict=True):
-                h, d, p, k = np.frombuffer(h, np.uint64), unpack(d, np.int64), unpack(p, np.int32), np.frombuffer(k, np.uint8)
-                hs.append(h)
-                ds.append(d)
-                ps.append(p)
-                ks.append(k)
-                gs.append(np.cumsum(k < 2) - 1 + groups)  # the asking entry that stands before
-                groups += len(h)
-        if not hs:
-            return
-        h, d, p, k, g = (np.concatenate(x) for x in (hs, ds, ps, ks, gs))
-        asks = np.flatnonzero(k < 2)
-        owner, many = d[asks], k[asks] == 1
-        _, same = np.unique(h, return_inverse=True)
-        n = int(same.max()) + 1
-        least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-        np.minimum.at(least, same, owner)
-        np.maximum.at(most, same, owner)
-        shared = (most > least) | (np.bincount(same, many, n) > 0)
-        alive, later = shared[same][g], d > least[same][g]
-        keep = later if only_later else alive
-        d, p, later = d[keep], p[keep], later[keep]
-        home = (mix(d.view(np.uint64), 10) % np.uint64(homes)).astype(np.int64)
+    def survivors(d, p, c, later):
+        home = _homes(d, homes)
         by = np.lexsort((p, d, home))
         cuts = np.searchsorted(home[by], np.arange(homes + 1))
         for x in np.flatnonzero(np.diff(cuts)):
             i = by[cuts[x] : cuts[x + 1]]
-            yield pa.RecordBatch.from_pydict({"home": pa.array([x], pa.int32()), "ids": [pack(d[i])], "places": [pack(p[i])], "later": [np.packbits(later[i]).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"home": pa.array([x], pa.int32()), "ids": [pack(d[i])], "places": [pack(p[i])], "checks": [c[i].tobytes()], "later": [np.packbits(later[i]).tobytes()]})
+
+    def run(batches):
+        asked = []
+        for batch in batches:
+            for direct, h, h2, d, p, m in zip(*(batch.column(c).to_pylist() for c in ("direct", "hashes", "seconds", "ids", "places", "many")), strict=True):
+                h, h2, d, p = np.frombuffer(h, np.uint64), np.frombuffer(h2, np.uint64), unpack(d, np.int64), unpack(p, np.int32)
+                if direct:
+                    yield from survivors(d, p, h, np.ones(len(d), dtype=bool))
+                else:
+                    asked.append((h, h2 if len(h2) else np.zeros(len(h), np.uint64), d, p, np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)).astype(bool)))
+        if not asked:
+            return
+        h, h2, d, p, many = (np.concatenate(x) for x in zip(*asked, strict=True))
+        del asked
+        order = np.lexsort((h2, h))
+        h, h2, d, p, many = (x[order] for x in (h, h2, d, p, many))
+        new = np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]))
+        head, group = np.flatnonzero(new), np.cumsum(new) - 1
+        least = np.minimum.reduceat(d, head)
+        shared = (np.maximum.reduceat(d, head) > least) | np.logical_or.reduceat(many, head)
+        later = d > least[group]
+        keep = later if only_later else shared[group]
+        yield from survivors(d[keep], p[keep], h[keep], later[keep])
 
     def gather(batches):
-        ds, ps, ls = [], [], []
+        got = []
         for batch in batches:
-            for d, p, later in zip(*(batch.column(c).to_pylist() for c in ("ids", "places", "later")), strict=True):
-                ds.append(unpack(d, np.int64))
-                ps.append(unpack(p, np.int32))
-                ls.append(np.unpackbits(np.frombuffer(later, np.uint8), count=len(ds[-1])).astype(bool))
-        if not ds:
+            for d, p, c, later in zip(*(batch.column(n).to_pylist() for n in ("ids", "places", "checks", "later")), strict=True):
+                d = unpack(d, np.int64)
+                got.append((d, unpack(p, np.int32), np.frombuffer(c, np.uint64), np.unpackbits(np.frombuffer(later, np.uint8), count=len(d)).astype(bool)))
+        if not got:
             return
-        d, p, later = np.concatenate(ds), np.concatenate(ps), np.concatenate(ls)
+        d, p, c, later = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((p, d))
-        d, p, later = d[order], p[order], later[order]
+        d, p, c, later = (x[order] for x in (d, p, c, later))
         ids, first = np.unique(d, return_index=True)
         first = np.append(first, len(d))
         for i in range(0, len(ids), 4096):
             cut = list(zip(first[i : i + 4096], first[i + 1 : i + 4097], strict=False))
-            yield pa.RecordBatch.from_pydict({"doc_id": ids[i : i + 4096], "alive": pa.array([pack(p[a:b]) for a, b in cut], pa.binary()), "later": pa.array([pack(p[a:b][later[a:b]]) for a, b in cut], pa.binary())})
+            body = lambda f: pa.array([pack(f(a, b)) for a, b in cut], pa.binary())  # noqa: E731, B023
+            all_ = [body(lambda a, b: p[a:b]), body(lambda a, b: p[a:b][later[a:b]]), body(lambda a, b: c[a:b]), body(lambda a, b: c[a:b][later[a:b]])]
+            if only_later:
+                all_[0] = all_[2] = pa.nulls(len(cut), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 4096]), *all_], names=["doc_id", "alive", "later", "checks", "later_checks"])
 
-    sent = entries.repartitionById(parts, F.col("part")).mapInArrow(run, "home int, ids binary, places binary, later binary")
+    sent = entries.repartitionById(parts, F.col("part")).mapInArrow(run, _SURVIVORS)
     return sent.repartitionById(homes, F.col("home")).mapInArrow(gather, _PLACES)
 
 
@@ -201,31 +220,29 @@ def repeats(documents: DataFrame, window: int = 13, longest: int | None = None)
     steps = levels(window, longest)
     for length in steps:
         last = length == steps[-1]
-        found = _repeated(_send(rows, length, before, window, parts), parts, homes, only_later=last)
+        found = _repeated(_send(rows, length, before, window, parts), parts, homes, only_later=last and not longest)
         if length == window:
             out = found
-        if length > window or length == window and longest:
-            reached.append(found.filter("length(alive) > 0").select("doc_id", F.lit(length).alias("length")))
+        if length >= window and longest:
+            found = materialize(found, "level")
+            reached.append((length, found.select("doc_id", "alive", "checks")))
         if last or length >= window and found.filter("length(alive) > 0").isEmpty():
             break
-        rows, before = documents.join(found.select("doc_id", "alive"), "doc_id", "left"), length
-    result = documents.join(out.select("doc_id", "later"), "doc_id", "left")
+        rows, before = documents.join(found.select("doc_id", "alive", "checks"), "doc_id", "inner" if length >= window else "left"), length
+    result = documents.join(out.select("doc_id", "later", "later_checks"), "doc_id", "left")
     if longest:
-        longer = reached[0]
-        for r in reached[1:]:
-            longer = longer.unionByName(r)
-        result = result.join(longer.groupBy("doc_id").agg(F.max("length").alias("length")), "doc_id", "left")
+        levels_of = reached[0][1].select("doc_id", F.lit(reached[0][0]).alias("length"))
+        for length, found in reached[1:]:
+            levels_of = levels_of.unionByName(found.select("doc_id", F.lit(length).alias("length")))
+        result = result.join(levels_of.groupBy("doc_id").agg(F.max("length").alias("length")), "doc_id", "left")
     return result
 
 
-def without(w: Words, later: list[np.ndarray], window: int) -> np.ndarray:
+def without(w: Words, later: list[np.ndarray], checks: list[np.ndarray], window: int) -> np.ndarray:
     """Of each word whether it stays: words that a window of later covers go."""
-    cover = np.zeros(len(w.hash) + 1, np.int64)
-    for i, places in enumerate(later):
-        p = places + w.first[i]
-        p = p[p + window <= w.first[i + 1]]
-        np.add.at(cover, p, 1)
-        np.add.at(cover, p + window, -1)
+    begins = true_places(w, later, checks, window).astype(np.int64)
+    cover = begins.copy()
+    cover[window:] -= begins[:-window]
     return np.cumsum(cover)[:-1] == 0
 
 
@@ -238,8 +255,7 @@ def deduplicate(documents: DataFrame, window: int = 13, longest: int | None = No
         for batch in batches:
             for part in slices(batch):
                 w = words_of(*text_bytes(part.column("text")))
-                later = [unpack(b, np.int32) if b else np.zeros(0, np.int32) for b in part.column("later").to_pylist()]
-                stays = without(w, later, window)
+                stays = without(w, _lists(part, "later", np.int32), _lists(part, "later_checks", np.uint64), window)
                 kept, raw = [], w.data.tobytes()
                 for i in range(part.num_rows):
                     a, b = w.first[i], w.first[i + 1]

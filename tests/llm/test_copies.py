@@ -207,3 +207,31 @@ def test_contaminated(spark):
     assert {(r.doc_id, r.item_id) for r in blocks} == set(expected)
     assert decontamination.contaminated(frame(spark, []), bench).count() == 0
     assert decontamination.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    """2**n letters a and b; with a and b changed over, sums of powers modulo 2**64 are the same for long ones."""
+    out = [a]
+    for _ in range(n):
+        out += [b if x == a else a for x in out]
+    return out
+
+
+def test_words_that_agree_in_sums_of_powers_differ(spark):
+    one, two = "".join(thue_morse(11)), "".join(thue_morse(11, "b", "a"))
+    rows = [(i, " ".join(t + str(k) for k in range(13))) for i, t in enumerate([one, two])]
+    sequences = [(2, " ".join(thue_morse(11, "x", "y"))), (3, " ".join(thue_morse(11, "y", "x")))]
+    assert {r.n_removed for r in substrings.deduplicate(frame(spark, rows), 13).collect()} == {0}
+    assert {r.n_removed for r in substrings.deduplicate(frame(spark, sequences), 2048).collect()} == {0}
+    assert [r.component_id for r in sorted(jaccard.join_components(frame(spark, rows)).collect())] == [0, 1]
+
+
+def test_substrings_of_rows_that_repeat_an_id(spark):
+    text = lambda c, n=20: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(0, text("x")), (5, text("x")), (5, text("y")), (5, text("y", 15)), (7, text("z") + " " + text("y")), (7, text("x"))]
+    out = substrings.deduplicate(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in out) == [(0, 20, 0), (5, 15, 0), (5, 20, 0), (5, 20, 20), (7, 20, 20), (7, 40, 20)]
+    # Far more copies than one batch holds, of one passage.
+    hot = [(i, f"own{i} " + text("h") + f" end{i}") for i in range(400)]
+    out = substrings.deduplicate(frame(spark, hot).repartition(7)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in out) == [(i, 20 if i else 0) for i in range(400)]
