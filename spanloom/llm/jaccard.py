@@ -1,11 +1,12 @@
 """N-gram Jaccard join with set-relation skipping, and the components of its links.
 
 A document's set holds its different word shingles. Two documents link when the Jaccard similarity of their sets is at
-least `percent` / 100. The join is exact: up to collisions of 58-bit shingle hashes no link between components is lost.
+least `percent` / 100. The join is exact up to collisions of shingle hashes (58 bits to find candidates, 64 to verify
+them; not sums of powers, so texts in an unlucky order don't agree): no link between components is lost.
 
 1. Documents with equal sets are one class and join as one set, whose answers hold for all members.
-2. Each set is ordered by one global order, rare shingles first; rarity is a counter of fixed size that counts every
-   shingle of every document. The order affects speed only. The first |x| - ceil(t |x|) + 1 shingles are indexed.
+2. Each set is ordered by one global order, rare shingles first; rarity is an array of counters, in number by the size of the data,
+   that counts every shingle of every document. The order affects speed only. The first |x| - ceil(t |x|) + 1 shingles are indexed.
 3. Answers of highly similar sets first: sets that agree on the two smallest hashes of a hash range are compared with
    the smallest id among them. Links found so give components, which are known when the index is read.
 4. The index lists (set, size, position) by shingle and, in a list, in blocks by position. A pair whose first common
@@ -20,12 +21,17 @@ least `percent` / 100. The join is exact: up to collisions of 58-bit shingle has
 6. Pairs that remain are bounded by their indexed shingles (whatever is in one's part of the order and not in the other's is not
    shared) and then verified with the whole sets.
 
-So a group of near copies gives a link per member and not per pair. Rows of one doc_id are one document. Null and empty
-texts have no shingles and link with nothing. Texts with fewer words than a shingle have one, their whole sequence. Rows
-without an id keep their class's component, or null. An empty table gives an empty result.
+So a group of near copies gives a link per member and not per pair. The list of a hot shingle is split: its sets are dealt to groups,
+and each two groups meet in a list of their own.
 
-Only two filters of fixed size pass through the driver: the shingle counters (COUNTERS bytes) and the ids that take part
-in a verification (at most FILTER_BITS bits; more ids only let more sets through).
+Each row is a document of its own, also where rows repeat an id: equal texts are one class, different ones have their own
+links, and a component's id is the smallest id of its rows. Null and empty texts have no shingles and link with nothing.
+Texts with fewer words than a shingle have one, their whole sequence. Rows without an id keep their class's component, or
+null, and link nobody. Long texts are taken whole, one at a time. Columns other than doc_id and text play no part, whatever
+their names. An empty table gives an empty result.
+
+Only two filters of bounded size pass through the driver: the shingle counters (4 bytes for each of at most 2**MOST_COUNTERS)
+and the ids that take part in a verification (at most FILTER_BITS bits; more ids only let more sets through).
 """
 
 from __future__ import annotations
@@ -37,9 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import materialize, mix, pack, parts_for, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
+from spanloom.llm.sharding import row_numbers
+from spanloom.llm.shared import discard, materialize, mix, pack, parts_for, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
 
-COUNTERS = 1 << 20
+#: Numbers of counters, as powers of two, and the bytes of stored data for each.
+LEAST_COUNTERS, MOST_COUNTERS, COUNTED_BYTES = 20, 24, 4096
+#: Lists of shingles of a higher level (twice as many documents for each) are split.
+HOT_LEVEL = 14
 FILTER_BITS = 1 << 26
 SIGNATURES = 8
 _PIECE = 1 << 16
@@ -63,10 +73,15 @@ def shingle_sets(part: pa.RecordBatch, k: int):
 
 def ranked(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The set in the global order: tokens of 6 bits of rarity and 58 bits of hash."""
-    level = levels[h & np.uint64(COUNTERS - 1)].astype(np.uint64)
+    level = levels[h & np.uint64(len(levels) - 1)].astype(np.uint64)
     return np.unique((level << np.uint64(58)) | (h >> np.uint64(6)))
 
 
+def fingerprint(h: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that tell sets of different hashes apart."""
+    return mix(h, 3).sum(dtype=np.uint64), mix(h, 4).sum(dtype=np.uint64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -96,38 +111,43 @@ def _pieces(a: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"piece": pa.array(range(len(parts)), pa.int32()), "body": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
-def rarity(frame: DataFrame, hashes) -> np.ndarray:
+def counters_for(size: int) -> int:
+    """The number of counters for so many bytes of stored data."""
+    return 1 << min(MOST_COUNTERS, max(LEAST_COUNTERS, math.ceil(math.log2(max(1, size) / COUNTED_BYTES))))
+
+
+def rarity(frame: DataFrame, hashes, counters: int) -> np.ndarray:
     """A level 0..40 by counter: the bit length of its count over all hashes that hashes(batch) gives in runs."""
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(counters, np.int64)
         for batch in batches:
             for h in hashes(batch):
-                counts += np.bincount(h & np.uint64(COUNTERS - 1), minlength=COUNTERS)
+                counts += np.bincount(h & np.uint64(counters - 1), minlength=counters)
         yield _pieces(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
-    merged = merge_pieces(frame.mapInArrow(run, "piece int, body binary"), COUNTERS * 4 // _PIECE, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
-    counts = np.concatenate([np.frombuffer(b, np.int32) for b in merged]) if merged else np.zeros(COUNTERS, np.int32)
+    merged = merge_pieces(frame.mapInArrow(run, "piece int, body binary"), counters * 4 // _PIECE, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
+    counts = np.concatenate([np.frombuffer(b, np.int32) for b in merged]) if merged else np.zeros(counters, np.int32)
     return np.ceil(np.log2(counts.astype(float) + 1)).astype(np.uint8)
 
 
-def shingle_rarity(documents: DataFrame, k: int) -> np.ndarray:
+def shingle_rarity(documents: DataFrame, k: int, counters: int) -> np.ndarray:
     """The levels of all shingles of all documents."""
 
     def hashes(batch):
         for part in slices(batch):
             yield words_of(*text_bytes(part.column("text")), lower=True).windows(k)[1]
 
-    return rarity(documents.select("text"), hashes)
+    return rarity(documents.select("text"), hashes, counters)
 
 
-def edit_rarity(family: DataFrame) -> np.ndarray:
+def edit_rarity(family: DataFrame, counters: int) -> np.ndarray:
     """The levels of all edits (column prefix)."""
 
     def hashes(batch):
         yield np.concatenate([np.frombuffer(b, np.uint64) for b in batch.column("prefix").to_pylist()] or [np.zeros(0, np.uint64)])
 
-    return rarity(family.select("prefix"), hashes)
+    return rarity(family.select("prefix"), hashes, counters)
 
 
 def describe_sets(documents: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
@@ -138,15 +158,17 @@ def describe_sets(documents: DataFrame, k: int, percent: int, levels: np.ndarray
             for part in slices(batch):
                 n, f1, f2, prefix, keys = [], [], [], [], []
                 for h in shingle_sets(part, k):
+                    h = np.unique(h)
                     s = ranked(h, levels)
-                    n.append(len(s))
-                    m = np.sort(mix(s, 3))
-                    f1.append(m.sum(dtype=np.uint64))
-                    f2.append(mix(s, 4).sum(dtype=np.uint64))
+                    n.append(len(h))
+                    one, two = fingerprint(h)
+                    f1.append(one)
+                    f2.append(two)
+                    m = np.sort(mix(h, 7))
                     prefix.append(s[: prefix_length(len(s), percent)].tobytes() if len(s) else b"")
                     cut = np.searchsorted(m, (np.arange(SIGNATURES, dtype=np.uint64) << np.uint64(61)))
-                    two = cut[np.diff(np.append(cut, len(m))) > 1]
-                    keys.append((m[two] + mix(m[two + 1], 5)).view(np.int64) if len(two) else m[:0].view(np.int64))
+                    at = cut[np.diff(np.append(cut, len(m))) > 1]
+                    keys.append((m[at] + mix(m[at + 1], 5)).view(np.int64) if len(at) else m[:0].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "n", "f1", "f2", "prefix", "keys"],
@@ -171,7 +193,7 @@ def index_pairs(sets: DataFrame, parts: int, percent: int, levels: np.ndarray |
 
     levels: puts the elements of prefix in their global order here; otherwise they are in it.
     """
-    names = ["part", "token", "ids", "comps", "fams", "sizes", "places"]
+    names = ["part", "token", "ids", "comps", "fams", "sizes", "places", "sides"]
 
     def post(batches):
         for batch in batches:
@@ -184,30 +206,31 @@ def index_pairs(sets: DataFrame, parts: int, percent: int, levels: np.ndarray |
             token = np.concatenate(body)
             row = np.repeat(np.arange(len(body)), count)
             place = np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
+            ids, comps, fams = (np.array(batch.column(c), np.int64) for c in ("id", "comp", "fam"))
+            token, row, place, side = spread(token, row, place, ids)
             part = (mix(token, 6) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            ids, comps, fams = (np.array(batch.column(c), np.int64) for c in ("id", "comp", "fam"))
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             out = {c: [] for c in names}
             for p in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[p] : cuts[p + 1]]
                 r = row[at]
-                for c, v in zip(names, (int(p), token[at].tobytes(), pack(ids[r]), pack(comps[r]), pack(fams[r]), pack(n[r].astype(np.int32)), pack(place[at].astype(np.int32))), strict=True):
+                for c, v in zip(names, (int(p), token[at].tobytes(), pack(ids[r]), pack(comps[r]), pack(fams[r]), pack(n[r].astype(np.int32)), pack(place[at].astype(np.int32)), side[at].tobytes()), strict=True):
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in names[1:])]))
 
     def read(batches):
         got = [[] for _ in names[1:]]
         for batch in batches:
-            for g, c, kind in zip(got, names[1:], (np.uint64, np.int64, np.int64, np.int64, np.int32, np.int32), strict=True):
+            for g, c, kind in zip(got, names[1:], (np.uint64, np.int64, np.int64, np.int64, np.int32, np.int32, np.uint8), strict=True):
                 for b in batch.column(c).to_pylist():
-                    g.append(np.frombuffer(b, kind) if c == "token" else unpack(b, kind))
+                    g.append(np.frombuffer(b, kind) if c in ("token", "sides") else unpack(b, kind))
         if not got[0]:
             return
-        token, ids, comps, fams, sizes, places = (np.concatenate(g) for g in got)
+        token, ids, comps, fams, sizes, places, sides = (np.concatenate(g) for g in got)
         seen = np.zeros(0, dtype=[("a", np.int64), ("b", np.int64)])
         waiting: list[np.ndarray] = []
-        for a, b in skipping_pairs(token, ids, comps, fams, sizes.astype(np.int64), places.astype(np.int64), percent):
+        for a, b in skipping_pairs(token, ids, comps, fams, sizes.astype(np.int64), places.astype(np.int64), percent, sides):
             found = np.zeros(len(a), dtype=seen.dtype)
             found["a"], found["b"] = np.minimum(a, b), np.maximum(a, b)
             waiting.append(np.unique(found))
@@ -218,14 +241,39 @@ def index_pairs(sets: DataFrame, parts: int, percent: int, levels: np.ndarray |
         for i in range(0, len(seen), 50_000):
             yield pa.RecordBatch.from_pydict({"a": seen["a"][i : i + 50_000].copy(), "b": seen["b"][i : i + 50_000].copy()})
 
-    posted = sets.select("id", "comp", "fam", "n", "prefix").mapInArrow(post, "part int, token binary, ids binary, comps binary, fams binary, sizes binary, places binary")
+    posted = sets.select("id", "comp", "fam", "n", "prefix").mapInArrow(post, "part int, token binary, ids binary, comps binary, fams binary, sizes binary, places binary, sides binary")
     return posted.repartitionById(parts, F.col("part")).mapInArrow(read, "a bigint, b bigint").distinct()
 
 
-def skipping_pairs(token, ids, comps, fams, sizes, places, percent: int):
-    """Arrays of pairs (a, b) of different components and families from index lists, by blocks of positions."""
+def spread(token, row, place, ids):
+    """Postings with those of hot elements dealt anew: (token, row, place, side).
+
+    The sets of a hot element are in groups, twice as many for each level above HOT_LEVEL. A posting goes to the list of
+    its group, where side is 0, and to one for each other group, where the sides 1 and 2 of the two groups meet.
+    """
+    hot = np.flatnonzero((token >> np.uint64(58)) > HOT_LEVEL)
+    side = np.zeros(len(token), np.uint8)
+    if not len(hot):
+        return token, row, place, side
+    groups = np.left_shift(1, (token[hot] >> np.uint64(58)).astype(np.int64) - HOT_LEVEL)
+    again = np.repeat(hot, groups)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(groups) - groups, groups)
+    own = (mix(ids[row[again]].view(np.uint64), 13) % np.repeat(groups, groups).astype(np.uint64)).astype(np.int64)
+    name = mix(token[again] ^ mix((np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64), 14), 15)
+    cold = np.ones(len(token), dtype=bool)
+    cold[hot] = False
+    sides = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.uint8)
+    return (np.concatenate([x[cold], y]) for x, y in ((token, name), (row, row[again]), (place, place[again]), (side, sides)))
+
+
+def skipping_pairs(token, ids, comps, fams, sizes, places, percent: int, sides=None):
+    """Arrays of pairs (a, b) of different components and families from index lists, by blocks of positions.
+
+    sides: where they are not 0, only pairs of different sides are wanted.
+    """
+    sides = np.zeros(len(token), np.uint8) if sides is None else sides
     order = np.lexsort((sizes, places, token))
-    token, ids, comps, fams, sizes, places = (v[order] for v in (token, ids, comps, fams, sizes, places))
+    token, ids, comps, fams, sizes, places, sides = (v[order] for v in (token, ids, comps, fams, sizes, places, sides))
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     if not len(starts):
         return
@@ -235,7 +283,7 @@ def skipping_pairs(token, ids, comps, fams, sizes, places, percent: int):
 
     def fits(x, y):
         small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-        return (comps[x] != comps[y]) & (fams[x] != fams[y]) & (small * 100 >= large * percent) & ((places[x] + places[y]) * (100 + percent) <= left * (small + large))
+        return (comps[x] != comps[y]) & (fams[x] != fams[y]) & ((sides[x] != sides[y]) | (sides[x] == 0)) & (small * 100 >= large * percent) & ((places[x] + places[y]) * (100 + percent) <= left * (small + large))
 
     # The last block of positions that an element can pair with: the other set has at most 100 / percent its size.
     reach = left * (sizes + sizes * 100 // percent) // (100 + percent) - places
@@ -296,19 +344,22 @@ def edits_of(a: int, x: np.ndarray, y: np.ndarray) -> bytes:
     return np.unique(np.concatenate([mix(mix(np.full(len(v), salt), seed) ^ v, seed) for v, seed in ((more, 11), (less, 12))])).tobytes()
 
 
-def compared(pairs: DataFrame, documents: DataFrame, k: int, percent: int, edits: bool = False) -> DataFrame:
-    """The pairs (a, b) with linked, by their whole sets, and if wanted b's edits of a. Only sets of documents that take part are made."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def compared(pairs: DataFrame, documents: DataFrame, classes: DataFrame, k: int, percent: int, edits: bool = False) -> DataFrame:
+    """The pairs (a, b) with linked, by their whole sets, and if wanted b's edits of a. Only sets of documents that take part are made.
+
+    classes: id, and doc, f1 and f2, the document and the fingerprint that tell which text is meant.
+    """
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc", "f1", "f2"), "id"), "ids")
     bits = 1 << max(16, min(FILTER_BITS.bit_length() - 1, math.ceil(math.log2(16 * max(1, ids.count())))))
 
     def mark(batches):
         marks = np.zeros(bits // 32, np.uint32)
         for batch in batches:
-            h = mix(np.array(batch.column("id"), np.int64).view(np.uint64), 8) & np.uint64(bits - 1)
+            h = mix(np.array(batch.column("doc"), np.int64).view(np.uint64), 8) & np.uint64(bits - 1)
             np.bitwise_or.at(marks, (h >> np.uint64(5)).astype(np.int64), np.uint32(1) << (h & np.uint64(31)).astype(np.uint32))
         yield _pieces(marks.view(np.int32))
 
-    merged = merge_pieces(ids.mapInArrow(mark, "piece int, body binary"), max(1, bits // 8 // _PIECE), np.bitwise_or)
+    merged = merge_pieces(ids.select("doc").mapInArrow(mark, "piece int, body binary"), max(1, bits // 8 // _PIECE), np.bitwise_or)
     marks = np.concatenate([np.frombuffer(b, np.uint32) for b in merged]) if merged else np.zeros(bits // 32, np.uint32)
 
     def sets(batches):
@@ -317,10 +368,12 @@ def compared(pairs: DataFrame, documents: DataFrame, k: int, percent: int, edits
             h = mix(np.array(known.column("doc_id"), np.int64).view(np.uint64), 8) & np.uint64(bits - 1)
             known = known.filter(pa.array((marks[(h >> np.uint64(5)).astype(np.int64)] >> (h & np.uint64(31)).astype(np.uint32)) & 1 > 0))
             for part in slices(known):
-                body = [np.unique(s).tobytes() for s in shingle_sets(part, k)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(body, pa.binary())], names=["id", "body"])
+                body = [np.unique(s) for s in shingle_sets(part, k)]
+                prints = np.array([fingerprint(b) for b in body], np.uint64).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array([b.tobytes() for b in body], pa.binary())], names=["doc", "f1", "f2", "body"])
 
-    whole = materialize(documents.select("doc_id", "text").mapInArrow(sets, "id bigint, body binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    of_texts = documents.select("doc_id", "text").mapInArrow(sets, "doc bigint, f1 bigint, f2 bigint, body binary")
+    whole = materialize(of_texts.join(ids, ["doc", "f1", "f2"]).dropDuplicates(["doc", "f1", "f2"]).select("id", "body"), "sets")
 
     def compare(batches):
         for batch in batches:
@@ -351,33 +404,61 @@ def components(links: DataFrame) -> DataFrame:
         better = labels.join(near, labels["id"] == near["a"]).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("to"))
         jumped = better.join(labels.select(F.col("id").alias("to"), F.col("comp").alias("further")), "to")
         after = materialize(jumped.select("id", F.least("to", "further").alias("comp"), (F.col("old") != F.least("to", "further")).cast("int").alias("changed")), "labels")
-        if not (after.agg(F.sum("changed")).first()[0] or 0):
+        changed = after.agg(F.sum("changed")).first()[0] or 0
+        if not changed:
+            discard(after)
+            discard(edges)
             return labels
-        labels = after.select("id", "comp")
+        discard(labels)
+        labels = after
+
+
+def identified(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """classes (doc, f1, f2, n and more) with id: doc, or a number outside of all docs for a further class of the same doc; and if there are such."""
+    firsts = classes.groupBy("doc").agg(F.min(F.struct("f1", "f2", "n")).alias("_m"), F.count("*").alias("_c"))
+    several = materialize(firsts.filter("_c > 1").select("doc", "_m"), "several")
+    bounds = several.agg(F.count("*").alias("c")).first()
+    if not bounds["c"]:
+        return classes.withColumn("id", F.col("doc")), False
+    ends = classes.agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("c")).first()
+    base = ends["most"] + 1 if ends["most"] + ends["c"] < 1 << 63 else ends["least"] - ends["c"]
+    if base < -(1 << 63):
+        raise ValueError("ids leave no room for numbers of further classes")
+    marked = classes.join(several, "doc", "left")
+    further = F.col("_m").isNotNull() & (F.struct("f1", "f2", "n") != F.col("_m"))
+    numbered = row_numbers(marked.filter(further).select("f1", "f2", "n"), ["f1", "f2", "n"], "_number", ends["c"])
+    numbers = materialize(numbered, "numbers")
+    return marked.drop("_m").join(numbers, ["f1", "f2", "n"], "left").withColumn("id", F.coalesce(F.col("_number") + F.lit(base), "doc")).drop("_number"), True
 
 
 def join_components(documents: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of all rows of documents (doc_id, text)."""
     size = stored_bytes(documents)
-    parts = parts_for(size, 2 << 20, 32)
-    described = materialize(describe_sets(documents, k, percent, shingle_rarity(documents, k)), "described")
-    sets = materialize(described.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys")), "classes")
+    parts, counters = parts_for(size, 2 << 20, 32), counters_for(size)
+    described = materialize(describe_sets(documents, k, percent, shingle_rarity(documents, k, counters)), "described")
+    classes = materialize(described.filter("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys")), "classes")
+    sets, further = identified(classes)
+    sets = materialize(sets, "sets") if further else sets
     index = sets.select("id", "n", "prefix")
     near = materialize(possible(similar_pairs(sets, percent), index, percent), "near")
-    first = materialize(compared(near, documents, k, percent, edits=True), "links")
+    first = materialize(compared(near, documents, sets, k, percent, edits=True), "links")
     comps = components(first.filter("linked"))
     # A set is in the family of the smallest one that it was compared with; others are families of their own.
     family = first.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "edits")).alias("f")).select("id", F.col("f.a").alias("fam"), F.col("f.edits").alias("edits"))
     known = index.join(comps, "id", "left").join(family, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), F.coalesce("fam", "id").alias("fam"), "n", "prefix", "edits")
     known = materialize(known, "known")
     changed = known.filter("edits is not null").select("id", "comp", F.col("id").alias("fam"), "n", F.col("edits").alias("prefix"))
-    pairs = index_pairs(known, parts, percent).union(index_pairs(changed, parts, percent, edit_rarity(changed))).distinct()
+    pairs = index_pairs(known, parts, percent).union(index_pairs(changed, parts, percent, edit_rarity(changed, counters))).distinct()
     rest = materialize(possible(pairs, index, percent), "rest")
-    second = compared(rest, documents, k, percent).filter("linked")
+    second = compared(rest, documents, sets, k, percent).filter("linked")
     named = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("comp").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     tops = components(named(named(second, "a"), "b").select("a", "b"))
     final = known.join(tops.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("component"))
-    by_class = sets.select("f1", "f2", F.col("n").alias("_n"), "id").join(final, "id").drop("id").withColumnsRenamed({"f1": "_f1", "f2": "_f2"})
+    by_class = sets.select("f1", "f2", F.col("n").alias("_n"), "id", "doc").join(final, "id")
+    if further:  # labels are numbers of classes then, and the smallest document of a component is looked up
+        least = materialize(by_class.groupBy("component").agg(F.min("doc").alias("least")), "least")
+        by_class = by_class.join(least, "component").withColumn("component", F.col("least")).drop("least")
+    by_class = by_class.drop("id", "doc").withColumnsRenamed({"f1": "_f1", "f2": "_f2"})
     on = (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") == F.col("_n"))
     return described.select("doc_id", "n", "f1", "f2").join(by_class, on, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -37,7 +37,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what materialize() wrote, before the process ends; nothing may read it any more."""
+    _remove(table.sparkSession, table._stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

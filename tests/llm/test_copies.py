@@ -235,3 +235,34 @@ def test_substrings_of_rows_that_repeat_an_id(spark):
     hot = [(i, f"own{i} " + text("h") + f" end{i}") for i in range(400)]
     out = substrings.deduplicate(frame(spark, hot).repartition(7)).collect()
     assert sorted((r.doc_id, r.n_removed) for r in out) == [(i, 20 if i else 0) for i in range(400)]
+
+
+def rows_components(rows, k=3, percent=90):
+    """As components_of, with each row a document of its own."""
+    numbered = components_of([(i, t) for i, (_, t) in enumerate(rows)], k, percent)
+    least = {}
+    for i, n, c in numbered:
+        least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    return sorted((rows[i][0], n, least[c]) for i, n, c in numbered)
+
+
+def test_jaccard_of_rows_that_repeat_an_id(spark):
+    out = jaccard.join_components(frame(spark, [(5, "a b c d"), (5, "e f g h"), (7, "q r s t")])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(5, 2, 5), (5, 2, 5), (7, 2, 7)]
+    rows = [(i % 9, t) for i, t in corpus(5)]
+    out = jaccard.join_components(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == rows_components(rows)
+
+
+def test_hot_lists_are_split_and_lose_no_pair():
+    hot = np.uint64(jaccard.HOT_LEVEL + 3) << np.uint64(58)
+    token = np.array([hot | np.uint64(5)] * 60 + [hot | np.uint64(6)] * 30 + [np.uint64(7)] * 4, np.uint64)
+    ids = np.concatenate([np.arange(60), np.arange(20, 50), np.array([0, 70, 71, 72])])
+    t, row, place, side = jaccard.spread(token, np.arange(len(ids)), np.zeros(len(ids), np.int64), ids)
+    found, size = [], np.full(len(t), 100)
+    for x, y in jaccard.skipping_pairs(t, ids[row], ids[row], ids[row], size, place, 90, side):
+        found += [(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    lists = [range(60), range(20, 50), [0, 70, 71, 72]]
+    want = [(min(a, b), max(a, b)) for m in lists for i, a in enumerate(m) for b in list(m)[i + 1 :]]
+    assert sorted(found) == sorted(want)
+    assert np.unique(t, return_counts=True)[1].max() < 40
