@@ -1,109 +1,67 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 1. Texts and items are cut to words: A-Z in lower case, white space and ASCII punctuation between words.
-2. A passage of a document is a candidate for an item if it holds at least `need` n-grams of the item, need being
-   `shared` of the item's n-grams, within twice the item's length. One pass over the texts finds all passages and counts in how many
-   documents each n-gram of the benchmark stands.
-3. Seeds of an item are its n-grams without the need - 1 most common ones. So whoever shares `need` n-grams with the
-   item shares a seed: a passage without a seed can't be a candidate, however common a planted item has become. Items
-   that many documents copy keep their seeds, because seeds are chosen by rank and not by a cut-off.
-4. Passages are aligned with the item word by word (match 2, mismatch -1, gap -1, local); a score of at least
-   `threshold` of a full match is contamination. Edited copies lose some points for each edit.
-
-The benchmark is taken in blocks of about `block_bytes` of text, the only data that goes to all tasks, whatever its
-size. Null or empty texts and items match nothing; items with fewer than n words are matched by their only, shorter
-n-gram. Repeated rows of an item count once; rows of documents that repeat an id give one result per id and item.
+2. The n-grams are pairs of words, next to each other or with one word between them: (w[i], w[i+1]) and (w[i], w[i+2]) start
+   at i. A pair agrees whatever stands between, so words that were put in, left out or replaced don't hide it.
+3. One pass over the texts counts in how many documents each n-gram of the benchmark stands. An item's seeds are the n-grams of
+   its rare starts: all starts without the need - 1 most common ones.
+4. A second pass finds the seeds in the texts, and a join on the seed gives pairs of documents and items with the places
+   where they meet. Each pair is a candidate, whatever else it shares.
+5. Passages around these places that hold enough of the item's words are aligned with it word by word (match 2, mismatch -1,
+   gap -1, local); a score of at least `threshold` of a full match is contamination.
+
+No such passage is missed. If m words match and edits cost e, 2 m - e is at least 2 t L (t the threshold, L the item's words). Of
+the m - 1 neighbours among the matches, those that are no n-gram on one side or the other cost 2 or more each: at most e / 2 <= m - t L.
+So at least need = ceil(t L) - 1 of the item's starts are in the passage, and without the need - 1 most common ones one is left. An
+item that many documents copy keeps its seeds, because they are chosen by rank and not by a cut-off. Where one word is
+enough (t L <= 1), single words are the seeds. An alignment reaches over (3 - 2 t) L words at most, which bounds the passage.
+
+The texts are scanned twice, and a third time for documents with candidates, whatever the size of the benchmark. Tasks
+hold filters of n-grams and ids of at most `block_bytes`; what they let through is joined with the exact tables.
+
+Null or empty texts and items match nothing. Repeated rows of an item count once, and an item_id with several texts gives its
+best score. Rows that repeat a doc_id give one result per id and item, the best of them; rows without one can't be named and give none. Long
+texts are taken whole, one at a time. doc_id and item_id have any type; other columns play no part, whatever their names.
+Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from spanloom.llm.shared import materialize, slices, text_bytes, window_hashes, words_of
+from spanloom.llm.shared import FILTER_BYTES, holds, join_hashes, key_filter, materialize, mix, parts_for, slices, text_bytes, words_of
+from spanloom.llm.sharding import row_numbers
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-_FILTER_BITS = 20
-
-
-@dataclass
-class Items:
-    """A block of test items: ids, words, n-grams; all different n-grams sorted, and the items of each (CSR)."""
-
-    ids: list
-    words: list
-    n: int
-    need: np.ndarray
-    grams: np.ndarray
-    first: np.ndarray
-    items: np.ndarray
-    table: np.ndarray
-
-    @staticmethod
-    def of(rows: list[tuple], n: int, shared: float) -> Items:
-        w = words_of(*text_bytes(pa.array([t for _, t in rows], pa.string())), lower=True, plain=True)
-        ids, words, pairs, need = [], [], [], []
-        for i, (item, _) in enumerate(rows):
-            own = w.hash[w.first[i] : w.first[i + 1]]
-            if not len(own):
-                continue
-            grams = np.unique(window_hashes(own, min(n, len(own))))
-            pairs += [(int(g), len(ids)) for g in grams]
-            need.append(max(1, math.ceil(shared * len(grams))))
-            ids.append(item)
-            words.append(own)
-        pairs.sort()
-        g = np.array([x for x, _ in pairs], np.uint64)
-        grams, first = np.unique(g, return_index=True)
-        table = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        table[grams & np.uint64((1 << _FILTER_BITS) - 1)] = True
-        return Items(ids, words, n, np.array(need, np.int64), grams, np.append(first, len(g)), np.array([x for _, x in pairs], np.int64), table)
-
-    def gram_ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in h that hold an n-gram of these items, and its index."""
-        at = np.flatnonzero(self.table[h & np.uint64((1 << _FILTER_BITS) - 1)])
-        k = np.searchsorted(self.grams, h[at])
-        ok = k < len(self.grams)
-        ok[ok] = self.grams[k[ok]] == h[at[ok]]
-        return at[ok], k[ok]
-
-    def lengths(self) -> list[int]:
-        """Lengths of n-grams: n, and those of shorter items."""
-        return sorted({min(self.n, len(w)) for w in self.words})
-
-
-def passages(items: Items, words: np.ndarray, doc: np.ndarray, first: np.ndarray):
-    """(document, item, from, to) in word positions for each candidate passage; and (document, gram) of all hits."""
-    found = []
-    for n in items.lengths():
-        h = window_hashes(words, n)
-        at, gram = items.gram_ids(h)
-        ok = doc[at] == doc[at + n - 1] if len(at) else np.zeros(0, dtype=bool)
-        found.append((at[ok], gram[ok]))
-    at, gram = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-    hits = (doc[at], gram)
-    n = items.first[gram + 1] - items.first[gram]
-    item = items.items[np.repeat(items.first[gram], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    at = np.repeat(at, n)
-    order = np.lexsort((at, item, doc[at]))
-    at, item = at[order], item[order]
-    size = np.array([len(w) for w in items.words] or [0])[item]
-    last = np.arange(len(at)) + items.need[item] - 1
-    inside = last < len(at)
-    last = np.minimum(last, max(len(at) - 1, 0))
-    close = inside & (item[last] == item) & (doc[at[last]] == doc[at]) & (at[last] - at <= 2 * size) if len(at) else np.zeros(0, dtype=bool)
-    begin, end, what, where = at[close] - size[close], at[last[close]] + size[close] + items.n, item[close], doc[at[close]]
-    begin, end = np.maximum(begin, first[where]), np.minimum(end, first[where + 1])
-    new = np.ones(len(begin), dtype=bool)
-    new[1:] = (what[1:] != what[:-1]) | (where[1:] != where[:-1]) | (begin[1:] > end[:-1])
-    starts = np.flatnonzero(new)
-    ends = np.maximum.reduceat(end, starts) if len(starts) else end[:0]
-    return (where[starts], what[starts], begin[starts], ends), hits
+#: Alignments that one task makes.
+ALIGNMENTS = 2000
+
+
+def pairs_of(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the n-grams: each word with the next one and with the one after that, in one document."""
+    at, h = [], []
+    for gap in (1, 2):
+        start = np.flatnonzero(doc[gap:] == doc[:-gap]) if len(doc) > gap else np.zeros(0, np.int64)
+        at.append(start)
+        h.append(mix(join_hashes(words[start], words[start + gap]), 51))
+    return np.concatenate(at), np.concatenate(h)
+
+
+def grams_of(words: np.ndarray, doc: np.ndarray, singles: bool) -> tuple[np.ndarray, np.ndarray]:
+    """pairs_of and, with singles, all words as n-grams of one word."""
+    at, h = pairs_of(words, doc)
+    return (np.concatenate([at, np.arange(len(words))]), np.concatenate([h, mix(words, 52)])) if singles else (at, h)
+
+
+def needed(length: int, threshold: float) -> int:
+    """Starts of an item of so many words that a passage of the threshold's score holds at least; 0: one word is enough."""
+    return max(0, math.ceil(threshold * length - 1e-9) - 1)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -119,76 +77,156 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _scan(documents: DataFrame, items: Items) -> DataFrame:
-    """Rows of candidate passages (doc_id, item, at, words) and, with item -1, of the numbers of documents by n-gram."""
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words of a can be matched with different words of b."""
+    words, count = np.unique(a, return_counts=True)
+    at = np.searchsorted(words, b)
+    at[at == len(words)] = 0
+    return int(np.minimum(count, np.bincount(at[words[at] == b], minlength=len(words))).sum())
+
+
+def best_passage(test: np.ndarray, words: np.ndarray, places: np.ndarray, threshold: float) -> tuple[float, int]:
+    """The best score of a passage of words around places as a share of a full match, and its first word; (0, 0) below threshold."""
+    full, reach = MATCH * len(test), math.ceil((3 - 2 * threshold) * len(test)) + 2
+    places = np.sort(places[places < len(words)])
+    if not len(places):
+        return 0.0, 0
+    new = np.append(True, places[1:] - reach > places[:-1] + reach)
+    first, best = np.flatnonzero(new), (0.0, 0)
+    for a, b in zip(places[first], places[np.append(first[1:], len(places)) - 1], strict=True):
+        low, high = max(0, int(a) - reach), int(b) + reach + 1
+        if common_words(test, words[low:high]) < threshold * len(test) - 1e-9:
+            continue
+        score, end = align(test, words[low:high])
+        if score >= threshold * full - 1e-9 and score / full > best[0]:
+            best = score / full, low + max(0, end - len(test))
+    return best
+
+
+def item_table(benchmark: DataFrame) -> DataFrame:
+    """no, item_id and words (packed hashes) of the different items that have words."""
+    tests = benchmark.select("item_id", "text").filter("text is not null").distinct()
+    numbered = materialize(row_numbers(tests, ["text", "item_id"], "no", tests.count()).select("no", "item_id", "text"), "items")
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch):
+                w = words_of(*text_bytes(part.column("text")), lower=True, plain=True)
+                bodies = [w.hash[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                out = pa.RecordBatch.from_arrays([part.column("no"), part.column("item_id"), pa.array(bodies, pa.binary())], names=["no", "item_id", "words"])
+                yield out.filter(pa.array(np.diff(w.first) > 0))
+
+    return materialize(numbered.mapInArrow(cut, numbered.select("no", "item_id").schema.add("words", "binary")), "words")
+
+
+def item_grams(items: DataFrame, threshold: float) -> DataFrame:
+    """no, start, gram and keep (how many starts are seeds) of all n-grams of all items."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], []]
+            for no, body in zip(batch.column("no").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                words = np.frombuffer(body, np.uint64)
+                need = needed(len(words), threshold)
+                at, h = pairs_of(words, np.zeros(len(words), np.int64)) if need else (np.arange(len(words)), mix(words, 52))
+                for column, v in zip(out, (np.full(len(at), no), at, h.view(np.int64), np.full(len(at), len(words) - need if need else len(words))), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in out], names=["no", "start", "gram", "keep"])
+
+    return items.select("no", "words").mapInArrow(run, "no bigint, start bigint, gram bigint, keep bigint")
+
+
+def _schema(documents: DataFrame, *columns: str) -> StructType:
+    schema = StructType([documents.schema["doc_id"]])
+    for c in columns:
+        schema = schema.add(*c.split())
+    return schema
+
+
+def frequencies(documents: DataFrame, marks: list[np.ndarray], singles: bool) -> DataFrame:
+    """gram and n: in how many documents the n-grams that the filter lets through stand."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for part in slices(batch):
+                w = words_of(*text_bytes(part.column("text")), lower=True, plain=True)
+                at, h = grams_of(w.hash, w.doc, singles)
+                ok = holds(marks, h)
+                both = np.unique(np.stack([w.doc[at[ok]].astype(np.uint64), h[ok]]), axis=1)
+                found.append(both[1])
+            grams, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    return documents.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def rare_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram and no of the n-grams of each item's rare starts."""
+    known = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    starts = known.groupBy("no", "start", "keep").agg(F.max("n").alias("n"), F.collect_list("gram").alias("grams"))
+    rank = F.row_number().over(Window.partitionBy("no").orderBy("n", "start"))
+    return starts.withColumn("rank", rank).filter("rank <= keep").select("no", F.explode("grams").alias("gram")).distinct()
+
+
+def seed_hits(documents: DataFrame, marks: list[np.ndarray], singles: bool) -> DataFrame:
+    """doc_id, gram and at (word) of the n-grams that the filter lets through."""
 
     def run(batches):
-        counts = np.zeros(len(items.grams), np.int64)
         for batch in batches:
             for part in slices(batch):
                 w = words_of(*text_bytes(part.column("text")), lower=True, plain=True)
-                (doc, item, begin, end), (d, g) = passages(items, w.hash, w.doc, w.first)
-                if len(d):
-                    counts += np.bincount(np.unique(d * len(items.grams) + g) % len(items.grams), minlength=len(counts))
-                if len(doc):
-                    ids = part.column("doc_id").take(pa.array(doc))
-                    yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(item, pa.int32()), pa.array(begin - w.first[doc], pa.int64()), pa.array([w.hash[b:e].tobytes() for b, e in zip(begin, end, strict=True)], pa.binary())], names=["doc_id", "item", "at", "words"])
-        if len(known := np.flatnonzero(counts)):
-            yield pa.RecordBatch.from_arrays([pa.array(counts[known]), pa.array(np.full(len(known), -1), pa.int32()), pa.array(known), pa.nulls(len(known), pa.binary())], names=["doc_id", "item", "at", "words"])
+                at, h = grams_of(w.hash, w.doc, singles)
+                ok = holds(marks, h)
+                doc = w.doc[at[ok]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(h[ok].view(np.int64)), pa.array((at[ok] - w.first[doc]).astype(np.int32))], names=["doc_id", "gram", "at"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, _schema(documents, "gram long", "at integer"))
+
+
+def words_by_document(documents: DataFrame, marks: list[np.ndarray]) -> DataFrame:
+    """doc_id and words (packed hashes) of the documents whose ids the filter lets through."""
+
+    def run(batches):
+        for batch in batches:
+            chosen = batch.take(pa.array(holds(marks, np.array(batch.column("_key"), np.int64).view(np.uint64))))
+            for part in slices(chosen):
+                w = words_of(*text_bytes(part.column("text")), lower=True, plain=True)
+                bodies = [w.hash[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bodies, pa.binary())], names=["doc_id", "words"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item int, at bigint, words binary")
+    return documents.select("doc_id", "text", F.xxhash64("doc_id").alias("_key")).mapInArrow(run, _schema(documents, "words binary"))
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, shared: float = 0.1, threshold: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, item_id, score (share of a full match), start_word and shared_seeds of the best passage; a row per pair."""
-    spark = documents.sparkSession
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
-    size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    out = None
-    for k in range(blocks):
-        block = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else tests
-        items = Items.of([tuple(r) for r in block.orderBy("item_id", "text").collect()], n, shared)
-        if items.ids:
-            part = _matches(documents, items, threshold)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, shared_seeds int")
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", -F.col("start_word"), "shared_seeds")).alias("b"))
-    return best.select("doc_id", "item_id", "b.score", (-F.col("b.col2")).alias("start_word"), "b.shared_seeds")
-
-
-def seeds(items: Items, counts: np.ndarray) -> list[np.ndarray]:
-    """Per item its n-grams, as sorted hashes, without the need - 1 that most documents hold."""
-    owner = np.repeat(np.arange(len(items.grams)), np.diff(items.first))
-    by_item = np.lexsort((items.grams[owner], counts[owner], items.items))
-    bounds = np.searchsorted(items.items[by_item], np.arange(len(items.ids) + 1))
-    return [np.sort(items.grams[owner[by_item[a : b - need + 1]]]) for a, b, need in zip(bounds[:-1], bounds[1:], items.need, strict=True)]
-
-
-def _matches(documents: DataFrame, items: Items, threshold: float) -> DataFrame:
-    rows = materialize(_scan(documents, items), "passages")
-    counts = np.zeros(len(items.grams), np.int64)
-    for r in rows.filter("item = -1").groupBy("at").agg(F.sum("doc_id").alias("n")).collect():  # one row per n-gram of the block
-        counts[r["at"]] = r["n"]
-    rare = seeds(items, counts)
+    documents = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    items = item_table(benchmark)
+    grams = materialize(item_grams(items, threshold), "grams")
+    singles = bool(items.filter(F.octet_length("words") / 8 * threshold <= 1).count())
+    counts = materialize(frequencies(documents, key_filter(grams.select("gram").distinct(), most_bytes=block_bytes), singles), "frequencies")
+    seeds = materialize(rare_seeds(grams, counts), "seeds")
+    hits = seed_hits(documents, key_filter(seeds.select("gram").distinct(), most_bytes=block_bytes), singles).join(seeds, "gram")
+    places = materialize(hits.groupBy("doc_id", "no").agg(F.collect_list("at").alias("places")), "places")
+    chosen = places.select(F.xxhash64("doc_id").alias("key")).distinct()
+    texts = words_by_document(documents, key_filter(chosen, 16, 1, block_bytes))
+    pairs = texts.join(places, "doc_id").join(items.select("no", F.col("words").alias("test")), "no")
 
     def run(batches):
         for batch in batches:
-            out = {"doc_id": [], "item_id": [], "score": [], "start_word": [], "shared_seeds": []}
-            for doc, item, at, body in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item", "at", "words")), strict=True):
-                words, test = np.frombuffer(body, np.uint64), items.words[item]
-                common = len(np.intersect1d(window_hashes(words, min(items.n, len(test))), rare[item]))
-                if not common:
-                    continue
-                score, end = align(test, words)
-                if score >= threshold * MATCH * len(test):
-                    for key, v in zip(out, (doc, items.ids[item], score / (MATCH * len(test)), at + max(0, end - len(test)), common), strict=True):
-                        out[key].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("shared_seeds", pa.int32())]))
-
-    found = rows.filter("item >= 0").repartition(max(8, documents.sparkSession.sparkContext.defaultParallelism * 2))
-    return found.mapInArrow(run, "doc_id bigint, item_id bigint, score double, start_word bigint, shared_seeds int")
+            score, start, seeds_ = [], [], []
+            for body, test, at in zip(*(batch.column(c).to_pylist() for c in ("words", "test", "places")), strict=True):
+                s, a = best_passage(np.frombuffer(test, np.uint64), np.frombuffer(body, np.uint64), np.array(at, np.int64), threshold)
+                score.append(s)
+                start.append(a)
+                seeds_.append(len(at))
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("no"), pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(seeds_, pa.int32())], names=["doc_id", "no", "score", "start_word", "shared_seeds"])
+            yield out.filter(pa.array(np.array(score) > 0, pa.bool_()))
+
+    dealt = pairs.select("doc_id", "no", "words", "test", "places").repartition(parts_for(places.count(), ALIGNMENTS, 8), "doc_id", "no")
+    scored = dealt.mapInArrow(run, _schema(documents, "no long", "score double", "start_word long", "shared_seeds integer"))
+    best = scored.join(items.select("no", "item_id"), "no").groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("start"), "shared_seeds")).alias("b"))
+    return best.select("doc_id", "item_id", "b.score", (-F.col("b.start")).alias("start_word"), "b.shared_seeds")
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

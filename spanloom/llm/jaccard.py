@@ -31,7 +31,7 @@ null, and link nobody. Long texts are taken whole, one at a time. Columns other
 their names. An empty table gives an empty result.
 
 Only two filters of bounded size pass through the driver: the shingle counters (4 bytes for each of at most 2**MOST_COUNTERS)
-and the ids that take part in a verification (at most FILTER_BITS bits; more ids only let more sets through).
+and the ids that take part in a verification (at most FILTER_BYTES; more ids only let more sets through).
 """
 
 from __future__ import annotations
@@ -44,15 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.sharding import row_numbers
-from spanloom.llm.shared import discard, materialize, mix, pack, parts_for, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
+from spanloom.llm.shared import discard, holds, key_filter, materialize, merge_pieces, mix, pack, parts_for, pieces_of, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
 
 #: Numbers of counters, as powers of two, and the bytes of stored data for each.
 LEAST_COUNTERS, MOST_COUNTERS, COUNTED_BYTES = 20, 24, 4096
 #: Lists of shingles of a higher level (twice as many documents for each) are split.
 HOT_LEVEL = 14
-FILTER_BITS = 1 << 26
 SIGNATURES = 8
-_PIECE = 1 << 16
 
 
 # --- sets ----------------------------------------------------------------------------------------------------------
@@ -90,27 +88,6 @@ def linked(common, n, m, percent: int):
     return 100 * common >= percent * (n + m - common)
 
 
-def merge_pieces(pieces: DataFrame, n: int, how) -> list[bytes]:
-    """Pieces (piece, body) of arrays from all tasks merged by how, in order. There are n pieces of fixed size."""
-
-    def run(batches):
-        merged: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, body in zip(batch.column("piece").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                new = np.frombuffer(body, np.int32)
-                merged[p] = how(merged[p], new) if p in merged else new
-        if merged:
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(list(merged), pa.int32()), "body": pa.array([v.tobytes() for v in merged.values()], pa.binary())})
-
-    rows = pieces.repartition(min(n, 16), "piece").mapInArrow(run, "piece int, body binary").collect()
-    return [r["body"] for r in sorted(rows, key=lambda r: r["piece"])]
-
-
-def _pieces(a: np.ndarray) -> pa.RecordBatch:
-    parts = np.array_split(a, max(1, len(a) * 4 // _PIECE))
-    return pa.RecordBatch.from_pydict({"piece": pa.array(range(len(parts)), pa.int32()), "body": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-
 def counters_for(size: int) -> int:
     """The number of counters for so many bytes of stored data."""
     return 1 << min(MOST_COUNTERS, max(LEAST_COUNTERS, math.ceil(math.log2(max(1, size) / COUNTED_BYTES))))
@@ -124,10 +101,9 @@ def rarity(frame: DataFrame, hashes, counters: int) -> np.ndarray:
         for batch in batches:
             for h in hashes(batch):
                 counts += np.bincount(h & np.uint64(counters - 1), minlength=counters)
-        yield _pieces(np.minimum(counts, 2**31 - 1).astype(np.int32))
+        yield pieces_of(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
-    merged = merge_pieces(frame.mapInArrow(run, "piece int, body binary"), counters * 4 // _PIECE, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
-    counts = np.concatenate([np.frombuffer(b, np.int32) for b in merged]) if merged else np.zeros(counters, np.int32)
+    counts = merge_pieces(frame.mapInArrow(run, "piece int, body binary"), counters, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
     return np.ceil(np.log2(counts.astype(float) + 1)).astype(np.uint8)
 
 
@@ -350,23 +326,12 @@ def compared(pairs: DataFrame, documents: DataFrame, classes: DataFrame, k: int,
     classes: id, and doc, f1 and f2, the document and the fingerprint that tell which text is meant.
     """
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc", "f1", "f2"), "id"), "ids")
-    bits = 1 << max(16, min(FILTER_BITS.bit_length() - 1, math.ceil(math.log2(16 * max(1, ids.count())))))
-
-    def mark(batches):
-        marks = np.zeros(bits // 32, np.uint32)
-        for batch in batches:
-            h = mix(np.array(batch.column("doc"), np.int64).view(np.uint64), 8) & np.uint64(bits - 1)
-            np.bitwise_or.at(marks, (h >> np.uint64(5)).astype(np.int64), np.uint32(1) << (h & np.uint64(31)).astype(np.uint32))
-        yield _pieces(marks.view(np.int32))
-
-    merged = merge_pieces(ids.select("doc").mapInArrow(mark, "piece int, body binary"), max(1, bits // 8 // _PIECE), np.bitwise_or)
-    marks = np.concatenate([np.frombuffer(b, np.uint32) for b in merged]) if merged else np.zeros(bits // 32, np.uint32)
+    marks = key_filter(ids.select("doc"), per_key=16, probes=1)
 
     def sets(batches):
         for batch in batches:
             known = batch.filter(batch.column("doc_id").is_valid())
-            h = mix(np.array(known.column("doc_id"), np.int64).view(np.uint64), 8) & np.uint64(bits - 1)
-            known = known.filter(pa.array((marks[(h >> np.uint64(5)).astype(np.int64)] >> (h & np.uint64(31)).astype(np.uint32)) & 1 > 0))
+            known = known.take(pa.array(holds(marks, np.array(known.column("doc_id"), np.int64).view(np.uint64))))
             for part in slices(known):
                 body = [np.unique(s) for s in shingle_sets(part, k)]
                 prints = np.array([fingerprint(b) for b in body], np.uint64).reshape(-1, 2).view(np.int64)

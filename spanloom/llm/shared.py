@@ -220,3 +220,63 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     """The inverse of pack()."""
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(dtype).ravel() if b else np.zeros(0, dtype)
+
+
+# --- filters -------------------------------------------------------------------------------------------------------
+
+#: A filter of keys has at most so many bytes; with more keys it lets more others through, and nothing is lost.
+FILTER_BYTES = 1 << 23
+_PIECE = 1 << 16
+
+
+def pieces_of(a: np.ndarray) -> pa.RecordBatch:
+    """An array of 32-bit numbers as rows (piece, body)."""
+    parts = np.array_split(a, max(1, len(a) * 4 // _PIECE))
+    return pa.RecordBatch.from_pydict({"piece": pa.array(range(len(parts)), pa.int32()), "body": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+
+def merge_pieces(pieces: DataFrame, length: int, how) -> np.ndarray:
+    """The arrays of length 32-bit numbers of all tasks, rows of pieces_of(), merged by how; zeros where there are none."""
+
+    def run(batches):
+        merged: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for p, body in zip(batch.column("piece").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                new = np.frombuffer(body, np.int32)
+                merged[p] = how(merged[p], new) if p in merged else new
+        if merged:
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(list(merged), pa.int32()), "body": pa.array([v.tobytes() for v in merged.values()], pa.binary())})
+
+    rows = pieces.repartition(max(1, min(length * 4 // _PIECE, 16)), "piece").mapInArrow(run, "piece int, body binary").collect()
+    return np.concatenate([np.frombuffer(r["body"], np.int32) for r in sorted(rows, key=lambda r: r["piece"])]) if rows else np.zeros(length, np.int32)
+
+
+def _probe(h: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x = mix(h, 40 + k) & np.uint64(bits - 1)
+    return (x >> np.uint64(5)).astype(np.int64), np.uint32(1) << (x & np.uint64(31)).astype(np.uint32)
+
+
+def key_filter(keys: DataFrame, per_key: int = 64, probes: int = 3, most_bytes: int = FILTER_BYTES) -> list[np.ndarray]:
+    """A Bloom filter of the only column of keys (bigint), for holds(): per_key bits a key, most_bytes at most."""
+    bits = 1 << min((most_bytes * 8).bit_length() - 1, max(10, math.ceil(math.log2(per_key * max(1, keys.count())))))
+
+    def mark(batches):
+        marks = np.zeros(bits // 32, np.uint32)
+        for batch in batches:
+            h = np.array(batch.column(0), np.int64).view(np.uint64)
+            for k in range(probes):
+                where, bit = _probe(h, k, bits)
+                np.bitwise_or.at(marks, where, bit)
+        yield pieces_of(marks.view(np.int32))
+
+    merged = merge_pieces(keys.mapInArrow(mark, "piece int, body binary"), bits // 32, np.bitwise_or)
+    return [np.frombuffer(merged.tobytes(), np.uint32), np.array(probes)]
+
+
+def holds(marks: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Positions in h of the keys that the filter lets through."""
+    at = np.arange(len(h))
+    for k in range(int(marks[1])):
+        where, bit = _probe(h[at], k, len(marks[0]) * 32)
+        at = at[marks[0][where] & bit > 0]
+    return at

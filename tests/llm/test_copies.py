@@ -266,3 +266,28 @@ def test_hot_lists_are_split_and_lose_no_pair():
     want = [(min(a, b), max(a, b)) for m in lists for i, a in enumerate(m) for b in list(m)[i + 1 :]]
     assert sorted(found) == sorted(want)
     assert np.unique(t, return_counts=True)[1].max() < 40
+
+
+def test_contaminated_finds_all_that_align(spark):
+    """Against alignments of all texts with all items: words put in after every second, every third replaced, every third cut; common words."""
+    rng = random.Random(14)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(3000)]
+    word = lambda: rng.choice(common) if rng.random() < 0.6 else rng.choice(rare)
+    lengths = [1, 2, 3, 4, 5, 7, 9, 12, 20, 33, 60, 61]
+    items = [(f"item{i}", [f"solo{i}"] if n == 1 else [word() for _ in range(n)]) for i, n in enumerate(lengths)]
+
+    def inserted(w, step):
+        return [x for i, v in enumerate(w) for x in ([v, word()] if i % step == step - 1 else [v])]
+
+    edits = [lambda w: inserted(w, 2), lambda w: inserted(w, 1), lambda w: [word() if i % 3 == 2 else v for i, v in enumerate(w)], lambda w: [v for i, v in enumerate(w) if i % 3], lambda w: w[: len(w) // 2 + 1], lambda w: w]
+    rows = []
+    for i in range(90):
+        body = [word() for _ in range(rng.randint(0, 150))]
+        at = rng.randint(0, len(body))
+        rows.append((i, " ".join(body[:at] + edits[i % 6](items[i % len(items)][1]) + body[at:])))
+    bench = spark.createDataFrame([(i, " ".join(w), 3.5) for i, w in items] + [("none", None, 1.0)], "item_id string, text string, score double")
+    docs = spark.createDataFrame([(str(i), t, 1, "x") for i, t in rows] + [(None, rows[0][1], 1, "x")], "doc_id string, text string, no int, places string")
+    out = decontamination.contaminated(docs, bench).collect()
+    expected = {(str(i), k): round(s, 9) for i, t in rows for k, w in items if (s := smith_waterman(w, t.split()) / (2 * len(w))) >= 0.5}
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in out} == expected
+    assert len(expected) > 90 and len(out) == len(expected)
