@@ -12,23 +12,28 @@ text; what isn't drawn of svg (all but text and foreignObject) and the annotatio
 closed details except their summary; comments. Everything else is kept, navigation and advertisements too: this
 operator renders and doesn't judge.
 
-Null or empty html has an empty text and no blocks. Damaged html never fails: what isn't a tag is text. Nesting is not
-limited by the stack; tags nested deeper than MAX_DEPTH are taken for their contents, as browsers do. Rows are rendered
-alone, so equal rows are equal, and an empty table gives an empty result.
+Null or empty html has an empty text and no blocks. Damaged html never fails: what isn't a tag is text, and attributes that
+should be numbers count up to the first other character. Nesting has no limit: neither the tree nor the rendering recurses, nested tables
+are rendered from the inside out. Rows are rendered alone, so equal rows are equal, and repeated or null ids mean nothing; an empty
+table gives an empty result. Long pages are rendered whole, in runs of about a megabyte of html or one page. Columns of pages
+with the names of the results (text, n_chars, n_lines, n_blocks) give way to them; all others but html are carried along.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from unicodedata import east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAX_DEPTH = 512
+from spanloom.llm.shared import slices
 
+# The most columns and rows that a cell can span in HTML.
+COLUMNS, ROWS = 1000, 65534
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript plaintext".split())
@@ -70,6 +75,7 @@ _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 _END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*?>""")
 #: A-Z in lower case, without other letters whose lower case has another length.
 _LOWER = {c: c + 32 for c in range(65, 91)}
+_INTEGER = re.compile(r"[ \t\n\r\f]*([+-]?)([0-9]+)")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
@@ -79,6 +85,8 @@ class Node:
     tag: str
     attributes: dict = field(default_factory=dict)
     children: list = field(default_factory=list)
+    #: Of tables and drawings: their rendered lines.
+    lines: list | None = None
 
 
 # --- tokens and tree -----------------------------------------------------------------------------------------------
@@ -135,19 +143,32 @@ def build(source: str) -> Node:
     """The tree of source under one root."""
     root = Node("#root")
     stack = [root]
+    opened: Counter[str] = Counter()  # how many elements of a tag are in the stack: what isn't there isn't looked for
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(i: int) -> None:
+        """Close the i-th open element and what is open in it."""
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
 
     def close(tags, walls) -> None:
-        """Close the nearest open element of tags, with what is open in it, unless a wall stands before."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, walls) if tags is not P else None
-            if stack[i].tag in walls:
+        """Close the open elements of tags (of P the nearest one), with what is open in them, unless a wall stands before."""
+        while any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    cut(i)
+                    break
+                if stack[i].tag in walls:
+                    return
+            if tags is P:
                 return
 
     def frame() -> int:
         """The place of the table in the stack whose frame (and no cell or caption of it) is the nearest around; 0 if none."""
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, 0, -1) if opened["table"] else ():
             if stack[i].tag == "table":
                 return i
             if stack[i].tag in ("td", "th", "caption", "template"):
@@ -158,7 +179,7 @@ def build(source: str) -> Node:
         """Add child to the open element, or before the table if that is a frame of one."""
         space = isinstance(child, str) and child.isspace()
         if stack[-1].tag == "colgroup" and not space:
-            stack.pop()
+            cut(len(stack) - 1)
         if stack[-1].tag in FRAMES and not space and (i := frame()):
             stack[i - 1].children.insert(-1, child)
         else:
@@ -176,20 +197,20 @@ def build(source: str) -> Node:
                 close(*IMPLIED[tag])
             if tag in ENDS_P:
                 close(P, WALLS)
-                if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag in HEADINGS:
-                    stack.pop()
+                if tag in HEADINGS and stack[-1].tag in HEADINGS:
+                    cut(len(stack) - 1)
             if tag == "table" and (i := frame()):
-                del stack[i:]
+                cut(i)
             if tag in INSIDE and frame():
                 while stack[-1].tag not in INSIDE[tag]:
-                    stack.pop()
+                    cut(len(stack) - 1)
             if tag == "tr" and stack[-1].tag == "table":
-                stack.append(_add(stack, "tbody", {}))
+                push(_add(stack, "tbody", {}))
             elif tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 if stack[-1].tag == "table":
-                    stack.append(_add(stack, "tbody", {}))
-                stack.append(_add(stack, "tr", {}))
-            if tag in ("html", "body") and any(x.tag == tag for x in stack):
+                    push(_add(stack, "tbody", {}))
+                push(_add(stack, "tr", {}))
+            if tag in ("html", "body") and opened[tag]:
                 continue
             if stack[-1].tag in FRAMES | {"colgroup"} and tag not in IN_FRAMES:
                 put(node := Node(tag, attributes))
@@ -197,17 +218,17 @@ def build(source: str) -> Node:
                 node = _add(stack, tag, attributes)
                 if tag == "form" and stack[-1].tag in FRAMES and frame():
                     continue
-            foreign = closed and any(x.tag in ("svg", "math") for x in stack)
-            if tag not in VOID and not foreign and len(stack) < MAX_DEPTH:
-                stack.append(node)
+            foreign = closed and (opened["svg"] or opened["math"] or tag in ("svg", "math"))
+            if tag not in VOID and not foreign:
+                push(node)
         elif what == "br":
             put(Node("br"))
-        elif what == "p" and not any(x.tag == "p" for x in stack):
+        elif what == "p" and not opened["p"]:
             put(Node("p"))
-        else:
+        elif opened[what] or what in HEADINGS and any(opened[h] for h in HEADINGS):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == what or what in HEADINGS and stack[i].tag in HEADINGS:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in WALLS and what not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "template"):
                     break
@@ -308,35 +329,40 @@ def _cells(row: Node) -> list[Node]:
     return [c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
 
 
-def _rows(table: Node) -> list[Node]:
+def _rows(table: Node) -> list[tuple[Node, int]]:
+    """The rows of a table, each with the number of rows of its section from it on."""
     out = []
     for c in table.children:
         if isinstance(c, Node) and visible(c):
-            if c.tag == "tr":
-                out.append(c)
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                out += [r for r in c.children if isinstance(r, Node) and r.tag == "tr" and visible(r)]
+            rows = [c] if c.tag == "tr" else [r for r in c.children if isinstance(r, Node) and r.tag == "tr" and visible(r)] if c.tag in SECTIONS else []
+            out += [(r, len(rows) - i) for i, r in enumerate(rows)]
     return out
 
 
-def _span(cell: Node, name: str) -> int:
-    value = cell.attributes.get(name, "1").strip()
-    return max(1, min(int(value), 1000)) if value.isdigit() and len(value) < 7 else 1
+def _number(node: Node, name: str, default: int, least: int = -(2**31), most: int = 2**31 - 1) -> int:
+    """The integer that an attribute begins with, moved into the bounds; default where there is none."""
+    m = _INTEGER.match(node.attributes.get(name, ""))
+    if not m:
+        return default
+    digits = m[2].lstrip("0") or "0"
+    value = int(digits) if len(digits) < 12 else 10**12
+    return max(least, min(-value if m[1] == "-" else value, most))
 
 
 def table_lines(table: Node) -> list[str]:
     """The rows of a table with their cells in aligned columns, joined by two blanks; a cell may have several lines."""
     grid: list[list[tuple[int, int, list[str]]]] = []
     below: dict[int, int] = {}  # columns that a cell above still takes, and for how many rows
-    for row in _rows(table):
+    for row, rest in _rows(table):
         line, at, taken = [], 0, dict(below)
         for cell in _cells(row):
             while taken.get(at, 0):
                 at += 1
-            n = _span(cell, "colspan")
+            n = _number(cell, "colspan", 1, 1, COLUMNS)
             line.append((at, n, render(cell).split("\n")))
+            down = min(_number(cell, "rowspan", 1, 0, ROWS) or rest, rest)
             for k in range(at, at + n):
-                below[k] = max(below.get(k, 0), _span(cell, "rowspan"))
+                below[k] = max(below.get(k, 0), down)
             at += n
         below = {k: v - 1 for k, v in below.items() if v > 1}
         grid.append(line)
@@ -373,8 +399,26 @@ def drawn(svg: Node) -> list[Node]:
     return out
 
 
+def _prepare(root: Node) -> None:
+    """Render the tables and drawings below root from the inside out, so that none has to render another one."""
+    found, walk = [], [root]
+    while walk:
+        node = walk.pop()
+        if node is not root and not visible(node):
+            continue
+        if node.tag in ("table", "svg"):
+            found.append(node)
+        walk += [c for c in node.children if isinstance(c, Node)]
+    for node in reversed(found):  # an element is found before what is in it
+        if node.tag == "svg":
+            node.lines = [render(c) for c in drawn(node)]
+        else:
+            captions = [c for c in node.children if isinstance(c, Node) and c.tag == "caption" and visible(c)]
+            node.lines = [*map(render, captions), *table_lines(node)]
+
+
 def render(node: Node, page: Page | None = None) -> str:
-    """The visible text below node, by a walk without recursion (tables recurse by their nesting, which is bounded)."""
+    """The visible text below node, by a walk without recursion; the tables and drawings in it are rendered already."""
     page = page or Page()
     walk: list = [(node, False)]
     pre = 0
@@ -420,31 +464,25 @@ def render(node: Node, page: Page | None = None) -> str:
             continue
         if tag == "table":
             page.block(2)
-            for c in item.children:
-                if isinstance(c, Node) and c.tag == "caption" and visible(c):
-                    page.lines(render(c))
-                    page.block(1)
-            for line in table_lines(item):
+            for line in item.lines or ():
                 page.lines(line)
                 page.block(1)
             page.block(2)
             continue
         if tag == "svg":
-            for c in drawn(item):
+            for line in item.lines or ():
                 page.block(1)
-                page.inline(render(c))
+                page.inline(line)
                 page.block(1)
             continue
         if tag in BLOCKS:
             page.block(2 if tag in PARAGRAPHS and not (tag in ("ul", "ol", "menu") and lists) else 1)
         walk.append((item, True))
         if tag in ("ul", "ol", "menu", "dir"):
-            start = item.attributes.get("start", "1").strip()
-            lists.append([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+            lists.append([tag, _number(item, "start", 1)])
         elif tag == "li":
             if lists and lists[-1][0] == "ol":
-                value = item.attributes.get("value", "").strip()
-                number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else lists[-1][1]
+                number = _number(item, "value", lists[-1][1])
                 lists[-1][1] = number + 1
                 page.bullet = f"{number}. "
             else:
@@ -468,7 +506,9 @@ def render(node: Node, page: Page | None = None) -> str:
 
 
 def extract(source: str | None) -> str:
-    return render(build(source or ""))
+    root = build(source or "")
+    _prepare(root)
+    return render(root)
 
 
 def render_pages(pages: DataFrame) -> DataFrame:
@@ -477,8 +517,7 @@ def render_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
+            for part in slices(batch, "html"):
                 texts = [extract(h) for h in part.column("html").to_pylist()]
                 lines = [len([x for x in t.split("\n") if x]) for t in texts]
                 blocks = [len([x for x in re.split(r"\n{2,}", t) if x.strip()]) for t in texts]

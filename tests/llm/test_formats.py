@@ -267,3 +267,29 @@ def test_secrets_of_long_texts(spark):
         assert r["_found"] == "f"
     million = spark.createDataFrame([(1, "".join(rng.choices(letters, k=1_000_000)))], "doc_id long, text string")
     assert [(x.start, x.end) for x in secrets.scan(million).first()["all"] if x.kind == 3] == [(0, 1_000_000)]
+
+
+def test_html_of_odd_numbers():
+    assert html.extract("<table><tr><td colspan=²>x<td rowspan=٣>y</table>") == "x  y"
+    assert html.extract("<table><tr><td rowspan=0>r<td>1<tr><td>2<tr><td>3<tbody><tr><td>n<td>m</table>") == "r  1\n   2\n   3\nn  m"
+    assert html.extract("<table><tr><td rowspan=" + "9" * 9000 + ">r<td>1<tr><td>2</table>") == "r  1\n   2"
+    assert html.extract("<table><tr><td rowspan=2000>r<td>1" + "<tr><td>2" * 1500 + "</table>").count("   2") == 1500
+    assert html.extract("<ol start='7 of 9'><li>a<li value=x>b<li value=-3>c</ol>") == "7. a\n8. b\n-3. c"
+    assert html.extract("<ol start=12345678901><li>a</ol>").endswith("2147483647. a")
+    rng = random.Random(6)
+    values = ["²", "٣", "-1", "", "1e9", "0", "00012", "9" * 5000, "½", "+2"]
+    for _ in range(300):
+        names = ["colspan", "rowspan", "start", "value", "hidden", "style", "type"]
+        tags = ["table", "td", "tr", "ol", "li", "input", "div"]
+        html.extract("".join(f"<{rng.choice(tags)} {rng.choice(names)}='{rng.choice(values)}'>x" for _ in range(12)))
+
+
+def test_html_of_deep_pages():
+    """Visibility holds at any depth, and time and stack suffice."""
+    deep = "<div>" * 5000
+    assert html.extract(deep + "<p hidden>SECRET</p><script>code()</script><b style='display:none'>no</b>shown") == "shown"
+    assert html.extract("<span>" * 30_000 + "x" + "</i>" * 30_000) == "x"
+    assert html.extract("<table><tr><td>" * 3000 + "x<td>y") == "x  y"
+    assert html.extract("<ul><li>" * 700 + "x").endswith("- x")
+    assert html.extract("<svg><foreignObject>" * 900 + "x") == "x"
+    assert html.extract("<p>" + "<b>" * 20_000 + "x<p>y") == "x\n\ny"
