@@ -10,13 +10,16 @@
 5. Blocks join slots by (source, block). A block is in a pass once at most, and no source has over three passes, so no
    document gives more than three times its words.
 
-What is taken differs from the target by half a block at most, unless the source has less than a block, which is then
-taken whole or not. Everything is a function of the rows and the seed: a rerun gives the same mix.
+What is taken differs from the target by half a block at most, and by what the last block lacks, if the partial pass has it; a source of less than
+a block is taken whole or not. Everything is a function of the rows and the seed: a rerun gives the same mix.
 
 Null text has no words; a null source is a source of its own, ordered last. Documents without words are listed with
-nothing taken. Equal rows are rows of their own. An empty table gives an empty mix.
+nothing taken. Equal rows are rows of their own, and so are rows that repeat an id. Long texts are only counted. The results
+size, sid, source_size, target and start take the place of columns of those names; all others are carried along. An empty
+table gives an empty mix.
 
-Only per-source totals and the counts per shard (at most MAX_SHARDS times the number of sources) are on the driver.
+Words are counted once for the totals, in a table of ids, sources and sizes. The driver holds a row per source, and counts of
+sources for runs of shards, as many as fit in DRAWN numbers; tasks draw the counts of the shards in each run.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.shared import materialize
 from spanloom.llm.sharding import grid, permuted, row_numbers, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Shards are made larger beyond this number of shards.
-MAX_SHARDS = 16_384
+#: Counts that the driver draws; each is of a source in a run of shards.
+DRAWN = 1 << 20
 
 
 def targets(sizes: list[int], weights: list[int], most: int = 3) -> list[float]:
@@ -88,29 +93,55 @@ def plan_sources(sized: DataFrame, block: int, most: int) -> list[dict]:
     return out
 
 
-def mix(documents: DataFrame, order: list[str], block: int = 32, per_shard: int = 4096, seed: int = 7, most: int = 3) -> tuple[DataFrame, DataFrame]:
+def words_in(text: str) -> Column:
+    """The number of words of a column; a null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def draw(spark, slots: list[int], per_shard: int, seed: int) -> DataFrame:
+    """shard, sid, first and n: how many slots a shard has of a source, and the number of the first of them in its source.
+
+    The driver draws the counts of runs of shards; each run is then drawn shard by shard in a task, from what it got.
+    """
+    total, sources = sum(slots), max(1, len(slots))
+    each = max(1, math.ceil(math.ceil(total / per_shard) * sources / DRAWN))  # shards in a run
+    runs = shard_counts(slots, per_shard * each, seed)
+    firsts = np.cumsum(runs, axis=0) - runs
+    rows = [(r, n.tolist(), f.tolist()) for r, (n, f) in enumerate(zip(runs, firsts, strict=True))]
+
+    def expand(batches):
+        for batch in batches:
+            for r, n, f in zip(*(batch.column(c).to_pylist() for c in ("run", "n", "first")), strict=True):
+                counts = shard_counts(n, per_shard, [seed, r]) if each > 1 else np.array([n], dtype=np.int64)
+                begin = np.cumsum(counts, axis=0) - counts + np.array(f, dtype=np.int64)
+                m, sid = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(m + r * each), pa.array(sid.astype(np.int32)), pa.array(begin[m, sid]), pa.array(counts[m, sid])], names=["shard", "sid", "first", "n"])
+
+    runs_table = spark.createDataFrame(rows, "run long, n array<long>, first array<long>")
+    return runs_table.repartition(max(8, math.ceil(total / 500_000)), "run").mapInArrow(expand, "shard bigint, sid int, first bigint, n bigint")
+
+
+def mix(documents: DataFrame, order: list[str], block: int = 32, per_shard: int = 4096, seed: int = 7, most: int = 3, size: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with size, sid, source_size, target and start, their first word in the source's stream;
     slots: shard, sid, k, pass, block).
 
-    order: columns that order the documents; the first one is their id.
+    order: columns that order the documents; the first one is their id. size: their words, if not those of text.
     """
     spark = documents.sparkSession
-    sized = documents.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sources = plan_sources(sized, block, most)
+    carried = [c for c in documents.columns if c.lower() not in ("size", "sid", "source_size", "target", "start")]
+    sized = documents.select(*carried, (words_in("text") if size is None else size).alias("size"))
+    slim = materialize(sized.select(order[0], "source", "size"), "sizes")
+    sources = plan_sources(slim, block, most)
     schema = "source string, sid int, source_size long, target double, blocks long, slots long, a long, b long"
     table = spark.createDataFrame([tuple(s[c.split()[0]] for c in schema.split(", ")) for s in sources], schema)
     known = table.select(F.col("source").alias("_source"), "sid", "source_size", "target")
-    placed = sized.join(F.broadcast(known), sized["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    placed = row_numbers(placed, [order[0], "size", *order[1:]], "start", sum(s["rows"] for s in sources), "sid", F.col("size"))
+    named = lambda df: df.join(known, df["source"].eqNullSafe(F.col("_source"))).drop("_source")
+    placed = row_numbers(named(sized), [order[0], "size", *order[1:]], "start", sum(s["rows"] for s in sources), "sid", F.col("size"), counted=named(slim))
     total = sum(s["slots"] for s in sources)
-    per_shard = max(per_shard, math.ceil(total / MAX_SHARDS))
-    counts = shard_counts([s["slots"] for s in sources], per_shard, seed)
-    firsts = np.cumsum(counts, axis=0) - counts
-    rows = [(m, s["sid"], int(firsts[m, i]), int(counts[m, i])) for m in range(len(counts)) for i, s in enumerate(sources) if counts[m, i]]
-    drawn = spark.createDataFrame(rows, "shard int, sid int, first long, n long")
-    drawn = drawn.repartition(max(8, math.ceil(total / 500_000)), "shard", "sid")
-    slots = drawn.select("shard", "sid", F.explode(F.sequence("first", F.expr("first + n - 1"))).alias("k"))
-    slots = slots.join(F.broadcast(table.select(F.col("sid").alias("_sid"), "blocks", "a", "b")), F.col("sid") == F.col("_sid")).drop("_sid")
+    drawn = draw(spark, [s["slots"] for s in sources], per_shard, seed)
+    dealt = drawn.repartition(max(8, math.ceil(total / 500_000)), "shard", "sid")
+    slots = dealt.select("shard", "sid", F.explode(F.sequence("first", F.expr("first + n - 1"))).alias("k"))
+    slots = slots.join(table.select(F.col("sid").alias("_sid"), "blocks", "a", "b"), F.col("sid") == F.col("_sid")).drop("_sid")
     slots = slots.withColumns({"pass": whole(F.col("k"), F.col("blocks")).cast("int"), "_place": F.pmod("k", "blocks")})
     slack = max([0, *(s["slack"] for s in sources)])
     slots = slots.withColumn("block", permuted(F.col("_place"), F.col("blocks"), F.col("a"), F.col("b"), slack, [F.lit(seed), F.col("sid"), F.col("pass")]))
@@ -129,10 +160,11 @@ def taken_words(placed: DataFrame, slots: DataFrame, keys: list[str], block: int
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of all documents."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    placed, slots = mix(documents, ["doc_id"])
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sized = materialize(documents.select("doc_id", "source", words_in("text").alias("words")), "words")
+    placed, slots = mix(sized, ["doc_id"], size=F.col("words"))
     # One row per document row; rows that are equal in these columns and have words differ in start.
-    rows = placed.select("doc_id", "size", "sid", "source_size", "target", "start")
+    rows = materialize(placed.select("doc_id", "size", "sid", "source_size", "target", "start"), "placed")
     taken = taken_words(rows, slots, ["sid", "start", "size"]).withColumnsRenamed({"sid": "_s", "start": "_a", "size": "_n"})
     out = rows.join(taken, (F.col("sid") == F.col("_s")) & (F.col("start") == F.col("_a")) & (F.col("size") == F.col("_n")), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

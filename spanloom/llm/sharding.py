@@ -8,8 +8,10 @@ the table.
 Row numbers: rows are dealt to buckets by a hash of the id, numbered in each bucket, and shifted by the number of rows in
 the buckets before. No step sorts the table as a whole; a bucket has about `rows_per_bucket` rows at any size.
 
-Null ids are one id of their own; rows that are equal in all ordering columns are interchangeable. An empty table gives
-an empty result.
+Null ids are one id of their own, and rows may repeat an id, any number of them: buckets are dealt by all ordering columns, so
+that a hot id is spread as far as its rows differ. Rows that are equal in all of them are interchangeable. Texts are only
+measured, whatever their length. The results take the place of columns of their names (global_row, shard, slot); all other columns are
+carried along, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,26 +21,35 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm.shared import fresh
+
 ROUNDS = 6
 
 
-def row_numbers(df: DataFrame, order: list[str], out: str, total: int, group: str | None = None, value: Column | None = None, rows_per_bucket: int = 50_000) -> DataFrame:
+def row_numbers(df: DataFrame, order: list[str], out: str, total: int, group: str | None = None, value: Column | None = None, rows_per_bucket: int = 50_000, counted: DataFrame | None = None) -> DataFrame:
     """df with the column out: how many rows (or how much of value) stand before the row, in all or in its group.
 
-    order[0] decides the bucket; the order in a bucket is that of the columns `order`. The number depends on the rows
+    Rows are dealt to buckets by a hash of the columns `order`; the order in a bucket is that of these columns. The number depends on the rows
     alone, not on how they are partitioned. No group is taken in one task: a hot one is spread over all buckets.
+    counted: a smaller frame of the same rows to count from, if it is cheaper; rows are then dealt by the first two columns of order.
     """
     buckets = max(256, math.ceil(total / rows_per_bucket))
-    keys = [group] if group else []
     amount = F.lit(1).cast("long") if value is None else value
-    df = df.withColumns({"_bucket": F.pmod(F.xxhash64(order[0]), F.lit(buckets)), "_amount": amount})
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*keys, "_bucket").agg(F.sum("_amount").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), "_start")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn(out, F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-    on = [F.col("_bucket") == F.col("_b"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
-    joined = df.join(starts, on, "left").withColumn(out, F.col(out) + F.col("_start"))
-    return joined.drop("_bucket", "_amount", "_b", "_start", *[f"_k_{k}" for k in keys])
+    names = {k: fresh(df, k) for k in ("bucket", "amount", "b", "start", "key", "sum")}
+    bucket, amounts, b, start, key, total_ = names.values()
+    dealt_by = order if counted is None else order[:2]
+    added = {bucket: F.pmod(F.xxhash64(*dealt_by), F.lit(buckets)), amounts: amount}
+    if group:
+        added[key] = F.col(group)
+    keys = [key] if group else []
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = (df if counted is None else counted).withColumns(added).groupBy(*keys, bucket).agg(F.sum(amounts).alias(total_))
+    starts = sums.withColumn(start, F.coalesce(F.sum(total_).over(before), F.lit(0))).select(*[F.col(k).alias(f"{k}_") for k in keys], F.col(bucket).alias(b), start)
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [c for c in df.columns if c.lower() != out.lower()]
+    df = df.withColumns(added).select(*carried, *added, F.coalesce(F.sum(amounts).over(inside), F.lit(0)).alias(total_))
+    on = [F.col(bucket) == F.col(b), *[F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]]
+    return df.join(starts, on, "left").select(*carried, (F.col(total_) + F.col(start)).alias(out))
 
 
 def whole(x: Column, y: Column) -> Column:
@@ -92,10 +103,11 @@ def shard_rows(df: DataFrame, order: list[str], shards: int = 40, key: int = 20_
         raise ValueError("shards must be positive")
     n = df.select(order[0]).count()
     a, b, slack = grid(n)
-    df = row_numbers(df, order, "global_row", n)
+    place, carried = fresh(df, "place"), [c for c in df.columns if c.lower() not in ("global_row", "shard", "slot")]
+    df = row_numbers(df.select(*carried), order, "global_row", n)
     n, a, b = (F.lit(x).cast("long") for x in (n, a, b))
-    df = df.withColumn("_place", permuted(F.col("global_row"), n, a, b, slack, [F.lit(key)]))
-    return df.withColumns({"shard": F.pmod("_place", F.lit(shards)).cast("int"), "slot": whole(F.col("_place"), F.lit(shards))}).drop("_place")
+    df = df.withColumn(place, permuted(F.col("global_row"), n, a, b, slack, [F.lit(key)]))
+    return df.select(*carried, "global_row", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), whole(F.col(place), F.lit(shards)).alias("slot"))
 
 
 def describe(documents: DataFrame) -> DataFrame:

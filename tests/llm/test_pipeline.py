@@ -25,7 +25,7 @@ def test_stages(spark):
     judged = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
     assert ids[1] == Counter(r.doc_id for r in judged if r.predicted)
 
-    groups = components_of([(r.doc_id, r.text) for r in rows[1]])
+    groups = components_of([(r.doc_id, r.text) for r in rows[1]], 5, 80)  # what the task sets for near-duplicate stages
     assert sorted(ids[2]) == sorted({c for _, _, c in groups})
 
     split = lambda t: re.findall(r"[^\W_]+", t.lower())
@@ -64,3 +64,25 @@ def test_near_copies_go(spark):
     rows = [text, changed({30, 60}), text + [f"more{i}" for i in range(20)], text[:85], changed(set(range(5, 100, 10)))]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     assert sorted(r.doc_id for r in pipeline.keep_one_of_each_group(spark, docs, SF).collect()) == [0, 4]
+
+
+def test_columns_of_any_name_are_carried(spark, tmp_path):
+    """Columns called like the stages' own keep their values."""
+    from pyspark.sql import functions as F
+
+    extra = ["size", "sid", "start", "target", "shard", "slot", "_row", "_crc", "_number", "blocks", "row", "others", "pass", "keys", "id", "_"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}/"), F.col("doc_id")).alias(c) for c in extra])
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, SF), "stage")
+        assert name == "sharding" or docs.columns == before.columns
+    kept = {c: f"input_{c}" if c in ("shard", "slot") else c for c in extra}
+    out = docs.select("doc_id", *kept.values()).collect()
+    assert out and all(r[k] == f"{c}/{r.doc_id}" for r in out for c, k in kept.items())
+
+
+def test_mix_of_rows_that_repeat_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} " + "w " * i, None if i % 3 else "s") for i in range(60)] + [(None, "no id", "s"), (2, None, "s")], "doc_id long, text string, source string")
+    out = pipeline.mix_sources(spark, docs, SF)
+    assert out.columns == docs.columns and out.count() >= 60
+    assert pipeline.shard(spark, docs, SF).select("slot").distinct().count() == 2

@@ -106,3 +106,93 @@ def test_statistics_see_the_text_alone():
     both = quality.statistics(*text_bytes(pa.array(["One two. Three", "", "ÄÖ !! ## ||", "One two. Three"])))
     alone = quality.statistics(*text_bytes(pa.array(["One two. Three"])))
     assert (both[0] == alone[0]).all() and (both[3] == alone[0]).all()
+
+
+def test_shards_of_a_hot_id_and_clashing_columns(spark):
+    rows = [(7, f"text {i}", "en", "s") for i in range(500)]
+    df = docs(spark, rows).withColumns({c: F.lit(c) for c in ("_bucket", "_amount", "_place", "_b", "_start", "_sum")})
+    out = sharding.shard_rows(df, ["doc_id", "text"], 40)
+    assert {"_bucket", "_amount", "_place", "_b", "_start", "_sum"} <= set(out.columns)
+    got = out.collect()
+    assert all(r[c] == c for r in got for c in ("_bucket", "_amount", "_place", "_b", "_start", "_sum"))
+    assert sorted(r.global_row for r in got) == list(range(500)) and {r.shard for r in got} == set(range(40))
+
+
+def plain_feistel(number, n, a, b, slack, key, xxhash):
+    """The permutation by its definition, with Spark's hash as a function."""
+    for _ in range(slack + 1):
+        left, right = divmod(number, b)
+        for i in range(sharding.ROUNDS):
+            if i % 2 == 0:
+                left = (left + xxhash(right, i, key) % a) % a
+            else:
+                right = (right + xxhash(left, i, key) % b) % b
+        number = left * b + right
+        if number < n:
+            return number
+
+
+def test_shards_against_a_plain_version(spark):
+    n = 300
+    out = sharding.op5_sharding(spark, "/root/testdata/sf0.001").collect()
+    n = len(out)
+    a, b, slack = sharding.grid(n)
+    keys = spark.range(max(a, b)).crossJoin(spark.range(sharding.ROUNDS).select(F.col("id").cast("int").alias("i")))
+    table = {(r.id, r.i): r.h for r in keys.select("id", "i", F.xxhash64("id", "i", F.lit(20_24)).alias("h")).collect()}
+    place = {plain_feistel(x, n, a, b, slack, 20_24, lambda half, i, _: table[half, i]) for x in range(n)}
+    assert place == set(range(n))
+    assert {(r.shard, r.slot) for r in out} == {(p % 40, p // 40) for p in place}
+    rows = sharding.shard_rows(sharding.describe(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")), ["doc_id", "size", "text_crc32"], 40).collect()
+    for r in rows:
+        p = plain_feistel(r.global_row, n, a, b, slack, 20_24, lambda half, i, _: table[half, i])
+        assert (r.shard, r.slot) == (p % 40, p // 40)
+    assert sorted(r.global_row for r in rows) == list(range(n))
+
+
+def test_draws_of_many_shards(spark, monkeypatch):
+    """Runs of shards are drawn in tasks where there are many; sums and sizes stay exact."""
+    monkeypatch.setattr(mixing, "DRAWN", 8)
+    slots = [1000, 3, 0, 52]
+    rows = mixing.draw(spark, slots, 10, 5).collect()
+    for sid, n in enumerate(slots):
+        own = sorted((r["first"], r["n"]) for r in rows if r.sid == sid)
+        assert sum(x for _, x in own) == n
+        assert all(f == sum(x for _, x in own[:i]) for i, (f, _) in enumerate(own))
+    by = {}
+    for r in rows:
+        by[r.shard] = by.get(r.shard, 0) + r["n"]
+    assert sorted(by) == list(range(106)) and sorted(by.values())[1:] == [10] * 105
+
+
+def test_mixing_against_a_plain_version(spark):
+    """Targets and what is taken of each document, from the slots' blocks, word by word."""
+    sf = "/root/testdata/sf0.001"
+    out = mixing.op7_mixing(spark, sf).collect()
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    words = {r.doc_id: len([w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", r.text or "")]) for r in table.collect()}
+    assert {r.doc_id: r["size"] for r in out} == words
+    placed, slots = mixing.mix(table.select("doc_id", "text", "source"), ["doc_id"])
+    times = {}
+    for s in slots.collect():
+        times[s.sid, s.block] = times.get((s.sid, s.block), 0) + 1
+    rows = placed.collect()
+    taken = {r.doc_id: sum(times.get((r.sid, k // 32), 0) for k in range(r.start, r.start + r["size"])) for r in rows}
+    assert {r.doc_id: r.taken for r in out} == taken
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r["size"] for r in rows if r.source == s) for s in names]
+    weights, want, rest, open_ = [1 + i % 3 for i in range(len(names))], {}, sum(sizes), set(range(len(names)))
+    while True:
+        share = {i: rest * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        above = {i for i in open_ if share[i] > 3 * sizes[i]}
+        if not above:
+            want |= share
+            break
+        want |= {i: 3.0 * sizes[i] for i in above}
+        rest -= sum(3 * sizes[i] for i in above)
+        open_ -= above
+    for i, s in enumerate(names):
+        own = [r for r in out if r.doc_id in {x.doc_id for x in rows if x.source == s}]
+        assert own[0].source_size == sizes[i] and math.isclose(own[0].target, want[i])
+        assert abs(sum(r.taken for r in own) - want[i]) <= 48  # half a block, and what the last block lacks
+        starts = sorted((r.start, r["size"]) for r in rows if r.source == s)
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
