@@ -1,7 +1,11 @@
 """The corpus pipeline: quality, near duplicates, benchmark leaks, mixing, sharding.
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Extra columns of documents are carried along.
+one's docs. All but the last return the columns of documents. Extra columns are carried along, whatever their names; the last stage
+keeps those that are called like its results as input_global_row, input_shard and input_slot.
+
+Null and empty texts are documents like others until the mix, which takes nothing of documents without words. Rows without an id can't be
+named: they are no near copy of others and no leak. Of rows that repeat an id one is kept. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontamination, jaccard, mixing, quality, sharding
-from spanloom.llm.shared import materialize
+from spanloom.llm.shared import fresh, materialize
 
 BLOCK = 32
 #: Near copies share this percentage of their shingles of five words. (op6 alone is bound to three words and 90.)
@@ -33,8 +37,9 @@ def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = materialize(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     kept = docs.join(others, "doc_id", "left_anti")
     single = kept.join(repeated, "doc_id", "left_anti")
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return single.unionByName(again.filter("_row = 1").drop("_row")).select(docs.columns)
+    number = fresh(docs, "number")
+    again = kept.join(repeated, "doc_id", "left_semi").withColumn(number, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return single.unionByName(again.filter(F.col(number) == 1).drop(number)).select(docs.columns)
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +53,9 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Who is taken whole keeps its text; otherwise the text is the taken blocks' words. n_chars is that of the new text.
     """
-    columns = docs.columns
-    placed, slots = mixing.mix(docs, ["doc_id"], BLOCK)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    packed = docs.select("doc_id", "text", "source", F.struct(*(others or [F.lit(0).alias("none")])).alias("others"))
+    placed, slots = mixing.mix(packed, ["doc_id"], BLOCK)
     placed = materialize(placed, "placed")
     last = F.col("start") + F.col("size") - 1
     whole = lambda c: mixing.whole(c, F.lit(BLOCK))
@@ -69,14 +75,19 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     join_blocks = lambda w: F.array_join(F.flatten(F.transform("blocks", lambda b: piece(w, b))), " ")
     text = F.when(all_blocks, F.col("text")).otherwise(F.element_at(F.transform(F.array(words), join_blocks), 1))
     out = rows.withColumn("text", text)
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out).select(columns)
+    changed = {c: F.col("others").getField(c).alias(c) for c in others}
+    if "n_chars" in others:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[changed.get(c, F.col(c)) for c in docs.columns])
 
 
 def shard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns with global_row, shard and slot, in 40 shards."""
-    columns = docs.columns
-    ordered = docs.withColumn("_crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
-    return sharding.shard_rows(ordered, ["doc_id", "_crc"], 40).select(*columns, "global_row", "shard", "slot")
+    results = ("global_row", "shard", "slot")
+    docs = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c in results})
+    crc = fresh(docs, "crc")
+    ordered = docs.withColumn(crc, F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
+    return sharding.shard_rows(ordered, ["doc_id", crc], 40).select(*docs.columns, *results)
 
 
 STAGES = [
