@@ -18,8 +18,8 @@ id goes. Windows are judged on the input. Longer repeats are covered by windows
 remove nothing more; they tell how long repeats are.
 
 Null text has no words. Rows without an id are kept as they are and make nobody repeat. Rows that repeat an id are judged
-each by its own text, none of them smaller than another: a place comes back with its window's hash, and a row takes it only if its own window
-there has that hash. Windows are hashed with 64 bits on the levels that only choose candidates and with 128 on those that
+each by its own text, none of them smaller than another: their places come back with their window's hash, and a row takes one only if its own window
+there has that hash. A filter of at most FILTER_BYTES tells which ids are repeated; others that it lets through are only checked in vain. Windows are hashed with 64 bits on the levels that only choose candidates and with 128 on those that
 decide, by functions without the structure of sums of powers. Long texts are taken whole, one at a time. Columns other than doc_id and text,
 whatever their names, play no part. An empty table gives an empty result.
 """
@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import Words, materialize, mix, pack, parts_for, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
+from spanloom.llm.shared import Words, holds, key_filter, materialize, mix, pack, parts_for, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
 
 SHORTEST = 6
-_ENTRIES = "part int, direct boolean, hashes binary, seconds binary, ids binary, places binary, many binary"
+_ENTRIES = "part int, direct boolean, hashes binary, seconds binary, ids binary, places binary, many binary, again binary"
 _SURVIVORS = "home int, ids binary, places binary, checks binary, later binary"
 _PLACES = "doc_id bigint, alive binary, later binary, checks binary, later_checks binary"
 
@@ -73,13 +73,13 @@ def anchors(w: Words, short: int, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def true_places(w: Words, places: list[np.ndarray], checks: list[np.ndarray], length: int) -> np.ndarray:
-    """Of each word whether a window of length starts there that is among places, a list by document, with its hash."""
+    """Of each word whether a window of length starts there that is among places, a list by document, with its check: its hash or 0."""
     h, flag = window_hashes(w.hash, length), np.zeros(len(w.hash) + 1, dtype=bool)
     for i, (p, c) in enumerate(zip(places, checks, strict=True)):
         at = p + w.first[i]
         ok = at + length <= w.first[i + 1]
         at, c = at[ok], c[ok]
-        flag[at[h[at] == c]] = True
+        flag[at[(c == 0) | (h[at] == c)]] = True
     return flag
 
 
@@ -102,16 +102,23 @@ def _lists(batch, column: str, dtype) -> list[np.ndarray]:
     return [unpack(b, dtype) if b else np.zeros(0, dtype) for b in batch.column(column).to_pylist()]
 
 
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+
+
 def _homes(d: np.ndarray, homes: int) -> np.ndarray:
     return (mix(d.view(np.uint64), 10) % np.uint64(homes)).astype(np.int64)
 
 
-def _send(documents: DataFrame, length: int, before: int, window: int, parts: int) -> DataFrame:
-    """Entries of one level: of each batch its different windows with their smallest document, by partition of the hash."""
+def _send(documents: DataFrame, length: int, before: int, window: int, parts: int, repeated) -> DataFrame:
+    """Entries of one level: of each batch its different windows with their smallest document, by partition of the hash.
+
+    repeated: a filter of the ids that several rows have.
+    """
     given, decides = "alive" in documents.columns, length >= window
 
     def run(batches):
-        names = ["part", "direct", "hashes", "seconds", "ids", "places", "many"]
+        names = ["part", "direct", "hashes", "seconds", "ids", "places", "many", "again"]
         schema = pa.schema([("part", pa.int32()), ("direct", pa.bool_()), *((n, pa.binary()) for n in names[2:])])
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
@@ -134,6 +141,8 @@ def _send(documents: DataFrame, length: int, before: int, window: int, parts: in
             head, group = np.flatnonzero(new), np.cumsum(new) - 1
             follows = d > d[head][group]
             many = np.logical_or.reduceat(follows, head)[group]
+            again = np.zeros(len(d), dtype=bool)
+            again[holds(repeated, d.view(np.uint64))] = True
             out = {n: [] for n in names}
             # Questions go to the partition of their hash; those that follow need no answer and are spread by document.
             for direct, chosen in ((False, np.flatnonzero(~follows)), (True, np.flatnonzero(follows))):
@@ -142,8 +151,9 @@ def _send(documents: DataFrame, length: int, before: int, window: int, parts: in
                 cuts = np.searchsorted(where[by], np.arange(parts + 1))
                 for k in np.flatnonzero(np.diff(cuts)):
                     i = chosen[by[cuts[k] : cuts[k + 1]]]
+                    first = pack(np.where(again[i], h[i], np.uint64(0))) if direct else h[i].tobytes()
                     second = h2[i].tobytes() if decides and not direct else b""
-                    for n, v in zip(names, (int(k), direct, h[i].tobytes(), second, pack(d[i]), pack(p[i]), np.packbits(many[i]).tobytes()), strict=True):
+                    for n, v in zip(names, (int(k), direct, first, second, pack(d[i]), pack(p[i]), np.packbits(many[i]).tobytes(), np.packbits(again[i]).tobytes()), strict=True):
                         out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema)
 
@@ -159,37 +169,38 @@ def _repeated(entries: DataFrame, parts: int, homes: int, only_later: bool) -> D
         cuts = np.searchsorted(home[by], np.arange(homes + 1))
         for x in np.flatnonzero(np.diff(cuts)):
             i = by[cuts[x] : cuts[x + 1]]
-            yield pa.RecordBatch.from_pydict({"home": pa.array([x], pa.int32()), "ids": [pack(d[i])], "places": [pack(p[i])], "checks": [c[i].tobytes()], "later": [np.packbits(later[i]).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"home": pa.array([x], pa.int32()), "ids": [pack(d[i])], "places": [pack(p[i])], "checks": [pack(c[i])], "later": [np.packbits(later[i]).tobytes()]})
 
     def run(batches):
         asked = []
         for batch in batches:
-            for direct, h, h2, d, p, m in zip(*(batch.column(c).to_pylist() for c in ("direct", "hashes", "seconds", "ids", "places", "many")), strict=True):
-                h, h2, d, p = np.frombuffer(h, np.uint64), np.frombuffer(h2, np.uint64), unpack(d, np.int64), unpack(p, np.int32)
+            for direct, h, h2, d, p, *flags in zip(*(batch.column(c).to_pylist() for c in ("direct", "hashes", "seconds", "ids", "places", "many", "again")), strict=True):
+                d, p = unpack(d, np.int64), unpack(p, np.int32)
                 if direct:
-                    yield from survivors(d, p, h, np.ones(len(d), dtype=bool))
+                    yield from survivors(d, p, unpack(h, np.uint64), np.ones(len(d), dtype=bool))
                 else:
-                    asked.append((h, h2 if len(h2) else np.zeros(len(h), np.uint64), d, p, np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)).astype(bool)))
+                    second = np.frombuffer(h2, np.uint64) if h2 else np.zeros(len(d), np.uint64)
+                    asked.append((np.frombuffer(h, np.uint64), second, d, p, *(_bits(f, len(d)) for f in flags)))
         if not asked:
             return
-        h, h2, d, p, many = (np.concatenate(x) for x in zip(*asked, strict=True))
+        h, h2, d, p, many, again = (np.concatenate(x) for x in zip(*asked, strict=True))
         del asked
         order = np.lexsort((h2, h))
-        h, h2, d, p, many = (x[order] for x in (h, h2, d, p, many))
+        h, h2, d, p, many, again = (x[order] for x in (h, h2, d, p, many, again))
         new = np.append(True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]))
         head, group = np.flatnonzero(new), np.cumsum(new) - 1
         least = np.minimum.reduceat(d, head)
         shared = (np.maximum.reduceat(d, head) > least) | np.logical_or.reduceat(many, head)
         later = d > least[group]
         keep = later if only_later else shared[group]
-        yield from survivors(d[keep], p[keep], h[keep], later[keep])
+        yield from survivors(d[keep], p[keep], np.where(again, h, np.uint64(0))[keep], later[keep])
 
     def gather(batches):
         got = []
         for batch in batches:
             for d, p, c, later in zip(*(batch.column(n).to_pylist() for n in ("ids", "places", "checks", "later")), strict=True):
                 d = unpack(d, np.int64)
-                got.append((d, unpack(p, np.int32), np.frombuffer(c, np.uint64), np.unpackbits(np.frombuffer(later, np.uint8), count=len(d)).astype(bool)))
+                got.append((d, unpack(p, np.int32), unpack(c, np.uint64), _bits(later, len(d))))
         if not got:
             return
         d, p, c, later = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -216,11 +227,13 @@ def repeats(documents: DataFrame, window: int = 13, longest: int | None = None)
     """
     size = stored_bytes(documents)
     parts, homes = parts_for(size, 4 << 20, 16), parts_for(size, 8 << 20, 16)
+    ids = documents.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
+    repeated = key_filter(materialize(ids.filter("count > 1").select("doc_id"), "repeated"))
     rows, before, out, reached = documents, 0, None, []
     steps = levels(window, longest)
     for length in steps:
         last = length == steps[-1]
-        found = _repeated(_send(rows, length, before, window, parts), parts, homes, only_later=last and not longest)
+        found = _repeated(_send(rows, length, before, window, parts, repeated), parts, homes, only_later=last and not longest)
         if length == window:
             out = found
         if length >= window and longest:
