@@ -7,9 +7,10 @@ and may be null. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VALUE = "struct<vtype: string, s: string, b: boolean, i: bigint, f: double, t: timestamp, tz: string, j: string>"
@@ -88,9 +89,32 @@ class Store:
         return self.targets.filter(F.col("res").isNotNull() & F.col("begin").isNotNull()).select("a", "pos", "res", "ts", "begin", "end")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its lineage, by checkpoint() in spark.checkpoint.dir; that survives lost executors.
+
+    Where that is unset a folder of this machine does, if all tasks run on it.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanloom-"))
+    return df.checkpoint()
+
+
+def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the row's number from 0 in an order, by ranges: no task takes all rows. Rows that tie in the order are told apart by all their columns."""
+    total = [*order, F.xxhash64(F.to_json(F.struct(*df.columns)))]
+    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    ranges = settled(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranges.groupBy("_p").count().select("_p", before.alias("_before"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*total)) - 1
+    return ranges.withColumn("_place", place).join(F.broadcast(sizes), "_p").select(*df.columns, (F.col("_place") + F.col("_before")).alias(name))
+
+
 def intern(spans: DataFrame) -> DataFrame:
     """textselections of spans (res, begin, end): the different ones, numbered in textual order in each resource."""
-    from pyspark.sql import Window
-
     ts = (F.row_number().over(Window.partitionBy("res").orderBy("begin", "end")) - 1).cast("long")
     return spans.select("res", "begin", "end").distinct().withColumn("ts", ts).select("res", "ts", "begin", "end")

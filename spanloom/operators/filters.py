@@ -78,7 +78,7 @@ def annotations_targeted_by(store: Store, annotations: DataFrame, others: DataFr
 
 def annotations_with_text(store: Store, annotations: DataFrame, text: str, case_sensitive: bool = True, delimiter: str = " ") -> DataFrame:
     """Annotations whose joined text equals text."""
-    texts = traversals.annotation_text(store, annotations, delimiter)
+    texts = traversals.annotation_text(store, annotations, delimiter, len(text) if case_sensitive else None)
     same = F.col("text") == text if case_sensitive else F.lower("text") == text.lower()
     return in_collection(annotations, texts.filter(same), ["a"])
 
@@ -113,7 +113,22 @@ def selections_with_annotations(store: Store, spans: DataFrame, annotations: Dat
 
 def selections_with_data(store: Store, spans: DataFrame, data: DataFrame, every: bool = False) -> DataFrame:
     on = ["res", "begin", "end"]
-    return having(spans, store.spans().join(store.annotation_data, "a"), on, data, ["set", "data"], every)
+    used = store.annotation_data.join(data.select("set", "data").distinct(), ["set", "data"], "left_semi")
+    return having(spans, store.spans().join(used, "a"), on, data, ["set", "data"], every)
+
+
+def selections_with_key(store: Store, spans: DataFrame, keys: DataFrame, op: tuple | None = None) -> DataFrame:
+    """Spans annotated with data of any of keys (set, key), whose value passes op."""
+    return selections_with_data(store, spans, data_of(store, keys, op))
+
+
+def selections_with_value(store: Store, spans: DataFrame, op: tuple) -> DataFrame:
+    return selections_with_data(store, spans, data_with_value(store.data, op))
+
+
+def selections_with_set(store: Store, spans: DataFrame, sets: DataFrame) -> DataFrame:
+    """Spans annotated with data of any of sets."""
+    return selections_with_data(store, spans, in_collection(store.data, sets, ["set"]))
 
 
 def selections_with_text(store: Store, spans: DataFrame, text: str, case_sensitive: bool = True) -> DataFrame:
@@ -130,15 +145,35 @@ def selections_matching(store: Store, spans: DataFrame, regex: str) -> DataFrame
 
 def resources_with_data(store: Store, resources: DataFrame, data: DataFrame, metadata: bool = False, every: bool = False) -> DataFrame:
     """Resources annotated with data on their text, or as a whole."""
-    by = store.annotation_data.select("a", "set", "data")
+    by = store.annotation_data.select("a", "set", "data").join(data.select("set", "data").distinct(), ["set", "data"], "left_semi")
     pairs = by.join(traversals.annotation_resources(store, by, metadata, transitive=False), "a")
     return having(resources, pairs, ["res"], data, ["set", "data"], every)
 
 
+def resources_with_key(store: Store, resources: DataFrame, keys: DataFrame, op: tuple | None = None, metadata: bool = False) -> DataFrame:
+    """Resources annotated, on their text or as a whole, with data of any of keys (set, key), whose value passes op."""
+    return resources_with_data(store, resources, data_of(store, keys, op), metadata)
+
+
+def resources_with_value(store: Store, resources: DataFrame, op: tuple, metadata: bool = False) -> DataFrame:
+    return resources_with_data(store, resources, data_with_value(store.data, op), metadata)
+
+
+def resources_with_set(store: Store, resources: DataFrame, sets: DataFrame, metadata: bool = False) -> DataFrame:
+    """Resources annotated with data of any of sets."""
+    return resources_with_data(store, resources, in_collection(store.data, sets, ["set"]), metadata)
+
+
 def resources_with_annotations(store: Store, resources: DataFrame, annotations: DataFrame, metadata: bool = False) -> DataFrame:
     return in_collection(resources, traversals.annotation_resources(store, annotations, metadata, transitive=False), ["res"])
 
 
+def data_of(store: Store, keys: DataFrame, op: tuple | None = None) -> DataFrame:
+    """The data of keys whose value passes op."""
+    data = in_collection(store.data, keys, ["set", "key"])
+    return data if op is None else data_with_value(data, op)
+
+
 def data_with_value(data: DataFrame, op: tuple) -> DataFrame:
     return data.filter(test(F.col("value"), op))
 

@@ -10,21 +10,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import resolve
-from spanloom.model import ANNOTATION, COMPOSITE, DATA, DATASET, KEY, MULTI, RESOURCE, SCHEMAS, TEXT, VALUE, Store, intern
+from spanloom.model import ANNOTATION, COMPOSITE, DATA, DATASET, KEY, MULTI, RESOURCE, SCHEMAS, TEXT, VALUE, Store, intern, row_numbers, settled
 
 TARGET = "kind string, resource string, annotation string, dataset string, key string, data string, begin int, end int, mode string"
 BUILDERS = f"id string, complex string, targets array<struct<{TARGET.replace(' ', ': ').replace(',:', ',')}>>, data array<struct<id: string, set: string, key: string, value: {VALUE}>>"
+_TARGETS = f"targets array<struct<{TARGET.replace(' ', ': ').replace(',:', ',')}>>"
 DEFAULT_SET = "default-annotationset"
 
 
 def _numbered(rows: DataFrame, existing: DataFrame, handle: str, order: list[str], within: list[str] | None = None) -> DataFrame:
-    """rows with handles that follow the largest of existing (in each group)."""
+    """rows with handles that follow the largest of existing (in each group), in an order made total by all columns of a row."""
     groups = within or []
     top = existing.groupBy(*groups).agg(F.max(handle).alias("_top"))
-    n = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
     if not groups:
-        # The number of new rows of one batch; numbered by ranges so that no task takes them all would need a second pass.
-        return rows.crossJoin(F.broadcast(top)).withColumn(handle, (F.coalesce("_top", F.lit(-1)) + n).cast("long")).drop("_top")
+        numbered = row_numbers(rows, order, "_n")
+        return numbered.crossJoin(F.broadcast(top)).withColumn(handle, (F.coalesce("_top", F.lit(-1)) + 1 + F.col("_n")).cast("long")).drop("_top", "_n")  # one row
+    n = F.row_number().over(Window.partitionBy(*groups).orderBy(*order, F.xxhash64(F.to_json(F.struct(*rows.columns)))))
     return rows.join(top, groups, "left").withColumn(handle, (F.coalesce("_top", F.lit(-1)) + n).cast("long")).drop("_top")
 
 
@@ -80,11 +81,20 @@ def annotate(store: Store, builders: DataFrame) -> Store:
     if not builders.filter("targets is null or size(targets) = 0").isEmpty():
         raise ValueError("an annotation needs a target")
     rows = _numbered(builders, store.annotations, "a", ["id"]).withColumn("complex", F.when(F.size("targets") > 1, F.coalesce("complex", F.lit(COMPOSITE))))
-    rows = rows.checkpoint() if store.spark.sparkContext.getConf().get("spark.checkpoint.dir") else rows.cache()  # handles are given once
+    rows = settled(rows)  # handles are given once
     if rows.count() != rows.select(F.coalesce("id", F.col("a").cast("string"))).distinct().count() or not rows.join(store.annotations, "id", "left_semi").isEmpty():
         raise ValueError("an annotation with that id exists")
     annotations = store.annotations.unionByName(rows.select("a", "id", "complex"))
 
+    store = _with_targets(store, _resolved(store, annotations, rows))
+    d = rows.select("a", F.posexplode("data").alias("pos", "d")).select("a", "pos", F.col("d.id").alias("id"), F.col("d.set").alias("set_id"), F.col("d.key").alias("key_id"), F.col("d.value").alias("value"))
+    store, placed = insert_data(store, d)
+    data = store.annotation_data.unionByName(placed.select("a", "pos", "set", "data"))
+    return store.with_tables(annotations=annotations, annotation_data=data)
+
+
+def _resolved(store: Store, annotations: DataFrame, rows: DataFrame) -> DataFrame:
+    """Targets of rows (a, complex, targets) with handles and absolute offsets, without those of selections."""
     t = rows.select("a", "complex", F.posexplode("targets").alias("pos", "t")).select("a", "complex", "pos", "t.*")
     def named(df: DataFrame, handle: str, name: str) -> DataFrame:
         """Handles by public and by temporary ids."""
@@ -110,18 +120,18 @@ def annotate(store: Store, builders: DataFrame) -> Store:
     t = t.select("a", "complex", "pos", "kind", res.alias("res"), F.col("_span.begin").alias("begin"), F.col("_span.end").alias("end"), F.when(F.col("_spanned"), mode).alias("mode"), F.col("_a").alias("target_a"), F.col("_set").alias("set"), F.col("_key").alias("key"), F.col("_data").alias("data"))
     order = [F.when(F.col("complex").isin(MULTI, COMPOSITE), F.col("res")), F.when(F.col("complex").isin(MULTI, COMPOSITE), F.col("begin")), F.when(F.col("complex").isin(MULTI, COMPOSITE), F.col("end")), F.col("pos")]
     t = t.withColumn("pos", F.row_number().over(Window.partitionBy("a").orderBy(*order)) - 1).drop("complex")
+    return t
+
 
+def _with_targets(store: Store, t: DataFrame) -> Store:
+    """store with targets t, and their selections interned."""
     old = store.targets.drop("ts")
     every = old.unionByName(t)
     known = store.textselections
     fresh = t.filter("begin is not null").select("res", "begin", "end").distinct().join(known, ["res", "begin", "end"], "left_anti")
     selections = known.unionByName(_numbered(fresh, known, "ts", ["begin", "end"], ["res"]).select("res", "ts", "begin", "end"))
     targets = every.join(selections, ["res", "begin", "end"], "left").select(*[c.split()[0] for c in SCHEMAS["targets"].split(", ")])
-
-    d = rows.select("a", F.posexplode("data").alias("pos", "d")).select("a", "pos", F.col("d.id").alias("id"), F.col("d.set").alias("set_id"), F.col("d.key").alias("key_id"), F.col("d.value").alias("value"))
-    store, placed = insert_data(store, d)
-    data = store.annotation_data.unionByName(placed.select("a", "pos", "set", "data"))
-    return store.with_tables(annotations=annotations, targets=targets, textselections=selections, annotation_data=data)
+    return store.with_tables(targets=targets, textselections=selections)
 
 
 def remove_annotations(store: Store, annotations: DataFrame) -> Store:
@@ -130,7 +140,7 @@ def remove_annotations(store: Store, annotations: DataFrame) -> Store:
     gone = new = annotations.select("a").distinct()
     while True:
         new = edges.join(new, "a", "left_semi").select(F.col("by").alias("a")).distinct().join(gone, "a", "left_anti")
-        new = new.checkpoint() if store.spark.sparkContext.getConf().get("spark.checkpoint.dir") else new
+        new = settled(new)
         if new.isEmpty():
             break
         gone = gone.unionByName(new)
@@ -176,20 +186,37 @@ def remove_datasets(store: Store, sets: DataFrame) -> Store:
     return store.with_tables(datasets=keep(store.datasets), keys=keep(store.keys), data=keep(store.data))
 
 
-def reannotate(store: Store, a: int, data: DataFrame, replace: bool = False) -> Store:
-    """Add data (set_id, id, key_id, value) to annotation a, or put it in place of what it has."""
-    store, placed = insert_data(store, data)
-    mine = F.col("a") == a
-    kept = store.annotation_data.filter(~mine) if replace else store.annotation_data
-    have = store.annotation_data.filter(mine)
-    new = placed.select("set", "data").distinct()
-    if not replace:
-        new = new.join(have, ["set", "data"], "left_anti")
-    start = F.lit(0) if replace else None
-    top = have.agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("_top"))
-    pos = F.row_number().over(Window.orderBy("set", "data")) - 1  # the few data of one annotation
-    rows = new.crossJoin(F.broadcast(top)).select(F.lit(a).cast("long").alias("a"), (pos + (start if start is not None else F.col("_top"))).cast("int").alias("pos"), "set", "data")
-    return store.with_tables(annotation_data=kept.unionByName(rows))
+def reannotate(store: Store, a: int, data: DataFrame | None = None, replace: bool = False, targets: list[tuple] | None = None, complex: str | None = None) -> Store:
+    """Add data (set_id, id, key_id, value) to annotation a, or put it in place of what it has; targets (as in BUILDERS) replace its target."""
+    rows = store.spark.createDataFrame([(a, complex, targets)], f"a bigint, complex string, {_TARGETS}") if targets is not None else None
+    return reannotate_all(store, data.withColumn("a", F.lit(a).cast("long")) if data is not None else None, replace, rows)
+
+
+def reannotate_all(store: Store, data: DataFrame | None = None, replace: bool = False, targets: DataFrame | None = None) -> Store:
+    """Many annotations at once. data: a, set_id, id, key_id, value; targets: a, complex, targets (as in BUILDERS).
+
+    replace: data takes the place of what the annotations in it have; otherwise what they don't have yet is added.
+    """
+    if data is not None:
+        store, placed = insert_data(store, data)
+        new = placed.select("a", "set", "data").distinct()
+        have = store.annotation_data.join(new.select("a").distinct(), "a", "left_semi")
+        if not replace:
+            new = new.join(have, ["a", "set", "data"], "left_anti")
+        top = have.groupBy("a").agg((F.max("pos") + 1).alias("_top"))
+        pos = F.row_number().over(Window.partitionBy("a").orderBy("set", "data")) - 1
+        rows = new.join(top, "a", "left").select("a", (pos + (F.lit(0) if replace else F.coalesce("_top", F.lit(0)))).cast("int").alias("pos"), "set", "data")
+        kept = store.annotation_data.join(new.select("a").distinct(), "a", "left_anti").select(store.annotation_data.columns) if replace else store.annotation_data
+        store = store.with_tables(annotation_data=kept.unionByName(rows))
+    if targets is not None:
+        rows = settled(targets.select("a", F.when(F.size("targets") > 1, F.coalesce("complex", F.lit(COMPOSITE))).alias("complex"), "targets"))
+        own = rows.select("a")
+        kept = store.with_tables(targets=store.targets.join(own, "a", "left_anti").select(store.targets.columns))
+        changed = _resolved(kept, store.annotations, rows)
+        about = rows.select("a", F.col("complex").alias("_complex"))
+        annotations = store.annotations.join(about.withColumn("_changed", F.lit(True)), "a", "left").select("a", "id", F.when(F.col("_changed"), F.col("_complex")).otherwise(F.col("complex")).alias("complex"))
+        store = _with_targets(kept, changed).with_tables(annotations=annotations)
+    return store
 
 
 def strip_ids(store: Store, table: str = "annotations") -> Store:
@@ -200,10 +227,7 @@ def strip_ids(store: Store, table: str = "annotations") -> Store:
 
 def reindex(store: Store) -> Store:
     """Annotation handles without gaps, in their order. Numbers are given by ranges of handles, not in one task."""
-    ranges = store.annotations.repartitionByRange(max(1, store.spark.sparkContext.defaultParallelism), "a").select("a", F.spark_partition_id().alias("_p")).cache()
-    sizes = ranges.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = F.row_number().over(Window.partitionBy("_p").orderBy("a")) - 1
-    new = ranges.withColumn("_n", n).join(F.broadcast(sizes), "_p").select("a", (F.col("_n") + F.col("_before")).alias("_new"))
+    new = settled(row_numbers(store.annotations.select("a"), ["a"], "_new").withColumn("_new", F.col("_new").cast("long")))
     move = lambda df, c="a": df.join(new.withColumnRenamed("a", c), c, "left").withColumn(c, F.col("_new")).drop("_new").select(df.columns)
     return store.with_tables(annotations=move(store.annotations), targets=move(move(store.targets), "target_a"), annotation_data=move(store.annotation_data))
 

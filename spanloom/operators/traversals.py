@@ -11,27 +11,24 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.spans import text_of
 from spanloom.functions.values import test
-from spanloom.model import ANNOTATION, DATA, DATASET, KEY, RESOURCE, ROOT, TEXT, Store
+from spanloom.model import ANNOTATION, DATA, DATASET, KEY, RESOURCE, ROOT, TEXT, Store, settled
 
 
-def closure(store: Store, annotations: DataFrame, limit: int = 64) -> DataFrame:
+def closure(store: Store, annotations: DataFrame) -> DataFrame:
     """(a, target_a): annotations and those that they target, directly or through others, without themselves unless in a ring.
 
-    Each round follows the newest pairs one step; it ends when nothing is new. Pairs are cut from their lineage by
-    checkpoint() where a folder for it is set.
+    Each round joins what is known with itself, so that chains of any length take as many rounds as their length has
+    binary digits; it ends when nothing is new.
     """
-    edges = store.targets.filter(F.col("target_a").isNotNull()).select("a", "target_a").distinct()
-    found = new = annotations.select("a").distinct().join(edges, "a")
-    kept = bool(store.spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-    for _ in range(limit):
-        further = new.select(F.col("a").alias("_a"), F.col("target_a").alias("a")).join(edges, "a").select(F.col("_a").alias("a"), "target_a")
-        new = further.distinct().join(found, ["a", "target_a"], "left_anti")
-        if kept:
-            new = new.checkpoint()
-        if new.isEmpty():
-            return found
-        found = found.unionByName(new)
-    raise RuntimeError(f"annotations target each other over more than {limit} steps")
+    reach = settled(store.targets.filter(F.col("target_a").isNotNull()).select("a", "target_a").distinct())
+    known = reach.count()
+    while known:
+        further = reach.join(reach.select(F.col("a").alias("target_a"), F.col("target_a").alias("_next")), "target_a").select("a", F.col("_next").alias("target_a"))
+        reach = settled(reach.unionByName(further).distinct())
+        before, known = known, reach.count()
+        if known == before:
+            break
+    return reach.join(annotations.select("a").distinct(), "a", "left_semi")
 
 
 def annotation_targets(store: Store, annotations: DataFrame, transitive: bool = False) -> DataFrame:
@@ -69,18 +66,49 @@ def annotation_selections(store: Store, annotations: DataFrame) -> DataFrame:
     return store.spans().join(annotations.select("a").distinct(), "a", "left_semi")
 
 
+#: Texts are cut to pieces of so many code points, each with the beginning of the next one.
+PIECE, OVERLAP = 2048, 1024
+
+
+def text_pieces(store: Store) -> DataFrame:
+    """res, _piece (from 0) and _text: PIECE code points of a text and OVERLAP more."""
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    pieces = store.resources.select("res", cut.alias("_all")).select("res", F.posexplode(F.transform("_all", lambda p, i: F.concat(p, F.coalesce(F.left(F.get("_all", i + 1), F.lit(OVERLAP)), F.lit("")))).alias("_texts")))
+    return pieces.select("res", F.col("pos").alias("_piece"), F.col("col").alias("_text"))
+
+
 def selection_text(store: Store, spans: DataFrame) -> DataFrame:
-    """spans with text. Texts are joined by resource, and only what is cut out goes on."""
-    return spans.join(store.resources.select("res", F.col("text").alias("_text")), "res").withColumn("text", text_of(F.col("_text"), F.col("begin"), F.col("end"))).drop("_text")
+    """spans with text. Spans meet the piece of the text that they begin in, so that their cost does not grow with the text.
+
+    Only spans longer than the overlap are cut from whole texts.
+    """
+    at = F.call_function("div", F.col("begin"), F.lit(PIECE)).cast("int")
+    short = spans.filter((F.col("end") - F.col("begin") <= OVERLAP) & (F.col("end") > F.col("begin"))).withColumn("_piece", at)
+    cut = short.join(text_pieces(store), ["res", "_piece"]).withColumn("text", text_of(F.col("_text"), F.col("begin") - F.col("_piece") * PIECE, F.col("end") - F.col("_piece") * PIECE))
+    long = spans.filter(F.col("end") - F.col("begin") > OVERLAP).join(store.resources.select("res", F.col("text").alias("_text")), "res")
+    whole = long.withColumn("text", text_of(F.col("_text"), F.col("begin"), F.col("end")))
+    empty = spans.filter(F.col("end") <= F.col("begin")).withColumn("text", F.lit(""))
+    columns = [*spans.columns, "text"]
+    return cut.select(columns).unionByName(whole.select(columns)).unionByName(empty.select(columns))
 
 
-def annotation_text(store: Store, annotations: DataFrame, delimiter: str | None = None) -> DataFrame:
-    """a, text: of annotations with text. With a delimiter all spans' texts joined in order; without, of those with one span only."""
-    texts = selection_text(store, annotation_selections(store, annotations))
+def annotation_text(store: Store, annotations: DataFrame, delimiter: str | None = None, length: int | None = None) -> DataFrame:
+    """a, text: of annotations with text. With a delimiter all spans' texts joined in order; without, of those with one span only.
+
+    length: only texts of so many code points are wanted.
+    """
+    spans = annotation_selections(store, annotations)
+    # Nearly all annotations have one span; only those with further ones are gathered.
+    several = store.spans().filter("pos > 0").select("a").distinct()
+    single = spans.join(several, "a", "left_anti")
+    if length is not None:
+        single = single.filter(F.col("end") - F.col("begin") == length)
+    one = selection_text(store, single).select("a", "text")
+    texts = selection_text(store, spans.join(several, "a", "left_semi"))
+    parts = texts.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
     if delimiter is None:
-        return texts.groupBy("a").agg(F.count("*").alias("n"), F.first("text").alias("text")).filter("n = 1").select("a", "text")
-    parts = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return texts.groupBy("a").agg(F.array_join(F.transform(parts, lambda x: x["text"]), delimiter).alias("text"))
+        parts = parts.filter(F.size("parts") == 1)
+    return one.unionByName(parts.select("a", F.array_join(F.transform("parts", lambda x: x["text"]), delimiter or "").alias("text")))
 
 
 def annotation_data(store: Store, annotations: DataFrame, metadata: bool = False) -> DataFrame:
@@ -105,9 +133,12 @@ def selection_annotations(store: Store, spans: DataFrame) -> DataFrame:
 
 
 def resource_annotations(store: Store, resources: DataFrame, metadata: bool = False) -> DataFrame:
-    """res, a: annotations on the text of resources, or about them as a whole."""
-    pairs = store.targets.filter(F.col("kind") == RESOURCE).select("res", "a") if metadata else store.spans().select("res", "a")
-    return pairs.distinct().join(resources.select("res").distinct(), "res", "left_semi")
+    """res, a: annotations on the text of resources, or about them as a whole. Only annotations with several targets can repeat."""
+    pairs = store.targets.filter(F.col("kind") == RESOURCE).select("res", "a", "pos") if metadata else store.spans().select("res", "a", "pos")
+    pairs = pairs.join(resources.select("res").distinct(), "res", "left_semi")
+    several = store.targets.filter("pos > 0").select("a").distinct()
+    once, again = pairs.join(several, "a", "left_anti"), pairs.join(several, "a", "left_semi")
+    return once.select("res", "a").unionByName(again.select("res", "a").distinct())
 
 
 def resource_selections(store: Store, resources: DataFrame) -> DataFrame:
