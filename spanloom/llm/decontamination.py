@@ -4,15 +4,15 @@
 2. The n-grams are pairs of words, next to each other or with one word between them: (w[i], w[i+1]) and (w[i], w[i+2]) start
    at i. A pair agrees whatever stands between, so words that were put in, left out or replaced don't hide it.
 3. One pass over the texts counts in how many documents each n-gram of the benchmark stands. An item's seeds are the n-grams of
-   its rare starts: all starts without the need - 1 most common ones.
+   its rare starts: all starts without the need - m most common ones, m being SEEDS, or need if that is less.
 4. A second pass finds the seeds in the texts, and a join on the seed gives pairs of documents and items with the places
-   where they meet. Each pair is a candidate, whatever else it shares.
+   where they meet. Each pair with the seeds of m starts is a candidate, whatever else it shares.
 5. Passages around these places that hold enough of the item's words are aligned with it word by word (match 2, mismatch -1,
    gap -1, local); a score of at least `threshold` of a full match is contamination.
 
 No such passage is missed. If m words match and edits cost e, 2 m - e is at least 2 t L (t the threshold, L the item's words). Of
 the m - 1 neighbours among the matches, those that are no n-gram on one side or the other cost 2 or more each: at most e / 2 <= m - t L.
-So at least need = ceil(t L) - 1 of the item's starts are in the passage, and without the need - 1 most common ones one is left. An
+So at least need = ceil(t L) - 1 of the item's starts are in the passage, and without the need - m most common ones m are left. An
 item that many documents copy keeps its seeds, because they are chosen by rank and not by a cut-off. Where one word is
 enough (t L <= 1), single words are the seeds. An alignment reaches over (3 - 2 t) L words at most, which bounds the passage.
 
@@ -39,6 +39,8 @@ from spanloom.llm.shared import FILTER_BYTES, holds, join_hashes, key_filter, ma
 from spanloom.llm.sharding import row_numbers
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Rare starts that a candidate shares with its item.
+SEEDS = 3
 #: Alignments that one task makes.
 ALIGNMENTS = 2000
 
@@ -120,20 +122,22 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def item_grams(items: DataFrame, threshold: float) -> DataFrame:
-    """no, start, gram and keep (how many starts are seeds) of all n-grams of all items."""
+    """no, start, gram, keep (how many starts are seeds) and least (how many of them a candidate shares) of all n-grams of all items."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for no, body in zip(batch.column("no").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 words = np.frombuffer(body, np.uint64)
                 need = needed(len(words), threshold)
                 at, h = pairs_of(words, np.zeros(len(words), np.int64)) if need else (np.arange(len(words)), mix(words, 52))
-                for column, v in zip(out, (np.full(len(at), no), at, h.view(np.int64), np.full(len(at), len(words) - need if need else len(words))), strict=True):
+                least = max(1, min(need, SEEDS))
+                keep = len(words) - 1 - (need - least) if need else len(words)
+                for column, v in zip(out, (np.full(len(at), no), at, h.view(np.int64), np.full(len(at), keep), np.full(len(at), least)), strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in out], names=["no", "start", "gram", "keep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in out], names=["no", "start", "gram", "keep", "least"])
 
-    return items.select("no", "words").mapInArrow(run, "no bigint, start bigint, gram bigint, keep bigint")
+    return items.select("no", "words").mapInArrow(run, "no bigint, start bigint, gram bigint, keep bigint, least bigint")
 
 
 def _schema(documents: DataFrame, *columns: str) -> StructType:
@@ -162,11 +166,11 @@ def frequencies(documents: DataFrame, marks: list[np.ndarray], singles: bool) ->
 
 
 def rare_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """gram and no of the n-grams of each item's rare starts."""
+    """gram, no, start and least of the n-grams of each item's rare starts."""
     known = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    starts = known.groupBy("no", "start", "keep").agg(F.max("n").alias("n"), F.collect_list("gram").alias("grams"))
+    starts = known.groupBy("no", "start", "keep", "least").agg(F.max("n").alias("n"), F.collect_list("gram").alias("grams"))
     rank = F.row_number().over(Window.partitionBy("no").orderBy("n", "start"))
-    return starts.withColumn("rank", rank).filter("rank <= keep").select("no", F.explode("grams").alias("gram")).distinct()
+    return starts.withColumn("rank", rank).filter("rank <= keep").select("no", "start", "least", F.explode("grams").alias("gram")).distinct()
 
 
 def seed_hits(documents: DataFrame, marks: list[np.ndarray], singles: bool) -> DataFrame:
@@ -207,7 +211,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     counts = materialize(frequencies(documents, key_filter(grams.select("gram").distinct(), most_bytes=block_bytes), singles), "frequencies")
     seeds = materialize(rare_seeds(grams, counts), "seeds")
     hits = seed_hits(documents, key_filter(seeds.select("gram").distinct(), most_bytes=block_bytes), singles).join(seeds, "gram")
-    places = materialize(hits.groupBy("doc_id", "no").agg(F.collect_list("at").alias("places")), "places")
+    shared = hits.groupBy("doc_id", "no", "least").agg(F.collect_set("start").alias("starts"), F.collect_set("at").alias("places"))
+    places = materialize(shared.filter(F.size("starts") >= F.col("least")).select("doc_id", "no", "places"), "places")
     chosen = places.select(F.xxhash64("doc_id").alias("key")).distinct()
     texts = words_by_document(documents, key_filter(chosen, 16, 1, block_bytes))
     pairs = texts.join(places, "doc_id").join(items.select("no", F.col("words").alias("test")), "no")
