@@ -6,7 +6,7 @@
 3. One pass over the texts counts in how many documents each n-gram of the benchmark stands. An item's seeds are the n-grams of
    its rare starts: all starts without the need - m most common ones, m being SEEDS, or need if that is less.
 4. A second pass finds the seeds in the texts, and a join on the seed gives pairs of documents and items with the places
-   where they meet. Each pair with the seeds of m starts is a candidate, whatever else it shares.
+   where they meet. Each pair with the seeds of m starts as near each other as an alignment reaches is a candidate, whatever else it shares.
 5. Passages around these places that hold enough of the item's words are aligned with it word by word (match 2, mismatch -1,
    gap -1, local); a score of at least `threshold` of a full match is contamination.
 
@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from spanloom.llm.shared import FILTER_BYTES, holds, join_hashes, key_filter, materialize, mix, parts_for, slices, text_bytes, words_of
 from spanloom.llm.sharding import row_numbers
@@ -87,22 +87,34 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(count, np.bincount(at[words[at] == b], minlength=len(words))).sum())
 
 
-def best_passage(test: np.ndarray, words: np.ndarray, places: np.ndarray, threshold: float) -> tuple[float, int]:
-    """The best score of a passage of words around places as a share of a full match, and its first word; (0, 0) below threshold."""
-    full, reach = MATCH * len(test), math.ceil((3 - 2 * threshold) * len(test)) + 2
-    places = np.sort(places[places < len(words)])
-    if not len(places):
+def span_of(length: int, threshold: float) -> int:
+    """The most words of a text that an alignment of the threshold's score with an item of so many words reaches over."""
+    return math.ceil((3 - 2 * threshold) * length) + 2
+
+
+def passages_of(at: np.ndarray, start: np.ndarray, span: int, least: int) -> tuple[list[int], list[int]]:
+    """(first words, ends) of the passages around places at which least different starts meet the item within a span."""
+    order = np.argsort(at, kind="stable")
+    at, start = at[order], start[order]
+    low, high = [], []
+    for i, j in enumerate(np.searchsorted(at, at + span, side="right")):
+        if len(np.unique(start[i:j])) >= least:
+            a, b = max(0, int(at[i]) - span), int(at[i]) + 2 * span + 1
+            if high and a <= high[-1]:
+                high[-1] = b
+            else:
+                low.append(a)
+                high.append(b)
+    return low, high
+
+
+def best_score(test: np.ndarray, words: np.ndarray, threshold: float) -> tuple[float, int]:
+    """The best score in words as a share of a full match, and where it begins; (0, 0) below threshold."""
+    if common_words(test, words) < threshold * len(test) - 1e-9:
         return 0.0, 0
-    new = np.append(True, places[1:] - reach > places[:-1] + reach)
-    first, best = np.flatnonzero(new), (0.0, 0)
-    for a, b in zip(places[first], places[np.append(first[1:], len(places)) - 1], strict=True):
-        low, high = max(0, int(a) - reach), int(b) + reach + 1
-        if common_words(test, words[low:high]) < threshold * len(test) - 1e-9:
-            continue
-        score, end = align(test, words[low:high])
-        if score >= threshold * full - 1e-9 and score / full > best[0]:
-            best = score / full, low + max(0, end - len(test))
-    return best
+    score, end = align(test, words)
+    full = MATCH * len(test)
+    return (score / full, max(0, end - len(test))) if score >= threshold * full - 1e-9 else (0.0, 0)
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
@@ -122,22 +134,22 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def item_grams(items: DataFrame, threshold: float) -> DataFrame:
-    """no, start, gram, keep (how many starts are seeds) and least (how many of them a candidate shares) of all n-grams of all items."""
+    """no, start, gram, keep (how many starts are seeds), least (how many of them a candidate shares) and span of all n-grams of all items."""
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[] for _ in range(6)]
             for no, body in zip(batch.column("no").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 words = np.frombuffer(body, np.uint64)
                 need = needed(len(words), threshold)
                 at, h = pairs_of(words, np.zeros(len(words), np.int64)) if need else (np.arange(len(words)), mix(words, 52))
                 least = max(1, min(need, SEEDS))
                 keep = len(words) - 1 - (need - least) if need else len(words)
-                for column, v in zip(out, (np.full(len(at), no), at, h.view(np.int64), np.full(len(at), keep), np.full(len(at), least)), strict=True):
+                for column, v in zip(out, (np.full(len(at), no), at, h.view(np.int64), np.full(len(at), keep), np.full(len(at), least), np.full(len(at), span_of(len(words), threshold))), strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in out], names=["no", "start", "gram", "keep", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in out], names=["no", "start", "gram", "keep", "least", "span"])
 
-    return items.select("no", "words").mapInArrow(run, "no bigint, start bigint, gram bigint, keep bigint, least bigint")
+    return items.select("no", "words").mapInArrow(run, "no bigint, start bigint, gram bigint, keep bigint, least bigint, span bigint")
 
 
 def _schema(documents: DataFrame, *columns: str) -> StructType:
@@ -166,11 +178,11 @@ def frequencies(documents: DataFrame, marks: list[np.ndarray], singles: bool) ->
 
 
 def rare_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """gram, no, start and least of the n-grams of each item's rare starts."""
+    """gram, no, start, least and span of the n-grams of each item's rare starts."""
     known = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    starts = known.groupBy("no", "start", "keep", "least").agg(F.max("n").alias("n"), F.collect_list("gram").alias("grams"))
+    starts = known.groupBy("no", "start", "keep", "least", "span").agg(F.max("n").alias("n"), F.collect_list("gram").alias("grams"))
     rank = F.row_number().over(Window.partitionBy("no").orderBy("n", "start"))
-    return starts.withColumn("rank", rank).filter("rank <= keep").select("no", "start", "least", F.explode("grams").alias("gram")).distinct()
+    return starts.withColumn("rank", rank).filter("rank <= keep").select("no", "start", "least", "span", F.explode("grams").alias("gram")).distinct()
 
 
 def seed_hits(documents: DataFrame, marks: list[np.ndarray], singles: bool) -> DataFrame:
@@ -202,6 +214,42 @@ def words_by_document(documents: DataFrame, marks: list[np.ndarray]) -> DataFram
     return documents.select("doc_id", "text", F.xxhash64("doc_id").alias("_key")).mapInArrow(run, _schema(documents, "words binary"))
 
 
+def near_seeds(shared: DataFrame) -> DataFrame:
+    """doc_id, no, lows, highs (passages) and seeds (hits) of pairs with enough starts near each other."""
+
+    def run(batches):
+        for batch in batches:
+            lows, highs, seeds = [], [], []
+            for hits, span, least in zip(*(batch.column(c).to_pylist() for c in ("hits", "span", "least")), strict=True):
+                low, high = passages_of(np.array([h["at"] for h in hits], np.int64), np.array([h["start"] for h in hits], np.int64), span, least)
+                lows.append(low)
+                highs.append(high)
+                seeds.append(len(hits))
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("no"), pa.array(lows, pa.list_(pa.int64())), pa.array(highs, pa.list_(pa.int64())), pa.array(seeds, pa.int32())], names=["doc_id", "no", "lows", "highs", "seeds"])
+            yield out.filter(pa.array([bool(x) for x in lows], pa.bool_()))
+
+    schema = shared.select("doc_id", "no").schema.add("lows", ArrayType(LongType())).add("highs", ArrayType(LongType())).add("seeds", "integer")
+    return shared.select("doc_id", "no", "hits", "span", "least").mapInArrow(run, schema)
+
+
+def cut_passages(found: DataFrame) -> DataFrame:
+    """doc_id, no, seeds, low and words: the passages of documents' words, without the rest of the text."""
+
+    def run(batches):
+        for batch in batches:
+            row, low, words = [], [], []
+            for i, (body, lows, highs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("words", "lows", "highs")), strict=True)):
+                for a, b in zip(lows, highs, strict=True):
+                    if part := body[8 * a : 8 * b]:
+                        row.append(i)
+                        low.append(a)
+                        words.append(part)
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "no", "seeds")), pa.array(low, pa.int64()), pa.array(words, pa.binary())], names=["doc_id", "no", "seeds", "low", "words"])
+
+    return found.select("doc_id", "no", "seeds", "lows", "highs", "words").mapInArrow(run, found.select("doc_id", "no", "seeds").schema.add("low", "long").add("words", "binary"))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, item_id, score (share of a full match), start_word and shared_seeds of the best passage; a row per pair."""
     documents = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
@@ -211,24 +259,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     counts = materialize(frequencies(documents, key_filter(grams.select("gram").distinct(), most_bytes=block_bytes), singles), "frequencies")
     seeds = materialize(rare_seeds(grams, counts), "seeds")
     hits = seed_hits(documents, key_filter(seeds.select("gram").distinct(), most_bytes=block_bytes), singles).join(seeds, "gram")
-    shared = hits.groupBy("doc_id", "no", "least").agg(F.collect_set("start").alias("starts"), F.collect_set("at").alias("places"))
-    places = materialize(shared.filter(F.size("starts") >= F.col("least")).select("doc_id", "no", "places"), "places")
+    shared = hits.groupBy("doc_id", "no", "least", "span").agg(F.collect_set("start").alias("starts"), F.collect_list(F.struct("at", "start")).alias("hits"))
+    places = materialize(near_seeds(shared.filter(F.size("starts") >= F.col("least"))), "places")
     chosen = places.select(F.xxhash64("doc_id").alias("key")).distinct()
     texts = words_by_document(documents, key_filter(chosen, 16, 1, block_bytes))
-    pairs = texts.join(places, "doc_id").join(items.select("no", F.col("words").alias("test")), "no")
+    passages = materialize(cut_passages(texts.join(places, "doc_id")), "passages")
+    pairs = passages.join(items.select("no", F.col("words").alias("test")), "no")
 
     def run(batches):
         for batch in batches:
-            score, start, seeds_ = [], [], []
-            for body, test, at in zip(*(batch.column(c).to_pylist() for c in ("words", "test", "places")), strict=True):
-                s, a = best_passage(np.frombuffer(test, np.uint64), np.frombuffer(body, np.uint64), np.array(at, np.int64), threshold)
+            score, start = [], []
+            for body, test, low in zip(*(batch.column(c).to_pylist() for c in ("words", "test", "low")), strict=True):
+                s, a = best_score(np.frombuffer(test, np.uint64), np.frombuffer(body, np.uint64), threshold)
                 score.append(s)
-                start.append(a)
-                seeds_.append(len(at))
-            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("no"), pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(seeds_, pa.int32())], names=["doc_id", "no", "score", "start_word", "shared_seeds"])
+                start.append(low + a)
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("no"), pa.array(score, pa.float64()), pa.array(start, pa.int64()), batch.column("seeds")], names=["doc_id", "no", "score", "start_word", "shared_seeds"])
             yield out.filter(pa.array(np.array(score) > 0, pa.bool_()))
 
-    dealt = pairs.select("doc_id", "no", "words", "test", "places").repartition(parts_for(places.count(), ALIGNMENTS, 8), "doc_id", "no")
+    dealt = pairs.select("doc_id", "no", "low", "seeds", "words", "test").repartition(parts_for(passages.count(), ALIGNMENTS, 8), "doc_id", "no", "low")
     scored = dealt.mapInArrow(run, _schema(documents, "no long", "score double", "start_word long", "shared_seeds integer"))
     best = scored.join(items.select("no", "item_id"), "no").groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("start"), "shared_seeds")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", (-F.col("b.start")).alias("start_word"), "b.shared_seeds")
