@@ -94,15 +94,24 @@ def settled(df: DataFrame) -> DataFrame:
 
     Where that is unset a folder of this machine does, if all tasks run on it.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, also set for checkpoints."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.spanloom.folder", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spanloom-")
+        spark.conf.set("spark.spanloom.folder", folder)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with the row's number from 0 in an order, by ranges: no task takes all rows. Rows that tie in the order are told apart by all their columns."""
     total = [*order, F.xxhash64(F.to_json(F.struct(*df.columns)))]

@@ -37,11 +37,18 @@ def register(name: str, sql: str | None = None, line: bool = False, word: bool =
     return keep
 
 
+def _all() -> None:
+    """Have the other modules' queries registered too."""
+    from spanloom.plans import graph_catalogue  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 

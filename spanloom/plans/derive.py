@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import _pieces
 from spanloom.model import RESOURCE, SCHEMAS, TEXT, Store, intern, value
+from spanloom.sources.stores import stored_once
 
 BASE, KIND = 1 << 34, 1 << 32
 LINE, WORD, LABEL, ORIGIN = range(4)
@@ -52,7 +53,11 @@ def metadata(spark: SparkSession, sf_dir: str) -> Store:
 
 
 def corpus(spark: SparkSession, sf_dir: str, layers: bool = True) -> Store:
-    """The store of documents: lines and words (key type), labels and origins as metadata."""
+    """The store of documents: lines and words (key type), labels and origins as metadata. Written once a session, clustered by resource."""
+    return stored_once(spark, "corpus" if layers else "metadata", sf_dir, lambda: build(spark, sf_dir, layers))
+
+
+def build(spark: SparkSession, sf_dir: str, layers: bool = True) -> Store:
     res = resources(spark, sf_dir)
     spans = {LINE: pieces(res, r"\n", LINE), WORD: pieces(res, r"[ \n]", WORD)} if layers else {}
     labels = read(spark, sf_dir, "labels").select((F.col("doc_id") * BASE + LABEL * KIND).alias("a"), F.col("doc_id").alias("res"), F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))

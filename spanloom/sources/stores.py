@@ -6,13 +6,15 @@ are exchange formats whose files are read by Spark with fixed schemas; included
 
 from __future__ import annotations
 
+import atexit
 import posixpath
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import display
-from spanloom.model import SCHEMAS, VALUE, Store, value
+from spanloom.model import SCHEMAS, VALUE, Store, shared_folder, value
 from spanloom.operators import mutations
 from spanloom.operators.extensions import web_annotations
 
@@ -33,6 +35,28 @@ def save_parquet(store: Store, path: str) -> None:
         clustered.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def stored_once(spark: SparkSession, name: str, source: str, make) -> Store:
+    """The store that make() gives for a source, written as Parquet in the shared folder on first use in a session and read from there."""
+    known = _STORED.setdefault(spark.sparkContext.applicationId, {})
+    if (name, source) not in known:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        save_parquet(make(), path)
+        atexit.register(_remove, spark, path)
+        known[name, source] = path
+    return load_parquet(spark, known[name, source])
+
+
+_STORED: dict[str, dict[tuple[str, str], str]] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
+
+
 def load_parquet(spark: SparkSession, path: str) -> Store:
     return Store(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()})
 
@@ -79,10 +103,23 @@ def _beside(path: str, name: str) -> str:
 
 
 def load_json(spark: SparkSession, path: str, store: Store | None = None) -> Store:
-    """A store from a JSON file and what it includes, merged into store if that is given."""
+    """A store from a JSON file and what it includes, or from a directory that save_json has written, merged into store if that is given."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return _from_json(spark, _read_lines(spark, path), path, store or Store.empty(spark))
     return _from_json(spark, _read_json(spark, path, JSON), path, store or Store.empty(spark))
 
 
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The items of save_json's lines, each as a document of its own, so that any number of tasks reads them."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("line"))
+    kind = F.regexp_extract("line", r'^\{"@type":"(\w+)"', 1)
+    field = F.when(kind == "TextResource", "resources").when(kind == "AnnotationDataSet", "annotationsets").when(kind == "Annotation", "annotations")
+    items = lines.withColumn("field", field).filter("field is not null")
+    whole = F.concat(F.lit('{"'), F.col("field"), F.lit('":['), F.col("line"), F.lit("]}"))
+    return items.select(F.from_json(whole, JSON).alias("j")).select("j.*")
+
+
 def load_json_text(spark: SparkSession, text: str, store: Store | None = None) -> Store:
     rows = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", JSON).alias("j")).select("j.*")
     return _from_json(spark, rows, "", store or Store.empty(spark))
@@ -140,9 +177,11 @@ def json_annotations(store: Store) -> DataFrame:
     t = store.targets.join(named(store.resources, "res", "rid"), F.col("res") == F.col("_res"), "left").join(named(store.annotations, "a", "aid"), F.col("target_a") == F.col("_a"), "left").join(named(store.datasets, "set", "sid"), F.col("set") == F.col("_set"), "left")
     t = t.join(store.keys.select(F.col("set").alias("_ks"), F.col("key").alias("_kk"), F.col("id").alias("kid")), (F.col("set") == F.col("_ks")) & (F.col("key") == F.col("_kk")), "left")
     t = t.join(store.data.select(F.col("set").alias("_ds"), F.col("data").alias("_dd"), F.col("id").alias("xid")), (F.col("set") == F.col("_ds")) & (F.col("data") == F.col("_dd")), "left")
-    offset = F.when((F.col("begin").isNotNull()) & (F.col("kind") == "TextSelector"), F.format_string(',"offset":{"@type":"Offset","begin":{"@type":"BeginAlignedCursor","value":%s},"end":{"@type":"BeginAlignedCursor","value":%s}}', F.col("begin").cast("string"), F.col("end").cast("string"))).otherwise(F.lit(""))
+    # Spans on annotations are stored absolute; they are written relative to the target's only span, as they are read.
+    base = store.spans().groupBy("a").agg(F.count("*").alias("_n"), F.first("begin").alias("_base")).filter("_n = 1").select(F.col("a").alias("_ta"), "_base")
+    t = t.join(base, F.col("target_a") == F.col("_ta"), "left").withColumns({c: F.col(c) - F.coalesce("_base", F.lit(0)) for c in ("begin", "end")})
+    offset = F.when(F.col("begin").isNotNull(), F.format_string(',"offset":{"@type":"Offset","begin":{"@type":"BeginAlignedCursor","value":%s},"end":{"@type":"BeginAlignedCursor","value":%s}}', F.col("begin").cast("string"), F.col("end").cast("string"))).otherwise(F.lit(""))
     field = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f',"{name}":'), quoted(c))).otherwise(F.lit(""))
-    # Spans on annotations are stored absolute; they are written as spans of the resource when they have one.
     selector = F.concat(F.lit('{"@type":"'), F.col("kind"), F.lit('"'), field("resource", F.when(F.col("kind").isin("TextSelector", "ResourceSelector"), F.col("rid"))), field("annotation", F.col("aid")), field("dataset", F.col("sid")), field("key", F.col("kid")), field("data", F.col("xid")), offset, F.lit("}"))
     targets = t.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", selector.alias("j")))), lambda x: x["j"]).alias("ts"))
     rows = store.annotations.join(targets, "a").join(datas, "a", "left")
@@ -152,7 +191,7 @@ def json_annotations(store: Store) -> DataFrame:
 
 
 def save_json(store: Store, path: str, id: str = "store") -> None:
-    """One JSON document as the lines of a directory of part files in order; concatenated they are the document.
+    """One JSON document as the lines of a directory of part files in order; concatenated they are the document, and load_json reads the directory.
 
     Each item is a line, so that no task holds more than a line.
     """
