@@ -22,11 +22,11 @@ VALIDATION = "text-validation"
 
 
 def sides(store: Store, pivots: DataFrame) -> DataFrame:
-    """pivot, side, seq, res, begin, end of pivots (a)."""
+    """pivot, side, seq, res, begin, end of pivots (a), and whether the side is an annotation (complex)."""
     own = store.targets.join(pivots.select("a").distinct(), "a", "left_semi")
-    simple = own.filter("target_a is null and begin is not null").select(F.col("a").alias("pivot"), F.col("pos").alias("side"), F.lit(0).alias("seq"), "res", "begin", "end")
+    simple = own.filter("target_a is null and begin is not null").select(F.col("a").alias("pivot"), F.col("pos").alias("side"), F.lit(0).alias("seq"), "res", "begin", "end", F.lit(False).alias("complex"))
     members = own.filter("target_a is not null").select(F.col("a").alias("pivot"), F.col("pos").alias("side"), F.col("target_a").alias("a"))
-    complex_ = members.join(store.spans(), "a").select("pivot", "side", F.col("pos").alias("seq"), "res", "begin", "end")
+    complex_ = members.join(store.spans(), "a").select("pivot", "side", F.col("pos").alias("seq"), "res", "begin", "end", F.lit(True).alias("complex"))
     return simple.unionByName(complex_)
 
 
@@ -55,8 +55,7 @@ def translate(store: Store, spans: DataFrame, pivots: DataFrame, merge: bool = F
     A span has to be tiled by whole segments of one side; segments of no width count at its begin or end. merge: adjacent
     segments of the result are joined to one.
     """
-    seg = sides(store, pivots)
-    seg = seg.join(seg.groupBy("pivot", "side").agg(F.count("*").alias("n")).filter("n > 1").select("pivot", "side"), ["pivot", "side"], "left_semi")
+    seg = sides(store, pivots).filter("complex").drop("complex")
     inside = join_related(spans.select("res", "begin", "end", "key", "pos"), seg.select("res", "begin", "end", "pivot", "side", "seq"), "embeds")
     parts = inside.select("key", "pos", F.col("r_pivot").alias("pivot"), F.col("r_side").alias("source_side"), F.col("r_seq").alias("seq"), (F.col("r_end") - F.col("r_begin")).alias("width"))
     wanted = spans.groupBy("key").agg(F.sum(F.col("end") - F.col("begin")).alias("wanted"))

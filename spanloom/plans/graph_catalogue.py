@@ -11,8 +11,8 @@ from spanloom.functions import text as texts
 from spanloom.functions import values as v
 from spanloom.functions.spans import Offset, Relation, resolve
 from spanloom.functions.values import test
-from spanloom.model import Store, value
-from spanloom.operators import collections, extensions, filters, mutations, related, scans, traversals
+from spanloom.model import Store, settled, value
+from spanloom.operators import alignment, collections, extensions, filters, mutations, related, scans, traversals
 from spanloom.plans import catalogue, compiler, graph
 
 GERMAN, TOXIC, GOOD = ("meta", "lang", v.equals("de")), ("labels", "toxic", v.equals(1)), ("labels", "quality", v.equals(1))
@@ -373,3 +373,43 @@ on_graph("ext_validate_changed", "SELECT a, a // 16 % 2 = 0 OR text = upper(text
 on_graph("ext_validation_counts", "SELECT (SELECT count(*) FROM x) AS valid, 0 AS invalid, (SELECT count(*) FROM g_a WHERE a % 16 = 8) AS missing", _TEXTS)(lambda g: extensions.validation_counts(_protected(g, "auto"), of_kind(g, 0, 4, 8)))
 on_graph("ext_validation_info", "SELECT a, text, sha1(NULL) AS checksum, '|' AS delimiter FROM x", _TEXTS)(lambda g: extensions.validation_info(_protected(g, "text")).select("a", "text", "checksum", "delimiter"))
 on_graph("ext_is_iri", "SELECT * FROM (VALUES ('http://x/y', true), ('urn:a:b', true), ('plain', false), ('http://x y', false)) v(id, iri)")(lambda g: g.spark.createDataFrame([("http://x/y",), ("urn:a:b",), ("plain",), ("http://x y",)], "id string").select("id", extensions.is_iri(F.col("id")).alias("iri")))
+
+
+def _aligned(g: Store) -> Store:
+    """The graph with pivots between each document d and the next: s/d from its first ten code points to the next one's [10, 20), and c/d over both annotations of kind 4."""
+    s = lambda x=None: F.lit(x).cast("string")
+    n = lambda x=None: F.lit(x).cast("int")
+
+    def leaf(kind, resource, annotation, begin, end):
+        return F.struct(s(kind).alias("kind"), resource.alias("resource"), annotation.alias("annotation"), s().alias("dataset"), s().alias("key"), s().alias("data"), n(begin).alias("begin"), n(end).alias("end"), s("BeginBegin" if end else None).alias("mode"))
+
+    pairs = g.resources.select("res", "textlen").join(g.resources.select((F.col("res") - 1).alias("res"), F.col("textlen").alias("next")), "res").filter("textlen >= 10 and next >= 20")
+    doc, kind4 = (lambda k: F.concat(F.lit("doc"), (F.col("res") + k).cast("string"))), (lambda k: F.concat(F.lit("k4/"), (F.col("res") + k).cast("string")))
+    kinds = {"s": [leaf("TextSelector", doc(0), s(), 0, 10), leaf("TextSelector", doc(1), s(), 10, 20)], "c": [leaf("AnnotationSelector", s(), kind4(0), None, None), leaf("AnnotationSelector", s(), kind4(1), None, None)]}
+    data = F.array().cast(alignment._DATA)
+    rows = [pairs.select(F.concat(F.lit(f"{k}/"), F.col("res").cast("string")).alias("id"), s("DirectionalSelector").alias("complex"), F.array(*leaves).alias("targets"), data.alias("data")) for k, leaves in kinds.items()]
+    c = mutations.annotate(g, graph._union(rows))
+    return c.with_tables(annotations=settled(c.annotations), targets=settled(c.targets))
+
+
+def _new_targets(g: Store, kind: str, config: alignment.Config, *of: int) -> DataFrame:
+    c = _aligned(g)
+    out = alignment.map_annotations(c, of_kind(g, *of), c.annotations.filter(F.col("id").startswith(f"{kind}/")).select("a"), config)
+    return out.select("id", "complex", F.size("data").alias("n_data"), F.posexplode("targets").alias("pos", "t")).select("id", "complex", "n_data", "pos", "t.resource", "t.annotation", "t.begin", "t.end")
+
+
+_PIVOTS = "piv AS (SELECT x.d, y.d AS e FROM g_doc x JOIN g_doc y ON y.d = x.d + 1 WHERE x.n >= 10 AND y.n >= 20)"
+#: Rows of an annotation on one side, with one span, and of the new pivot over both.
+_NEW = """SELECT name || '-' || pivot || '-' || (1 - side) || '-mapped' AS id, NULL AS complex, n_data, 0 AS pos, 'doc' || doc AS resource, NULL AS annotation, b AS begin, f AS "end" FROM m
+UNION ALL SELECT name || '-' || pivot || '-mapping', 'DirectionalSelector', 1, side, NULL, name, NULL, NULL FROM m
+UNION ALL SELECT name || '-' || pivot || '-mapping', 'DirectionalSelector', 1, 1 - side, NULL, name || '-' || pivot || '-' || (1 - side) || '-mapped', NULL, NULL FROM m"""
+on_graph("ext_transpose", _NEW, f"""{_PIVOTS}, m AS (
+SELECT 'k2/' || d AS name, 's/' || d AS pivot, 0 AS side, e AS doc, 10 AS b, 15 AS f, (SELECT count(*) FROM g_ad WHERE g_ad.a = d * 16 + 2) AS n_data FROM piv
+UNION ALL SELECT 'k9/' || e, 's/' || d, 1, d, 0, 10, (SELECT count(*) FROM g_ad WHERE g_ad.a = e * 16 + 9) FROM piv)""")(lambda g: _new_targets(g, "s", alignment.TransposeConfig(), 2, 9))
+on_graph("ext_transpose_simple", """SELECT name || '-' || pivot || '-mapping' AS id, 'DirectionalSelector' AS complex, 1 AS n_data, pos, 'doc' || doc AS resource, NULL AS annotation, b AS begin, f AS "end" FROM (
+SELECT 'k2/' || d AS name, 's/' || d AS pivot, 0 AS pos, d AS doc, 0 AS b, 5 AS f FROM piv UNION ALL SELECT 'k2/' || d, 's/' || d, 1, e, 10, 15 FROM piv)""", _PIVOTS)(lambda g: _new_targets(g, "s", alignment.TransposeConfig(allow_simple=True), 2))
+on_graph("ext_translate", """SELECT name || '-' || pivot || '-' || (1 - side) || '-mapped' AS id, 'DirectionalSelector' AS complex, n_data, pos, 'doc' || doc AS resource, NULL AS annotation, 6 * pos AS begin, 4 + 6 * pos AS "end" FROM m, (VALUES (0), (1)) v(pos)
+UNION ALL SELECT name || '-' || pivot || '-mapping', 'DirectionalSelector', 1, side, NULL, name, NULL, NULL FROM m
+UNION ALL SELECT name || '-' || pivot || '-mapping', 'DirectionalSelector', 1, 1 - side, NULL, name || '-' || pivot || '-' || (1 - side) || '-mapped', NULL, NULL FROM m""", f"""{_PIVOTS}, m AS (
+SELECT 'k4/' || d AS name, 'c/' || d AS pivot, 0 AS side, e AS doc, (SELECT count(*) FROM g_ad WHERE g_ad.a = d * 16 + 4) AS n_data FROM piv
+UNION ALL SELECT 'k4/' || e, 'c/' || d, 1, d, (SELECT count(*) FROM g_ad WHERE g_ad.a = e * 16 + 4) FROM piv)""")(lambda g: _new_targets(g, "c", alignment.TranslateConfig(), 4))
