@@ -120,6 +120,11 @@ def validation_counts(store: Store, annotations: DataFrame, vocabulary: str = VA
     return validate(store, annotations, vocabulary).agg(F.count_if(v).alias("valid"), F.count_if(~v).alias("invalid"), F.count_if(v.isNull()).alias("missing"))
 
 
+def validation_ok(store: Store, annotations: DataFrame, vocabulary: str = VALIDATION) -> DataFrame:
+    """ok: nothing is invalid and nothing is missing; ok_maybe_incomplete: nothing is invalid."""
+    return validation_counts(store, annotations, vocabulary).select(((F.col("invalid") == 0) & (F.col("missing") == 0)).alias("ok"), (F.col("invalid") == 0).alias("ok_maybe_incomplete"))
+
+
 def is_iri(c: Column) -> Column:
     return c.rlike(r"^(?:https?|file|urn|_):") & ~c.rlike(r"[\s<>\"{}|\\^`]")
 

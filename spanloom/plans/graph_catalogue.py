@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import ids
 from spanloom.functions import text as texts
 from spanloom.functions import values as v
 from spanloom.functions.spans import Offset, Relation, resolve
@@ -413,3 +414,11 @@ UNION ALL SELECT name || '-' || via || '-mapping', 'DirectionalSelector', 1, sid
 UNION ALL SELECT name || '-' || via || '-mapping', 'DirectionalSelector', 1, 1 - side, NULL, name || '-' || via || '-' || (1 - side) || '-mapped', NULL, NULL FROM m""", f"""{_PIVOTS}, m AS (
 SELECT 'k4/' || d AS name, 'c/' || d AS via, 0 AS side, e AS doc, (SELECT count(*) FROM g_ad WHERE g_ad.a = d * 16 + 4) AS n_data FROM piv
 UNION ALL SELECT 'k4/' || e, 'c/' || d, 1, d, (SELECT count(*) FROM g_ad WHERE g_ad.a = e * 16 + 4) FROM piv)""")(lambda g: _new_targets(g, "c", alignment.TranslateConfig(), 4))
+
+on_graph("ext_validation_ok", "SELECT false AS ok, true AS ok_maybe_incomplete")(lambda g: extensions.validation_ok(_protected(g, "auto"), of_kind(g, 0, 4, 8)))
+
+# --- ids -----------------------------------------------------------------------------------------------------------
+
+_OLD = F.concat(F.col("id"), F.when(F.col("res") % 3 == 0, F.lit("")).when(F.col("res") % 3 == 1, F.concat(F.lit("/v"), F.col("res").cast("string"))).otherwise(F.lit("-vx")))
+on_graph("id_regenerate", "SELECT res, id || CASE res % 3 WHEN 0 THEN '/v2' WHEN 1 THEN '/v' || (res + 1) ELSE '-vx/v2' END AS version, 'p-' || id AS prefixed, id || '-s' AS suffixed, 'new' AS replaced FROM g_r")(lambda g: g.resources.select("res", ids.regenerated(_OLD).alias("version"), ids.regenerated(F.col("id"), "prefix=p-").alias("prefixed"), ids.regenerated(F.col("id"), "suffix=-s").alias("suffixed"), ids.regenerated(F.col("id"), "replace=new").alias("replaced")))
+on_graph("id_generate", "SELECT count(*) AS n, count(*) AS different, 25 AS width FROM g_a")(lambda g: g.annotations.select(ids.generated(F.col("a"), prefix="x-", suffix="-y").alias("id")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"), F.max(F.length("id")).cast("int").alias("width")))
