@@ -419,6 +419,11 @@ on_graph("ext_validation_ok", "SELECT false AS ok, true AS ok_maybe_incomplete")
 
 # --- ids -----------------------------------------------------------------------------------------------------------
 
-_OLD = F.concat(F.col("id"), F.when(F.col("res") % 3 == 0, F.lit("")).when(F.col("res") % 3 == 1, F.concat(F.lit("/v"), F.col("res").cast("string"))).otherwise(F.lit("-vx")))
-on_graph("id_regenerate", "SELECT res, id || CASE res % 3 WHEN 0 THEN '/v2' WHEN 1 THEN '/v' || (res + 1) ELSE '-vx/v2' END AS version, 'p-' || id AS prefixed, id || '-s' AS suffixed, 'new' AS replaced FROM g_r")(lambda g: g.resources.select("res", ids.regenerated(_OLD).alias("version"), ids.regenerated(F.col("id"), "prefix=p-").alias("prefixed"), ids.regenerated(F.col("id"), "suffix=-s").alias("suffixed"), ids.regenerated(F.col("id"), "replace=new").alias("replaced")))
+
+def _old():
+    """Ids of texts with no version, with a version, and with what looks like one. No column: the catalogue is read without a session."""
+    return F.concat(F.col("id"), F.when(F.col("res") % 3 == 0, F.lit("")).when(F.col("res") % 3 == 1, F.concat(F.lit("/v"), F.col("res").cast("string"))).otherwise(F.lit("-vx")))
+
+
+on_graph("id_regenerate", "SELECT res, id || CASE res % 3 WHEN 0 THEN '/v2' WHEN 1 THEN '/v' || (res + 1) ELSE '-vx/v2' END AS version, 'p-' || id AS prefixed, id || '-s' AS suffixed, 'new' AS replaced FROM g_r")(lambda g: g.resources.select("res", ids.regenerated(_old()).alias("version"), ids.regenerated(F.col("id"), "prefix=p-").alias("prefixed"), ids.regenerated(F.col("id"), "suffix=-s").alias("suffixed"), ids.regenerated(F.col("id"), "replace=new").alias("replaced")))
 on_graph("id_generate", "SELECT count(*) AS n, count(*) AS different, 25 AS width FROM g_a")(lambda g: g.annotations.select(ids.generated(F.col("a"), prefix="x-", suffix="-y").alias("id")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"), F.max(F.length("id")).cast("int").alias("width")))
