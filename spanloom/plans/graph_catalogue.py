@@ -393,7 +393,7 @@ def _aligned(g: Store) -> Store:
     return c.with_tables(annotations=settled(c.annotations), targets=settled(c.targets))
 
 
-def _new_targets(g: Store, kind: str, config: alignment.Config, *of: int) -> DataFrame:
+def _mapped(g: Store, kind: str, config: alignment.Config, *of: int) -> DataFrame:
     c = _aligned(g)
     out = alignment.map_annotations(c, of_kind(g, *of), c.annotations.filter(F.col("id").startswith(f"{kind}/")).select("a"), config)
     return out.select("id", "complex", F.size("data").alias("n_data"), F.posexplode("targets").alias("pos", "t")).select("id", "complex", "n_data", "pos", "t.resource", "t.annotation", "t.begin", "t.end")
@@ -406,14 +406,14 @@ UNION ALL SELECT name || '-' || via || '-mapping', 'DirectionalSelector', 1, sid
 UNION ALL SELECT name || '-' || via || '-mapping', 'DirectionalSelector', 1, 1 - side, NULL, name || '-' || via || '-' || (1 - side) || '-mapped', NULL, NULL FROM m"""
 on_graph("ext_transpose", _NEW, f"""{_PIVOTS}, m AS (
 SELECT 'k2/' || d AS name, 's/' || d AS via, 0 AS side, e AS doc, 10 AS b, 15 AS f, (SELECT count(*) FROM g_ad WHERE g_ad.a = d * 16 + 2) AS n_data FROM piv
-UNION ALL SELECT 'k9/' || e, 's/' || d, 1, d, 0, 10, (SELECT count(*) FROM g_ad WHERE g_ad.a = e * 16 + 9) FROM piv)""")(lambda g: _new_targets(g, "s", alignment.TransposeConfig(), 2, 9))
+UNION ALL SELECT 'k9/' || e, 's/' || d, 1, d, 0, 10, (SELECT count(*) FROM g_ad WHERE g_ad.a = e * 16 + 9) FROM piv)""")(lambda g: _mapped(g, "s", alignment.TransposeConfig(), 2, 9))
 on_graph("ext_transpose_simple", """SELECT name || '-' || via || '-mapping' AS id, 'DirectionalSelector' AS complex, 1 AS n_data, pos, 'doc' || doc AS resource, NULL AS annotation, b AS begin, f AS "end" FROM (
-SELECT 'k2/' || d AS name, 's/' || d AS via, 0 AS pos, d AS doc, 0 AS b, 5 AS f FROM piv UNION ALL SELECT 'k2/' || d, 's/' || d, 1, e, 10, 15 FROM piv)""", _PIVOTS)(lambda g: _new_targets(g, "s", alignment.TransposeConfig(allow_simple=True), 2))
+SELECT 'k2/' || d AS name, 's/' || d AS via, 0 AS pos, d AS doc, 0 AS b, 5 AS f FROM piv UNION ALL SELECT 'k2/' || d, 's/' || d, 1, e, 10, 15 FROM piv)""", _PIVOTS)(lambda g: _mapped(g, "s", alignment.TransposeConfig(allow_simple=True), 2))
 on_graph("ext_translate", """SELECT name || '-' || via || '-' || (1 - side) || '-mapped' AS id, 'DirectionalSelector' AS complex, n_data, pos, 'doc' || doc AS resource, NULL AS annotation, 6 * pos AS begin, 4 + 6 * pos AS "end" FROM m, (VALUES (0), (1)) v(pos)
 UNION ALL SELECT name || '-' || via || '-mapping', 'DirectionalSelector', 1, side, NULL, name, NULL, NULL FROM m
 UNION ALL SELECT name || '-' || via || '-mapping', 'DirectionalSelector', 1, 1 - side, NULL, name || '-' || via || '-' || (1 - side) || '-mapped', NULL, NULL FROM m""", f"""{_PIVOTS}, m AS (
 SELECT 'k4/' || d AS name, 'c/' || d AS via, 0 AS side, e AS doc, (SELECT count(*) FROM g_ad WHERE g_ad.a = d * 16 + 4) AS n_data FROM piv
-UNION ALL SELECT 'k4/' || e, 'c/' || d, 1, d, (SELECT count(*) FROM g_ad WHERE g_ad.a = e * 16 + 4) FROM piv)""")(lambda g: _new_targets(g, "c", alignment.TranslateConfig(), 4))
+UNION ALL SELECT 'k4/' || e, 'c/' || d, 1, d, (SELECT count(*) FROM g_ad WHERE g_ad.a = e * 16 + 4) FROM piv)""")(lambda g: _mapped(g, "c", alignment.TranslateConfig(), 4))
 
 on_graph("ext_validation_ok", "SELECT false AS ok, true AS ok_maybe_incomplete")(lambda g: extensions.validation_ok(_protected(g, "auto"), of_kind(g, 0, 4, 8)))
 

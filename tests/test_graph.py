@@ -1,12 +1,16 @@
 """The graph of documents and labels: queries against DuckDB, long chains, long texts, round trips."""
 
+import ast
+import inspect
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.model import SCHEMAS, Store
 from spanloom.operators import traversals
-from spanloom.plans import catalogue
+from spanloom.plans import catalogue, graph_catalogue
 from spanloom.sources import stores
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +54,9 @@ def test_json_lines_are_items(spark, tmp_path):
     assert len(rows) == 4
     assert sorted(x["@id"] for r in rows for x in r["annotations"] or []) == ["x", "y"]
     assert [x["text"] for r in rows for x in r["resources"] or []] == ["some text"]
+
+
+def test_helpers_are_defined_once():
+    """Queries call helpers when they run: a second one of the same name would take the first one's place."""
+    names = Counter(x.name for x in ast.parse(inspect.getsource(graph_catalogue)).body if isinstance(x, ast.FunctionDef))
+    assert [n for n, c in names.items() if c > 1] == []
