@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontamination, jaccard, mixing, quality, sharding
-from spanloom.llm.shared import fresh, materialize
+from spanloom.llm.shared import fresh, materialize, scratch
 
 BLOCK = 32
 #: Near copies share this percentage of their shingles of five words. (op6 alone is bound to three words and 90.)
@@ -31,10 +31,11 @@ def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id stay; documents without words are in no group.
     """
-    found = jaccard.join_components(docs.select("doc_id", "text"), SHINGLE, LIKE)
-    others = materialize(found.filter("component_id != doc_id").select("doc_id").distinct(), "others")
-    # Rows that repeat an id: known by their ids alone, so that no text is sorted where there are none.
-    repeated = materialize(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    with scratch(spark):
+        found = jaccard.join_components(docs.select("doc_id", "text"), SHINGLE, LIKE)
+        others = materialize(found.filter("component_id != doc_id").select("doc_id").distinct(), "others", lasting=True)
+        # Rows that repeat an id: known by their ids alone, so that no text is sorted where there are none.
+        repeated = materialize(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated", lasting=True)
     kept = docs.join(others, "doc_id", "left_anti")
     single = kept.join(repeated, "doc_id", "left_anti")
     number = fresh(docs, "number")
@@ -44,8 +45,10 @@ def keep_one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    pairs = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(materialize(pairs.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+    with scratch(spark):
+        pairs = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        leaks = materialize(pairs.select("doc_id").distinct(), "leaks", lasting=True)
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,12 +32,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and return the table: the lineage is cut and survives lost executors."""
+#: While a table is written or pieces are collected: shuffle files go when that is done and not when the driver's garbage happens to be collected.
+_CONFIGURED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Paths of the tables of each scratch() that is open.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def sparing(spark: SparkSession):
+    """What runs inside spares disk and memory; the session's settings are restored."""
+    before = {k: spark.conf.get(k, None) for k in _CONFIGURED}
+    for k, v in _CONFIGURED.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """The tables that materialize() writes inside go at the end, but for lasting ones. Nothing lazy may be left that reads the others."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
+def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and return the table: the lineage is cut and survives lost executors.
+
+    lasting: the table outlives the innermost scratch() and is one of the next outer one's.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with sparing(spark):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    if len(_open) > lasting:
+        _open[-1 - lasting].append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table
@@ -247,7 +284,8 @@ def merge_pieces(pieces: DataFrame, length: int, how) -> np.ndarray:
         if merged:
             yield pa.RecordBatch.from_pydict({"piece": pa.array(list(merged), pa.int32()), "body": pa.array([v.tobytes() for v in merged.values()], pa.binary())})
 
-    rows = pieces.repartition(max(1, min(length * 4 // _PIECE, 16)), "piece").mapInArrow(run, "piece int, body binary").collect()
+    with sparing(pieces.sparkSession):
+        rows = pieces.repartition(max(1, min(length * 4 // _PIECE, 16)), "piece").mapInArrow(run, "piece int, body binary").collect()
     return np.concatenate([np.frombuffer(r["body"], np.int32) for r in sorted(rows, key=lambda r: r["piece"])]) if rows else np.zeros(length, np.int32)
 
 
