@@ -1,9 +1,12 @@
-"""What the operators leave on disk."""
+"""What the operators leave on disk, and how much reaches Python at once."""
 
 import glob
 import os
 import time
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from spanloom.llm.shared import materialize, scratch, shared_dir
 
@@ -47,3 +50,9 @@ def test_scratch(spark):
         assert sorted(t.split("-")[0] for t in tables(spark) - before) == ["handed", "outer"]
         stays = materialize(spark.range(3), "stays", lasting=True)
     assert stays.count() == 3 and [t.split("-")[0] for t in tables(spark) - before] == ["stays"]
+
+
+def test_batches_end_at_bytes(spark):
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"b": [b.nbytes]}) for b in batches)
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    assert max(r.b for r in materialize(long.mapInArrow(sizes, "b long"), "sizes").collect()) < 10 << 20
