@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from spanloom.llm.shared import FILTER_BYTES, holds, join_hashes, key_filter, materialize, mix, parts_for, slices, text_bytes, words_of
+from spanloom.llm.shared import FILTER_BYTES, holds, join_hashes, key_filter, lean, materialize, mix, parts_for, slices, text_bytes, words_of
 from spanloom.llm.sharding import row_numbers
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -130,7 +130,7 @@ def item_table(benchmark: DataFrame) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([part.column("no"), part.column("item_id"), pa.array(bodies, pa.binary())], names=["no", "item_id", "words"])
                 yield out.filter(pa.array(np.diff(w.first) > 0))
 
-    return materialize(numbered.mapInArrow(cut, numbered.select("no", "item_id").schema.add("words", "binary")), "words")
+    return materialize(numbered.mapInArrow(lean(cut), numbered.select("no", "item_id").schema.add("words", "binary")), "words")
 
 
 def item_grams(items: DataFrame, threshold: float) -> DataFrame:
@@ -149,7 +149,7 @@ def item_grams(items: DataFrame, threshold: float) -> DataFrame:
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]).astype(np.int64)) for c in out], names=["no", "start", "gram", "keep", "least", "span"])
 
-    return items.select("no", "words").mapInArrow(run, "no bigint, start bigint, gram bigint, keep bigint, least bigint, span bigint")
+    return items.select("no", "words").mapInArrow(lean(run), "no bigint, start bigint, gram bigint, keep bigint, least bigint, span bigint")
 
 
 def _schema(documents: DataFrame, *columns: str) -> StructType:
@@ -174,7 +174,7 @@ def frequencies(documents: DataFrame, marks: list[np.ndarray], singles: bool) ->
             grams, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
-    return documents.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(lean(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def rare_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def seed_hits(documents: DataFrame, marks: list[np.ndarray], singles: bool) -> D
                 doc = w.doc[at[ok]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(h[ok].view(np.int64)), pa.array((at[ok] - w.first[doc]).astype(np.int32))], names=["doc_id", "gram", "at"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, _schema(documents, "gram long", "at integer"))
+    return documents.select("doc_id", "text").mapInArrow(lean(run), _schema(documents, "gram long", "at integer"))
 
 
 def words_by_document(documents: DataFrame, marks: list[np.ndarray]) -> DataFrame:
@@ -211,7 +211,7 @@ def words_by_document(documents: DataFrame, marks: list[np.ndarray]) -> DataFram
                 bodies = [w.hash[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bodies, pa.binary())], names=["doc_id", "words"])
 
-    return documents.select("doc_id", "text", F.xxhash64("doc_id").alias("_key")).mapInArrow(run, _schema(documents, "words binary"))
+    return documents.select("doc_id", "text", F.xxhash64("doc_id").alias("_key")).mapInArrow(lean(run), _schema(documents, "words binary"))
 
 
 def near_seeds(shared: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def near_seeds(shared: DataFrame) -> DataFrame:
             yield out.filter(pa.array([bool(x) for x in lows], pa.bool_()))
 
     schema = shared.select("doc_id", "no").schema.add("lows", ArrayType(LongType())).add("highs", ArrayType(LongType())).add("seeds", "integer")
-    return shared.select("doc_id", "no", "hits", "span", "least").mapInArrow(run, schema)
+    return shared.select("doc_id", "no", "hits", "span", "least").mapInArrow(lean(run), schema)
 
 
 def cut_passages(found: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def cut_passages(found: DataFrame) -> DataFrame:
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_id", "no", "seeds")), pa.array(low, pa.int64()), pa.array(words, pa.binary())], names=["doc_id", "no", "seeds", "low", "words"])
 
-    return found.select("doc_id", "no", "seeds", "lows", "highs", "words").mapInArrow(run, found.select("doc_id", "no", "seeds").schema.add("low", "long").add("words", "binary"))
+    return found.select("doc_id", "no", "seeds", "lows", "highs", "words").mapInArrow(lean(run), found.select("doc_id", "no", "seeds").schema.add("low", "long").add("words", "binary"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -277,7 +277,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
             yield out.filter(pa.array(np.array(score) > 0, pa.bool_()))
 
     dealt = pairs.select("doc_id", "no", "low", "seeds", "words", "test").repartition(parts_for(passages.count(), ALIGNMENTS, 8), "doc_id", "no", "low")
-    scored = dealt.mapInArrow(run, _schema(documents, "no long", "score double", "start_word long", "shared_seeds integer"))
+    scored = dealt.mapInArrow(lean(run), _schema(documents, "no long", "score double", "start_word long", "shared_seeds integer"))
     best = scored.join(items.select("no", "item_id"), "no").groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("start"), "shared_seeds")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", (-F.col("b.start")).alias("start_word"), "b.shared_seeds")
 

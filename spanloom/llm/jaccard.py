@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.sharding import row_numbers
-from spanloom.llm.shared import discard, holds, key_filter, materialize, merge_pieces, mix, pack, parts_for, pieces_of, scratch, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
+from spanloom.llm.shared import discard, holds, key_filter, lean, materialize, merge_pieces, mix, pack, parts_for, pieces_of, scratch, slices, stored_bytes, text_bytes, unpack, window_hashes, words_of
 
 #: Numbers of counters, as powers of two, and the bytes of stored data for each.
 LEAST_COUNTERS, MOST_COUNTERS, COUNTED_BYTES = 20, 24, 4096
@@ -103,7 +103,7 @@ def rarity(frame: DataFrame, hashes, counters: int) -> np.ndarray:
                 counts += np.bincount(h & np.uint64(counters - 1), minlength=counters)
         yield pieces_of(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
-    counts = merge_pieces(frame.mapInArrow(run, "piece int, body binary"), counters, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
+    counts = merge_pieces(frame.mapInArrow(lean(run), "piece int, body binary"), counters, lambda a, b: np.minimum(a.astype(np.int64) + b, 2**31 - 1).astype(np.int32))
     return np.ceil(np.log2(counts.astype(float) + 1)).astype(np.uint8)
 
 
@@ -150,7 +150,7 @@ def describe_sets(documents: DataFrame, k: int, percent: int, levels: np.ndarray
                     names=["doc_id", "n", "f1", "f2", "prefix", "keys"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, f1 bigint, f2 bigint, prefix binary, keys array<bigint>")
+    return documents.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, n int, f1 bigint, f2 bigint, prefix binary, keys array<bigint>")
 
 
 # --- candidates ----------------------------------------------------------------------------------------------------
@@ -217,8 +217,8 @@ def index_pairs(sets: DataFrame, parts: int, percent: int, levels: np.ndarray |
         for i in range(0, len(seen), 50_000):
             yield pa.RecordBatch.from_pydict({"a": seen["a"][i : i + 50_000].copy(), "b": seen["b"][i : i + 50_000].copy()})
 
-    posted = sets.select("id", "comp", "fam", "n", "prefix").mapInArrow(post, "part int, token binary, ids binary, comps binary, fams binary, sizes binary, places binary, sides binary")
-    return posted.repartitionById(parts, F.col("part")).mapInArrow(read, "a bigint, b bigint").distinct()
+    posted = sets.select("id", "comp", "fam", "n", "prefix").mapInArrow(lean(post), "part int, token binary, ids binary, comps binary, fams binary, sizes binary, places binary, sides binary")
+    return posted.repartitionById(parts, F.col("part")).mapInArrow(lean(read), "a bigint, b bigint").distinct()
 
 
 def spread(token, row, place, ids):
@@ -310,7 +310,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = np.array([differ(p, q) * (100 + percent) for p, q in zip(x, y, strict=True)], np.int64) <= (100 - percent) * total
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def edits_of(a: int, x: np.ndarray, y: np.ndarray) -> bytes:
@@ -337,7 +337,7 @@ def compared(pairs: DataFrame, documents: DataFrame, classes: DataFrame, k: int,
                 prints = np.array([fingerprint(b) for b in body], np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array([b.tobytes() for b in body], pa.binary())], names=["doc", "f1", "f2", "body"])
 
-    of_texts = documents.select("doc_id", "text").mapInArrow(sets, "doc bigint, f1 bigint, f2 bigint, body binary")
+    of_texts = documents.select("doc_id", "text").mapInArrow(lean(sets), "doc bigint, f1 bigint, f2 bigint, body binary")
     whole = materialize(of_texts.join(ids, ["doc", "f1", "f2"]).dropDuplicates(["doc", "f1", "f2"]).select("id", "body"), "sets")
 
     def compare(batches):
@@ -350,7 +350,7 @@ def compared(pairs: DataFrame, documents: DataFrame, classes: DataFrame, k: int,
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(changes, pa.binary())], names=["a", "b", "linked", "edits"])
 
     both = pairs.join(whole.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint, linked boolean, edits binary")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(compare), "a bigint, b bigint, linked boolean, edits binary")
 
 
 # --- components ----------------------------------------------------------------------------------------------------

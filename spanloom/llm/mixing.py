@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import materialize
+from spanloom.llm.shared import lean, materialize
 from spanloom.llm.sharding import grid, permuted, row_numbers, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -118,7 +118,7 @@ def draw(spark, slots: list[int], per_shard: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(m + r * each), pa.array(sid.astype(np.int32)), pa.array(begin[m, sid]), pa.array(counts[m, sid])], names=["shard", "sid", "first", "n"])
 
     runs_table = spark.createDataFrame(rows, "run long, n array<long>, first array<long>")
-    return runs_table.repartition(max(8, math.ceil(total / 500_000)), "run").mapInArrow(expand, "shard bigint, sid int, first bigint, n bigint")
+    return runs_table.repartition(max(8, math.ceil(total / 500_000)), "run").mapInArrow(lean(expand), "shard bigint, sid int, first bigint, n bigint")
 
 
 def mix(documents: DataFrame, order: list[str], block: int = 32, per_shard: int = 4096, seed: int = 7, most: int = 3, size: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.shared import materialize, slices, text_bytes, words_of
+from spanloom.llm.shared import lean, materialize, slices, text_bytes, words_of
 
 #: A text's rates are taken as if so many bytes and words of ordinary prose stood beside it: rates of short texts say little.
 PRIOR_BYTES, PRIOR_WORDS = 200, 30
@@ -110,7 +110,7 @@ def with_statistics(documents: DataFrame, keep: list[str]) -> DataFrame:
                 stats = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES), rows.ravel())
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [stats], names=[*keep, "stats"])
 
-    return documents.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
+    return documents.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(lean(run), schema)
 
 
 @dataclass
@@ -150,7 +150,7 @@ def fit(labelled: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.05)
         for c in (0, 1):
             yield pa.RecordBatch.from_pydict({"c": [c], "n": pa.array([n[c]], pa.int64()), "first": [[str(v) for v in first[c]]], "second": [[str(v) for v in second[c]]]})
 
-    parts = labelled.select("stats", F.col("quality").cast("int").alias("quality")).mapInArrow(sums, "c bigint, n bigint, first array<string>, second array<string>")
+    parts = labelled.select("stats", F.col("quality").cast("int").alias("quality")).mapInArrow(lean(sums), "c bigint, n bigint, first array<string>, second array<string>")
     # Sums of the tasks' rows, in exact decimals; one row per class comes back.
     def total(column):
         return F.array(*[F.sum(F.col(column)[i].cast("decimal(38,0)")) for i in range(d if column == "first" else d * d)]).cast("array<string>")
@@ -186,7 +186,7 @@ def scored(stats: DataFrame, model: Discriminant) -> DataFrame:
             x = np.array(batch.column("stats").flatten(), dtype=np.int64).reshape(batch.num_rows, -1) / SCALE if batch.num_rows else np.zeros((0, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(model.score(x))], names=[*keep, "score"])
 
-    return stats.mapInArrow(run, stats.select(*keep).schema.add("score", "double"))
+    return stats.mapInArrow(lean(run), stats.select(*keep).schema.add("score", "double"))
 
 
 def held_out(column: str = "doc_id"):
@@ -217,7 +217,7 @@ def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
                 x = statistics(*text_bytes(part.column("text"))) / SCALE
                 yield part.filter(pa.array(model.score(x) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def is_held_out(doc_id: int) -> bool:

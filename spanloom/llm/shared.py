@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
@@ -34,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: While a table is written or pieces are collected: shuffle files go when that is done and not when the driver's garbage happens to be collected;
 #: batches for Python end at so many bytes, however long the rows are.
-_CONFIGURED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+_CONFIGURED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 #: Paths of the tables of each scratch() that is open.
 _open: list[list[str]] = []
 
@@ -116,6 +117,36 @@ def parts_for(size: int, target: int, least: int) -> int:
     return max(least, math.ceil(size / target))
 
 
+# --- memory of workers ---------------------------------------------------------------------------------------------
+
+#: glibc's malloc_trim, or None elsewhere.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return free memory to the system; a process would keep most of it for later."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(run):
+    """run, a function for mapInArrow, in workers that give their memory back after each batch: idle workers stay, beside those that work."""
+
+    def spared(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                give_back()
+
+        try:
+            yield from run(each())
+        finally:
+            give_back()
+
+    return spared
+
+
 # --- words ---------------------------------------------------------------------------------------------------------
 
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -286,7 +317,7 @@ def merge_pieces(pieces: DataFrame, length: int, how) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"piece": pa.array(list(merged), pa.int32()), "body": pa.array([v.tobytes() for v in merged.values()], pa.binary())})
 
     with sparing(pieces.sparkSession):
-        rows = pieces.repartition(max(1, min(length * 4 // _PIECE, 16)), "piece").mapInArrow(run, "piece int, body binary").collect()
+        rows = pieces.repartition(max(1, min(length * 4 // _PIECE, 16)), "piece").mapInArrow(lean(run), "piece int, body binary").collect()
     return np.concatenate([np.frombuffer(r["body"], np.int32) for r in sorted(rows, key=lambda r: r["piece"])]) if rows else np.zeros(length, np.int32)
 
 
@@ -308,7 +339,7 @@ def key_filter(keys: DataFrame, per_key: int = 64, probes: int = 3, most_bytes:
                 np.bitwise_or.at(marks, where, bit)
         yield pieces_of(marks.view(np.int32))
 
-    merged = merge_pieces(keys.mapInArrow(mark, "piece int, body binary"), bits // 32, np.bitwise_or)
+    merged = merge_pieces(keys.mapInArrow(lean(mark), "piece int, body binary"), bits // 32, np.bitwise_or)
     return [np.frombuffer(merged.tobytes(), np.uint32), np.array(probes)]
 
 
