@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import decontamination, html, jaccard, media, mixing, quality, secrets, sharding, substrings, warc
+from spanloom.llm import decontamination, fingerprints, html, infilling, jaccard, media, mixing, quality, resampling, secrets, sharding, substrings, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,17 @@ def queries() -> dict:
         "op8_secrets": secrets.op8_secrets,
         "op9_quality": quality.op9_quality,
         "op10_media": media.op10_media,
+        "op11_resampling": resampling.op11_resampling,
+        "op12_infilling": infilling.op12_infilling,
+        "op13_fingerprints": fingerprints.op13_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": substrings.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_jaccard": jaccard.OP6_SQL}
+    return {
+        "op2_substrings": substrings.OP2_SQL,
+        "op3_warc": warc.OP3_SQL,
+        "op6_jaccard": jaccard.OP6_SQL,
+        "op11_resampling": resampling.OP11_SQL,
+        "op12_infilling": infilling.OP12_SQL,
+    }
