@@ -66,7 +66,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> Runs:
 def runs(documents: DataFrame) -> DataFrame:
     """documents with runs: array of (unit, byte, width), the units and bytes before each run and the bytes of its units."""
     schema = documents.select(*[c for c in documents.columns if c.lower() != "runs"]).schema
-    keep, kind = schema.names, pa.struct([("unit", pa.int64()), ("byte", pa.int64()), ("width", pa.int32())])
+    keep, kind = list(schema.names), pa.struct([("unit", pa.int64()), ("byte", pa.int64()), ("width", pa.int32())])
     schema = schema.add("runs", T.ArrayType(T.StructType([T.StructField("unit", T.LongType()), T.StructField("byte", T.LongType()), T.StructField("width", T.IntegerType())])))
 
     def run(batches):
