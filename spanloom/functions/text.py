@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.patterns import Patterns, may_match
+
 
 def quote(s: str) -> str:
     return "".join(c if c.isalnum() or not c.isascii() else "\\" + c for c in s)
@@ -88,21 +90,19 @@ def find_regex(texts: DataFrame, expressions: list[str], overlap: bool = False)
 
     Without groups a match is one row with grp 0; with groups it is a row for each group that took part. Matches of
     several expressions are merged by begin; unless overlap is set, one that begins inside a match chosen before it is left out.
-    Look-around and back-references are refused, as they depend on the dialect.
+    Look-around and back-references are refused, as they depend on the dialect. An expression runs only where its literals occur, see patterns.
     """
-    for e in expressions:
-        if re.search(r"\(\?<?[=!]|\\[1-9]|\(\?P=", e):
-            raise ValueError(f"look-around and back-references are not supported: {e}")
-    compiled = [re.compile(e) for e in expressions]
+    _check(expressions)
     keys = _keys(texts)
     schema = texts.select(*keys).schema.add("expression", "integer").add("match", "integer").add("grp", "integer").add("begin", "integer").add("end", "integer")
 
     def run(batches):
+        patterns = Patterns(expressions)
         for batch in batches:
             base = batch.column("base").to_pylist() if "base" in batch.schema.names else [0] * batch.num_rows
             rows = {"row": [], "expression": [], "match": [], "grp": [], "begin": [], "end": []}
             for row, text in enumerate(batch.column("text").to_pylist()):
-                found = sorted(((m.start(), i, m) for i, e in enumerate(compiled) for m in e.finditer(text or "")), key=lambda x: x[:2])
+                found = sorted(((m.start(), i, m) for i, m in patterns.matches(text or "")), key=lambda x: x[:2])
                 end, n = -1, 0
                 for begin, i, m in found:
                     if not overlap and begin < end:
@@ -115,10 +115,35 @@ def find_regex(texts: DataFrame, expressions: list[str], overlap: bool = False)
             at = pa.array(rows.pop("row"), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in keys] + [pa.array(v, pa.int32()) for v in rows.values()], names=[*keys, *rows])
 
-    wanted = texts
-    if len(expressions) > 2:  # a cheap test in the JVM first
-        wanted = texts.filter("text is not null")
-    return wanted.mapInArrow(run, schema)
+    return _worth(texts, expressions).mapInArrow(run, schema)
+
+
+def _check(expressions: list[str]) -> None:
+    for e in expressions:
+        if re.search(r"\(\?<?[=!]|\\[1-9]|\(\?P=", e):
+            raise ValueError(f"look-around and back-references are not supported: {e}")
+
+
+def _worth(texts: DataFrame, expressions: list[str]) -> DataFrame:
+    """Without the texts that a test in the JVM tells no expression matches."""
+    test = may_match(F.col("text"), expressions)
+    return texts if test is None else texts.filter(test)
+
+
+def select_expressions(texts: DataFrame, expressions: list[str]) -> DataFrame:
+    """keys, expression: the numbers of the expressions that match a text at all, each once."""
+    _check(expressions)
+    keys = _keys(texts)
+    schema = texts.select(*keys).schema.add("expression", "integer")
+
+    def run(batches):
+        patterns = Patterns(expressions)
+        for batch in batches:
+            found = [(row, i) for row, text in enumerate(batch.column("text").to_pylist()) for i in patterns.matching(text or "")]
+            at = pa.array([row for row, _ in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in keys] + [pa.array([i for _, i in found], pa.int32())], names=[*keys, "expression"])
+
+    return _worth(texts, expressions).mapInArrow(run, schema)
 
 
 def find_sequence(texts: DataFrame, fragments: list[str], skip: str = r"\s", case_sensitive: bool = True) -> DataFrame:
