@@ -5,8 +5,8 @@ A text's units are its words, long ones in pieces of `PIECE` characters, and eac
 dealt to `slots` by a hash; in each slot the `width` items with the least hashes are selected and put back in their text order, and the hash of the
 tuple of their k-mers is the slot's value. A change of words, of their number or of their order thus changes the values near it.
 
-Everything is sorted as arrays of 64-bit numbers inside a row: first (hash of the k-mer, place), whose runs number the occurrences, then (slot and hash of the item, place),
-whose runs give the slots' selections. Hashes have 33 bits there, k-mers of one text that share them count as one. Places have 31 bits.
+Everything is sorted as arrays of 64-bit numbers inside a row: first (hash of the k-mer, place), where equal ones stand together and are numbered, then (slot and hash of the
+item, place), where each slot begins with its selection. Both are found by binary search. Hashes have 33 bits there, k-mers of one text that share them count as one. Places have 31 bits.
 
 A slot without items is 0. The likeness of two fingerprints is the share of equal slots among those that one of them has; two without any are alike.
 
@@ -27,51 +27,55 @@ from spanloom.llm.shared import fresh, materialize, parts_for
 #: Units of a k-mer, items of a slot, bits of a slot's number.
 K, WIDTH, SLOT_BITS = 3, 2, 5
 PIECE = 16
-_ALONE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7FF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
-UNIT = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]{{1,{PIECE}}}"
+#: Most letters of scripts with spaces, in runs; what is beyond (scripts without spaces, symbols) stands alone.
+UNIT = rf"[\x21-\x7E\x{{A1}}-\x{{DFF}}]{{1,{PIECE}}}+|[^\x20\x09-\x0D]"
 _PLACE = (1 << 31) - 1
 #: Ids that one task puts in order.
 ORDERED = 200_000
 
 
-def _runs(xs: str, bits: int) -> Column:
-    """Where the runs of a sorted array of numbers begin whose upper bits are equal, from 0."""
-    upper = lambda i: F.shiftright(F.get(xs, i), bits)
-    begins = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (upper(i) != upper(i - 1)))
-    return F.when(F.size(xs) > 0, begins).otherwise(F.array().cast("array<int>"))
+def _first(xs: Column, size: Column, test) -> Column:
+    """The first index for which test holds of the element there, by binary search; size if there is none. test is false up to some index and true from there."""
 
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        right = (s["low"] < s["high"]) & ~test(F.get(xs, middle))
+        return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when(right | (s["low"] >= s["high"]), s["high"]).otherwise(middle).alias("high"))
 
-def _end(begins: str, j: Column, xs: str) -> Column:
-    return F.coalesce(F.get(begins, j + 1), F.size(xs))
+    bits = F.ceil(F.log2(size + F.lit(1.0))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), bits), F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda s: s["low"])
 
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", k: int = K, width: int = WIDTH, slot_bits: int = SLOT_BITS) -> DataFrame:
     """df with out: array of 2**slot_bits integers."""
     df = df.select(*[c for c in df.columns if c.lower() != out.lower()])
-    units, kmers, sorted_kmers, runs, items, begins, found = (fresh(df, c) for c in ("units", "kmers", "sorted", "runs", "items", "begins", "found"))
+    units, kmers, sorted_kmers, items = (fresh(df, c) for c in ("units", "kmers", "sorted", "items"))
     carried = df.columns
     packed = lambda h, place: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(place.cast("long"))
+    upper = lambda x: F.shiftright(x, 31)
 
-    df = df.select(*carried, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNIT), F.lit(0)).alias(units))
+    df = df.select(*carried, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u)).alias(units))
     starts = F.slice(F.col(units), F.lit(1), F.greatest(F.size(units) - (k - 1), F.least(F.size(units), F.lit(1))))
     df = df.select(*carried, F.transform(starts, lambda u, i: F.xxhash64(u, *[F.get(units, i + j) for j in range(1, k)])).alias(kmers))
     df = df.select(*carried, kmers, F.sort_array(F.transform(kmers, lambda h, i: packed(h, i))).alias(sorted_kmers))
-    df = df.select(*carried, kmers, sorted_kmers, _runs(sorted_kmers, 31).alias(runs))
-    numbers = F.flatten(F.transform(runs, lambda a, j: F.sequence(F.lit(0), _end(runs, j, sorted_kmers) - a - 1)))
-    item = lambda x, occurrence: packed(F.xxhash64(F.shiftright(x, 31), occurrence), x.bitwiseAND(F.lit(_PLACE)))
-    df = df.select(*carried, kmers, F.sort_array(F.zip_with(sorted_kmers, numbers, item)).alias(items))
-    df = df.select(*carried, kmers, items, _runs(items, 64 - slot_bits).alias(begins))
-
-    def value(a: Column, j: Column) -> Column:
-        selected = F.slice(F.col(items), a + 1, F.least(_end(begins, j, items) - a, F.lit(width)))
-        places = F.sort_array(F.transform(selected, lambda x: x.bitwiseAND(F.lit(_PLACE))))
-        hashed = F.shiftright(F.xxhash64(F.transform(places, lambda p: F.get(kmers, p.cast("int")))), 32).cast("int")
-        return F.struct(F.shiftright(F.get(items, a), 64 - slot_bits).cast("int").alias("slot"), F.when(hashed == 0, 1).otherwise(hashed).alias("value"))
-
-    df = df.select(*carried, F.map_from_entries(F.transform(begins, value)).alias(found))
+
+    def item(x: Column, i: Column) -> Column:
+        again = (i > 0) & (upper(F.get(sorted_kmers, i - 1)) == upper(x))
+        occurrence = F.when(again, i - _first(F.col(sorted_kmers), i, lambda y: upper(y) == upper(x))).otherwise(F.lit(0))
+        return packed(F.xxhash64(upper(x), occurrence), x.bitwiseAND(F.lit(_PLACE)))
+
+    df = df.select(*carried, kmers, F.sort_array(F.transform(sorted_kmers, item)).alias(items))
+
+    def value(slot: Column) -> Column:
+        number = lambda x: F.shiftright(x, 64 - slot_bits)
+        begin = _first(F.col(items), F.size(items), lambda x: number(x) >= slot)
+        own = F.transform(F.array(begin), lambda a: F.filter(F.slice(F.col(items), a + 1, F.lit(width)), lambda x: number(x) == slot))
+        places = F.sort_array(F.transform(F.flatten(own), lambda x: x.bitwiseAND(F.lit(_PLACE))))
+        hashed = F.transform(F.array(places), lambda ps: F.when(F.size(ps) > 0, F.shiftright(F.xxhash64(F.transform(ps, lambda p: F.get(kmers, p.cast("int")))), 32).cast("int")))
+        return F.element_at(F.transform(hashed, lambda h: F.when(h == 0, 1).otherwise(F.coalesce(h, F.lit(0)))), 1)
+
     half = 1 << slot_bits - 1
-    slots = F.sequence(F.lit(-half), F.lit(half - 1))
-    return df.select(*carried, F.transform(slots, lambda s: F.coalesce(F.element_at(found, s), F.lit(0))).alias(out))
+    return df.select(*carried, F.transform(F.sequence(F.lit(-half), F.lit(half - 1)), value).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,7 +91,7 @@ def as_text(a: Column) -> Column:
 
 
 def in_cycle(keys: DataFrame) -> DataFrame:
-    """keys (id, h, n), all different in (id, h), with next: the (id, h) behind each in descending order of id, the first one behind the last.
+    """keys (id, g, h, ...), all different in (g, h), with next_g and next_h: those of the row behind each in descending order of id, of the first one behind the last.
 
     Ranges of ids are put in order each by itself; a row per range tells where the next one begins.
     """
@@ -95,45 +99,42 @@ def in_cycle(keys: DataFrame) -> DataFrame:
     order = [F.desc_nulls_last("id"), F.asc("h")]
     ranges = materialize(keys.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "order")
     inside = Window.partitionBy("range").orderBy(*order)
-    key = F.struct("id", "h")
+    key = F.struct("g", "h")
     ranked = ranges.withColumns({"next": F.lead(key).over(inside), "place": F.row_number().over(inside)})
     by_range = Window.orderBy("range")  # a row per range
     everything = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = ranked.filter("place = 1").select("range", F.coalesce(F.lead(key).over(by_range), F.first(key).over(everything)).alias("following"))
-    return ranked.join(firsts, "range").select("id", "h", "n", "rows", F.coalesce("next", "following").alias("next"))
+    joined = ranked.join(firsts, "range").withColumn("next", F.coalesce("next", "following"))
+    return joined.select(*keys.columns, F.col("next.g").alias("next_g"), F.col("next.h").alias("next_h"))
 
 
 def next_edited(documents: DataFrame, key: str = "doc_id", share: int = 3) -> DataFrame:
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint (arrays), near_edited and near_next.
 
     The edited text is the text with the last floor(n_chars / share) code points replaced by the first as many (or all) of the next document.
-    Whole texts are shuffled once, by id and hash of the text, and beside them the pieces that move on; the fingerprints of the next documents are joined without texts.
+    Whole texts are shuffled once, by a hash of the id and one of the text, and beside them the pieces that move on; the next documents' fingerprints are joined without texts.
     """
-    hashed = documents.select(F.col(key).alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    keys = hashed.groupBy("id", "h").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("rows"))
+    on = ["g", "h"]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashed = documents.select(F.col(key).alias("id"), text.alias("text")).withColumns({"g": F.xxhash64("id", F.isnull("id")), "h": F.xxhash64("text")})
+    keys = hashed.groupBy(*on).agg(F.first("id").alias("id"), F.max(F.length("text")).alias("n"), F.count("*").alias("rows"))
     cycle = materialize(in_cycle(keys), "cycle")
-    texts = hashed.groupBy("id", "h").agg(F.first("text").alias("text"))
-    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
-    cut = F.floor(F.col("n") / share).cast("int")
-    asked = cycle.select("next.id", "next.h", F.struct("id", "h").alias("by"), cut.alias("cut"))
-    moved = texts.alias("t").join(asked.alias("a"), same("t", "a")).select(F.col("a.by.id").alias("id"), F.col("a.by.h").alias("h"), "cut", F.expr("left(t.text, cut)").alias("piece"))
-    both = texts.alias("t").join(moved.alias("m"), same("t", "m")).select("t.id", "t.h", "t.text", F.concat(F.expr("left(t.text, length(t.text) - cut)"), "piece").alias("edited"))
+    texts = hashed.groupBy(*on).agg(F.first("text").alias("text"))
+    asked = cycle.select(F.col("next_g").alias("g"), F.col("next_h").alias("h"), F.col("g").alias("by_g"), F.col("h").alias("by_h"), F.floor(F.col("n") / share).cast("int").alias("cut"))
+    moved = texts.join(asked, on).select(F.col("by_g").alias("g"), F.col("by_h").alias("h"), "cut", F.expr("left(text, cut)").alias("piece"))
+    both = texts.join(moved, on).select(*on, "text", F.concat(F.expr("left(text, length(text) - cut)"), "piece").alias("edited"))
     both = both.withColumn("sha", F.sha2(F.encode("edited", "utf-8"), 256))
-    prints = fingerprint(fingerprint(both, "text", "own"), "edited", "changed").select("id", "h", "sha", "own", "changed")
-    prints = materialize(prints, "fingerprints")
-    own = prints.alias("p").join(cycle.alias("c"), same("p", "c"))
-    own = own.select("p.*", "c.n", "c.rows", F.col("c.next.id").alias("next_id"), F.col("c.next.h").alias("next_h"))
-    then = prints.select(F.col("id").alias("next_id_"), F.col("h").alias("next_h_"), F.col("own").alias("then"))
-    done = own.join(then, F.col("next_id").eqNullSafe(F.col("next_id_")) & (F.col("next_h") == F.col("next_h_")))
-    done = done.select(
-        "id", "h", "rows", F.col("n").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), F.col("own").alias("fingerprint"), F.col("changed").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("then")).alias("near_next"),
-    )
-    results = done.columns[3:]
-    repeated = cycle.filter("rows > 1").select("id", "h")
-    rows = hashed.select("id", "h").alias("d").join(repeated.alias("r"), same("d", "r"), "left_semi")
-    again = rows.alias("d").join(done.filter("rows > 1").alias("x"), same("d", "x")).select(F.col("d.id").alias("id"), *results)
-    return done.filter("rows = 1").select("id", *results).unionByName(again).withColumnRenamed("id", key)
+    prints = materialize(fingerprint(fingerprint(both, "text", "own"), "edited", "changed").select(*on, "sha", "own", "changed"), "fingerprints")
+    then = prints.select(F.col("g").alias("next_g"), F.col("h").alias("next_h"), F.col("own").alias("then"))
+    done = prints.join(cycle, on).join(then, ["next_g", "next_h"])
+    results = {
+        "n_chars": F.col("n").cast("long"), "edited_sha256": F.col("sha"), "fingerprint": F.col("own"), "edited_fingerprint": F.col("changed"),
+        "near_edited": likeness(F.col("own"), F.col("changed")), "near_next": likeness(F.col("own"), F.col("then")),
+    }
+    done = done.select(*on, "rows", "id", *[c.alias(n) for n, c in results.items()])
+    repeated = cycle.filter("rows > 1").select(*on)
+    again = hashed.select(*on).join(repeated, on, "left_semi").join(done.filter("rows > 1"), on)
+    return done.filter("rows = 1").unionByName(again).select(F.col("id").alias(key), *results)
 
 
 def op13_fingerprints(spark, sf_dir: str) -> DataFrame:

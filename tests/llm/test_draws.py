@@ -159,8 +159,8 @@ def chain(parts):
 
 
 def plain_fingerprint(text):
-    units = [u for u in re.findall(r"[⺀-꓏]|[^\x20\x09-\x0D⺀-꓏]{1,16}", text)]
-    kmers = [chain([u.encode() for u in units[i : i + 3]]) for i in range(max(len(units) - 2, min(1, len(units))))]
+    units = [chain([u.encode()]) for u in re.findall("[\x21-\x7E\xa1-\u0dff]{1,16}|[^\x20\x09-\x0D]", text)]
+    kmers = [chain([struct.pack("<q", u) for u in units[i : i + 3]]) for i in range(max(len(units) - 2, min(1, len(units))))]
     seen, items = Counter(), []
     for place, h in enumerate(kmers):
         items.append((chain([struct.pack("<q", h >> 31), struct.pack("<i", seen[h >> 31])]) >> 31, place))
