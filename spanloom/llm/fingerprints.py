@@ -6,7 +6,7 @@ dealt to `slots` by a hash; in each slot the `width` items with the least hashes
 tuple of their k-mers is the slot's value. A change of words, of their number or of their order thus changes the values near it.
 
 Everything is sorted as arrays of 64-bit numbers inside a row: first (hash of the k-mer, place), where equal ones stand together and are numbered, then (slot and hash of the
-item, place), where each slot begins with its selection. Both are found by binary search. Hashes have 33 bits there, k-mers of one text that share them count as one. Places have 31 bits.
+item, place), where each slot begins with its selection. Hashes have 33 bits there, k-mers of one text that share them count as one. Places have 31 bits.
 
 A slot without items is 0. The likeness of two fingerprints is the share of equal slots among those that one of them has; two without any are alike.
 
@@ -49,7 +49,7 @@ def _first(xs: Column, size: Column, test) -> Column:
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", k: int = K, width: int = WIDTH, slot_bits: int = SLOT_BITS) -> DataFrame:
     """df with out: array of 2**slot_bits integers."""
     df = df.select(*[c for c in df.columns if c.lower() != out.lower()])
-    units, kmers, sorted_kmers, items = (fresh(df, c) for c in ("units", "kmers", "sorted", "items"))
+    units, kmers, sorted_kmers, items, selected = (fresh(df, c) for c in ("units", "kmers", "sorted", "items", "selected"))
     carried = df.columns
     packed = lambda h, place: h.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(place.cast("long"))
     upper = lambda x: F.shiftright(x, 31)
@@ -64,18 +64,23 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", k:
         occurrence = F.when(again, i - _first(F.col(sorted_kmers), i, lambda y: upper(y) == upper(x))).otherwise(F.lit(0))
         return packed(F.xxhash64(upper(x), occurrence), x.bitwiseAND(F.lit(_PLACE)))
 
+    number = lambda x: F.shiftright(x, 64 - slot_bits)
     df = df.select(*carried, kmers, F.sort_array(F.transform(sorted_kmers, item)).alias(items))
+    df = df.select(*carried, kmers, F.filter(items, lambda x, i: (i < width) | (number(x) != number(F.get(items, i - width)))).alias(selected))
+    begins = F.filter(F.sequence(F.lit(0), F.size(selected) - 1), lambda i: (i == 0) | (number(F.get(selected, i)) != number(F.get(selected, i - 1))))
 
-    def value(slot: Column) -> Column:
-        number = lambda x: F.shiftright(x, 64 - slot_bits)
-        begin = _first(F.col(items), F.size(items), lambda x: number(x) >= slot)
-        own = F.transform(F.array(begin), lambda a: F.filter(F.slice(F.col(items), a + 1, F.lit(width)), lambda x: number(x) == slot))
-        places = F.sort_array(F.transform(F.flatten(own), lambda x: x.bitwiseAND(F.lit(_PLACE))))
-        hashed = F.transform(F.array(places), lambda ps: F.when(F.size(ps) > 0, F.shiftright(F.xxhash64(F.transform(ps, lambda p: F.get(kmers, p.cast("int")))), 32).cast("int")))
-        return F.element_at(F.transform(hashed, lambda h: F.when(h == 0, 1).otherwise(F.coalesce(h, F.lit(0)))), 1)
+    def value(a: Column) -> Column:
+        own = F.filter(F.slice(selected, a + 1, F.lit(width)), lambda x: number(x) == number(F.get(selected, a)))
+        places = F.sort_array(F.transform(own, lambda x: x.bitwiseAND(F.lit(_PLACE))))
+        hashed = F.shiftright(F.xxhash64(F.transform(places, lambda p: F.get(kmers, p.cast("int")))), 32).cast("int")
+        return F.struct(number(F.get(selected, a)).cast("int").alias("slot"), F.when(hashed == 0, 1).otherwise(hashed).alias("value"))
 
+    values = F.map_from_entries(F.transform(F.when(F.size(selected) > 0, begins).otherwise(F.array().cast("array<int>")), value))
     half = 1 << slot_bits - 1
-    return df.select(*carried, F.transform(F.sequence(F.lit(-half), F.lit(half - 1)), value).alias(out))
+    slots = F.sequence(F.lit(-half), F.lit(half - 1))
+    # A lambda's variable is evaluated once; a column would be put into the inner lambda and evaluated for each slot.
+    every = F.transform(F.array(values), lambda m: F.transform(slots, lambda s: F.coalesce(F.element_at(m, s), F.lit(0))))
+    return df.select(*carried, F.element_at(every, 1).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
