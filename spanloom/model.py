@@ -98,6 +98,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled_store(store: Store, *names: str) -> Store:
+    """store with the tables of these names (all, if none is given) computed once and cut from their lineage."""
+    return store.with_tables(**{name: settled(getattr(store, name)) for name in names or store.names()})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, also set for checkpoints."""
     sc = spark.sparkContext

@@ -86,13 +86,34 @@ def annotate(store: Store, builders: DataFrame) -> Store:
         raise ValueError("an annotation with that id exists")
     annotations = store.annotations.unionByName(rows.select("a", "id", "complex"))
 
-    store = _with_targets(store, _resolved(store, annotations, rows))
+    store = _with_targets(store, _resolved_in_turn(store, annotations, rows))
     d = rows.select("a", F.posexplode("data").alias("pos", "d")).select("a", "pos", F.col("d.id").alias("id"), F.col("d.set").alias("set_id"), F.col("d.key").alias("key_id"), F.col("d.value").alias("value"))
     store, placed = insert_data(store, d)
     data = store.annotation_data.unionByName(placed.select("a", "pos", "set", "data"))
     return store.with_tables(annotations=annotations, annotation_data=data)
 
 
+def _resolved_in_turn(store: Store, annotations: DataFrame, rows: DataFrame) -> DataFrame:
+    """The targets of rows. Rows with offsets on others of the rows wait until those have their spans: a job for each level of them."""
+    offsets = rows.select("a", F.explode("targets").alias("t")).filter((F.col("t.kind") == ANNOTATION) & F.col("t.begin").isNotNull())
+    own = rows.select(F.explode(F.array_compact(F.array("id", F.concat(F.lit("!A"), F.col("a").cast("string"))))).alias("name"), F.col("a").alias("on"))
+    waits = settled(offsets.select("a", F.col("t.annotation").alias("name")).join(own, "name").select("a", "on").distinct())
+    done = None
+    while True:
+        held = waits.select("a").distinct()
+        ready = rows.join(held, "a", "left_anti") if done is None else rows.join(last, "a", "left_semi")  # noqa: F821
+        t = settled(_resolved(store, annotations, ready))
+        done = t if done is None else done.unionByName(t)
+        if waits.isEmpty():
+            return done
+        store = store.with_tables(targets=store.targets.unionByName(t.withColumn("ts", F.lit(None).cast("long")).select(store.targets.columns)))
+        left = settled(waits.join(waits.select(F.col("a").alias("on")).distinct(), "on", "left_semi").select("a", "on"))
+        last = settled(held.join(left.select("a"), "a", "left_anti"))
+        if last.isEmpty():
+            raise ValueError("annotations have offsets on each other in a ring")
+        waits = left
+
+
 def _resolved(store: Store, annotations: DataFrame, rows: DataFrame) -> DataFrame:
     """Targets of rows (a, complex, targets) with handles and absolute offsets, without those of selections."""
     t = rows.select("a", "complex", F.posexplode("targets").alias("pos", "t")).select("a", "complex", "pos", "t.*")
@@ -112,7 +133,7 @@ def _resolved(store: Store, annotations: DataFrame, rows: DataFrame) -> DataFram
     low, high = F.coalesce("_ab", F.lit(0)), F.coalesce("_ae", F.col("textlen"))
     spanned = F.col("kind").isin(TEXT) | (F.col("kind") == ANNOTATION) & ~whole & F.col("_ares").isNotNull()
     span = F.when(spanned, F.when(whole, F.struct(low.alias("begin"), high.alias("end"))).otherwise(resolve(F.col("begin"), F.col("end"), mode, low, high)))
-    t = t.withColumns({"_span": span, "_spanned": spanned})
+    t = settled(t.withColumns({"_span": span, "_spanned": spanned}))
     bad = t.filter((F.col("_spanned") & F.col("_span").isNull()) | (F.col("kind").isin(TEXT, RESOURCE) & F.col("_res").isNull()) | ((F.col("kind") == ANNOTATION) & F.col("_a").isNull()) | (F.col("kind").isin(DATASET, KEY, DATA) & F.col("_set").isNull()) | ((F.col("kind") == KEY) & F.col("_key").isNull()) | ((F.col("kind") == DATA) & F.col("_data").isNull()))
     if not bad.isEmpty():
         raise ValueError("a target has an unknown id or an offset outside its text")

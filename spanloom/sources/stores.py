@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.values import display
-from spanloom.model import SCHEMAS, VALUE, Store, shared_folder, value
+from spanloom.model import ROOT, SCHEMAS, VALUE, Store, settled, settled_store, shared_folder, value
 from spanloom.operators import mutations
 from spanloom.operators.extensions import web_annotations
+from spanloom.sources import includes
 
 _CURSOR = "struct<`@type`: string, value: int>"
 _LEAF = f"`@type`: string, resource: string, annotation: string, dataset: string, key: string, data: string, offset: struct<begin: {_CURSOR}, end: {_CURSOR}>"
@@ -71,7 +72,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_text(store: Store, res: int, path: str) -> None:
-    store.resources.filter(F.col("res") == res).select("text").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    """The text of a resource, unchanged, as a file below the folder path/doc=<its id>."""
+    includes.write_texts(store.resources.filter(F.col("res") == res).select(includes.named(F.col("id"), "R", "res").alias("doc"), "text"), path)
 
 
 # --- JSON ----------------------------------------------------------------------------------------------------------
@@ -94,53 +96,59 @@ def json_value(v: Column) -> Column:
     return F.when(kind == "Null", F.lit('{"@type":"Null"}')).otherwise(F.concat(F.lit('{"@type":"'), kind, F.lit('",'), inside, F.lit("}")))
 
 
-def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def load_json(spark: SparkSession, path: str, store: Store | None = None, range_bytes: int | None = None) -> Store:
+    """A store from a JSON document and all that it includes, merged into store if that is given. A document is a file, or a directory of part files as save_json writes it.
 
-
-def _beside(path: str, name: str) -> str:
-    return name if "://" in name or name.startswith("/") else posixpath.join(posixpath.dirname(path), name)
-
-
-def load_json(spark: SparkSession, path: str, store: Store | None = None) -> Store:
-    """A store from a JSON file and what it includes, or from a directory that save_json has written, merged into store if that is given."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
-        return _from_json(spark, _read_lines(spark, path), path, store or Store.empty(spark))
-    return _from_json(spark, _read_json(spark, path, JSON), path, store or Store.empty(spark))
-
-
-def _read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The items of save_json's lines, each as a document of its own, so that any number of tasks reads them."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("line"))
-    kind = F.regexp_extract("line", r'^\{"@type":"(\w+)"', 1)
-    field = F.when(kind == "TextResource", "resources").when(kind == "AnnotationDataSet", "annotationsets").when(kind == "Annotation", "annotations")
-    items = lines.withColumn("field", field).filter("field is not null")
-    whole = F.concat(F.lit('{"'), F.col("field"), F.lit('":['), F.col("line"), F.lit("]}"))
-    return items.select(F.from_json(whole, JSON).alias("j")).select("j.*")
+    Documents are read by ranges, so that any number of tasks reads a large one; included stores become substores.
+    """
+    items, documents = includes.read_graph(spark, path, range_bytes)
+    item = F.concat(F.lit('{"'), F.col("field"), F.lit('":['), F.col("text"), F.lit("]}"))
+    kinds = ("resources", "annotationsets", "annotations")
+    place = F.concat_ws("/", F.lpad(F.col("ss").cast("string"), 10, "0"), "range", F.lpad(F.col("n").cast("string"), 15, "0"))
+    store = store or Store.empty(spark)
+    top = store.substores.agg(F.max("ss")).first()[0]
+    first = 0 if top is None else top + 1
+    handles = {name: first + i - 1 if i else ROOT for i, (name, _, _) in enumerate(documents)}
+    rows = [(handles[name], id, name, [handles[p] for p in above]) for name, id, above in documents[1:]]
+    store = store.with_tables(substores=store.substores.unionByName(spark.createDataFrame(rows, SCHEMAS["substores"])))
+    of = spark.createDataFrame(list(handles.items()), "doc string, ss long")
+    rows = items.filter(F.col("field").isin(*kinds)).join(F.broadcast(of), "doc")  # a row per document
+    return _from_json(spark, rows.select("ss", place.alias("place"), F.from_json(item, JSON).alias("j")).select("ss", "place", "j.*"), posixpath.dirname(path), store)
 
 
 def load_json_text(spark: SparkSession, text: str, store: Store | None = None) -> Store:
-    rows = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", JSON).alias("j")).select("j.*")
+    rows = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", JSON).alias("j")).select(F.lit(ROOT).cast("long").alias("ss"), F.lit("").alias("place"), "j.*")
     return _from_json(spark, rows, "", store or Store.empty(spark))
 
 
-def _from_json(spark: SparkSession, rows: DataFrame, path: str, store: Store) -> Store:
-    for r in rows.select("`@include`").collect():  # the names of included stores
-        if r[0]:
-            store = load_json(spark, _beside(path, r[0]), store)
-    res = rows.select(F.explode("resources").alias("r")).select(F.col("r.@id").alias("id"), F.col("r.@include").alias("file"), F.col("r.text").alias("text"))
-    inline = res.filter("text is not null").select("id", "text", F.lit(None).cast("string").alias("filename"))
-    for r in res.filter("text is null and file is not null").select("id", "file").collect():  # file names only
-        one = read_texts(spark, _beside(path, r["file"])).select(F.lit(r["id"] or r["file"]).alias("id"), "text", F.lit(r["file"]).alias("filename"))
-        inline = inline.unionByName(one)
-    store = mutations.add_resources(store, inline)
-    sets = rows.select(F.explode("annotationsets").alias("s")).select("s.*")
-    own = sets.filter("keys is not null or data is not null").select("`@id`", "keys", "data")
-    for r in sets.filter("keys is null and data is null and `@include` is not null").select("`@include`").collect():  # file names only
-        own = own.unionByName(_read_json(spark, _beside(path, r[0]), _SET_JSON))
+#: Before the ids that annotations without one have while they are added.
+_UNNAMED = "\x00"
+
+
+def _from_json(spark: SparkSession, rows: DataFrame, folder: str, store: Store) -> Store:
+    """store with the items of rows: ss (their substore), place (their order), resources, annotationsets, annotations."""
+    rows = settled(rows)
+    res = rows.select("ss", F.explode("resources").alias("r")).select("ss", F.coalesce("r.@id", "r.@include").alias("id"), F.col("r.@include").alias("filename"), F.col("r.text").alias("text"))
+    inline = res.filter("text is not null or filename is null").select("ss", "id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("filename"))
+    outside = res.filter("text is null and filename is not null")
+    if names := [r[0] for r in outside.select("filename").distinct().collect()]:  # file names only
+        texts = includes.read_texts_of(spark, folder, names).withColumnRenamed("doc", "filename")
+        inline = inline.unionByName(outside.drop("text").join(texts, "filename"))
+    store = mutations.add_resources(store, inline.select("id", "text", "filename").distinct())
+    sets = rows.select("ss", F.explode("annotationsets").alias("s")).select("ss", "s.*").withColumnRenamed("@include", "filename")
+    own = sets.filter("keys is not null or data is not null or filename is null").select("`@id`", "keys", "data")
+    named = sets.filter("keys is null and data is null and filename is not null").select("filename", "`@id`").distinct()
+    if names := [r[0] for r in named.select("filename").distinct().collect()]:  # file names only
+        read = _set_files(spark, folder, names, named)
+        own = own.unionByName(read.drop("filename"))
+        files = read.select(F.col("@id").alias("id"), "filename").distinct()
+        sets = sets.join(files.withColumnRenamed("id", "_id"), "filename", "left").withColumn("@id", F.coalesce("@id", "_id")).drop("_id")
     store = _add_sets(store, own)
-    anns = rows.select(F.explode("annotations").alias("x")).select("x.*")
+    if names:
+        kept = store.datasets.join(files.withColumnRenamed("filename", "_file"), "id", "left").withColumn("filename", F.coalesce("filename", "_file"))
+        store = store.with_tables(datasets=kept.select(store.datasets.columns))
+    store = settled_store(store, "resources", "datasets", "keys", "data")
+    anns = rows.select("ss", "place", F.posexplode("annotations").alias("i", "x")).select("ss", F.concat(F.lit(_UNNAMED), "place", F.lit("/"), F.lpad(F.col("i").cast("string"), 10, "0")).alias("place"), "x.*")
     none = F.lit(None).cast("string")
     cursor_end = lambda c: c["@type"] == "EndAlignedCursor"
 
@@ -152,8 +160,65 @@ def _from_json(spark: SparkSession, rows: DataFrame, path: str, store: Store) ->
     many = F.col("target.selectors").isNotNull()
     targets = F.when(many, F.transform("target.selectors", leaf)).otherwise(F.array(leaf(F.col("target"))))
     data = F.transform(F.coalesce("data", F.array()), lambda d: F.struct(d["@id"].alias("id"), d["set"].alias("set"), d["key"].alias("key"), typed_value(d["value"]).alias("value")))
-    builders = anns.select(F.col("@id").alias("id"), F.when(many, F.col("target.@type")).otherwise(none).alias("complex"), targets.alias("targets"), data.alias("data"))
-    return store if builders.isEmpty() else mutations.annotate(store, builders)
+    builders = anns.select(F.coalesce("@id", "place").alias("id"), F.when(many, F.col("target.@type")).otherwise(none).alias("complex"), targets.alias("targets"), data.alias("data"))
+    if not builders.isEmpty():
+        store = settled_store(mutations.annotate(store, builders))
+    placed = anns.filter(F.col("ss") != ROOT).select("ss", F.coalesce("@id", "place").alias("id"))
+    members = [(res, store.resources, "res", "resource"), (sets.withColumnRenamed("@id", "id"), store.datasets, "set", "dataset"), (placed, store.annotations, "a", "annotation")]
+    membership = store.substore_membership
+    for items, table, handle, kind in members:
+        inside = items.filter(F.col("ss") != ROOT).select("ss", "id").distinct().join(table.select("id", F.col(handle).alias("item")), "id")
+        membership = membership.unionByName(inside.select("ss", F.lit(kind).alias("item_type"), "item"))
+    named = F.when(F.col("id").startswith(_UNNAMED), none).otherwise(F.col("id"))
+    return settled_store(store.with_tables(annotations=store.annotations.withColumn("id", named), substore_membership=membership.distinct()))
+
+
+def _set_files(spark: SparkSession, folder: str, names: list[str], known: DataFrame | None = None) -> DataFrame:
+    """@id, keys, data and filename of the files of sets, a row per key and per datum. A set without an id has the one it is included by (known: filename, @id) or its file's name."""
+    items, frames = includes.read_items(spark, [includes.beside(folder, n) for n in names])
+    ids = includes.with_names(frames.select("file", F.from_json("text", "`@id` string").alias("j")), spark, folder, names).select(F.col("doc").alias("filename"), F.col("j.@id").alias("_id"))
+    if known is not None:
+        ids = ids.join(known.groupBy("filename").agg(F.min("@id").alias("@id")), "filename", "left")
+    else:
+        ids = ids.withColumn("@id", F.lit(None).cast("string"))
+    ids = ids.select("filename", F.coalesce("_id", "@id", "filename").alias("@id"))
+    one = F.concat(F.lit('{"'), F.col("field"), F.lit('":['), F.col("text"), F.lit("]}"))
+    rows = includes.with_names(items.select("file", F.from_json(one, _SET_JSON).alias("j")), spark, folder, names).select(F.col("doc").alias("filename"), "j.keys", "j.data")
+    return ids.join(rows, "filename", "left").select("@id", "keys", "data", "filename")
+
+
+def load_dataset(spark: SparkSession, path: str, store: Store | None = None, include: bool = True) -> Store:
+    """store with the set of a JSON file of its own, merged into the set of that id if there is one. include: the file's name stays with the set, so that save_include writes it there."""
+    folder, name = posixpath.split(path)
+    rows = settled(_set_files(spark, folder, [name]))
+    store = _add_sets(store or Store.empty(spark), rows.drop("filename"))
+    if include:
+        own = rows.select(F.col("@id").alias("id"), F.col("filename").alias("_file")).distinct()
+        kept = store.datasets.join(own, "id", "left").withColumn("filename", F.coalesce("filename", "_file"))
+        store = store.with_tables(datasets=kept.select(store.datasets.columns))
+    return store
+
+
+def load_dataset_text(spark: SparkSession, text: str, store: Store | None = None) -> Store:
+    """store with a set given as JSON text, as load_dataset."""
+    rows = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", _SET_JSON).alias("j")).select("j.*")
+    return _add_sets(store or Store.empty(spark), rows)
+
+
+def annotate_json(store: Store, path: str) -> Store:
+    """store with the annotations of a file: a JSON array of annotations, or one of them."""
+    return _annotations_of(store, store.spark.read.text(path, wholetext=True).select(F.col("value").alias("t")))
+
+
+def annotate_json_text(store: Store, text: str) -> Store:
+    """As annotate_json, of a text."""
+    return _annotations_of(store, store.spark.createDataFrame([(text,)], "t string"))
+
+
+def _annotations_of(store: Store, rows: DataFrame) -> Store:
+    listed = F.when(F.ltrim("t").startswith("["), F.col("t")).otherwise(F.concat(F.lit("["), "t", F.lit("]")))
+    parsed = rows.select(F.from_json(F.concat(F.lit('{"annotations":'), listed, F.lit("}")), JSON).alias("j"))
+    return _from_json(store.spark, parsed.select(F.lit(ROOT).cast("long").alias("ss"), F.lit("").alias("place"), "j.*"), "", store)
 
 
 def _add_sets(store: Store, sets: DataFrame) -> Store:
@@ -190,24 +255,33 @@ def json_annotations(store: Store) -> DataFrame:
     return rows.select("a", F.concat(F.lit('{"@type":"Annotation",'), name, F.lit('"target":'), target, F.lit(',"data":['), F.coalesce("data", F.lit("")), F.lit("]}")).alias("json"))
 
 
+def json_data(rows: DataFrame) -> DataFrame:
+    """set, data, json: rows of named_data in the exchange format of a set's data."""
+    name = F.when(F.col("id").isNotNull(), F.concat(F.lit('"@id":'), includes.quoted(F.col("id")), F.lit(","))).otherwise(F.lit(""))
+    return rows.select("set", "data", F.concat(F.lit("{"), name, F.lit('"key":'), includes.quoted(F.col("key_id")), F.lit(',"value":'), json_value(F.col("value")), F.lit("}")).alias("json"))
+
+
+def json_sets(store: Store) -> DataFrame:
+    """set, json: sets with their keys and data in the exchange format, each in one row."""
+    listed = lambda df, n: df.groupBy("set").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n, "json"))), lambda x: x["json"]), ",").alias(f"{n}s"))
+    keys = store.keys.select("set", "key", F.concat(F.lit('{"@id":'), includes.quoted(F.col("id")), F.lit("}")).alias("json"))
+    own = store.datasets.select("set")
+    sets = store.datasets.join(listed(keys.join(own, "set"), "key"), "set", "left").join(listed(json_data(store.named_data().join(own, "set")), "data"), "set", "left")
+    head = F.concat(F.lit('{"@type":"AnnotationDataSet","@id":'), includes.quoted(includes.named(F.col("id"), "S", "set")))
+    return sets.select("set", F.concat(head, F.lit(',"keys":['), F.coalesce("keys", F.lit("")), F.lit('],"data":['), F.coalesce("datas", F.lit("")), F.lit("]}")).alias("json"))
+
+
 def save_json(store: Store, path: str, id: str = "store") -> None:
-    """One JSON document as the lines of a directory of part files in order; concatenated they are the document, and load_json reads the directory.
+    """One JSON document with all that is in the store, as a directory of part files in order; concatenated they are the document, and load_json reads the directory.
 
-    Each item is a line, so that no task holds more than a line.
+    Each item is a row, so that no task holds more than one at a time.
     """
-    head = store.spark.createDataFrame([(0, 0, '{"@type":"AnnotationStore","@id":"' + id + '","resources":['), (2, 0, '],"annotationsets":['), (4, 0, '],"annotations":['), (6, 0, "]}")], "part int, n long, json string")
-    res = store.resources.select(F.lit(1).alias("part"), F.col("res").alias("n"), F.to_json(F.struct(F.lit("TextResource").alias("@type"), F.coalesce("id", F.concat(F.lit("!R"), F.col("res").cast("string"))).alias("@id"), "text")).alias("json"))
-    keys = store.keys.groupBy("set").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("key", "id"))), lambda x: F.struct(x["id"].alias("@id")))).alias("keys"))
-    one = F.concat(F.lit("{"), F.when(F.col("id").isNotNull(), F.concat(F.regexp_replace(F.to_json(F.struct(F.col("id").alias("@id"))), r"^\{|\}$", ""), F.lit(","))).otherwise(F.lit("")), F.regexp_replace(F.to_json(F.struct(F.col("key_id").alias("key"))), r"^\{|\}$", ""), F.lit(',"value":'), json_value(F.col("value")), F.lit("}"))
-    data = store.named_data().groupBy("set").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("data", one.alias("j")))), lambda x: x["j"]), ",").alias("data"))
-    sets = store.datasets.join(keys, "set", "left").join(data, "set", "left").select(F.lit(3).alias("part"), F.col("set").alias("n"), F.concat(F.lit('{"@type":"AnnotationDataSet",'), F.regexp_replace(F.to_json(F.struct(F.coalesce("id", F.concat(F.lit("!S"), F.col("set").cast("string"))).alias("@id"))), r"^\{|\}$", ""), F.lit(',"keys":'), F.coalesce("keys", F.lit("[]")), F.lit(',"data":['), F.coalesce("data", F.lit("")), F.lit("]}")).alias("json"))
-    anns = json_annotations(store).select(F.lit(5).alias("part"), F.col("a").alias("n"), "json")
-    items = None
-    for df in (res, sets, anns):
-        first = df.agg(F.min("n").alias("_first"))
-        df = df.crossJoin(F.broadcast(first)).select("part", "n", F.concat(F.when(F.col("n") == F.col("_first"), "").otherwise(","), F.col("json")).alias("json"))  # one row
-        items = df if items is None else items.unionByName(df)
-    head.unionByName(items).repartitionByRange(8, "part", "n").sortWithinPartitions("part", "n").select("json").write.mode("overwrite").text(path)
+    plain = lambda df: df.withColumn("filename", F.lit(None).cast("string"))
+    flat = store.with_tables(resources=plain(store.resources), datasets=plain(store.datasets), substores=plain(store.substores))
+    rows = settled(includes.lines(flat, "", id))
+    parts = max(1, -(-rows.count() // includes.ROWS), store.spark.sparkContext.defaultParallelism)
+    rows = rows.repartitionByRange(parts, "list", "n", "m").sortWithinPartitions("list", "n", "m")
+    rows.select("line").write.mode("overwrite").option("lineSep", "}").text(path)
 
 
 # --- CSV -----------------------------------------------------------------------------------------------------------
@@ -275,12 +349,12 @@ def builders_from_csv(rows: DataFrame) -> DataFrame:
 
 def load_csv(spark: SparkSession, path: str) -> Store:
     """A store that save_csv has written, or one with files: the manifest's first row is the store, then sets and resources."""
-    read = lambda name: spark.read.option("header", True).option("escape", '"').csv(_beside(f"{path}/x", name))
+    read = lambda name: spark.read.option("header", True).option("escape", '"').csv(includes.beside(path, name))
     manifest = read("manifest").collect()  # a line per file
     store = Store.empty(spark)
     for r in manifest:
         if r["Type"] == "TextResource":
-            texts = spark.read.parquet(f"{path}/{r['Filename']}") if not r["Id"] else read_texts(spark, _beside(f"{path}/x", r["Filename"])).withColumn("id", F.lit(r["Id"]))
+            texts = spark.read.parquet(f"{path}/{r['Filename']}") if not r["Id"] else read_texts(spark, includes.beside(path, r["Filename"])).withColumn("id", F.lit(r["Id"]))
             store = mutations.add_resources(store, texts.select("id", "text"))
         elif r["Type"] == "AnnotationDataSet":
             rows = read(r["Filename"])
@@ -298,4 +372,4 @@ def save_web_annotations(store: Store, path: str, **options) -> None:
     web_annotations(store, store.annotations, **options).orderBy("a").select("json").write.mode("overwrite").text(path)
 
 
-__all__ = ["builders_from_csv", "csv_annotations", "csv_dataset", "json_annotations", "json_value", "load_csv", "load_json", "load_json_text", "load_parquet", "read_texts", "save_csv", "save_json", "save_parquet", "save_web_annotations", "typed_value", "value", "write_text"]
+__all__ = ["annotate_json", "annotate_json_text", "builders_from_csv", "csv_annotations", "csv_dataset", "json_annotations", "json_value", "load_csv", "load_dataset", "load_dataset_text", "load_json", "load_json_text", "load_parquet", "read_texts", "save_csv", "save_json", "save_parquet", "save_web_annotations", "typed_value", "value", "write_text"]

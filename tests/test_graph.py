@@ -46,16 +46,6 @@ def test_spans_over_the_borders_of_pieces(spark):
     assert sorted((r.begin, r.end, r.text) for r in out) == sorted((b, e, text[b:e]) for _, b, e in spans)
 
 
-def test_json_lines_are_items(spark, tmp_path):
-    """The lines of save_json, in any order, as documents of one item each."""
-    lines = ['{"@type":"AnnotationStore","@id":"store","resources":[', '{"@type":"TextResource","@id":"r","text":"some text"}', '],"annotationsets":[', '{"@type":"AnnotationDataSet","@id":"s","keys":[],"data":[]}', '],"annotations":[', '{"@type":"Annotation","@id":"x","target":{"@type":"ResourceSelector","resource":"r"},"data":[]}', ',{"@type":"Annotation","@id":"y","target":{"@type":"AnnotationSelector","annotation":"x"},"data":[]}', "]}"]
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{tmp_path}/store")
-    rows = stores._read_lines(spark, f"{tmp_path}/store").collect()
-    assert len(rows) == 4
-    assert sorted(x["@id"] for r in rows for x in r["annotations"] or []) == ["x", "y"]
-    assert [x["text"] for r in rows for x in r["resources"] or []] == ["some text"]
-
-
 def test_helpers_are_defined_once():
     """Queries call helpers when they run: a second one of the same name would take the first one's place."""
     names = Counter(x.name for x in ast.parse(inspect.getsource(graph_catalogue)).body if isinstance(x, ast.FunctionDef))
