@@ -157,14 +157,12 @@ def _with_targets(store: Store, t: DataFrame) -> Store:
 
 def remove_annotations(store: Store, annotations: DataFrame) -> Store:
     """Without annotations (a) and all that target them, directly or not."""
-    edges = store.targets.filter("target_a is not null").select(F.col("a").alias("by"), F.col("target_a").alias("a")).distinct()
-    gone = new = annotations.select("a").distinct()
-    while True:
-        new = edges.join(new, "a", "left_semi").select(F.col("by").alias("a")).distinct().join(gone, "a", "left_anti")
-        new = settled(new)
-        if new.isEmpty():
-            break
-        gone = gone.unionByName(new)
+    from spanloom.operators.traversals import reachable
+
+    edges = store.targets.filter("target_a is not null").select(F.col("target_a").alias("src"), F.col("a").alias("dst"))
+    asked = settled(annotations.select("a").distinct())
+    above = reachable(edges, asked.select(F.lit(0).alias("seed"), F.col("a").alias("at"))).select(F.col("at").alias("a"))
+    gone = asked.unionByName(above).distinct()
     keep = lambda df: df.join(gone, "a", "left_anti")
     targets = keep(store.targets).select(store.targets.columns)
     used = targets.filter("ts is not null").select("res", "ts").distinct()

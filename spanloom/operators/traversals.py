@@ -14,21 +14,40 @@ from spanloom.functions.values import test
 from spanloom.model import ANNOTATION, DATA, DATASET, KEY, RESOURCE, ROOT, TEXT, Store, settled
 
 
-def closure(store: Store, annotations: DataFrame) -> DataFrame:
-    """(a, target_a): annotations and those that they target, directly or through others, without themselves unless in a ring.
+#: Steps that are taken one by one before they double.
+STEPS = 4
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, at): what can be reached from seeds (seed, at) over edges (src, dst) in one step or more. The seeds' own places are there if a ring leads back.
 
-    Each round joins what is known with itself, so that chains of any length take as many rounds as their length has
-    binary digits; it ends when nothing is new.
+    The frontier of new pairs is joined to the edges, and pairs that are known are left out, so that nothing is read but what the seeds reach. What is deeper than
+    STEPS is then reached in strides that double: in each round what is known takes a stride, and strides are joined to strides of twice the length. A chain thus takes as many rounds as
+    its length has binary digits; a round's strides are at most pairs of places just that far apart. It ends when nothing is new.
     """
-    reach = settled(store.targets.filter(F.col("target_a").isNotNull()).select("a", "target_a").distinct())
-    known = reach.count()
-    while known:
-        further = reach.join(reach.select(F.col("a").alias("target_a"), F.col("target_a").alias("_next")), "target_a").select("a", F.col("_next").alias("target_a"))
-        reach = settled(reach.unionByName(further).distinct())
-        before, known = known, reach.count()
-        if known == before:
-            break
-    return reach.join(annotations.select("a").distinct(), "a", "left_semi")
+    edges = settled(edges.select("src", "dst").distinct())
+    stride = lambda pairs, steps: pairs.join(steps, pairs["at"] == steps["src"]).select("seed", F.col("dst").alias("at")).distinct()
+    known = new = settled(stride(seeds.select("seed", "at").distinct(), edges))
+    for _ in range(STEPS - 1):
+        new = settled(stride(new, edges).join(known, ["seed", "at"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known = known.unionByName(new)
+    doubled = lambda steps: settled(steps.join(steps.select(F.col("src").alias("dst"), F.col("dst").alias("_far")), "dst").select("src", F.col("_far").alias("dst")).distinct())
+    steps, length = edges, 1
+    while length < STEPS:
+        steps, length = doubled(steps), 2 * length
+    while True:
+        new = settled(stride(known, steps).join(known, ["seed", "at"], "left_anti"))
+        if new.isEmpty():
+            return known
+        known, steps = settled(known.unionByName(new)), doubled(steps)
+
+
+def closure(store: Store, annotations: DataFrame) -> DataFrame:
+    """(a, target_a): annotations and those that they target, directly or through others, without themselves unless in a ring. Only what the asked ones reach is followed."""
+    edges = store.targets.filter(F.col("target_a").isNotNull()).select(F.col("a").alias("src"), F.col("target_a").alias("dst"))
+    return reachable(edges, annotations.select(F.col("a").alias("seed"), F.col("a").alias("at"))).select(F.col("seed").alias("a"), F.col("at").alias("target_a"))
 
 
 def annotation_targets(store: Store, annotations: DataFrame, transitive: bool = False) -> DataFrame:
