@@ -39,7 +39,7 @@ def register(name: str, sql: str | None = None, line: bool = False, word: bool =
 
 def _all() -> None:
     """Have the other modules' queries registered too."""
-    from spanloom.plans import graph_catalogue, pattern_catalogue, source_catalogue  # noqa: F401
+    from spanloom.plans import graph_catalogue, language_catalogue, pattern_catalogue, source_catalogue  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,13 +1,15 @@
 """Compiles queries to one DataFrame plan.
 
-A level of a query is a DataFrame with the handles of its item and of its ancestors, `<level>_<handle>`. A constraint on a
-variable is a join on the ancestor's handles and never a loop. Siblings are a union of rows; a parent without a row below
+A query and each of its subqueries is a node, numbered from 0 in the order in which they stand. The rows of a node are a DataFrame with the handles of its
+item and of its ancestors, `<node>_<handle>`. A constraint on a variable is a join on the ancestor's handles and never a loop; it is evaluated for the handles that the
+ancestor's rows have, not for all items. Siblings are a union of rows, each with the columns of its own nodes; a parent without a row below
 is dropped, unless its last subquery is optional. Order is not part of a result; LIMIT uses the order of handles (textual
 order for spans), per parent row.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.spans import Relation
 from spanloom.functions.text import find
 from spanloom.functions.values import test
-from spanloom.model import ANNOTATION, DATASET, KEY, RESOURCE, TEXT, Store, value
+from spanloom.model import ANNOTATION, DATASET, KEY, RESOURCE, TEXT, Store, settled, value
 from spanloom.model import DATA as DATA_KIND
 from spanloom.operators import collections, filters, mutations, related, scans, traversals
 from spanloom.plans.query import Constraint, Query, parse
@@ -34,50 +36,77 @@ class Compiler:
     # --- levels ---
 
     def select(self, q: Query) -> DataFrame:
-        rows = self._level(q, None, [])
-        return rows
+        return self._level(q, 0, None, [])
 
-    def _level(self, q: Query, parent: DataFrame | None, above: list[tuple[str | None, str]]) -> DataFrame:
-        here = len(above)
+    def _level(self, q: Query, here: int, parent: DataFrame | None, above: list[tuple[str | None, str, int]]) -> DataFrame:
         keys = [f"{here}_{h}" for h in HANDLES[q.type]]
-        frame = self._items(q, parent, above)
+        frame = self._items(q, here, parent, above)
         frame = frame.select(*(parent.columns if parent is not None else []), *keys)
         if not q.subqueries:
             return frame
-        below = [*above, (q.name, q.type)]
-        parts = [self._level(s, frame, below) for s in q.subqueries]
+        frame = settled(frame)  # subqueries read it as their domain and as their parents
+        below = [*above, (q.name, q.type, here)]
+        parts, node = [], here + 1
+        for s in q.subqueries:
+            parts.append(self._level(s, node, frame, below))
+            node += len(list(nodes(s)))
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         if q.subqueries[-1].optional:
             on = frame.columns
-            rows = rows.unionByName(frame.join(rows.select(*on).distinct(), on, "left_anti"), allowMissingColumns=True)
+            kept = rows.select(*[F.col(c).alias(f"_{c}") for c in on]).distinct()
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on])
+            rows = rows.unionByName(frame.join(kept, same, "left_anti"), allowMissingColumns=True)
         return rows
 
-    def _items(self, q: Query, parent: DataFrame | None, above) -> DataFrame:
-        """The level's items joined to their parents, by all constraints in their order."""
-        here, handles = len(above), HANDLES[q.type]
+    def _items(self, q: Query, here: int, parent: DataFrame | None, above) -> DataFrame:
+        """The items of node here joined to their parents, by all constraints in their order."""
+        handles = HANDLES[q.type]
         mine = {h: f"{here}_{h}" for h in handles}
         rename = lambda df: df.select(*[F.col(c).alias(mine.get(c, c)) for c in df.columns])
+
+        def start(c: Constraint) -> DataFrame:
+            if self._mixed(c, above):
+                return reduce(lambda a, b: a.unionByName(b), map(start, c.parts)).distinct()
+            pairs, x = self._pairs(q.type, c, above, parent)
+            frame = rename(pairs).distinct()
+            if parent is None:
+                return frame
+            return parent.join(frame, x) if x else parent.crossJoin(frame)
+
+        def narrowed(frame: DataFrame, c: Constraint) -> DataFrame:
+            if self._mixed(c, above):
+                return reduce(lambda a, b: a.unionByName(b), [narrowed(frame, p) for p in c.parts]).distinct()
+            pairs, x = self._pairs(q.type, c, above, parent)
+            return frame.join(rename(pairs).distinct(), [*x, *mine.values()], "left_semi")
+
         todo = list(q.constraints)
         # A constraint on an ancestor goes first, as long as no LIMIT comes before it: then nothing is multiplied out.
         before_limit = next((i for i, c in enumerate(todo) if c.kind == "LIMIT"), len(todo))
-        lead = next((i for i in range(before_limit) if todo[i].var and self._place(todo[i].var, above) is not None), None)
+        lead = next((i for i in range(before_limit) if None not in self._places(todo[i], above)), None)
         if lead is not None:
             todo.insert(0, todo.pop(lead))
         if todo and todo[0].kind != "LIMIT":
-            pairs, x = self._pairs(q.type, todo.pop(0), above)
+            frame = start(todo.pop(0))
         else:
-            pairs, x = self._all(q.type), []
-        frame = rename(pairs).distinct()
-        if parent is not None:
-            frame = parent.join(frame, x) if x else parent.crossJoin(frame)
+            frame = rename(self._all(q.type)).distinct()
+            frame = parent.crossJoin(frame) if parent is not None else frame
         for c in todo:
             if c.kind == "LIMIT":
                 frame = collections.limit(frame, *c.arg, [mine[h] for h in handles], parent.columns if parent is not None else None)
-                continue
-            pairs, x = self._pairs(q.type, c, above)
-            frame = frame.join(rename(pairs).distinct(), [*x, *mine.values()], "left_semi")
+            else:
+                frame = narrowed(frame, c)
         return frame
 
+    def _places(self, c: Constraint, above) -> set[int | None]:
+        """The ancestors that a constraint is on; None stands for no ancestor."""
+        if c.kind == "UNION":
+            return set().union(*(self._places(p, above) for p in c.parts))
+        return {self._place(c.var, above) if c.var else None}
+
+    def _mixed(self, c: Constraint, above) -> bool:
+        """Whether a union's parts are on different variables, so that they have no columns in common."""
+        return c.kind == "UNION" and len(self._places(c, above)) > 1
+
     def _all(self, kind: str) -> DataFrame:
         if kind == "TEXT":
             return self.store.textselections.select("res", "begin", "end")
@@ -90,20 +119,17 @@ class Compiler:
         """Type, handles if the variable comes from outside, and the prefix of its columns otherwise."""
         at = self._place(var, above)
         if at is not None:
-            return above[at][1], None, f"{at}_"
+            return above[at][1], None, f"{above[at][2]}_"
         if var in self.context:
             return *self.context[var], ""
         raise KeyError(f"unknown variable ?{var}")
 
     # --- constraints ---
 
-    def _pairs(self, kind: str, c: Constraint, above) -> tuple[DataFrame, list[str]]:
-        """Items of a type that meet a constraint, and the ancestor's columns beside them if it is on a variable."""
+    def _pairs(self, kind: str, c: Constraint, above, parent: DataFrame | None) -> tuple[DataFrame, list[str]]:
+        """Items of a type that meet a constraint, and the ancestor's columns beside them if it is on a variable, for those of the ancestor's items that parent has."""
         if c.kind == "UNION":
-            found = [self._pairs(kind, p, above) for p in c.parts]
-            columns = {tuple(x) for _, x in found}
-            if len(columns) > 1:
-                raise NotImplementedError("the parts of a union have to be about the same variable")
+            found = [self._pairs(kind, p, above, parent) for p in c.parts]
             return reduce(lambda a, b: a.unionByName(b), [f for f, _ in found]), found[0][1]
         if not c.var:
             return self._of(kind, c, self._literal(c)).select(*HANDLES[kind]), []
@@ -111,12 +137,9 @@ class Compiler:
         if known is not None:
             return self._of(kind, c, (source, known)).select(*HANDLES[kind]), []
         columns = [f"{prefix}{h}" for h in HANDLES[source]]
-        domain = self._domain(source)
-        found = self._of(kind, c, (source, domain.select(*[F.col(h) for h in HANDLES[source]], *[F.col(h).alias(n) for h, n in zip(HANDLES[source], columns, strict=True)])), columns)
-        return found.select(*columns, *HANDLES[kind]), columns
-
-    def _domain(self, kind: str) -> DataFrame:
-        return self._all(kind)
+        domain = parent.select(*columns).dropna().distinct()
+        items = domain.select(*[F.col(n).alias(h) for h, n in zip(HANDLES[source], columns, strict=True)], *columns)
+        return self._of(kind, c, (source, items), columns).select(*columns, *HANDLES[kind]), columns
 
     def _literal(self, c: Constraint) -> tuple[str, DataFrame] | None:
         table = {"ANNOTATION": "annotations", "RESOURCE": "resources", "DATASET": "datasets"}.get(c.kind)
@@ -131,6 +154,8 @@ class Compiler:
             return scans.lookup(s, _TABLE[kind], c.arg[0])
         if c.kind == "SUBSTORE":
             item = {"ANNOTATION": "annotation", "RESOURCE": "resource", "DATASET": "dataset"}[kind]
+            if c.var:
+                return traversals.members(s, source[1], item).select(F.col("item").alias(HANDLES[kind][0]))
             ss = None if not c.arg else scans.lookup(s, "substores", c.arg[0]).select("ss").first()
             return filters.in_substore(s, self._all(kind), HANDLES[kind][0], item, None if not c.arg else ss["ss"] if ss else -2)
         if c.kind == "VALUE" or c.kind == "DATA" and not c.var:
@@ -139,6 +164,11 @@ class Compiler:
         if c.kind == "TEXT" and not c.var:
             return self._by_text(kind, c)
         what, items = source
+        if c.op is not None and what == "KEY":
+            data = items.join(s.data.select("set", "key", "data", "value"), ["set", "key"]).filter(test(F.col("value"), c.op)).drop("value")
+            return data if kind in ("DATA", "KEY") else self._by_data(kind, data, meta, keep)
+        if c.kind == "DATA" and what == "KEY":
+            return self._of(kind, replace(c, kind="KEY"), source, keep)
         if c.kind == "DATA":
             return self._by_data(kind, items, meta, keep)
         if c.kind == "KEY":
@@ -248,35 +278,90 @@ class Compiler:
         return self._by_span(kind, spans, [])
 
 
-def columns(q: Query, above: int = 0) -> dict[str, list[str]]:
-    """By variable (or level) the columns of a result."""
-    out = {q.name or str(above): [f"{above}_{h}" for h in HANDLES[q.type]]}
-    for sub in q.subqueries:
-        out |= columns(sub, above + 1)
+def nodes(q: Query, depth: int = 0):
+    """(query, depth) of a query and all below it, in the order in which they stand."""
+    yield q, depth
+    for s in q.subqueries:
+        yield from nodes(s, depth + 1)
+
+
+def _names(q: Query) -> dict[int, str]:
+    """What each node is called: its variable; nodes without one by their depth, and if there are several of a depth, by their number too."""
+    out, unnamed = {}, {}
+    for i, (x, depth) in enumerate(nodes(q)):
+        if x.name:
+            out[i] = x.name
+        else:
+            n = unnamed[depth] = unnamed.get(depth, 0) + 1
+            out[i] = str(depth) if n == 1 else f"{depth}n{n}"
+    return out
+
+
+def columns(q: Query) -> dict[str, list[str]]:
+    """By variable (or depth) the columns of a result. Siblings that share a variable share its columns, as far as they are of one type."""
+    out: dict[str, list[str]] = {}
+    for name, (x, _) in zip(_names(q).values(), nodes(q), strict=True):
+        known = out.setdefault(name, [])
+        known += [c for h in HANDLES[x.type] if (c := f"{name}_{h}") not in known]
     return out
 
 
 def run(store: Store, text: str | Query, context: dict | None = None) -> DataFrame:
-    """The rows of a SELECT: a column `<variable>_<handle>` for each handle of each level; unnamed levels by their number."""
+    """The rows of a SELECT: a column `<variable>_<handle>` for each handle of each node; nodes without a variable by their depth.
+
+    A row has values for the nodes on one way down; those of siblings are null in it.
+    """
     q = parse(text) if isinstance(text, str) else text
     if q.verb != "SELECT":
         raise ValueError("ADD and DELETE are done by change()")
     rows = Compiler(store, context).select(q)
-    # Siblings share a level; a row has one of them. Their columns get the names of those variables that are there.
-    names = _names(q)
-    out = []
+    names, merged = _names(q), {}
     for c in rows.columns:
-        level, handle = c.split("_", 1)
-        out.append(F.col(c).alias(f"{names.get(int(level), level)}_{handle}"))
-    return rows.select(*out)
+        node, handle = c.split("_", 1)
+        merged.setdefault(f"{names[int(node)]}_{handle}", []).append(F.col(c))
+    return rows.select(*[(F.coalesce(*x) if len(x) > 1 else x[0]).alias(n) for n, x in merged.items()])
 
 
-def _names(q: Query, level: int = 0) -> dict[int, str]:
-    out = {level: q.name} if q.name else {}
-    for s in q.subqueries:
-        for k, v in _names(s, level + 1).items():
-            out.setdefault(k, v)
-    return out
+#: All handles that an item of any type can have.
+ITEM = {"a": "bigint", "res": "bigint", "begin": "int", "end": "int", "set": "bigint", "data": "bigint", "key": "bigint"}
+
+
+def bindings(store: Store, text: str | Query, context: dict | None = None) -> DataFrame:
+    """The rows of a SELECT with a struct for each variable: its type and the handles of ITEM; null where a row has no such item."""
+    q = parse(text) if isinstance(text, str) else text
+    rows, names = run(store, q, context), _names(q)
+    types: dict[str, list[str]] = {}
+    for i, (x, _) in enumerate(nodes(q)):
+        if x.type not in types.setdefault(names[i], []):
+            types[names[i]].append(x.type)
+    # The type with most handles first: siblings of one variable may have types that share some.
+    own = lambda name, kind: [F.col(f"`{name}_{h}`") for h in HANDLES[kind]]
+
+    def bound(name: str):
+        kinds = sorted(types[name], key=lambda k: -len(HANDLES[k]))
+        kind = F.coalesce(*[F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in own(name, k)]), F.lit(k)) for k in kinds])
+        present = {h for k in kinds for h in HANDLES[k]}
+        item = F.struct(kind.alias("type"), *[(F.col(f"`{name}_{h}`") if h in present else F.lit(None)).cast(t).alias(h) for h, t in ITEM.items()])
+        return F.when(kind.isNotNull(), item).alias(name)
+
+    return rows.select(*map(bound, types))
+
+
+def bound_to(rows: DataFrame, name: str | None = None, last: bool = False):
+    """Of rows of bindings the item of a variable, or else the first or the last one that a row has."""
+    if name is not None:
+        if name not in rows.columns:
+            raise KeyError(f"unknown variable ?{name}")
+        return F.col(f"`{name}`")
+    order = rows.columns[::-1] if last else rows.columns
+    return F.coalesce(*[F.col(f"`{c}`") for c in order])
+
+
+def from_bindings(rows: DataFrame, name: str, kind: str) -> dict[str, tuple[str, DataFrame]]:
+    """Items of a type that rows of bindings have in a variable, as context for another query."""
+    item = bound_to(rows, name)
+    found = rows.filter(item["type"] == kind).select(*[item[h].alias(h) for h in HANDLES[kind]]).distinct()
+    return {name: (kind, found)}
 
 
 def change(store: Store, text: str | Query, context: dict | None = None) -> Store:
