@@ -5,7 +5,7 @@ elements whose end tags may be left out are closed by what follows them, wrong e
 list items get their place. As in browsers, what can't stand in a table, its sections and rows stands before the table, and
 cells, rows and sections are lifted out of elements that open between them and the table. The tree is rendered with block spacing (a blank line around paragraphs, headings, lists,
 tables; a new line for other blocks), bullets and numbers of lists, indented nested lists, tables with their cells in
-aligned columns, preformatted text as it is, and character references decoded.
+aligned columns (up to COLUMN and ALIGNED characters; what is wider is kept and pushes the rest of its line on), preformatted text as it is, and character references decoded.
 
 Not visible: head, script, style, template, noscript (scripting is taken to be on), and other elements that don't show
 text; what isn't drawn of svg (all but text and foreignObject) and the annotations of math; the attributes hidden, aria-hidden="true" and type="hidden"; inline styles display:none and visibility:hidden;
@@ -16,14 +16,14 @@ Null or empty html has an empty text and no blocks. Damaged html never fails: wh
 should be numbers count up to the first other character. Nesting has no limit: neither the tree nor the rendering recurses, nested tables
 are rendered from the inside out. Rows are rendered alone, so equal rows are equal, and repeated or null ids mean nothing; an empty
 table gives an empty result. Long pages are rendered whole, in runs of about a megabyte of html or one page. Columns of pages
-with the names of the results (text, n_chars, n_lines, n_blocks) give way to them; all others but html are carried along.
+with the names of the results (text, n_chars, n_lines, n_blocks) in any case give way to them; all others but html are carried along.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass, field
 from unicodedata import east_asian_width
 
@@ -34,6 +34,8 @@ from spanloom.llm.shared import slices
 
 # The most columns and rows that a cell can span in HTML.
 COLUMNS, ROWS = 1000, 65534
+#: Lines of a cell that are wider don't widen its column, and no column is moved further to the right: a row gets so many blanks at most, however wide cells are.
+COLUMN, ALIGNED = 80, 240
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript plaintext".split())
@@ -143,37 +145,33 @@ def build(source: str) -> Node:
     """The tree of source under one root."""
     root = Node("#root")
     stack = [root]
-    opened: Counter[str] = Counter()  # how many elements of a tag are in the stack: what isn't there isn't looked for
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # the places in the stack of the open elements of a tag: nothing is looked for step by step
 
     def push(node: Node) -> None:
+        opened[node.tag].append(len(stack))
         stack.append(node)
-        opened[node.tag] += 1
 
     def cut(i: int) -> None:
         """Close the i-th open element and what is open in it."""
-        opened.subtract(x.tag for x in stack[i:])
+        for x in stack[i:]:
+            opened[x.tag].pop()
         del stack[i:]
 
+    def nearest(tags) -> int:
+        """The place of the innermost open element of tags; 0 if there is none."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
+
     def close(tags, walls) -> None:
         """Close the open elements of tags (of P the nearest one), with what is open in them, unless a wall stands before."""
-        while any(opened[t] for t in tags):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in tags:
-                    cut(i)
-                    break
-                if stack[i].tag in walls:
-                    return
+        while (i := nearest(tags)) > nearest(walls):
+            cut(i)
             if tags is P:
                 return
 
     def frame() -> int:
         """The place of the table in the stack whose frame (and no cell or caption of it) is the nearest around; 0 if none."""
-        for i in range(len(stack) - 1, 0, -1) if opened["table"] else ():
-            if stack[i].tag == "table":
-                return i
-            if stack[i].tag in ("td", "th", "caption", "template"):
-                return 0
-        return 0
+        i = nearest(("table",))
+        return i if i > nearest(("td", "th", "caption", "template")) else 0
 
     def put(child) -> None:
         """Add child to the open element, or before the table if that is a frame of one."""
@@ -225,15 +223,11 @@ def build(source: str) -> Node:
             put(Node("br"))
         elif what == "p" and not opened["p"]:
             put(Node("p"))
-        elif opened[what] or what in HEADINGS and any(opened[h] for h in HEADINGS):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == what or what in HEADINGS and stack[i].tag in HEADINGS:
-                    cut(i)
-                    break
-                if stack[i].tag in WALLS and what not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "template"):
-                    break
-                if stack[i].tag == "table" and what != "table":
-                    break
+        else:
+            own = HEADINGS if what in HEADINGS else {what}
+            walls = WALLS if what not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "template") else {"table"} if what != "table" else frozenset()
+            if (i := nearest(own)) > nearest(walls - own):
+                cut(i)
     return root
 
 
@@ -350,30 +344,39 @@ def _number(node: Node, name: str, default: int, least: int = -(2**31), most: in
 
 
 def table_lines(table: Node) -> list[str]:
-    """The rows of a table with their cells in aligned columns, joined by two blanks; a cell may have several lines."""
+    """The rows of a table with their cells in aligned columns, joined by two blanks; a cell may have several lines. Blanks are in proportion to the rows."""
     grid: list[list[tuple[int, int, list[str]]]] = []
-    below: dict[int, int] = {}  # columns that a cell above still takes, and for how many rows
-    for row, rest in _rows(table):
-        line, at, taken = [], 0, dict(below)
-        for cell in _cells(row):
-            while taken.get(at, 0):
-                at += 1
+    above: list[tuple[int, int, int]] = []  # columns (from, to) that cells above take, and up to which row; by their first column
+    for number, (row, rest) in enumerate(_rows(table)):
+        line, at, passed, new = [], 0, 0, []
+        cells = _cells(row)
+        if cells:
+            above = [x for x in above if x[2] > number]
+        for cell in cells:
+            while passed < len(above) and above[passed][0] <= at:
+                at = max(at, above[passed][1])
+                passed += 1
             n = _number(cell, "colspan", 1, 1, COLUMNS)
             line.append((at, n, render(cell).split("\n")))
             down = min(_number(cell, "rowspan", 1, 0, ROWS) or rest, rest)
-            for k in range(at, at + n):
-                below[k] = max(below.get(k, 0), down)
+            if down > 1:
+                if new and new[-1][1:] == (at, number + down):
+                    new[-1] = (new[-1][0], at + n, number + down)
+                else:
+                    new.append((at, at + n, number + down))
             at += n
-        below = {k: v - 1 for k, v in below.items() if v > 1}
+        if new:
+            above = sorted([*above, *new])
         grid.append(line)
     widths: dict[int, int] = {}
     for line in grid:
         for at, n, lines in line:
-            widths[at] = max(widths.get(at, 0), *(map(width, lines) if n == 1 else ()), 0)
+            own = [w for w in map(width, lines) if w <= COLUMN] if n == 1 else ()
+            widths[at] = max(widths.get(at, 0), *own, 0)
     places, x = {}, 0
-    for k in range(max([at for line in grid for at, _, _ in line], default=-1) + 1):
-        places[k] = x
-        x += widths[k] + 2 if k in widths else 0
+    for k in sorted(widths):
+        places[k] = min(x, ALIGNED)
+        x += widths[k] + 2
     out = []
     for line in grid:
         for i in range(max([len(lines) for _, _, lines in line], default=0)):
@@ -513,7 +516,7 @@ def extract(source: str | None) -> str:
 
 def render_pages(pages: DataFrame) -> DataFrame:
     """The columns of pages without html, with text, n_chars, n_lines and n_blocks (runs of lines between blank ones)."""
-    keep = [c for c in pages.columns if c not in ("html", "text", "n_chars", "n_lines", "n_blocks")]
+    keep = [c for c in pages.columns if c.lower() not in ("html", "text", "n_chars", "n_lines", "n_blocks")]
 
     def run(batches):
         for batch in batches:

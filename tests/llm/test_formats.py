@@ -293,3 +293,28 @@ def test_html_of_deep_pages():
     assert html.extract("<ul><li>" * 700 + "x").endswith("- x")
     assert html.extract("<svg><foreignObject>" * 900 + "x") == "x"
     assert html.extract("<p>" + "<b>" * 20_000 + "x<p>y") == "x\n\ny"
+
+
+def test_wide_cells_and_deep_nesting_take_time_and_room_in_proportion():
+    import time
+
+    rows = 20_000
+    n = 12_000
+    cases = {
+        "wide cell": ("<table><tr><td>" + "w " * 20_000 + "</td><td>b</td></tr>" + "<tr><td>a</td><td>b</td></tr>" * rows + "</table>", 3),
+        "options": ("<option><select>" + "<div>" * n + "<option></option>" * n, 1),
+        "spans": ("<table><tr>" + "<td colspan=1000 rowspan=0>" * 4_000 + "</tr>" + "<tr></tr>" * 40_000 + "</table>", 1),
+        "far cells": ("<table><tr>" + "<td colspan=1000 rowspan=0>x" * 2_000 + "</tr>" + "<tr><td>y</tr>" * 5_000 + "</table>", 20),
+    }
+    for name, (source, times) in cases.items():
+        began = time.time()
+        text = html.extract(source)
+        assert time.time() - began < 20 and len(text) <= times * len(source), name
+    assert html.extract(cases["wide cell"][0]).count("a  b\n") == rows - 1
+
+
+def test_pages_with_names_in_another_case(spark):
+    pages = spark.createDataFrame([(1, "<p>x", "mine", 5)], "page_id long, html string, Text string, N_CHARS int")
+    out = html.render_pages(pages)
+    assert out.columns == ["page_id", "text", "n_chars", "n_lines", "n_blocks"]
+    assert out.select("text").first()[0] == "x"

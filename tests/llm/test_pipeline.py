@@ -86,3 +86,13 @@ def test_mix_of_rows_that_repeat_an_id(spark):
     out = pipeline.mix_sources(spark, docs, SF)
     assert out.columns == docs.columns and out.count() >= 60
     assert pipeline.shard(spark, docs, SF).select("slot").distinct().count() == 2
+
+
+def test_names_in_another_case_are_kept(spark):
+    rows = [(i, f"some words of text {i}", "a", 9, 8, 7, 6) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, Shard int, SLOT int, input_shard int, N_Chars long")
+    out = pipeline.shard(spark, docs, "")
+    assert out.columns == ["doc_id", "text", "source", "input_input_shard", "input_slot", "input_shard", "N_Chars", "global_row", "shard", "slot"]
+    assert {(r.input_input_shard, r.input_slot, r.input_shard) for r in out.collect()} == {(9, 8, 7)}
+    mixed = pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns and all(r.N_Chars == len(r.text) for r in mixed.collect())
