@@ -2,7 +2,7 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Extra columns are carried along, whatever their names; the last stage
-keeps those that are called like its results as input_global_row, input_shard and input_slot.
+keeps those that are called like its results, in any case, as input_global_row, input_shard and input_slot.
 
 Null and empty texts are documents like others until the mix, which takes nothing of documents without words. Rows without an id can't be
 named: they are no near copy of others and no leak. Of rows that repeat an id one is kept. Empty tables give an empty result.
@@ -56,7 +56,7 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Who is taken whole keeps its text; otherwise the text is the taken blocks' words. n_chars is that of the new text.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "source")]
     packed = docs.select("doc_id", "text", "source", F.struct(*(others or [F.lit(0).alias("none")])).alias("others"))
     placed, slots = mixing.mix(packed, ["doc_id"], BLOCK)
     placed = materialize(placed, "placed")
@@ -79,15 +79,23 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.when(all_blocks, F.col("text")).otherwise(F.element_at(F.transform(F.array(words), join_blocks), 1))
     out = rows.withColumn("text", text)
     changed = {c: F.col("others").getField(c).alias(c) for c in others}
-    if "n_chars" in others:
-        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    for c in others:
+        if c.lower() == "n_chars":
+            changed[c] = F.length("text").cast(docs.schema[c].dataType).alias(c)
     return out.select(*[changed.get(c, F.col(c)) for c in docs.columns])
 
 
 def shard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns with global_row, shard and slot, in 40 shards."""
     results = ("global_row", "shard", "slot")
-    docs = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c in results})
+    taken = {c.lower() for c in docs.columns}
+    for c in docs.columns:
+        if c.lower() in results:
+            name = f"input_{c.lower()}"
+            while name in taken:
+                name = f"input_{name}"
+            taken.add(name)
+            docs = docs.withColumnRenamed(c, name)
     crc = fresh(docs, "crc")
     ordered = docs.withColumn(crc, F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
     return sharding.shard_rows(ordered, ["doc_id", crc], 40).select(*docs.columns, *results)
