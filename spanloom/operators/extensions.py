@@ -8,6 +8,8 @@ pivot and segment number to the other sides, and arithmetic.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,15 +143,79 @@ ON_ANNOTATION = ("generated", "generator", "motivation", "created", "creator")
 CONTEXT = "http://www.w3.org/ns/anno.jsonld"
 
 
-def web_annotations(store: Store, annotations: DataFrame, prefix: str = "urn:annotation:", resource_prefix: str = "urn:resource:", set_prefix: str = "urn:set:") -> DataFrame:
-    """a, json: one line of JSON-LD per annotation. Annotations that are about keys or data only have none."""
-    data = store.named_data().select("set", "data", "set_id", "key_id", display(F.col("value")).alias("shown"), "value")
+#: Namespaces and contexts that one output takes; all of them stand in each annotation's context.
+MOST_NAMES = 1000
+
+
+def auto_contexts(store: Store) -> list[str]:
+    """The ids of sets that are IRIs of JSON-LD contexts, in their order: names of sets only."""
+    named = F.col("id").endswith(".jsonld") | F.col("id").endswith(".json")
+    return _few(store.datasets.filter(named & is_iri(F.col("id"))).select("id").distinct().orderBy("id"))
+
+
+def namespaces_of(store: Store, least: int = 2, set_prefix: str = "urn:set:") -> dict[str, str]:
+    """By URI a short name for each namespace of keys: what stands before the last / or # of at least `least` of their IRIs. Found in one pass over the keys."""
+    keys = store.keys.join(store.datasets.select("set", F.col("id").alias("set_id")), "set").select(_predicate(F.col("set_id"), F.col("id"), set_prefix).alias("iri")).distinct()
+    uri = F.regexp_extract("iri", "^(.*[/#])[^/#]+$", 1)
+    found = keys.select(uri.alias("uri")).filter("uri != ''").groupBy("uri").count().filter(F.col("count") >= least).select("uri").orderBy("uri")
+    return {u: f"ns{i}" for i, u in enumerate(_few(found))}
+
+
+def _few(names: DataFrame) -> list[str]:
+    rows = names.limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} contexts or namespaces: pass those that are wanted")
+    return [r[0] for r in rows]
+
+
+def _predicate(set_id: Column, key_id: Column, set_prefix: str) -> Column:
+    """The IRI of a key: its own, or what it is called in its set."""
+    return F.when(is_iri(key_id), key_id).otherwise(F.concat(into_iri(set_id, set_prefix), F.lit("/"), key_id))
+
+
+def compacted(iri: Column, namespaces: dict[str, str]) -> Column:
+    """iri with the short name of the longest namespace that it begins with; as it is, if there is none."""
+    out = iri
+    for uri, name in sorted(namespaces.items(), key=lambda x: len(x[0])):
+        out = F.when(iri.startswith(uri), F.concat(F.lit(f"{name}:"), F.substr(iri, F.lit(len(uri) + 1)))).otherwise(out)
+    return out
+
+
+def value_alias(shown: Column, contexts: list[str]) -> Column:
+    """What stands behind the first of contexts, and / or #, that an IRI begins with; null if there is none."""
+    hits = [F.when(shown.startswith(f"{c}/") | shown.startswith(f"{c}#"), F.substr(shown, F.lit(len(c) + 2))) for c in contexts]
+    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+
+
+def context_json(contexts: list[str], namespaces: dict[str, str]) -> str:
+    """The value of @context: one IRI, or a list of IRIs with a table of namespaces behind them."""
+    if not contexts and not namespaces:
+        return json.dumps(CONTEXT)
+    extra = [c for c in contexts if c != CONTEXT]
+    table = [{name: uri for uri, name in namespaces.items()}] if namespaces else []
+    return json.dumps([CONTEXT, *extra, *table], separators=(",", ":"), ensure_ascii=False)
+
+
+def web_annotations(store: Store, annotations: DataFrame, prefix: str = "urn:annotation:", resource_prefix: str = "urn:resource:", set_prefix: str = "urn:set:", contexts: list[str] | None = None, namespaces: dict[str, str] | None = None, skip_context: bool = False) -> DataFrame:
+    """a, json: one line of JSON-LD per annotation. Annotations that are about keys or data only have none.
+
+    contexts: further JSON-LD contexts; keys of sets with such an id are written as they are, and values that are IRIs below one by what follows it. namespaces: short names by URI,
+    for the IRIs of keys. Both see auto_contexts and namespaces_of. Keys are compacted once each, not for each annotation.
+    """
+    contexts, namespaces = contexts or [], namespaces or {}
+    keys = store.keys.join(store.datasets.select("set", F.col("id").alias("set_id")), "set").select("set", "key", "set_id", F.col("id").alias("key_id"))
+    own = (F.col("set_id") == ANNO) & F.col("key_id").isin(*ON_ANNOTATION)
+    bare = own | F.col("set_id").isin(*contexts) & ~is_iri(F.col("key_id")) if contexts else own
+    full = _predicate(F.col("set_id"), F.col("key_id"), set_prefix)
+    keys = keys.select("set", "key", F.coalesce(own, F.lit(False)).alias("top"), F.when(bare, F.lit(False)).otherwise(is_iri(full)).alias("global"), F.when(bare, F.col("key_id")).otherwise(compacted(full, namespaces)).alias("predicate"))
+    data = store.data.join(keys, ["set", "key"]).select("set", "data", "top", "global", "predicate", display(F.col("value")).alias("shown"), "value")
     rows = store.annotation_data.join(annotations.select("a"), "a", "left_semi").join(data, ["set", "data"])
-    iri = F.when((F.col("set_id") == ANNO) & F.col("key_id").isin(*ON_ANNOTATION), F.col("key_id")).otherwise(F.concat(into_iri(F.col("set_id"), set_prefix), F.lit("/"), F.col("key_id")))
-    raw = F.when(F.col("value.vtype").isin("Int", "Float", "Bool", "Null"), F.col("shown")).otherwise(_json_string(F.col("shown")))
-    raw = F.when(~F.col("value.vtype").isin("Int", "Float", "Bool", "Null") & is_iri(F.col("shown")), F.concat(F.lit('{"id":'), _json_string(F.col("shown")), F.lit("}"))).otherwise(raw)
-    member = F.concat(_json_string(iri), F.lit(":"), raw)
-    top = (F.col("set_id") == ANNO) & F.col("key_id").isin(*ON_ANNOTATION)
+    top, shown = F.col("top"), F.col("shown")
+    alias = F.when(F.col("value.vtype") == "String", value_alias(shown, contexts))
+    linked = (F.col("value.vtype") == "String") & is_iri(shown) & F.col("global")
+    plain = F.when(F.col("value.vtype").isin("Int", "Float", "Bool", "Null"), shown).otherwise(_json_string(shown))
+    raw = F.when(alias.isNotNull() & is_iri(shown), _json_string(alias)).when(linked, F.concat(F.lit('{"id":'), _json_string(shown), F.lit("}"))).otherwise(plain)
+    member = F.concat(_json_string(F.col("predicate")), F.lit(":"), raw)
     ordered = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("pos", member.alias("m"))))), lambda x: x["m"]), ",")
     parts = rows.groupBy("a").agg(ordered(top).alias("tops"), ordered(~top).alias("bodies"))
     t = store.targets.join(annotations.select("a"), "a", "left_semi").join(store.resources.select("res", F.col("id").alias("rid")), "res", "left")
@@ -163,8 +229,9 @@ def web_annotations(store: Store, annotations: DataFrame, prefix: str = "urn:ann
     kind = F.when(F.col("_complex") == "DirectionalSelector", F.lit("List")).when(F.col("_complex") == "CompositeSelector", F.lit("Composite")).otherwise(F.lit("Independents"))
     shown = F.when(F.size("ts") == 1, F.get("ts", F.lit(0))).when(F.col("_complex") == "MultiSelector", F.concat(F.lit("["), F.array_join("ts", ","), F.lit("]"))).otherwise(F.concat(F.format_string('{"type":"%s","items":[', kind), F.array_join("ts", ","), F.lit("]}")))
     name = F.coalesce("id", F.concat(F.lit("!A"), F.col("a").cast("string")))
-    json = F.concat(F.lit('{"@context":"' + CONTEXT + '","id":'), _json_string(into_iri(name, prefix)), F.lit(',"type":"Annotation"'), F.when(F.col("tops") != "", F.concat(F.lit(","), F.col("tops"))).otherwise(F.lit("")), F.when(F.col("bodies") != "", F.concat(F.lit(',"body":{"type":"Dataset",'), F.col("bodies"), F.lit("}"))).otherwise(F.lit("")), F.lit(',"target":'), shown, F.lit("}"))
-    return joined.select("a", json.alias("json"))
+    opening = "{" if skip_context else '{"@context":' + context_json(contexts, namespaces) + ","
+    line = F.concat(F.lit(opening + '"id":'), _json_string(into_iri(name, prefix)), F.lit(',"type":"Annotation"'), F.when(F.col("tops") != "", F.concat(F.lit(","), F.col("tops"))).otherwise(F.lit("")), F.when(F.col("bodies") != "", F.concat(F.lit(',"body":{"type":"Dataset",'), F.col("bodies"), F.lit("}"))).otherwise(F.lit("")), F.lit(',"target":'), shown, F.lit("}"))
+    return joined.select("a", line.alias("json"))
 
 
 def _json_string(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions.spans import Relation
-from spanloom.operators import related, scans
+from spanloom.operators import extensions, related, scans
 from spanloom.plans import compiler
 from spanloom.plans.graph_catalogue import on_graph
 
@@ -91,3 +91,37 @@ for _name, (_condition, _relation) in _SIDES.items():
     on_graph(f"rel_any_{_name}", f"SELECT DISTINCT w.res, w.ts FROM g_sp l JOIN g_ts w ON w.res = l.res AND l.a % 16 IN (2, 8) AND {_condition} AND (l.b <> w.b OR l.e <> w.e)")(
         lambda g, r=_relation: related.related_text(g, g.spans().filter("a % 16 in (2, 8)"), r).select("res", "ts")
     )
+
+
+# --- JSON-LD with contexts and namespaces -------------------------------------------------------------------------------
+
+_SITE = "https://example.org"
+
+
+def _on_the_web(g):
+    """The graph with sets and sources that are IRIs: one set is a context, sources are names in it."""
+    ids = {"meta": f"{_SITE}/meta.jsonld", "labels": f"{_SITE}/labels"}
+    sets = g.datasets.replace(ids, subset=["id"])
+    names = F.when((F.col("set") == 0) & (F.col("key") == 1), F.concat(F.lit(f"{_SITE}/meta.jsonld#"), F.col("value.s"))).otherwise(F.col("value.s"))
+    return g.with_tables(datasets=sets, data=g.data.withColumn("value", F.col("value").withField("s", names)))
+
+
+def _shown(g, **options):
+    rows = extensions.web_annotations(g, g.annotations.filter("a % 16 = 1"), **options)
+    return rows.select("a", F.get_json_object("json", "$['@context']").alias("context"), F.get_json_object("json", "$.body").alias("body"))
+
+
+@on_graph("ext_web_context", f"""SELECT d * 16 + 1 AS a, '["http://www.w3.org/ns/anno.jsonld",{{"ns0":"{_SITE}/labels/","ns1":"{_SITE}/meta.jsonld/"}}]' AS context,
+  '{{"type":"Dataset","ns1:source":{{"id":"{_SITE}/meta.jsonld#' || source || '"}}' || CASE WHEN quality IS NOT NULL THEN ',"ns0:quality":' || quality ELSE '' END || '}}' AS body FROM g_doc WHERE source IS NOT NULL""")
+def web_context(g):
+    """Annotations with the namespaces that their keys have in common."""
+    g = _on_the_web(g)
+    return _shown(g, namespaces=extensions.namespaces_of(g))
+
+
+@on_graph("ext_web_alias", f"""SELECT d * 16 + 1 AS a, '["http://www.w3.org/ns/anno.jsonld","{_SITE}/meta.jsonld"]' AS context,
+  '{{"type":"Dataset","source":"' || source || '"' || CASE WHEN quality IS NOT NULL THEN ',"{_SITE}/labels/quality":' || quality ELSE '' END || '}}' AS body FROM g_doc WHERE source IS NOT NULL""")
+def web_alias(g):
+    """Keys of a set that is a context are names in it, and so are values below it."""
+    g = _on_the_web(g)
+    return _shown(g, contexts=extensions.auto_contexts(g))
