@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.values import display
 from spanloom.model import Store, shared_folder
+from spanloom.operators import positions
 from spanloom.plans import graph
 from spanloom.plans.catalogue import register
 from spanloom.sources import includes, stores
@@ -101,3 +102,28 @@ def dataset(s, d):
     includes.save_include(filed(graph.store(s, d)), path, "root.json")
     data = stores.load_dataset(s, f"{path}/labels.json").named_data()
     return data.select(F.col("id").alias("data_id"), "key_id", display(F.col("value")).alias("shown"))
+
+
+# --- the index of positions ----------------------------------------------------------------------------------------------
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> positions.Positions:
+    """The graph's index of positions, written once a session."""
+    known = _INDICES.setdefault(spark.sparkContext.applicationId, {})
+    if sf_dir not in known:
+        path = _place(spark, "positions")
+        positions.save(positions.index(graph.store(spark, sf_dir)), path)
+        known[sf_dir] = path
+    return positions.load(spark, known[sf_dir])
+
+
+_INDICES: dict[str, dict[str, str]] = {}
+_SIDES = "sides AS (SELECT res, b AS \"at\", 'begin' AS side, e AS other, ts FROM g_ts UNION ALL SELECT res, e, 'end', b, ts FROM g_ts)"
+_POINTS = 'SELECT res, "at", count(*) FILTER (side = \'begin\') AS begins, count(*) FILTER (side = \'end\') AS ends FROM sides GROUP BY res, "at"'
+_also = ", ".join((graph.SQL, _SIDES))
+register("scan_position_entry", 'SELECT res, side, other, ts FROM sides WHERE "at" = 10', also=_also)(lambda s, d: positions.entry(index_of(s, d), 10))
+register("scan_position_points", f'SELECT p.res, p."at", begins, ends, octet_length(encode(substr(text, 1, p."at"))) AS byte FROM ({_POINTS}) p JOIN g_r ON g_r.res = p.res', also=_also)(lambda s, d: index_of(s, d).points)
+register("scan_position_ends", f'SELECT res, "at" FROM ({_POINTS}) WHERE ends > 0 AND "at" >= 5 AND "at" < 500', also=_also)(lambda s, d: positions.used(index_of(s, d), "end", 5, 500))
+register("count_index_partial", 'SELECT (SELECT count(*) FROM (SELECT DISTINCT "set", data FROM g_ad)) AS data, (SELECT count(*) FROM (SELECT DISTINCT res, ts FROM g_t WHERE ts IS NOT NULL)) AS selections', also=graph.SQL)(
+    lambda s, d: positions.partial_counts(graph.store(s, d))
+)
