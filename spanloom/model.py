@@ -117,14 +117,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of a range that is numbered by itself, about.
+RANGE_ROWS = 1_000_000
+
+
 def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with the row's number from 0 in an order, by ranges: no task takes all rows. Rows that tie in the order are told apart by all their columns."""
-    total = [*order, F.xxhash64(F.to_json(F.struct(*df.columns)))]
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranges = settled(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    """df with the row's number from 0 in an order, by ranges: no task takes all rows, also where many or all of them tie in the order, as those without an id do.
+
+    Rows that tie are told apart by all their columns; rows that are equal in all are interchangeable.
+    """
+    stored = settled(df.withColumn("_tie", F.xxhash64(F.to_json(F.struct(*df.columns)))))
+    parts = max(1, -(-stored.count() // RANGE_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    ranges = settled(stored.repartitionByRange(parts, *order, "_tie").withColumn("_p", F.spark_partition_id()))
     before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = ranges.groupBy("_p").count().select("_p", before.alias("_before"))  # a row per range
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(*total)) - 1
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order, "_tie")) - 1
     return ranges.withColumn("_place", place).join(F.broadcast(sizes), "_p").select(*df.columns, (F.col("_place") + F.col("_before")).alias(name))
 
 

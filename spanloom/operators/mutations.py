@@ -19,14 +19,19 @@ DEFAULT_SET = "default-annotationset"
 
 
 def _numbered(rows: DataFrame, existing: DataFrame, handle: str, order: list[str], within: list[str] | None = None) -> DataFrame:
-    """rows with handles that follow the largest of existing (in each group), in an order made total by all columns of a row."""
+    """rows with handles that follow the largest of existing (in each group), in an order made total by all columns of a row.
+
+    All groups are numbered together by ranges, and each group's first number is taken off, so that one group with all rows is no task of its own.
+    """
     groups = within or []
     top = existing.groupBy(*groups).agg(F.max(handle).alias("_top"))
     if not groups:
         numbered = row_numbers(rows, order, "_n")
         return numbered.crossJoin(F.broadcast(top)).withColumn(handle, (F.coalesce("_top", F.lit(-1)) + 1 + F.col("_n")).cast("long")).drop("_top", "_n")  # one row
-    n = F.row_number().over(Window.partitionBy(*groups).orderBy(*order, F.xxhash64(F.to_json(F.struct(*rows.columns)))))
-    return rows.join(top, groups, "left").withColumn(handle, (F.coalesce("_top", F.lit(-1)) + n).cast("long")).drop("_top")
+    numbered = settled(row_numbers(rows, [*groups, *order], "_n"))
+    firsts = numbered.groupBy(*groups).agg(F.min("_n").alias("_first"))
+    placed = numbered.join(firsts, groups).join(top, groups, "left")
+    return placed.withColumn(handle, (F.coalesce("_top", F.lit(-1)) + 1 + F.col("_n") - F.col("_first")).cast("long")).drop("_top", "_n", "_first")
 
 
 def add_resources(store: Store, rows: DataFrame) -> Store:

@@ -37,17 +37,26 @@ def save_parquet(store: Store, path: str) -> None:
 
 
 def stored_once(spark: SparkSession, name: str, source: str, make) -> Store:
-    """The store that make() gives for a source, written as Parquet in the shared folder on first use in a session and read from there."""
-    known = _STORED.setdefault(spark.sparkContext.applicationId, {})
-    if (name, source) not in known:
+    """The store that make() gives for a source, written as Parquet in the shared folder on first use in a session and read from there, as long as the source's files stay as they are."""
+    known, key = _STORED.setdefault(spark.sparkContext.applicationId, {}), (name, source, _stamp(spark, source))
+    if key not in known:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         save_parquet(make(), path)
         atexit.register(_remove, spark, path)
-        known[name, source] = path
-    return load_parquet(spark, known[name, source])
+        known[key] = path
+    return load_parquet(spark, known[key])
 
 
-_STORED: dict[str, dict[tuple[str, str], str]] = {}
+_STORED: dict[str, dict[tuple[str, str, int], str]] = {}
+
+
+def _stamp(spark: SparkSession, source: str) -> int:
+    """A number that changes with the files in a folder, and with those in folders in it: their names, lengths and times."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = files.listStatus(at)
+    below = [f for s in top if s.isDirectory() for f in files.listStatus(s.getPath())]
+    return hash(tuple(sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in (*top, *below))))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -365,6 +374,48 @@ def load_csv(spark: SparkSession, path: str) -> Store:
     return mutations.annotate(store, builders_from_csv(read(anns)))
 
 
+# --- by name -------------------------------------------------------------------------------------------------------
+
+#: The end of a name, and the format it stands for.
+FORMATS = {".json": "json", ".csv": "csv", ".parquet": "parquet"}
+
+
+def format_of(path: str) -> str:
+    """The format that a name stands for; names of formats that aren't known are an error."""
+    for end, kind in FORMATS.items():
+        if path.rstrip("/").lower().endswith(end):
+            return kind
+    raise ValueError(f"no format is known for {path}: names end in {', '.join(FORMATS)}")
+
+
+def load(spark: SparkSession, path: str, store: Store | None = None) -> Store:
+    """The store at path, in the format that its name stands for. JSON is merged into store, if that is given; the other formats are whole stores."""
+    kind = format_of(path)
+    if kind == "json":
+        return load_json(spark, path, store)
+    if store is not None:
+        raise ValueError(f"{kind} can't be merged into a store")
+    return load_csv(spark, path) if kind == "csv" else load_parquet(spark, path)
+
+
+def save(store: Store, path: str, id: str = "store") -> None:
+    """The store in the format that the name stands for. As JSON, resources, sets and substores with a filename get documents of their own beside it."""
+    kind = format_of(path)
+    if kind == "json":
+        folder, name = posixpath.split(path)
+        includes.save_include(store, folder or ".", name, id)
+    elif kind == "csv":
+        save_csv(store, path)
+    else:
+        save_parquet(store, path)
+
+
+def csv_text(rows: DataFrame) -> DataFrame:
+    """line: the rows of a table (csv_annotations, csv_dataset) as lines of CSV in their order, without a header; quotes are doubled."""
+    field = lambda c: F.when(F.col(c).rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c), F.lit("")))
+    return rows.select(F.concat_ws(",", *[field(c) for c in rows.columns]).alias("line"))
+
+
 # --- JSON-LD -------------------------------------------------------------------------------------------------------
 
 
