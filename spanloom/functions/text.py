@@ -8,6 +8,7 @@ groups need offsets of groups, which the JVM functions don't give; they run in A
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -85,6 +86,18 @@ def trim(spans: DataFrame, chars: str) -> DataFrame:
     return spans.withColumns({"begin": F.col("begin") + left, "end": F.col("end") - right}).withColumn("text", F.substr("text", left + 1, F.length("text") - left - right))
 
 
+def trim_with(spans: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+    """Spans (begin, end, text of the span) without the characters at both sides for which test holds; begin = end where nothing else is left."""
+    kept = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: ~F.coalesce(test(c), F.lit(False)))
+    places = spans.withColumn("_kept", kept)
+    first, last = F.array_position("_kept", F.lit(True)), F.array_position(F.reverse("_kept"), F.lit(True))
+    n = F.size("_kept")
+    left = F.when(first > 0, first - 1).otherwise(n).cast("int")
+    right = F.when(first > 0, last - 1).otherwise(0).cast("int")
+    cut = places.withColumns({"begin": F.col("begin") + left, "end": F.col("end") - right, "text": F.substr("text", left + 1, n - left - right)})
+    return cut.drop("_kept")
+
+
 def find_regex(texts: DataFrame, expressions: list[str], overlap: bool = False) -> DataFrame:
     """Matches of expressions: keys, expression (its number), match (its number in the row), grp, begin, end.
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as texts
 from spanloom.functions.spans import Relation
-from spanloom.operators import extensions, related, scans
-from spanloom.plans import compiler
+from spanloom.operators import alignment, extensions, related, scans
+from spanloom.plans import compiler, derive, results
+from spanloom.plans.catalogue import register
 from spanloom.plans.graph_catalogue import on_graph
 
 _TOXIC = "(SELECT a FROM g_ad WHERE \"set\" = 1 AND data = 2000001)"
@@ -125,3 +127,38 @@ def web_alias(g):
     """Keys of a set that is a context are names in it, and so are values below it."""
     g = _on_the_web(g)
     return _shown(g, contexts=extensions.auto_contexts(g))
+
+
+# --- what items say ------------------------------------------------------------------------------------------------------
+
+
+@on_graph("lang_result_json", """SELECT '{"@type":"DataKey","@id":"' || id || '"}' AS json FROM g_k WHERE "set" = 1
+  UNION ALL SELECT '{"@type":"AnnotationData","@id":"' || d.id || '","key":"' || k.id || '","value":{"@type":"Int","value":' || i || '}}' FROM g_d d JOIN g_k k ON k."set" = d."set" AND k."key" = d."key" WHERE d."set" = 1 AND d.i IS NOT NULL""")
+def result_json(g):
+    """Keys and whole numbers of a set as JSON."""
+    text = "SELECT DATASET ?s WHERE ID labels; { SELECT KEY ?k WHERE DATASET ?s; | SELECT DATA ?d WHERE DATASET ?s; VALUE >= 0; }"
+    return results.with_json(g, compiler.bindings(g, text), last=True).select("json")
+
+
+@on_graph("lang_result_text", f"""SELECT DISTINCT s.a, 'RESOURCE' AS type, r.text FROM g_sp s JOIN g_r r ON r.res = s.res WHERE s.a IN {_GERMAN}
+  UNION ALL SELECT DISTINCT s.a, 'TEXT', substr(r.text, s.b + 1, s.e - s.b) FROM g_sp s JOIN g_r r ON r.res = s.res WHERE s.a IN {_GERMAN}""")
+def result_text(g):
+    """The texts of whole resources and of spans, side by side."""
+    rows = compiler.bindings(g, "SELECT ANNOTATION ?x WHERE DATA meta lang = de; { SELECT RESOURCE ?r WHERE ANNOTATION ?x; | SELECT TEXT ?t WHERE ANNOTATION ?x; }")
+    last = compiler.bound_to(rows, last=True)["type"]
+    return results.with_text(g, rows, last=True).select(F.col("x.a").alias("a"), last.alias("type"), "text")
+
+
+@on_graph("join_first_value", """SELECT u.a, coalesce(s, CAST(i AS VARCHAR), CAST(f AS VARCHAR)) AS shown, s AS text FROM g_ad u JOIN g_d d ON d."set" = u."set" AND d.data = u.data WHERE u.pos = (SELECT min(pos) FROM g_ad v WHERE v.a = u.a)""")
+def first_value(g):
+    return results.first_values(g, g.annotations).select("a", "shown", "text")
+
+
+@on_graph("ext_valid_pivots", "SELECT a, complex IS NOT NULL AS valid FROM g_a")
+def valid_pivots(g):
+    return alignment.valid_pivots(g, g.annotations)
+
+
+register("text_trim_with", "SELECT a, CAST(b + length(regexp_extract(piece, '^[^a-z]*')) AS BIGINT) AS begin, CAST(CASE WHEN regexp_matches(piece, '[a-z]') THEN e - length(regexp_extract(piece, '[^a-z]*$')) ELSE e END AS BIGINT) AS stop FROM word", word=True)(
+    lambda s, d: texts.trim_with(derive.words(s, d).withColumnRenamed("piece", "text"), lambda c: ~c.between("a", "z")).select("a", "begin", F.col("end").alias("stop"))
+)
