@@ -29,15 +29,26 @@ def _keys(texts: DataFrame) -> list[str]:
     return [c for c in texts.columns if c not in ("text", "base")]
 
 
-def _pieces(texts: DataFrame, pattern: str) -> DataFrame:
-    """Pieces between matches: keys, pos, piece, begin (of the piece, without the matches before)."""
+def _pieces(texts: DataFrame, pattern: str, width: int | None = None) -> DataFrame:
+    """Pieces between matches: keys, pos, piece, begin (of the piece, without the matches before), and found, the match behind a piece.
+
+    width: of each match, where all have the same; then texts are gone through once, and there is no column found.
+    """
     keys = _keys(texts)
-    rows = texts.withColumn("_row", F.struct(*keys, _base(texts).alias("_base"))).select("_row", F.split("text", pattern, -1).alias("_pieces"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("_found"))
-    both = F.arrays_zip(F.col("_pieces").alias("p"), F.col("_found").alias("m"))
-    rows = rows.withColumn("_lengths", F.transform(both, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))))
+    rows = texts.withColumn("_row", F.struct(*keys, _base(texts).alias("_base")))
+    if width is None:
+        rows = rows.select("_row", F.split("text", pattern, -1).alias("_pieces"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("_found"))
+        both = F.arrays_zip(F.col("_pieces").alias("p"), F.col("_found").alias("m"))
+        lengths = F.transform(both, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+        parts = [F.col("_pieces").alias("p"), F.col("_found").alias("m")]
+    else:
+        rows = rows.select("_row", F.split("text", pattern, -1).alias("_pieces"))
+        lengths, parts = F.transform("_pieces", lambda p: F.length(p) + width), [F.col("_pieces").alias("p")]
+    rows = rows.withColumn("_lengths", lengths)
     begins = _running(F.col("_lengths"))
-    exploded = rows.select("_row", F.posexplode(F.arrays_zip(F.col("_pieces").alias("p"), F.col("_found").alias("m"), begins.alias("b"))).alias("pos", "x"))
-    return exploded.select("_row.*", "pos", F.col("x.p").alias("piece"), F.col("x.m").alias("found"), (F.col("x.b") + F.col("_row._base")).alias("begin")).drop("_base")
+    exploded = rows.select("_row", F.posexplode(F.arrays_zip(*parts, begins.alias("b"))).alias("pos", "x"))
+    found = [F.col("x.m").alias("found")] if width is None else []
+    return exploded.select("_row.*", "pos", F.col("x.p").alias("piece"), *found, (F.col("x.b") + F.col("_row._base")).alias("begin")).drop("_base")
 
 
 #: Elements that one fold of a running sum takes; a fold copies its result in each step.
@@ -74,7 +85,7 @@ def split(texts: DataFrame, delimiter: str) -> DataFrame:
     """The pieces between delimiters, empty ones too: keys, pos, begin, end."""
     if not delimiter:
         raise ValueError("an empty delimiter splits nothing")
-    out = _pieces(texts, quote(delimiter))
+    out = _pieces(texts, quote(delimiter), len(delimiter))
     return out.select(*_keys(texts), "pos", "begin", (F.col("begin") + F.length("piece")).alias("end"))
 
 

@@ -7,11 +7,11 @@ a = doc_id * 2**34 + kind * 2**32 + place, kind 0 lines, 1 words, 2 labels (meta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import _pieces
-from spanloom.model import RESOURCE, SCHEMAS, TEXT, Store, intern, value
+from spanloom.model import RESOURCE, SCHEMAS, TEXT, Store, settled, value
 from spanloom.sources.stores import stored_once
 
 BASE, KIND = 1 << 34, 1 << 32
@@ -29,7 +29,7 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pieces(res: DataFrame, pattern: str, kind: int) -> DataFrame:
     """a, res, begin, end, piece of the non-empty pieces between single characters of pattern."""
-    found = _pieces(res.select("res", "text"), pattern).filter("length(piece) > 0")
+    found = _pieces(res.select("res", "text"), pattern, 1).filter("length(piece) > 0")
     a = F.col("res") * BASE + kind * KIND + F.col("pos")
     return found.select(a.alias("a"), "res", "begin", (F.col("begin") + F.length("piece")).alias("end"), "piece")
 
@@ -59,7 +59,8 @@ def corpus(spark: SparkSession, sf_dir: str, layers: bool = True) -> Store:
 
 def build(spark: SparkSession, sf_dir: str, layers: bool = True) -> Store:
     res = resources(spark, sf_dir)
-    spans = {LINE: pieces(res, r"\n", LINE), WORD: pieces(res, r"[ \n]", WORD)} if layers else {}
+    # Texts are cut once; all tables are made of the spans.
+    spans = {k: settled(pieces(res, p, k).drop("piece")) for k, p in ((LINE, r"\n"), (WORD, r"[ \n]"))} if layers else {}
     labels = read(spark, sf_dir, "labels").select((F.col("doc_id") * BASE + LABEL * KIND).alias("a"), F.col("doc_id").alias("res"), F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
     origin = read(spark, sf_dir, "documents").select((F.col("doc_id") * BASE + ORIGIN * KIND).alias("a"), F.col("doc_id").alias("res"), "lang", "source")
     code = lambda key, col: F.when(col.isNotNull(), F.concat(F.lit(f"{key}="), col.cast("string")))
@@ -83,8 +84,11 @@ def build(spark: SparkSession, sf_dir: str, layers: bool = True) -> Store:
     text = spans[LINE].unionByName(spans[WORD]) if layers else empty.spans().select("a", "res", "begin", "end")
     meta = labels.select("a", "res").unionByName(origin.select("a", "res"))
     about = _targets(meta.select("a", "res", F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end"))).withColumns({"kind": F.lit(RESOURCE), "mode": F.lit(None).cast("string")})
-    selections = intern(text) if layers else empty.textselections
-    targets = _targets(text).drop("ts").join(selections, ["res", "begin", "end"]).select(*[c.split()[0] for c in SCHEMAS["targets"].split(", ")]).unionByName(about)
+    # A selection's handle is its rank in its resource, so that targets and selections are numbered in one pass and not joined.
+    rank = (F.dense_rank().over(Window.partitionBy("res").orderBy("begin", "end")) - 1).cast("long")
+    ranked = _targets(text).withColumn("ts", rank)
+    selections = ranked.select("res", "ts", "begin", "end").distinct() if layers else empty.textselections
+    targets = ranked.unionByName(about) if layers else about
     every = text.select("a").unionByName(meta.select("a"))
     return empty.with_tables(
         resources=res,

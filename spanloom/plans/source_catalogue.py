@@ -127,3 +127,22 @@ register("scan_position_ends", f'SELECT res, "at" FROM ({_POINTS}) WHERE ends >
 register("count_index_partial", 'SELECT (SELECT count(*) FROM (SELECT DISTINCT "set", data FROM g_ad)) AS data, (SELECT count(*) FROM (SELECT DISTINCT res, ts FROM g_t WHERE ts IS NOT NULL)) AS selections', also=graph.SQL)(
     lambda s, d: positions.partial_counts(graph.store(s, d))
 )
+
+
+# --- other formats -------------------------------------------------------------------------------------------------------
+
+
+def _by_name(spark: SparkSession, sf_dir: str, name: str) -> Store:
+    """The graph saved under a name and loaded again, once a session."""
+
+    def make() -> Store:
+        path = f"{_place(spark, 'named')}/{name}"
+        stores.save(graph.store(spark, sf_dir), path)
+        return stores.load(spark, path)
+
+    return stores.stored_once(spark, name, sf_dir, make)
+
+
+register("src_csv", _TARGETS, also=graph.SQL)(lambda s, d: targets(_by_name(s, d, "graph.csv")))
+register("src_csv_data", _USED, also=graph.SQL)(lambda s, d: used(_by_name(s, d, "graph.csv")))
+register("src_parquet", _TARGETS, also=graph.SQL)(lambda s, d: targets(_by_name(s, d, "graph.parquet")))

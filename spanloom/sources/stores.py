@@ -369,9 +369,9 @@ def load_csv(spark: SparkSession, path: str) -> Store:
             rows = read(r["Filename"])
             store = mutations.add_datasets(store, spark.createDataFrame([(r["Id"],)], "id string"))
             keys = rows.select(F.lit(r["Id"]).alias("@id"), F.array(F.struct(F.col("Key").alias("@id"))).alias("keys"), F.when(F.col("Value").isNotNull(), F.array(F.struct(F.col("Id").alias("@id"), F.col("Key").alias("key"), F.struct(F.lit("String").alias("@type"), F.col("Value").alias("value")).alias("value")))).otherwise(F.array()).alias("data"))
-            store = _add_sets(store, keys)
+            store = settled_store(_add_sets(store, keys), "datasets", "keys", "data")
     anns = next(r["Filename"] for r in manifest if r["Type"] == "AnnotationStore")
-    return mutations.annotate(store, builders_from_csv(read(anns)))
+    return settled_store(mutations.annotate(settled_store(store, "resources"), builders_from_csv(read(anns))))
 
 
 # --- by name -------------------------------------------------------------------------------------------------------
