@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import find
 from spanloom.functions.values import test
 from spanloom.model import ROOT, Store
 from spanloom.operators import related, traversals
@@ -76,11 +77,26 @@ def annotations_targeted_by(store: Store, annotations: DataFrame, others: DataFr
     return in_collection(annotations, pairs.select(F.col("target_a").alias("a")), ["a"])
 
 
+def _overlaps_itself(text: str) -> bool:
+    """Whether two occurrences of text can overlap: it ends as it begins."""
+    return any(text.startswith(text[-n:]) for n in range(1, len(text)))
+
+
 def annotations_with_text(store: Store, annotations: DataFrame, text: str, case_sensitive: bool = True, delimiter: str = " ") -> DataFrame:
-    """Annotations whose joined text equals text."""
-    texts = traversals.annotation_text(store, annotations, delimiter, len(text) if case_sensitive else None)
+    """Annotations whose joined text equals text.
+
+    Where the text's occurrences can't overlap they are found once, and annotations with one span are joined to them by place; nothing is cut out of texts for them.
+    """
     same = F.col("text") == text if case_sensitive else F.lower("text") == text.lower()
-    return in_collection(annotations, texts.filter(same), ["a"])
+    if not case_sensitive or not text or _overlaps_itself(text):
+        texts = traversals.annotation_text(store, annotations, delimiter, len(text) if case_sensitive else None)
+        return in_collection(annotations, texts.filter(same), ["a"])
+    several = store.spans().filter("pos > 0").select("a").distinct()
+    spans = traversals.annotation_selections(store, annotations).filter(F.col("end") - F.col("begin") == len(text))
+    places = find(store.resources.select("res", "text"), text).select("res", "begin")
+    single = spans.join(several, "a", "left_anti").join(places, ["res", "begin"], "left_semi").select("a")
+    joined = traversals.annotation_text(store, annotations.select("a").join(several, "a", "left_semi"), delimiter).filter(same).select("a")
+    return in_collection(annotations, single.unionByName(joined), ["a"])
 
 
 def annotations_matching(store: Store, annotations: DataFrame, regex: str, delimiter: str = " ") -> DataFrame:

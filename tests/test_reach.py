@@ -76,3 +76,18 @@ def test_a_limit_of_any_size(spark):
     for limit in (0, 7, 250, 255, 10_000, 2_000_000_000):
         found = related.join_related(spans, spans, Relation("before", limit=limit))
         assert {(x.n, x.r_n) for x in found.collect()} == {(i, j) for i in range(30) for j in range(30) if 0 <= j * 10 - i * 10 - 3 <= limit}
+
+
+@pytest.mark.parametrize("text", ["ab", "aa", "aba", "a", "b a", "é"])
+def test_annotations_with_text(spark, text):
+    from spanloom.operators import filters
+
+    whole = "abaab aaa baéba ab"
+    base = mutations.add_resources(Store.empty(spark), spark.createDataFrame([("r", whole), ("e", "")], "id string, text string"))
+    leaf = lambda b, e: ("TextSelector", "r", None, None, None, None, b, e, "BeginBegin")
+    spans = [(b, b + n) for n in (0, 1, 2, 3) for b in range(len(whole) - n + 1)]
+    rows = [(f"{b}-{e}", None, [leaf(b, e)], []) for b, e in spans] + [("two", "CompositeSelector", [leaf(0, 1), leaf(1, 2)], []), ("apart", "CompositeSelector", [leaf(1, 2), leaf(2, 3)], [])]
+    store = mutations.annotate(base, spark.createDataFrame(rows, mutations.BUILDERS))
+    found = filters.annotations_with_text(store, store.annotations, text).select("id").collect()
+    expected = {f"{b}-{e}" for b, e in spans if whole[b:e] == text} | ({"apart"} if text == "b a" else set())
+    assert {r.id for r in found} == expected
