@@ -230,6 +230,19 @@ def members(store: Store, substores: DataFrame, item_type: str) -> DataFrame:
     return store.substore_membership.filter(F.col("item_type") == item_type).select("ss", "item").join(substores.select("ss").distinct(), "ss", "left_semi")
 
 
+def substores_below(store: Store, substores: DataFrame) -> DataFrame:
+    """ss, below: substores and those in them at any depth; in rings of includes also themselves, each once."""
+    edges = store.substores.select(F.explode("parents").alias("src"), F.col("ss").alias("dst"))
+    own = settled(substores.select(F.col("ss").alias("seed"), F.col("ss").alias("at")).distinct())
+    return own.unionByName(reachable(edges, own)).distinct().select(F.col("seed").alias("ss"), F.col("at").alias("below"))
+
+
+def nested_members(store: Store, substores: DataFrame, item_type: str) -> DataFrame:
+    """ss, item: as members, with those of the substores in them at any depth, each once."""
+    own = store.substore_membership.filter(F.col("item_type") == item_type).select(F.col("ss").alias("below"), "item")
+    return substores_below(store, substores).join(own, "below").select("ss", "item").distinct()
+
+
 def item_substores(store: Store, items: DataFrame, item_type: str) -> DataFrame:
     """item, ss: the substores of items (a column item), null for those of the root only."""
     found = store.substore_membership.filter((F.col("item_type") == item_type) & (F.col("ss") != ROOT)).select("item", "ss")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as texts
 from spanloom.functions.spans import Relation
-from spanloom.operators import alignment, extensions, related, scans
+from spanloom.operators import alignment, extensions, related, scans, traversals
 from spanloom.plans import compiler, derive, results
 from spanloom.plans.catalogue import register
 from spanloom.plans.graph_catalogue import on_graph
@@ -162,3 +162,9 @@ def valid_pivots(g):
 register("text_trim_with", "SELECT a, CAST(b + length(regexp_extract(piece, '^[^a-z]*')) AS BIGINT) AS begin, CAST(CASE WHEN regexp_matches(piece, '[a-z]') THEN e - length(regexp_extract(piece, '[^a-z]*$')) ELSE e END AS BIGINT) AS stop FROM word", word=True)(
     lambda s, d: texts.trim_with(derive.words(s, d).withColumnRenamed("piece", "text"), lambda c: ~c.between("a", "z")).select("a", "begin", F.col("end").alias("stop"))
 )
+
+
+@on_graph("join_substore_nested_members", "SELECT 0 AS ss, item FROM g_sm WHERE item_type = 'resource' UNION ALL SELECT 1, item FROM g_sm WHERE item_type = 'resource' AND ss = 1")
+def nested_members(g):
+    """Resources of substores and of those in them."""
+    return traversals.nested_members(g, g.substores, "resource")

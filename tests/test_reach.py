@@ -91,3 +91,11 @@ def test_annotations_with_text(spark, text):
     found = filters.annotations_with_text(store, store.annotations, text).select("id").collect()
     expected = {f"{b}-{e}" for b, e in spans if whole[b:e] == text} | ({"apart"} if text == "b a" else set())
     assert {r.id for r in found} == expected
+
+
+def test_members_of_substores_in_substores(spark):
+    substores = spark.createDataFrame([(0, "a", None, [-1, 2]), (1, "b", None, [0]), (2, "c", None, [1]), (3, "d", None, [-1])], SCHEMAS["substores"])
+    member = spark.createDataFrame([(i, "resource", 10 + i) for i in range(4)] + [(1, "resource", 10), (3, "dataset", 5)], SCHEMAS["substore_membership"])
+    store = Store.empty(spark).with_tables(substores=substores, substore_membership=member)
+    found = sorted(map(tuple, traversals.nested_members(store, substores, "resource").collect()))
+    assert found == [(s, 10 + i) for s in (0, 1, 2) for i in (0, 1, 2)] + [(3, 13)]  # a, b and c are a ring
