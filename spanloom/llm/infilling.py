@@ -63,16 +63,22 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> Runs:
     return Runs(unit, at[unit].astype(np.int64), widths[unit].astype(np.int64), np.searchsorted(unit, units), units.astype(np.int64), offsets)
 
 
+def _source(documents: DataFrame) -> str:
+    """The column text, as it is written."""
+    return next(c for c in documents.columns if c.lower() == "text")
+
+
 def runs(documents: DataFrame) -> DataFrame:
     """documents with runs: array of (unit, byte, width), the units and bytes before each run and the bytes of its units."""
     schema = documents.select(*[c for c in documents.columns if c.lower() != "runs"]).schema
+    source = _source(documents)
     keep, kind = list(schema.names), pa.struct([("unit", pa.int64()), ("byte", pa.int64()), ("width", pa.int32())])
     schema = schema.add("runs", T.ArrayType(T.StructType([T.StructField("unit", T.LongType()), T.StructField("byte", T.LongType()), T.StructField("width", T.IntegerType())])))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
-                r = encode(*text_bytes(part.column("text")))
+            for part in slices(batch, source):
+                r = encode(*text_bytes(part.column(source)))
                 each = np.repeat(np.arange(part.num_rows), np.diff(r.first))
                 rows = pa.StructArray.from_arrays([pa.array(r.unit - r.units[each]), pa.array(r.byte - r.bytes[each]), pa.array(r.width.astype(np.int32))], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.ListArray.from_arrays(pa.array(r.first.astype(np.int32)), rows)], names=schema.names)
@@ -89,7 +95,7 @@ def hashes(key: str, seed: int) -> list[Column]:
 def infill(documents: DataFrame, plain_percent: int = 10, spm_percent: int = 20, seed: int = 1, key: str = "doc_id") -> DataFrame:
     """documents with n (units of the text), form, prefix_chars and middle_chars (units; null if plain) and output."""
     keep = [c for c in documents.columns if c.lower() not in RESULTS]
-    draws = fresh(documents, "draws")
+    draws, source = fresh(documents, "draws"), _source(documents)
     schema = documents.select(*keep).schema
     for field in ("n long", "form string", "prefix_chars long", "middle_chars long", "output string"):
         schema = schema.add(*field.split())
@@ -98,8 +104,8 @@ def infill(documents: DataFrame, plain_percent: int = 10, spm_percent: int = 20,
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
-                data, offsets = text_bytes(part.column("text"))
+            for part in slices(batch, source):
+                data, offsets = text_bytes(part.column(source))
                 r = encode(data, offsets)
                 text, n = np.arange(part.num_rows), np.diff(r.units)
                 h = np.array(part.column(draws).flatten(), dtype=np.int64).reshape(-1, 4)
@@ -120,7 +126,7 @@ def infill(documents: DataFrame, plain_percent: int = 10, spm_percent: int = 20,
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *columns], names=schema.names)
 
     drawn = documents.withColumn(draws, F.array(*hashes(key, seed)))
-    return drawn.select(*keep, *([] if "text" in keep else ["text"]), draws).mapInArrow(lean(run), schema)
+    return drawn.select(*keep, draws).mapInArrow(lean(run), schema)
 
 
 def restored(output: Column, form: Column) -> Column:

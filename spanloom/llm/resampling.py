@@ -98,9 +98,9 @@ def features(words: Words, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return one % np.uint32(buckets), at, two % np.uint32(buckets)
 
 
-def _words(part: pa.RecordBatch) -> Words:
+def _words(part: pa.RecordBatch, column: str) -> Words:
     """Lower-case words of ASCII letters, digits and all that is not ASCII."""
-    return words_of(*text_bytes(part.column("text")), lower=True, plain=True)
+    return words_of(*text_bytes(part.column(column)), lower=True, plain=True)
 
 
 def bucket_counts(texts: DataFrame, buckets: int) -> np.ndarray:
@@ -109,14 +109,14 @@ def bucket_counts(texts: DataFrame, buckets: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for part in slices(batch):
-                one, _, two = features(_words(part), buckets)
+            for part in slices(batch, "text"):
+                one, _, two = features(_words(part, "text"), buckets)
                 total += np.bincount(one, minlength=buckets) + np.bincount(two, minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
     out = np.zeros(buckets, np.int64)
-    for row in texts.select("text").mapInArrow(lean(count), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for row in texts.select(F.col("text").alias("text")).mapInArrow(lean(count), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[row["bucket"]] = row["n"]
     return out
 
@@ -128,14 +128,15 @@ def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((int(t) + 1) * s_all / ((int(s) + 1) * t_all))) for s, t in zip(raw, target, strict=True)], dtype=np.int64)
 
 
-def weighed(documents: DataFrame, gain: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` with n_words, n_features and weight of the column text."""
-    schema = documents.select(*keep).schema.add("n_words", "long").add("n_features", "long").add("weight", "long")
+def weighed(documents: DataFrame, gain: np.ndarray, keep: list[str], counted: str = "n_words") -> DataFrame:
+    """The columns `keep` with counted (the number of words), n_features and weight of the column text."""
+    source = fresh(documents, "source")
+    schema = documents.select(*keep).schema.add(counted, "long").add("n_features", "long").add("weight", "long")
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
-                words = _words(part)
+            for part in slices(batch, source):
+                words = _words(part, source)
                 one, at, two = features(words, len(gain))
                 each = gain[one]
                 each[at] += gain[two]
@@ -145,7 +146,7 @@ def weighed(documents: DataFrame, gain: np.ndarray, keep: list[str]) -> DataFram
                 weight = (total[words.first[1:]] - total[words.first[:-1]]) // np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(n_words), pa.array(n), pa.array(weight)], names=schema.names)
 
-    return documents.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(lean(run), schema)
+    return documents.select(*keep, F.col("text").alias(source)).mapInArrow(lean(run), schema)
 
 
 def gumbel(key: str, seed: int):
@@ -186,11 +187,12 @@ def resample(documents: DataFrame, target: DataFrame, percent: int = 25, least_w
 
     Both frames need a column text. What is kept is stored once between scoring and drawing.
     """
-    keep = [c for c in (documents.columns if keep is None else keep) if c.lower() not in (*RESULTS, "n_words")]
+    keep = [c for c in (documents.columns if keep is None else keep) if c.lower() not in RESULTS]
+    counted = fresh(documents, "n_words")
     gain = gains(bucket_counts(documents, buckets), bucket_counts(target, buckets))
-    scored = weighed(documents, gain, keep).withColumn("score", F.col("weight") + gumbel(key, seed))
+    scored = weighed(documents, gain, keep, counted).withColumn("score", F.col("weight") + gumbel(key, seed))
     scored = materialize(scored, "scores")
-    return ranked(scored, key, F.col("n_words") >= least_words, percent).drop("n_words")
+    return ranked(scored, key, F.col(counted) >= least_words, percent).drop(counted)
 
 
 def op11_resampling(spark, sf_dir: str) -> DataFrame:

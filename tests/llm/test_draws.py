@@ -217,3 +217,14 @@ def test_fingerprints_feel_order_and_edits(spark):
     assert fingerprints.next_edited(frame(spark, [])).count() == 0
     single = fingerprints.next_edited(frame(spark, [(1, "abc def ghi")])).first()
     assert single.edited_sha256 == SHA("abc def abc") and single.near_next == 1.0
+
+
+def test_a_text_column_in_another_case(spark):
+    docs = spark.createDataFrame([(1, "one two three", 7), (2, None, 8)], "doc_id long, Text string, N_WORDS int")
+    found = resampling.resample(docs, docs, 100, 2).orderBy("doc_id")
+    assert found.columns == ["doc_id", "Text", "N_WORDS", "n_features", "weight", "score", "rank"]
+    assert [(r.N_WORDS, r.n_features, r["rank"]) for r in found.collect()] == [(7, 5, 1), (8, 0, None)]
+    made = infilling.infill(docs, 0).orderBy("doc_id")
+    assert made.columns == ["doc_id", "Text", "N_WORDS", "n", "form", "prefix_chars", "middle_chars", "output"]
+    assert [r.n for r in made.collect()] == [13, 0] and [len(r.runs) for r in infilling.runs(docs).orderBy("doc_id").collect()] == [1, 0]
+    assert [len(r.fingerprint) for r in fingerprints.fingerprint(docs).collect()] == [32, 32]
