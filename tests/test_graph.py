@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from spanloom.model import SCHEMAS, Store
 from spanloom.operators import traversals
 from spanloom.plans import catalogue, graph_catalogue
-from spanloom.sources import stores
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["scan_targets", "join_targets_transitive", "join_text_joined", "filter_annotations_related", "filter_selections_key_value", "filter_resources_key_value_text", "rel_set_equals", "rel_set_not_before", "text_sequence", "text_regex_overlap", "count_index_entries", "lang_data_of", "mut_annotate_targets", "mut_remove_datasets", "mut_reannotate_target"]
