@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanloom.functions.values import display
 from spanloom.model import Store
@@ -196,6 +198,25 @@ def context_json(contexts: list[str], namespaces: dict[str, str]) -> str:
     return json.dumps([CONTEXT, *extra, *table], separators=(",", ":"), ensure_ascii=False)
 
 
+def untagged(c: str) -> Column:
+    """A column of lists and maps in tagged JSON as plain JSON, at any depth."""
+
+    def plain(tagged: pd.Series) -> pd.Series:
+        return tagged.map(lambda t: None if t is None else json.dumps(_bare(json.loads(t)), separators=(",", ":"), ensure_ascii=False))
+
+    return F.pandas_udf(plain, StringType())(c)
+
+
+def _bare(x):
+    if isinstance(x, list):
+        return [_bare(y) for y in x]
+    if not isinstance(x, dict):
+        return x
+    if isinstance(x.get("@type"), str):  # an item; a map's entries are items
+        return _bare(x.get("value"))
+    return {k: _bare(y) for k, y in x.items()}
+
+
 def web_annotations(store: Store, annotations: DataFrame, prefix: str = "urn:annotation:", resource_prefix: str = "urn:resource:", set_prefix: str = "urn:set:", contexts: list[str] | None = None, namespaces: dict[str, str] | None = None, skip_context: bool = False) -> DataFrame:
     """a, json: one line of JSON-LD per annotation. Annotations that are about keys or data only have none.
 
@@ -209,12 +230,15 @@ def web_annotations(store: Store, annotations: DataFrame, prefix: str = "urn:ann
     full = _predicate(F.col("set_id"), F.col("key_id"), set_prefix)
     keys = keys.select("set", "key", F.coalesce(own, F.lit(False)).alias("top"), F.when(bare, F.lit(False)).otherwise(is_iri(full)).alias("global"), F.when(bare, F.col("key_id")).otherwise(compacted(full, namespaces)).alias("predicate"))
     data = store.data.join(keys, ["set", "key"]).select("set", "data", "top", "global", "predicate", display(F.col("value")).alias("shown"), "value")
+    inside = F.col("value.vtype").isin("List", "Map")  # each different one is rewritten once; other data see no Python
+    nested = data.filter(inside).withColumn("nested", untagged("value.j"))
+    data = data.filter(~inside).withColumn("nested", F.lit(None).cast("string")).unionByName(nested)
     rows = store.annotation_data.join(annotations.select("a"), "a", "left_semi").join(data, ["set", "data"])
     top, shown = F.col("top"), F.col("shown")
     alias = F.when(F.col("value.vtype") == "String", value_alias(shown, contexts))
     linked = (F.col("value.vtype") == "String") & is_iri(shown) & F.col("global")
     plain = F.when(F.col("value.vtype").isin("Int", "Float", "Bool", "Null"), shown).otherwise(_json_string(shown))
-    raw = F.when(alias.isNotNull() & is_iri(shown), _json_string(alias)).when(linked, F.concat(F.lit('{"id":'), _json_string(shown), F.lit("}"))).otherwise(plain)
+    raw = F.when(F.col("nested").isNotNull(), F.col("nested")).when(alias.isNotNull() & is_iri(shown), _json_string(alias)).when(linked, F.concat(F.lit('{"id":'), _json_string(shown), F.lit("}"))).otherwise(plain)
     member = F.concat(_json_string(F.col("predicate")), F.lit(":"), raw)
     ordered = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("pos", member.alias("m"))))), lambda x: x["m"]), ",")
     parts = rows.groupBy("a").agg(ordered(top).alias("tops"), ordered(~top).alias("bodies"))

@@ -28,31 +28,31 @@ class Positions:
     postings: DataFrame
 
 
-def milestones(resources: DataFrame) -> DataFrame:
-    """res, stone (from 0), piece and before: MILESTONE code points of a text and the bytes before them; behind a text stands an empty piece where it ends at a milestone."""
-    cut = F.concat(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{MILESTONE}}}"), F.lit(0)), F.array(F.lit("")))
+def milestones(resources: DataFrame, every: int = MILESTONE) -> DataFrame:
+    """res, stone (from 0), piece and before: so many code points of a text and the bytes before them; behind a text stands an empty piece where it ends at a milestone."""
+    cut = F.concat(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{every}}}"), F.lit(0)), F.array(F.lit("")))
     pieces = resources.select("res", F.posexplode(cut).alias("stone", "piece"))
     before = F.sum(F.octet_length("piece")).over(Window.partitionBy("res").orderBy("stone").rowsBetween(Window.unboundedPreceding, -1))
     return pieces.select("res", "stone", "piece", F.coalesce(before, F.lit(0)).cast("long").alias("before"))
 
 
-def with_bytes(store: Store, points: DataFrame) -> DataFrame:
+def with_bytes(store: Store, points: DataFrame, every: int = MILESTONE) -> DataFrame:
     """points (res, at) with byte, the UTF-8 offset of each position."""
-    stones = milestones(store.resources)
-    stone = F.call_function("div", F.col("at"), F.lit(MILESTONE)).cast("int")
+    stones = milestones(store.resources, every)
+    stone = F.call_function("div", F.col("at"), F.lit(every)).cast("int")
     # A text that ends just at a milestone has its empty piece there; otherwise the empty piece is at a stone that no position asks for.
     found = points.withColumn("stone", stone).join(stones, ["res", "stone"])
-    byte = F.col("before") + F.octet_length(F.expr(f"left(piece, at - stone * {MILESTONE})"))
+    byte = F.col("before") + F.octet_length(F.expr(f"left(piece, at - stone * {every})"))
     return found.select(*points.columns, byte.cast("long").alias("byte"))
 
 
-def index(store: Store) -> Positions:
-    """The index of all known selections, not stored yet."""
+def index(store: Store, every: int = MILESTONE) -> Positions:
+    """The index of all known selections, not stored yet. every: code points between two milestones."""
     side = lambda name, at, other: store.textselections.select("res", F.col(at).alias("at"), F.lit(name).alias("side"), F.col(other).alias("other"), "ts")
     postings = side("begin", "begin", "end").unionByName(side("end", "end", "begin"))
     count = lambda name: F.count_if(F.col("side") == name).alias(f"{name}s")
     points = postings.groupBy("res", "at").agg(count("begin"), count("end"))
-    return Positions(with_bytes(store, points).select("res", "at", "begins", "ends", "byte"), postings)
+    return Positions(with_bytes(store, points, every).select("res", "at", "begins", "ends", "byte"), postings)
 
 
 def save(positions: Positions, path: str) -> None:

@@ -24,6 +24,8 @@ from spanloom.operators import collections, filters, mutations, related, scans,
 from spanloom.plans.query import Constraint, Query, parse
 
 HANDLES = {"ANNOTATION": ["a"], "TEXT": ["res", "begin", "end"], "RESOURCE": ["res"], "DATA": ["set", "data"], "KEY": ["set", "key"], "DATASET": ["set"]}
+#: By constraint, the types that its variable can have.
+_TAKES = {"ANNOTATION": ("ANNOTATION",), "RESOURCE": ("RESOURCE",), "DATASET": ("DATASET",), "KEY": ("KEY",), "DATA": ("DATA", "KEY"), "TEXT": ("TEXT",), "RELATION": ("ANNOTATION", "TEXT"), "SUBSTORE": ("SUBSTORE",)}
 _TABLE = {"ANNOTATION": "annotations", "RESOURCE": "resources", "DATASET": "datasets", "DATA": "data", "KEY": "keys"}
 
 
@@ -134,6 +136,8 @@ class Compiler:
         if not c.var:
             return self._of(kind, c, self._literal(c)).select(*HANDLES[kind]), []
         source, known, prefix = self._variable(c.var, above)
+        if source not in _TAKES[c.kind]:
+            raise TypeError(f"{c.kind} ?{c.var}: the variable is of type {source}")
         if known is not None:
             return self._of(kind, c, (source, known)).select(*HANDLES[kind]), []
         columns = [f"{prefix}{h}" for h in HANDLES[source]]
@@ -357,6 +361,14 @@ def bound_to(rows: DataFrame, name: str | None = None, last: bool = False):
     return F.coalesce(*[F.col(f"`{c}`") for c in order])
 
 
+def bind(name: str, kind: str, items: DataFrame, context: dict[str, tuple[str, DataFrame]] | None = None) -> dict[str, tuple[str, DataFrame]]:
+    """context with a variable for items of a type (of HANDLES, or SUBSTORE): one item or any number of them, each one once."""
+    handles = HANDLES.get(kind) or {"SUBSTORE": ["ss"]}[kind]
+    if missing := [h for h in handles if h not in items.columns]:
+        raise ValueError(f"items of type {kind} have no {', '.join(missing)}")
+    return {**(context or {}), name: (kind, items.select(*handles).dropna().distinct())}
+
+
 def from_bindings(rows: DataFrame, name: str, kind: str) -> dict[str, tuple[str, DataFrame]]:
     """Items of a type that rows of bindings have in a variable, as context for another query."""
     item = bound_to(rows, name)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as texts
+from spanloom.functions import values
 from spanloom.functions.spans import Relation
+from spanloom.model import value
 from spanloom.operators import alignment, extensions, related, scans, traversals
 from spanloom.plans import compiler, derive, results
 from spanloom.plans.catalogue import register
 from spanloom.plans.graph_catalogue import on_graph
+from spanloom.plans.query import Constraint, Query, parse, text_of
 
 _TOXIC = "(SELECT a FROM g_ad WHERE \"set\" = 1 AND data = 2000001)"
 _GERMAN = "(SELECT a FROM g_ad WHERE \"set\" = 0 AND data = 1000000 + 100 * 256 + 101)"
@@ -168,3 +173,74 @@ register("text_trim_with", "SELECT a, CAST(b + length(regexp_extract(piece, '^[^
 def nested_members(g):
     """Resources of substores and of those in them."""
     return traversals.nested_members(g, g.substores, "resource")
+
+
+# --- queries as values, variables for collections -----------------------------------------------------------------------
+
+
+def _built() -> Query:
+    """Made by methods, printed and parsed again."""
+    inner = Query("SELECT", "ANNOTATION").with_name("y").with_constraint(Constraint("ANNOTATION", "x", qualifier="METADATA"), "role=about")
+    toxic = Constraint("DATA", arg=("labels", "toxic"), op=values.either(values.equals(1), values.equals(7)))
+    outer = Query("SELECT", "ANNOTATION").with_name("x").with_constraint(toxic).with_subquery(inner).with_attributes("shown")
+    return parse(text_of(outer))
+
+
+@on_graph("lang_built", f"SELECT target_a AS x, a AS y, 'role=about' AS attribute FROM g_t WHERE target_a IN {_TOXIC}")
+def built(g):
+    """A query that was built and not written, with what its inner constraint is marked with."""
+    q = _built()
+    marks = [a for path in q.paths() for _, own in q.at(path).constraints_with_attributes() for a in own]
+    return compiler.run(g, q).select(F.col("x_a").alias("x"), F.col("y_a").alias("y"), F.lit(marks[0]).alias("attribute"))
+
+
+def bound(name: str, kind: str, items, text: str, columns: dict[str, str], sql: str) -> None:
+    """A query with the variable ?c for many items of a type."""
+    on_graph(f"lang_bound_{name}", sql)(lambda g: compiler.run(g, text, compiler.bind("c", kind, items(g))).select(*[F.col(k).alias(x) for k, x in columns.items()]))
+
+
+def _kind(k: int):
+    return lambda g: g.spans().filter(f"a % 16 = {k}").select("a", "res", "begin", "end")
+
+
+bound("annotations", "ANNOTATION", _kind(0), "SELECT ANNOTATION ?x WHERE ANNOTATION AS METADATA ?c;", {"x_a": "a"}, "SELECT DISTINCT a FROM g_t WHERE target_a % 16 = 0")
+bound("data", "DATA", lambda g: g.data.filter("set = 0 and key = 0"), "SELECT ANNOTATION ?x WHERE DATA ?c;", {"x_a": "a"}, "SELECT DISTINCT a FROM g_ad JOIN g_d USING (\"set\", data) WHERE \"set\" = 0 AND \"key\" = 0")
+bound("keys", "KEY", lambda g: g.keys.filter("id <> 'score'"), "SELECT DATA ?d WHERE KEY ?c;", {"d_set": "set", "d_data": "data"}, "SELECT \"set\", data FROM g_d WHERE NOT (\"set\" = 1 AND \"key\" = 2)")
+bound("resources", "RESOURCE", lambda g: g.resources.filter("textlen >= 10"), "SELECT ANNOTATION ?x WHERE RESOURCE AS METADATA ?c;", {"x_a": "a"}, "SELECT a FROM g_t JOIN g_r USING (res) WHERE kind = 'ResourceSelector' AND textlen >= 10")
+bound("texts", "TEXT", _kind(9), "SELECT ANNOTATION ?x WHERE TEXT ?c;", {"x_a": "a"}, "SELECT DISTINCT x.a FROM g_sp x JOIN g_sp c ON c.a % 16 = 9 AND c.res = x.res AND c.b = x.b AND c.e = x.e")
+bound("datasets", "DATASET", lambda g: g.datasets, "SELECT KEY ?k WHERE DATASET ?c;", {"k_set": "set", "k_key": "key"}, 'SELECT "set", "key" FROM g_k')
+bound("related", "TEXT", _kind(4), "SELECT TEXT ?t WHERE RELATION ?c EMBEDDED;", {"t_res": "res", "t_begin": "begin", "t_end": "end"}, """SELECT DISTINCT t.res, t.b AS begin, t.e AS "end" FROM g_ts t JOIN g_sp c ON c.a % 16 = 4 AND c.res = t.res AND c.b >= t.b AND c.e <= t.e AND (c.b <> t.b OR c.e <> t.e)""")
+
+
+@on_graph("lang_text_regex", "SELECT DISTINCT a FROM g_sp JOIN g_r USING (res) WHERE regexp_matches(substr(text, CAST(b AS INT) + 1, CAST(e - b AS INT)), '^[A-Z]')")
+def text_regex(g):
+    return compiler.run(g, 'SELECT ANNOTATION ?x WHERE TEXT AS REGEX "^[A-Z]";').select(F.col("x_a").alias("a"))
+
+
+@on_graph("lang_text_variable", f"""SELECT DISTINCT x.a AS x, x.res, x.b AS begin, x.e AS "end", y.a AS y FROM g_sp x JOIN g_sp y ON y.res = x.res AND y.b = x.b AND y.e = x.e WHERE x.a IN {_GERMAN}""")
+def text_variable(g):
+    """Annotations on the same spans as others."""
+    rows = compiler.run(g, "SELECT ANNOTATION ?x WHERE DATA meta lang = de; { SELECT TEXT ?t WHERE ANNOTATION ?x; { SELECT ANNOTATION ?y WHERE TEXT ?t; } }")
+    return rows.select(F.col("x_a").alias("x"), F.col("t_res").alias("res"), F.col("t_begin").alias("begin"), F.col("t_end").alias("end"), F.col("y_a").alias("y"))
+
+
+@on_graph("lang_literal_items", """SELECT 'annotation' AS by, a FROM g_t WHERE target_a = 2 * 16 + 2 UNION ALL SELECT DISTINCT 'resource', a FROM g_sp WHERE res = 5
+  UNION ALL SELECT DISTINCT 'key', a FROM g_ad JOIN g_d USING ("set", data) WHERE "set" = 1 AND "key" = 1""")
+def literal_items(g):
+    """Annotations by an annotation, a text and a key that are named."""
+    asked = {"annotation": "ANNOTATION AS METADATA k2/2", "resource": "RESOURCE doc5", "key": "DATA labels toxic"}
+    found = [compiler.run(g, f"SELECT ANNOTATION ?x WHERE {c};").select(F.lit(by).alias("by"), F.col("x_a").alias("a")) for by, c in asked.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+# --- lists and maps in JSON-LD -------------------------------------------------------------------------------------------
+
+
+@on_graph("ext_web_values", """SELECT d * 16 + 1 AS a, '{"name":"' || source || '","letters":["' || substr(source, 1, 1) || '",[null,true]]}' AS shown FROM g_doc WHERE source IS NOT NULL""")
+def web_values(g):
+    """Sources as maps with lists in them."""
+    tagged = F.format_string('{"name":{"@type":"String","value":"%s"},"letters":{"@type":"List","value":[{"@type":"String","value":"%s"},{"@type":"List","value":[{"@type":"Null"},{"@type":"Bool","value":true}]}]}}', "value.s", F.left("value.s", F.lit(1)))
+    is_source = (F.col("set") == 0) & (F.col("key") == 1)
+    g = g.with_tables(data=g.data.withColumn("value", F.when(is_source, value("Map", tagged)).otherwise(F.col("value"))))
+    rows = extensions.web_annotations(g, g.annotations.filter("a % 16 = 1"))
+    return rows.select("a", F.get_json_object("json", "$.body['urn:set:meta/source']").alias("shown")).filter("shown is not null")

@@ -146,3 +146,36 @@ def _by_name(spark: SparkSession, sf_dir: str, name: str) -> Store:
 register("src_csv", _TARGETS, also=graph.SQL)(lambda s, d: targets(_by_name(s, d, "graph.csv")))
 register("src_csv_data", _USED, also=graph.SQL)(lambda s, d: used(_by_name(s, d, "graph.csv")))
 register("src_parquet", _TARGETS, also=graph.SQL)(lambda s, d: targets(_by_name(s, d, "graph.parquet")))
+
+
+def as_filed_csv(spark: SparkSession, sf_dir: str) -> Store:
+    """The graph saved as CSV with files for some texts and for all sets, by names relative to a folder, and loaded again, once a session."""
+
+    def make() -> Store:
+        config = stores.Config(workdir=_place(spark, "work"), dataformat="csv", generate_ids=True)
+        g = filed(graph.store(spark, sf_dir))
+        g = g.with_tables(datasets=g.datasets.withColumn("filename", F.concat(F.lit("sets/"), "id", F.lit(".csv"))))
+        stores.save(g.with_tables(annotations=g.annotations.withColumn("id", F.when(F.col("a") % 16 < 8, F.col("id")))), "tables", config=config)
+        return stores.load(spark, "tables", config=config)
+
+    return stores.stored_once(spark, "filed-csv", sf_dir, make)
+
+
+register("src_csv_include", f"SELECT name, pos, kind, res_id, begin, stop, on_name FROM ({_TARGETS}) WHERE name IN (SELECT id FROM g_a WHERE a % 16 < 8)", also=graph.SQL)(
+    lambda s, d: targets(as_filed_csv(s, d)).filter("name like 'k%'").select("name", "pos", "kind", "res_id", "begin", "stop", "on_name")
+)
+register("src_csv_texts", "SELECT g_r.id, text, CASE WHEN lang = 'fr' THEN 'texts/' || g_r.id || '.txt' END AS filename FROM g_r JOIN (SELECT d, lang FROM g_doc) x ON x.d = g_r.res", also=graph.SQL)(
+    lambda s, d: as_filed_csv(s, d).resources.select("id", "text", "filename")
+)
+register("src_csv_sets", """SELECT s.id AS set_id, 'sets/' || s.id || '.csv' AS filename, k.id AS key_id, d.id AS data_id FROM g_s s JOIN g_k k ON k."set" = s."set" LEFT JOIN g_d d ON d."set" = k."set" AND d."key" = k."key\"""", also=graph.SQL)(
+    lambda s, d: _sets_of(as_filed_csv(s, d))
+)
+register("src_generated_ids", "SELECT id IS NOT NULL AND length(id) = 22 AND starts_with(id, 'A') AS generated, count(*) AS n FROM (SELECT CASE WHEN a % 16 < 8 THEN id ELSE 'A' || repeat('x', 21) END AS id FROM g_a) GROUP BY ALL", also=graph.SQL)(
+    lambda s, d: as_filed_csv(s, d).annotations.select(((F.length("id") == 22) & F.col("id").startswith("A")).alias("generated")).groupBy("generated").agg(F.count("*").alias("n"))
+)
+
+
+def _sets_of(store: Store) -> DataFrame:
+    keys = store.keys.select("set", "key", F.col("id").alias("key_id"))
+    rows = store.datasets.select("set", F.col("id").alias("set_id"), "filename").join(keys, "set")
+    return rows.join(store.data.select("set", "key", F.col("id").alias("data_id")), ["set", "key"], "left").select("set_id", "filename", "key_id", "data_id")

@@ -52,6 +52,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def is_empty(spark: SparkSession, path: str) -> bool:
+    """Whether a file, or all files of a directory together, have no bytes."""
+    files, at = _files(spark, path)
+    return files.getContentSummary(at).getLength() == 0
+
+
 def full_name(spark: SparkSession, path: str) -> str:
     """A path with its scheme, as tables of files show it."""
     files, at = _files(spark, path)
@@ -149,6 +155,29 @@ def write_texts(texts: DataFrame, folder: str) -> None:
         rows.write.mode("append").partitionBy("doc").option("lineSep", r["last"]).text(folder)
 
 
+def move_documents(spark: SparkSession, folders: list[str], path: str, names: list[str]) -> None:
+    """What was written as folder/doc=<name> gets its name below path: one part as a file, several as a directory. Names of which nothing was written become empty files."""
+    moved = set()
+    for source in folders:
+        files, at = _files(spark, source)
+        for status in files.listStatus(at) if files.exists(at) else []:
+            folder = status.getPath()
+            if not (name := unquote(folder.getName())).startswith("doc="):
+                continue
+            found = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")]
+            _move(spark, (found[0] if len(found) == 1 else folder).toString(), f"{path}/{name[4:]}")
+            moved.add(name[4:])
+    for name in names:
+        if name not in moved:  # empty texts
+            files, at = _files(spark, f"{path}/{name}")
+            files.create(at, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
 def save_include(store: Store, path: str, root: str = "store.json", id: str | None = "store") -> list[str]:
     """The store as documents below the folder path, root being the name of the first; the names of the documents that were written.
 
@@ -174,24 +203,10 @@ def save_include(store: Store, path: str, root: str = "store.json", id: str | No
     new = new.repartitionByRange(parts, "doc", "list", "n", "m").sortWithinPartitions("doc", "list", "n", "m")
     new.select(F.col("line").alias("value"), "doc").write.partitionBy("doc").option("lineSep", "}").text(f"{aside}/json")
     write_texts(texts.join(changed.filter("kind = 'text'").select("doc"), "doc"), f"{aside}/text")
-    moved = set()
-    for kind in ("json", "text"):
-        files, at = _files(spark, f"{aside}/{kind}")
-        for status in files.listStatus(at) if files.exists(at) else []:
-            folder = status.getPath()
-            if not (name := unquote(folder.getName())).startswith("doc="):
-                continue
-            found = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")]
-            _move(spark, (found[0] if len(found) == 1 else folder).toString(), f"{path}/{name[4:]}")
-            moved.add(name[4:])
-    for name, _ in names:
-        if name not in moved:  # empty texts
-            files, at = _files(spark, f"{path}/{name}")
-            files.create(at, True).close()
+    move_documents(spark, [f"{aside}/json", f"{aside}/text"], path, [name for name, _ in names])
     digests.coalesce(1).write.json(f"{aside}/{MANIFEST}")
     _move(spark, f"{aside}/{MANIFEST}", f"{path}/{MANIFEST}")
-    files, at = _files(spark, aside)
-    files.delete(at, True)
+    remove(spark, aside)
     return sorted(name for name, _ in names)
 
 

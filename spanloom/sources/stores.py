@@ -7,15 +7,18 @@ are exchange formats whose files are read by Spark with fixed schemas; included
 from __future__ import annotations
 
 import atexit
+import json
 import posixpath
 import uuid
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.ids import generated
 from spanloom.functions.values import display
 from spanloom.model import ROOT, SCHEMAS, VALUE, Store, settled, settled_store, shared_folder, value
-from spanloom.operators import mutations
+from spanloom.operators import mutations, positions
 from spanloom.operators.extensions import web_annotations
 from spanloom.sources import includes
 
@@ -321,16 +324,45 @@ def csv_dataset(store: Store, set_: int) -> DataFrame:
     return bare.select(F.lit(None).cast("string").alias("Id"), "Key", F.lit(None).cast("string").alias("Value")).unionByName(rows)
 
 
+def csv_datasets(store: Store) -> DataFrame:
+    """set and the rows of csv_dataset, of all sets together."""
+    keys = store.keys.select("set", "key", F.col("id").alias("key_id"))
+    row = lambda df, id, shown: df.select("set", id.cast("string").alias("Id"), F.col("key_id").alias("Key"), shown.cast("string").alias("Value"))
+    bare = keys.join(store.data.select("set", "key"), ["set", "key"], "left_anti")
+    return row(bare, F.lit(None), F.lit(None)).unionByName(row(store.data.join(keys, ["set", "key"]), F.col("id"), display(F.col("value"))))
+
+
+#: Names of the tables of texts and sets that have no filename.
+_TEXTS, _SET = "inline-texts", "set-"
+
+
 def save_csv(store: Store, path: str) -> None:
-    """A manifest, the annotations, one table per set and the texts, each a directory below path."""
-    write = lambda df, name: df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
-    write(csv_annotations(store), "annotations")
-    sets = store.datasets.select("set", "id").collect()  # sets are few: each is a file of its own
-    for s in sets:
-        write(csv_dataset(store, s["set"]), f"set-{s['set']}")
-    store.resources.select("res", "id", "text").write.mode("overwrite").parquet(f"{path}/texts")
-    rows = [("AnnotationStore", None, "annotations")] + [("AnnotationDataSet", s["id"], f"set-{s['set']}") for s in sets] + [("TextResource", None, "texts")]
-    write(store.spark.createDataFrame(rows, "Type string, Id string, Filename string").coalesce(1), "manifest")
+    """A manifest, the annotations, a table for each set and the texts, below path.
+
+    Texts with a filename become files of that name, and sets with one that ends in .csv get their table there; a table is a file, or a directory of part files.
+    """
+    spark = store.spark
+    options = lambda df: df.write.mode("overwrite").option("header", True).option("escape", '"')
+    options(csv_annotations(store)).csv(f"{path}/annotations")
+    doc = F.when(F.col("filename").endswith(".csv"), F.col("filename")).otherwise(F.concat(F.lit(_SET), F.col("set").cast("string")))
+    sets = store.datasets.select("set", F.col("id").alias("Id"), doc.alias("doc"))
+    rows = csv_datasets(store).join(sets.select("set", "doc"), "set").drop("set")
+    texts = store.resources.filter("filename is not null").select(F.col("filename").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    names = [r[0] for r in sets.select("doc").unionByName(texts.select("doc")).collect()]  # names of files
+    if len(names) != len(set(names)):
+        raise ValueError("two items have one filename")
+    if taken := {n.split("/")[0] for n in names} & {"annotations", "manifest", _TEXTS}:
+        raise ValueError(f"{', '.join(taken)} can't be names of files here")
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
+    options(rows).partitionBy("doc").csv(f"{aside}/sets")
+    includes.write_texts(texts, f"{aside}/texts")
+    includes.move_documents(spark, [f"{aside}/sets", f"{aside}/texts"], path, names)
+    includes.remove(spark, aside)
+    store.resources.filter("filename is null").select("res", "id", "text").write.mode("overwrite").parquet(f"{path}/{_TEXTS}")
+    manifest = spark.createDataFrame([("AnnotationStore", None, "annotations"), ("TextResource", None, _TEXTS)], "Type string, Id string, Filename string")
+    manifest = manifest.unionByName(sets.select(F.lit("AnnotationDataSet").alias("Type"), "Id", F.col("doc").alias("Filename")))
+    manifest = manifest.unionByName(store.resources.filter("filename is not null").select(F.lit("TextResource").alias("Type"), F.col("id").alias("Id"), F.col("filename").alias("Filename")))
+    options(manifest.coalesce(1)).csv(f"{path}/manifest")
 
 
 def builders_from_csv(rows: DataFrame) -> DataFrame:
@@ -357,21 +389,43 @@ def builders_from_csv(rows: DataFrame) -> DataFrame:
 
 
 def load_csv(spark: SparkSession, path: str) -> Store:
-    """A store that save_csv has written, or one with files: the manifest's first row is the store, then sets and resources."""
-    read = lambda name: spark.read.option("header", True).option("escape", '"').csv(includes.beside(path, name))
-    manifest = read("manifest").collect()  # a line per file
+    """A store that save_csv has written, or the manifest of one with files: a row for the annotations' table, then sets and texts.
+
+    All tables of sets are read together, and so are all texts. Values are text.
+    """
+    whole = includes.exists(spark, f"{path}/manifest")
+    folder = path if whole else posixpath.dirname(path)
+    table = lambda *paths: spark.read.option("header", True).option("escape", '"').csv(list(paths))
+    manifest = table(f"{path}/manifest" if whole else path).collect()  # names of files
     store = Store.empty(spark)
-    for r in manifest:
-        if r["Type"] == "TextResource":
-            texts = spark.read.parquet(f"{path}/{r['Filename']}") if not r["Id"] else read_texts(spark, includes.beside(path, r["Filename"])).withColumn("id", F.lit(r["Id"]))
-            store = mutations.add_resources(store, texts.select("id", "text"))
-        elif r["Type"] == "AnnotationDataSet":
-            rows = read(r["Filename"])
-            store = mutations.add_datasets(store, spark.createDataFrame([(r["Id"],)], "id string"))
-            keys = rows.select(F.lit(r["Id"]).alias("@id"), F.array(F.struct(F.col("Key").alias("@id"))).alias("keys"), F.when(F.col("Value").isNotNull(), F.array(F.struct(F.col("Id").alias("@id"), F.col("Key").alias("key"), F.struct(F.lit("String").alias("@type"), F.col("Value").alias("value")).alias("value")))).otherwise(F.array()).alias("data"))
-            store = settled_store(_add_sets(store, keys), "datasets", "keys", "data")
+    files = [(r["Filename"], r["Id"] or r["Filename"]) for r in manifest if r["Type"] == "TextResource" and (r["Id"] or r["Filename"] != _TEXTS)]
+    if whole:
+        store = mutations.add_resources(store, spark.read.parquet(f"{path}/{_TEXTS}").select("id", "text"))
+    if files:
+        known = spark.createDataFrame(files, "doc string, id string")
+        store = mutations.add_resources(store, includes.read_texts_of(spark, folder, [n for n, _ in files]).join(known, "doc").select("id", "text", F.col("doc").alias("filename")))
+    sets = [(r["Filename"], r["Id"] or r["Filename"]) for r in manifest if r["Type"] == "AnnotationDataSet"]
+    if sets:
+        known = spark.createDataFrame(sets, "doc string, id string")
+        store = mutations.add_datasets(store, known)
+        written = [n for n, _ in sets if not includes.is_empty(spark, includes.beside(folder, n))]
+        store = _add_sets(store, _set_tables(spark, folder, written, known)) if written else store
+        own = known.filter(~F.col("doc").rlike(f"^{_SET}[0-9]+$")).withColumnRenamed("doc", "_file")
+        kept = store.datasets.join(own, "id", "left").withColumn("filename", F.coalesce("filename", "_file"))
+        store = settled_store(store.with_tables(datasets=kept.select(store.datasets.columns)), "datasets", "keys", "data")
     anns = next(r["Filename"] for r in manifest if r["Type"] == "AnnotationStore")
-    return settled_store(mutations.annotate(settled_store(store, "resources"), builders_from_csv(read(anns))))
+    return settled_store(mutations.annotate(settled_store(store, "resources"), builders_from_csv(table(includes.beside(folder, anns)))))
+
+
+def _set_tables(spark: SparkSession, folder: str, names: list[str], known: DataFrame) -> DataFrame:
+    """@id, keys and data of the tables of sets, which are files or directories; known: their doc and id."""
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv([includes.beside(folder, n) for n in names])
+    file = includes.plain_uri(F.col("_metadata.file_path"))
+    rows = rows.select("Id", "Key", "Value", F.explode(F.array(file, F.regexp_extract(file, "^(.*)/[^/]*$", 1))).alias("file"))
+    rows = includes.with_names(rows, spark, folder, names).join(known.select("doc", F.col("id").alias("_set_id")), "doc")
+    datum = F.struct(F.col("Id").alias("@id"), F.col("Key").alias("key"), F.struct(F.lit("String").alias("@type"), F.col("Value").alias("value")).alias("value"), F.lit(None).cast("string").alias("set"))
+    data = F.when(F.col("Value").isNotNull(), F.array(datum)).otherwise(F.array().cast(f"array<{_DATA}>"))
+    return rows.select(F.col("_set_id").alias("@id"), F.array(F.struct(F.col("Key").alias("@id"))).alias("keys"), data.alias("data"))
 
 
 # --- by name -------------------------------------------------------------------------------------------------------
@@ -380,30 +434,99 @@ def load_csv(spark: SparkSession, path: str) -> Store:
 FORMATS = {".json": "json", ".csv": "csv", ".parquet": "parquet"}
 
 
-def format_of(path: str) -> str:
-    """The format that a name stands for; names of formats that aren't known are an error."""
+@dataclass(frozen=True)
+class Config:
+    """How stores are read and written.
+
+    workdir: what names are relative to. dataformat: that of names with an end that isn't known; None makes them an error. use_include: JSON has documents of their own for items
+    with a filename, or else is one document. generate_ids: items without a public id get one when a store is read, the same one each time. strip_temp_ids: ids that only
+    stand for a handle (!A7) are taken for none when a store is read. milestone_interval: code points between two milestones of an index of positions.
+    """
+
+    workdir: str | None = None
+    dataformat: str | None = None
+    use_include: bool = True
+    generate_ids: bool = False
+    strip_temp_ids: bool = True
+    milestone_interval: int = positions.MILESTONE
+
+    @staticmethod
+    def from_file(spark: SparkSession, path: str) -> Config:
+        """The options of a JSON file. Others in it, such as those of indices in memory, mean nothing here."""
+        return Config.from_text(spark.read.text(path, wholetext=True).first()[0])
+
+    @staticmethod
+    def from_text(text: str) -> Config:
+        given = json.loads(text)
+        known = {f.name: given[f.name] for f in fields(Config) if given.get(f.name) is not None}
+        if isinstance(form := known.get("dataformat"), dict):  # a format with options of its own
+            known["dataformat"] = form = next(iter(form))
+        if form:
+            known["dataformat"] = {"json": "json", "csv": "csv", "parquet": "parquet", "cbor": "parquet"}[form.lower()]
+        return Config(**known)
+
+    def to_text(self) -> str:
+        return json.dumps(asdict(self))
+
+    def path(self, name: str) -> str:
+        return includes.beside(self.workdir, name) if self.workdir else name
+
+    def index(self, store: Store) -> positions.Positions:
+        return positions.index(store, self.milestone_interval)
+
+    def applied(self, store: Store) -> Store:
+        """A store that was read, with the ids that are wanted."""
+        if self.strip_temp_ids:
+            store = without_temporary_ids(store)
+        return with_ids(store) if self.generate_ids else store
+
+
+#: Tables with public ids: the handle columns and the letter of generated and temporary ids.
+_IDS = {"resources": (["res"], "R"), "datasets": (["set"], "S"), "annotations": (["a"], "A"), "data": (["set", "data"], "D")}
+
+
+def without_temporary_ids(store: Store) -> Store:
+    """store without ids that only stand for a handle."""
+    plain = lambda t, letter: t.withColumn("id", F.when(~F.col("id").rlike(f"^!{letter}[0-9]+$"), F.col("id")))
+    return store.with_tables(**{name: plain(getattr(store, name), letter) for name, (_, letter) in _IDS.items()})
+
+
+def with_ids(store: Store, seed: str = "") -> Store:
+    """store with a generated id for each resource, set, annotation and item of data that has none."""
+    new = lambda t, handles, letter: t.withColumn("id", F.coalesce("id", generated(*map(F.col, handles), prefix=letter, seed=seed)))
+    return store.with_tables(**{name: new(getattr(store, name), *how) for name, how in _IDS.items()})
+
+
+def format_of(path: str, otherwise: str | None = None) -> str:
+    """The format that a name stands for; other names are an error, unless there is a format for them."""
     for end, kind in FORMATS.items():
         if path.rstrip("/").lower().endswith(end):
             return kind
+    if otherwise:
+        return otherwise
     raise ValueError(f"no format is known for {path}: names end in {', '.join(FORMATS)}")
 
 
-def load(spark: SparkSession, path: str, store: Store | None = None) -> Store:
+def load(spark: SparkSession, path: str, store: Store | None = None, config: Config | None = None) -> Store:
     """The store at path, in the format that its name stands for. JSON is merged into store, if that is given; the other formats are whole stores."""
-    kind = format_of(path)
+    config = config or Config()
+    kind, path = format_of(path, config.dataformat), config.path(path)
     if kind == "json":
-        return load_json(spark, path, store)
+        return config.applied(load_json(spark, path, store))
     if store is not None:
         raise ValueError(f"{kind} can't be merged into a store")
-    return load_csv(spark, path) if kind == "csv" else load_parquet(spark, path)
+    return config.applied(load_csv(spark, path) if kind == "csv" else load_parquet(spark, path))
 
 
-def save(store: Store, path: str, id: str = "store") -> None:
-    """The store in the format that the name stands for. As JSON, resources, sets and substores with a filename get documents of their own beside it."""
-    kind = format_of(path)
-    if kind == "json":
+def save(store: Store, path: str, id: str = "store", config: Config | None = None) -> None:
+    """The store in the format that the name stands for. As JSON, resources, sets and substores with a filename get documents of their own beside it, unless that isn't wanted."""
+    config = config or Config()
+    kind, path = format_of(path, config.dataformat), config.path(path)
+    if kind == "json" and config.use_include:
         folder, name = posixpath.split(path)
         includes.save_include(store, folder or ".", name, id)
+    elif kind == "json":
+        save_json(store, path, id)
     elif kind == "csv":
         save_csv(store, path)
     else:
