@@ -6,11 +6,12 @@ ID3v1 tag. The frames are silent (their side information asks for no main data);
 behind it, the format's unit being the frame. The last frame takes the smallest bit rate that fits.
 
 `probe` reads any MPEG 1, 2 or 2.5 stream of layers I to III: it parses tags at both ends, looks for a header that
-another header or the end follows, resynchronises after damage, verifies the checksums of layer III frames and of layer
-I frames, and gives exact durations (samples per sampling rate) and the byte offset of every frame. Free-format frames
+another header or the end follows, resynchronises after damage, verifies the checksums of frames of all three
+layers, and gives exact durations (samples per sampling rate) and the byte offset of every frame. Free-format frames
 are not taken for frames.
 
-Null text is empty text, whose payload is 192 blanks. Equal texts give equal values. An empty table gives an empty result.
+Null text is empty text, whose payload is 192 blanks. Equal texts give equal values, so rows that repeat do too. Ids are integers; a null one stays null. Other
+columns, whatever their names, are not looked at. A text is in memory as a whole with its media. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BITRATES = {
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
+#: Bits of a band's allocation in layer II, by table: a to d, and the one of MPEG 2.
+ALLOCATION = {"a": (4,) * 11 + (3,) * 12 + (2,) * 4, "b": (4,) * 11 + (3,) * 12 + (2,) * 7, "c": (4,) * 2 + (3,) * 6, "d": (4,) * 2 + (3,) * 10, "low": (4,) * 4 + (3,) * 7 + (2,) * 19}
 BLOCK = 192
 
 
@@ -82,16 +85,49 @@ def header(four: bytes) -> Header | None:
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The format's checksum: polynomial 0x8005, start 0xFFFF."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The format's checksum of data, or of its first bits: polynomial 0x8005, start 0xFFFF."""
     value = 0xFFFF
-    for byte in data:
-        value ^= byte << 8
-        for _ in range(8):
-            value = (value << 1 ^ 0x8005) & 0xFFFF if value & 0x8000 else value << 1
+    for i in range(8 * len(data) if bits is None else bits):
+        high = value >> 15 ^ data[i >> 3] >> (7 - (i & 7)) & 1
+        value = value << 1 & 0xFFFF ^ (0x8005 if high else 0)
     return value
 
 
+def allocation(h: Header) -> tuple[int, ...]:
+    """The bits of the bands' allocations in a layer II frame: the table follows from the bit rate of a channel and the sampling rate."""
+    if not h.first:
+        return ALLOCATION["low"]
+    each = h.kbps if h.mono else h.kbps // 2
+    if each <= 48:
+        return ALLOCATION["d" if h.rate == 32000 else "c"]
+    return ALLOCATION["a" if each <= 80 or h.rate == 48000 else "b"]
+
+
+def checked_bits(h: Header, mode: int, body: bytes) -> int | None:
+    """How many bits of body, what follows the checksum, the checksum is of; None if body is too short. mode: the header's last byte."""
+    if h.layer == 3:
+        need = 8 * h.side
+    elif h.layer == 1:
+        need = 128 if h.mono else 256  # at least 4 bits for each of 32 bands; with joint bands, one for both channels
+        if mode >> 6 == 1:
+            need = 4 * (32 + 4 + 4 * (mode >> 4 & 3))
+    else:
+        # Allocations, then two bits for each band and channel that has one, which say how scale factors are shared.
+        table, channels, bits = allocation(h), 1 if h.mono else 2, int.from_bytes(body, "big")
+        joint = 4 + 4 * (mode >> 4 & 3) if mode >> 6 == 1 else len(table)
+        need = shared = 0
+        for band, width in enumerate(table):
+            for _ in range(channels if band < joint else 1):
+                need += width
+                if need > 8 * len(body):
+                    return None
+                if bits >> (8 * len(body) - need) & (1 << width) - 1:
+                    shared += 2 * (1 if band < joint else channels)
+        need += shared
+    return need if need <= 8 * len(body) else None
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
@@ -192,6 +228,10 @@ def _vbr(data: bytes, at: int, h: Header) -> dict:
     return {}
 
 
+#: No checksum is of more bytes behind it than this.
+_CHECKED = 48
+
+
 def probe(data: bytes) -> Stream:
     """The stream's tags, table, frames and skipped bytes."""
     out = Stream()
@@ -207,9 +247,10 @@ def probe(data: bytes) -> Stream:
             at, known = nearest, False
             continue
         good = None
-        if h.checked and h.layer != 2:
-            n = h.side if h.layer == 3 else (16 if h.mono else 32)  # layer I: bit allocation, 4 bits for each of 32 bands
-            good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + n]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h.checked:
+            body = data[at + 6 : min(at + h.length, at + 6 + _CHECKED)]
+            need = checked_bits(h, data[at + 3], body)
+            good = need is not None and crc16(data[at + 2 : at + 4] + body[: (need + 7) // 8], 16 + need) == int.from_bytes(data[at + 4 : at + 6], "big")
         if not out.frames and not out.vbr and h.layer == 3 and (table := _vbr(data, at, h)):
             out.vbr = table
         else:

@@ -10,7 +10,8 @@ The statistics are of the whole text: words and their lengths, case, symbols, di
 Language, source, ids and labels are no inputs. A null text counts as empty; an empty text has the statistics of zero
 words and gets a score like any other. Labels: rows without id or quality are left out; an id with several labels counts
 with the smallest. An id with several texts counts with each. Without two labelled classes, every score is the share of
-good labels (1 where there are none). An empty table gives an empty result.
+good labels (1 where there are none). An empty table gives an empty result. Columns other than doc_id and text are not looked at by classify,
+and carried along by accepted. Long texts are taken whole, one at a time. Different words and trigrams are counted by 40 bits of their hashes.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ import atexit
 import ctypes
 import math
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,31 +38,45 @@ def shared_dir(spark: SparkSession) -> str:
 #: While a table is written or pieces are collected: shuffle files go when that is done and not when the driver's garbage happens to be collected;
 #: batches for Python end at so many bytes, however long the rows are.
 _CONFIGURED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
-#: Paths of the tables of each scratch() that is open.
-_open: list[list[str]] = []
+#: Paths of the tables of each scratch() that is open here; a thread has its own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+#: By session, how many are in sparing() and what the settings were before the first of them.
+_sparing: dict[int, tuple[int, dict]] = {}
+_lock = threading.Lock()
 
 
 @contextmanager
 def sparing(spark: SparkSession):
-    """What runs inside spares disk and memory; the session's settings are restored."""
-    before = {k: spark.conf.get(k, None) for k in _CONFIGURED}
-    for k, v in _CONFIGURED.items():
-        spark.conf.set(k, v)
+    """What runs inside spares disk and memory; the session's settings are restored when the last one inside is done, in whatever thread."""
+    with _lock:
+        users, before = _sparing.get(id(spark), (0, {}))
+        if not users:
+            before = {k: spark.conf.get(k, None) for k in _CONFIGURED}
+            for k, v in _CONFIGURED.items():
+                spark.conf.set(k, v)
+        _sparing[id(spark)] = users + 1, before
     try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        with _lock:
+            users, before = _sparing.pop(id(spark))
+            if users > 1:
+                _sparing[id(spark)] = users - 1, before
+            else:
+                for k, v in before.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """The tables that materialize() writes inside go at the end, but for lasting ones. Nothing lazy may be left that reads the others."""
-    _open.append([])
+    """The tables that materialize() writes inside, in this thread, go at the end, but for lasting ones. Nothing lazy may be left that reads the others."""
+    mine: list[str] = []
+    before = _open.set((*_open.get(), mine))
     try:
         yield
     finally:
-        for path in _open.pop():
+        _open.reset(before)
+        for path in mine:
             _remove(spark, path)
 
 
@@ -74,8 +90,9 @@ def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     with sparing(spark):
         df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    if len(_open) > lasting:
-        _open[-1 - lasting].append(path)
+    held = _open.get()
+    if len(held) > lasting:
+        held[-1 - lasting].append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table

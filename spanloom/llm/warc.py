@@ -11,7 +11,9 @@ committed by Spark alone, also when executors are lost.
 Of records with equal payloads of at least `least` bytes the one with the largest id is the response, the others are
 revisits that refer to it and have no payload of their own. Rows that repeat that id are responses too. Null html is an
 empty payload, a null url an empty one, and a null id never is the response others refer to while there is another; line
-breaks in a url are percent-encoded. An empty table gives no bundles.
+breaks in a url are percent-encoded. An empty table gives no bundles. page_id is an integer. Columns other than page_id,
+url and html, whatever their names, are not looked at. A payload of any length is one record in one frame, and in memory as a whole; of equal payloads it makes no
+difference which rows come first, as only the largest id counts.
 """
 
 from __future__ import annotations

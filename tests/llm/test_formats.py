@@ -102,6 +102,50 @@ def test_media_other_layers():
     assert media.header(bytes([0xFF, 0xFB, 0x04, 0])) is None  # free format
 
 
+def plain_crc(bits: str) -> int:
+    value = 0xFFFF
+    for b in bits:
+        out = value >> 15
+        value = (value << 1) & 0xFFFF
+        if out != int(b):
+            value ^= 0x8005
+    return value
+
+
+@pytest.mark.parametrize("head", ["FFFC8400", "FFFC84C0", "FFFCA450", "FFFC2840", "FFFC20C0", "FFFCE000", "FFF48430", "FFF484C0"])
+def test_checksums_of_layer_two(head):
+    """Stereo, mono and joint frames of all tables of allocations, built bit by bit."""
+    head, rng = bytes.fromhex(head), random.Random(head)
+    h = media.header(head)
+    mono, joint = head[3] >> 6 == 3, 4 * (head[3] >> 4 & 3) + 4 if head[3] >> 6 == 1 else 99
+    widths = [w for band, w in enumerate(media.allocation(h)) for _ in range(1 if mono or band >= joint else 2)]
+    counts = [2 if not mono and band >= joint else 1 for band in range(len(media.allocation(h))) for _ in range(1 if mono or band >= joint else 2)]
+    given = [rng.choice([0, rng.randrange(1 << w)]) for w in widths]
+    chosen = "".join(f"{rng.randrange(4):02b}" for n, g in zip(counts, given, strict=True) for _ in range(n if g else 0))
+    known = "".join(f"{g:0{w}b}" for g, w in zip(given, widths, strict=True)) + chosen
+    check = plain_crc("".join(f"{b:08b}" for b in head[2:]) + known)
+    rest = known + "".join(rng.choice("01") for _ in range(8 * (h.length - 6) - len(known)))
+    frame = head + check.to_bytes(2, "big") + int(rest, 2).to_bytes(h.length - 6, "big")
+    assert [good for *_, good in media.probe(frame * 3).frames] == [True] * 3
+
+    def damaged(bit):
+        out = bytearray(frame)
+        out[6 + bit // 8] ^= 128 >> bit % 8
+        return [good for *_, good in media.probe(bytes(out) + frame).frames]
+
+    assert damaged(len(known) - 1) == [False, True] and damaged(0)[0] is False and damaged(len(known)) == [True, True]
+
+
+def test_frame_index_against_a_plain_one():
+    """Offsets by the format's formula alone, 144 times the bit rate by 48 kHz."""
+    body = media.encode(media.padded(b"words " * 3000))
+    at, offsets = 10 + int.from_bytes(body[6:10], "big") + 192, []
+    while body[at : at + 2] == b"\xff\xfa":
+        offsets.append(at)
+        at += 3 * (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)[body[at + 2] >> 4]
+    assert [a for a, *_ in media.probe(body).frames] == offsets and body[at : at + 3] == b"TAG" and len(offsets) > 15
+
+
 def test_media_query_columns(spark):
     rows = [(1, "Grüße"), (2, None), (3, ""), (4, "Grüße"), (None, "x" * 5000)]
     df = spark.createDataFrame([(i, t, b"m", 7) for i, t in rows], "doc_id long, text string, media binary, n_bytes int")

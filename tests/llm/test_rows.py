@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import mixing, quality, sharding
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, shard string"
 
 
@@ -88,6 +89,26 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.quality for r in out]) > 0.95
 
 
+def test_quality_against_a_plain_discriminant(spark):
+    """Means and covariances of all training rows in floats, inverses and determinants instead of factors."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    stats = {r.doc_id: np.array(r.stats) / quality.SCALE for r in quality.with_statistics(docs, ["doc_id"]).collect()}
+    known = {r.doc_id: int(r.quality) for r in labels.collect() if r.quality is not None and not quality.is_held_out(r.doc_id)}
+    x = {c: np.array([stats[d] for d, q in known.items() if q == c and d in stats]) for c in (0, 1)}
+    covs = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    pooled = sum(len(x[c]) * covs[c] for c in x) / sum(map(len, x.values()))
+
+    def density(c, v):
+        cov = 0.9 * covs[c] + 0.1 * pooled
+        cov = 0.95 * cov + 0.05 * np.trace(cov) / len(cov) * np.eye(len(cov))
+        away = v - x[c].mean(axis=0)
+        return np.log(len(x[c])) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * away @ np.linalg.inv(cov) @ away
+
+    for r in quality.classify(docs.withColumns({"SCORE": F.lit("x"), "stats": F.lit(1)}), labels).collect():
+        gap = density(1, stats[r.doc_id]) - density(0, stats[r.doc_id])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(gap, -500, 500)))) < 1e-6, r.doc_id
+
+
 def test_quality_edge_cases(spark):
     texts = docs(spark, [(1, None, "en", "s"), (2, "", "en", "s"), (None, "plain words", "en", "s"), (4, "a " * 50_000, "en", "s"), (4, "a " * 50_000, "en", "s")])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -4,13 +4,14 @@ import glob
 import os
 import subprocess
 import sys
+import threading
 import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from spanloom.llm.shared import materialize, scratch, shared_dir
+from spanloom.llm.shared import materialize, scratch, shared_dir, sparing
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,6 +55,30 @@ def test_scratch(spark):
     assert stays.count() == 3 and [t.split("-")[0] for t in tables(spark) - before] == ["stays"]
 
 
+def test_threads_keep_their_own_tables_and_settings(spark):
+    before, setting = tables(spark), "spark.sql.execution.arrow.maxBytesPerBatch"
+    was, inside, done, found = spark.conf.get(setting), threading.Event(), threading.Event(), {}
+
+    def other():
+        with sparing(spark), scratch(spark):
+            inside.set()
+            done.wait(60)
+            found["inside"] = spark.conf.get(setting)
+        found["left"] = [t.split("-")[0] for t in tables(spark) - before]
+
+    thread = threading.Thread(target=other)
+    with sparing(spark), scratch(spark):
+        thread.start()
+        inside.wait(60)
+        materialize(spark.range(1), "mine")
+        with sparing(spark):
+            pass
+        done.set()
+        thread.join()
+        assert found["left"] == ["mine"] and found["inside"] == spark.conf.get(setting) != was
+    assert tables(spark) == before and spark.conf.get(setting) == was
+
+
 def test_batches_end_at_bytes(spark):
     sizes = lambda batches: (pa.RecordBatch.from_pydict({"b": [b.nbytes]}) for b in batches)
     long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
