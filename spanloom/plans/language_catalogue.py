@@ -148,10 +148,10 @@ def result_json(g):
 @on_graph("lang_result_text", f"""SELECT DISTINCT s.a, 'RESOURCE' AS type, r.text FROM g_sp s JOIN g_r r ON r.res = s.res WHERE s.a IN {_GERMAN}
   UNION ALL SELECT DISTINCT s.a, 'TEXT', substr(r.text, s.b + 1, s.e - s.b) FROM g_sp s JOIN g_r r ON r.res = s.res WHERE s.a IN {_GERMAN}""")
 def result_text(g):
-    """The texts of whole resources and of spans, side by side."""
+    """The different texts of whole resources and of spans, side by side; spans of an annotation that read the same count once."""
     rows = compiler.bindings(g, "SELECT ANNOTATION ?x WHERE DATA meta lang = de; { SELECT RESOURCE ?r WHERE ANNOTATION ?x; | SELECT TEXT ?t WHERE ANNOTATION ?x; }")
     last = compiler.bound_to(rows, last=True)["type"]
-    return results.with_text(g, rows, last=True).select(F.col("x.a").alias("a"), last.alias("type"), "text")
+    return results.with_text(g, rows, last=True).select(F.col("x.a").alias("a"), last.alias("type"), "text").distinct()
 
 
 @on_graph("join_first_value", """SELECT u.a, coalesce(s, CAST(i AS VARCHAR), CAST(f AS VARCHAR)) AS shown, s AS text FROM g_ad u JOIN g_d d ON d."set" = u."set" AND d.data = u.data WHERE u.pos = (SELECT min(pos) FROM g_ad v WHERE v.a = u.a)""")
