@@ -63,7 +63,7 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     last = F.col("start") + F.col("size") - 1
     whole = lambda c: mixing.whole(c, F.lit(BLOCK))
     parts = placed.filter("size > 0").select("sid", "start", "size", F.explode(F.sequence(whole(F.col("start")), whole(last))).alias("block"))
-    taken = parts.join(slots.select("sid", "block", "pass"), ["sid", "block"]).groupBy("sid", "start", "size", "pass").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    taken = mixing.dealt(parts).join(slots.select("sid", "block", "pass"), ["sid", "block"]).groupBy("sid", "start", "size", "pass").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
     rows = placed.join(taken, ["sid", "start", "size"])
     first = whole(F.col("start"))
     all_blocks = F.size("blocks") == whole(last) - first + 1

@@ -148,12 +148,17 @@ def mix(documents: DataFrame, order: list[str], block: int = 32, per_shard: int
     return placed, slots.select("shard", "sid", "k", "pass", "block")
 
 
+def dealt(parts: DataFrame) -> DataFrame:
+    """Rows by block, for a join that deals them out: their table holds a row per document and looks small enough to be sent whole through the driver, whatever they are."""
+    return parts.hint("merge")
+
+
 def taken_words(placed: DataFrame, slots: DataFrame, keys: list[str], block: int = 32) -> DataFrame:
     """keys and taken: the words that the mix takes of each document. keys have to tell the rows of placed apart."""
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
     last = F.col("start") + F.col("size") - 1
     parts = placed.filter("size > 0").select(*keys, "sid", "start", "size", F.explode(F.sequence(whole(F.col("start"), F.lit(block)), whole(last, F.lit(block)))).alias("block"))
-    joined = parts.join(times, ["sid", "block"])
+    joined = dealt(parts).join(times, ["sid", "block"])
     words = F.least(last + 1, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     return joined.groupBy(*keys).agg(F.sum(words * F.col("times")).alias("taken"))
 
