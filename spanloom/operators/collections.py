@@ -87,9 +87,25 @@ def annotations_per_data(store: Store) -> DataFrame:
     return store.annotation_data.groupBy("set", "data").agg(F.countDistinct("a").alias("n"))
 
 
+#: So many data are sent to all tasks at most.
+FEW = 100_000
+
+
 def annotations_per_key(store: Store) -> DataFrame:
-    pairs = store.annotation_data.join(store.data.select("set", "data", "key"), ["set", "data"])
-    return pairs.groupBy("set", "key").agg(F.countDistinct("a").alias("n"))
+    """set, key and n, the number of annotations with data of the key.
+
+    An annotation has one first datum (pos 0), so first data are counted where they are read, by datum. Only further data, and the first ones of keys that
+    occur in these, can repeat an annotation and are told apart.
+    """
+    keys, used = store.data.select("set", "data", "key"), store.annotation_data.select("a", "pos", "set", "data")
+    first, further = used.filter("pos = 0"), used.filter("pos <> 0")
+    counted = first.groupBy("set", "data").agg(F.count("a").alias("n")).join(keys, ["set", "data"]).groupBy("set", "key").agg(F.sum("n").alias("n"))
+    again = further.join(keys, ["set", "data"]).select("set", "key", "a").distinct()
+    shared = keys.join(again.select("set", "key").distinct(), ["set", "key"], "left_semi")
+    few = shared.limit(FEW + 1).count() <= FEW
+    known = first.join(F.broadcast(shared) if few else shared, ["set", "data"]).select("set", "key", "a")
+    added = again.join(known, ["set", "key", "a"], "left_anti").groupBy("set", "key").agg(F.count("a").alias("n"))
+    return counted.unionByName(added).groupBy("set", "key").agg(F.sum("n").alias("n"))
 
 
 def annotations_per_selection(store: Store) -> DataFrame:
