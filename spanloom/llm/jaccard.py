@@ -299,7 +299,14 @@ def differ(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes don't exclude a link."""
+    """The pairs, a stored table, whose prefixes don't exclude a link. Only the prefixes of sets that are in pairs are moved, and few others."""
+    marks = key_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), per_key=16, probes=1)
+
+    def taking_part(batches):
+        for batch in batches:
+            yield batch.take(pa.array(holds(marks, np.array(batch.column("id"), np.int64).view(np.uint64))))
+
+    sets = sets.select("id", "n", "prefix").mapInArrow(lean(taking_part), "id bigint, n int, prefix binary")
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
 
@@ -414,7 +421,7 @@ def join_components(documents: DataFrame, k: int = 3, percent: int = 90) -> Data
     names = materialize(sets.select("id", "doc", "f1", "f2", "n"), "names")
     index = sets.select("id", "n", "prefix")
     with scratch(spark):
-        near = materialize(possible(similar_pairs(sets, percent), index, percent), "near")
+        near = materialize(possible(materialize(similar_pairs(sets, percent), "pairs"), index, percent), "near")
         first = materialize(compared(near, documents, names, k, percent, edits=True), "links", lasting=True)
     comps = components(first.filter("linked"))
     # A set is in the family of the smallest one that it was compared with; others are families of their own.
@@ -424,8 +431,11 @@ def join_components(documents: DataFrame, k: int = 3, percent: int = 90) -> Data
     discard(stored)
     discard(first)
     changed = known.filter("edits is not null").select("id", "comp", F.col("id").alias("fam"), "n", F.col("edits").alias("prefix"))
-    pairs = index_pairs(known, parts, percent).union(index_pairs(changed, parts, percent, edit_rarity(changed, counters))).distinct()
     with scratch(spark):
+        # Each index is written and gone before the next one is, and before prefixes are moved.
+        of_sets = materialize(index_pairs(known, parts, percent), "pairs")
+        of_edits = materialize(index_pairs(changed, parts, percent, edit_rarity(changed, counters)), "pairs")
+        pairs = materialize(of_sets.union(of_edits).distinct(), "pairs")
         rest = materialize(possible(pairs, known, percent), "rest")
         second = materialize(compared(rest, documents, names, k, percent).filter("linked").select("a", "b"), "second", lasting=True)
     named = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("comp").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
