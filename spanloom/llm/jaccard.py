@@ -18,6 +18,8 @@ them; not sums of powers, so texts in an unlucky order don't agree): no link bet
    nothing else in both. So if they link, both link with X, which is known; only pairs of a family that share an edit
    are compared, and the index skips pairs of one family. Two sets differ by the symmetric difference of their edits, so
    edits are indexed like shingles, rare ones first, and the bound on positions i + j holds for them too.
+   In both indices the two rests behind i and j differ in number, and as many more elements are not shared: near copies that
+   each changed the same place of X to something of their own share a frequent edit behind their rare ones, and are no pair.
 6. Pairs that remain are bounded by their indexed shingles (whatever is in one's part of the order and not in the other's is not
    shared) and then verified with the whole sets.
 
@@ -167,9 +169,9 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
 def index_pairs(sets: DataFrame, parts: int, percent: int, levels: np.ndarray | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of different components and families (id, comp, fam, n, prefix) that share an indexed element early enough.
 
-    levels: puts the elements of prefix in their global order here; otherwise they are in it.
+    levels: puts the elements of prefix, which are all that there are, in their global order here; otherwise they are in it, the first ones of n.
     """
-    names = ["part", "token", "ids", "comps", "fams", "sizes", "places", "sides"]
+    names = ["part", "token", "ids", "comps", "fams", "sizes", "places", "totals", "sides"]
 
     def post(batches):
         for batch in batches:
@@ -185,28 +187,29 @@ def index_pairs(sets: DataFrame, parts: int, percent: int, levels: np.ndarray |
             ids, comps, fams = (np.array(batch.column(c), np.int64) for c in ("id", "comp", "fam"))
             token, row, place, side = spread(token, row, place, ids)
             part = (mix(token, 6) % np.uint64(parts)).astype(np.int64)
+            total = n if levels is None else count
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             out = {c: [] for c in names}
             for p in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[p] : cuts[p + 1]]
                 r = row[at]
-                for c, v in zip(names, (int(p), token[at].tobytes(), pack(ids[r]), pack(comps[r]), pack(fams[r]), pack(n[r].astype(np.int32)), pack(place[at].astype(np.int32)), side[at].tobytes()), strict=True):
+                for c, v in zip(names, (int(p), token[at].tobytes(), pack(ids[r]), pack(comps[r]), pack(fams[r]), pack(n[r].astype(np.int32)), pack(place[at].astype(np.int32)), pack(total[r].astype(np.int32)), side[at].tobytes()), strict=True):
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in names[1:])]))
 
     def read(batches):
         got = [[] for _ in names[1:]]
         for batch in batches:
-            for g, c, kind in zip(got, names[1:], (np.uint64, np.int64, np.int64, np.int64, np.int32, np.int32, np.uint8), strict=True):
+            for g, c, kind in zip(got, names[1:], (np.uint64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8), strict=True):
                 for b in batch.column(c).to_pylist():
                     g.append(np.frombuffer(b, kind) if c in ("token", "sides") else unpack(b, kind))
         if not got[0]:
             return
-        token, ids, comps, fams, sizes, places, sides = (np.concatenate(g) for g in got)
+        token, ids, comps, fams, sizes, places, totals, sides = (np.concatenate(g) for g in got)
         seen = np.zeros(0, dtype=[("a", np.int64), ("b", np.int64)])
         waiting: list[np.ndarray] = []
-        for a, b in skipping_pairs(token, ids, comps, fams, sizes.astype(np.int64), places.astype(np.int64), percent, sides):
+        for a, b in skipping_pairs(token, ids, comps, fams, sizes.astype(np.int64), places.astype(np.int64), percent, sides, totals.astype(np.int64)):
             found = np.zeros(len(a), dtype=seen.dtype)
             found["a"], found["b"] = np.minimum(a, b), np.maximum(a, b)
             waiting.append(np.unique(found))
@@ -217,7 +220,7 @@ def index_pairs(sets: DataFrame, parts: int, percent: int, levels: np.ndarray |
         for i in range(0, len(seen), 50_000):
             yield pa.RecordBatch.from_pydict({"a": seen["a"][i : i + 50_000].copy(), "b": seen["b"][i : i + 50_000].copy()})
 
-    posted = sets.select("id", "comp", "fam", "n", "prefix").mapInArrow(lean(post), "part int, token binary, ids binary, comps binary, fams binary, sizes binary, places binary, sides binary")
+    posted = sets.select("id", "comp", "fam", "n", "prefix").mapInArrow(lean(post), "part int, token binary, ids binary, comps binary, fams binary, sizes binary, places binary, totals binary, sides binary")
     return posted.repartitionById(parts, F.col("part")).mapInArrow(lean(read), "a bigint, b bigint").distinct()
 
 
@@ -242,14 +245,17 @@ def spread(token, row, place, ids):
     return (np.concatenate([x[cold], y]) for x, y in ((token, name), (row, row[again]), (place, place[again]), (side, sides)))
 
 
-def skipping_pairs(token, ids, comps, fams, sizes, places, percent: int, sides=None):
+def skipping_pairs(token, ids, comps, fams, sizes, places, percent: int, sides=None, totals=None):
     """Arrays of pairs (a, b) of different components and families from index lists, by blocks of positions.
 
-    sides: where they are not 0, only pairs of different sides are wanted.
+    sides: where they are not 0, only pairs of different sides are wanted. totals: how many elements each one's order has, if not its size; what
+    follows the places can't have more in common than the shorter rest.
     """
     sides = np.zeros(len(token), np.uint8) if sides is None else sides
+    totals = sizes if totals is None else totals
     order = np.lexsort((sizes, places, token))
-    token, ids, comps, fams, sizes, places, sides = (v[order] for v in (token, ids, comps, fams, sizes, places, sides))
+    token, ids, comps, fams, sizes, places, sides, totals = (v[order] for v in (token, ids, comps, fams, sizes, places, sides, totals))
+    rests = totals - places
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     if not len(starts):
         return
@@ -259,7 +265,7 @@ def skipping_pairs(token, ids, comps, fams, sizes, places, percent: int, sides=N
 
     def fits(x, y):
         small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-        return (comps[x] != comps[y]) & (fams[x] != fams[y]) & ((sides[x] != sides[y]) | (sides[x] == 0)) & (small * 100 >= large * percent) & ((places[x] + places[y]) * (100 + percent) <= left * (small + large))
+        return (comps[x] != comps[y]) & (fams[x] != fams[y]) & ((sides[x] != sides[y]) | (sides[x] == 0)) & (small * 100 >= large * percent) & ((places[x] + places[y] + np.abs(rests[x] - rests[y])) * (100 + percent) <= left * (small + large))
 
     # The last block of positions that an element can pair with: the other set has at most 100 / percent its size.
     reach = left * (sizes + sizes * 100 // percent) // (100 + percent) - places
