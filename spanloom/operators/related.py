@@ -33,6 +33,13 @@ def reach(r: Relation) -> int | None:
     return GAP if r.op in ("precedes", "succeeds") and r.whitespace else 0
 
 
+def same_columns(r: Relation) -> list[str]:
+    """What related spans have in common beside the resource; none for relations that are no equality."""
+    if r.negate:
+        return []
+    return {"samebegin": ["begin"], "sameend": ["end"], "equals": ["begin", "end"], "inset": ["begin", "end"], "samerange": ["begin", "end"]}.get(r.op, [])
+
+
 def join_related(left: DataFrame, right: DataFrame, r: Relation | str, resources: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
     """Pairs of left (res, begin, end, ...) and right in relation r; right's columns other than res get the prefix r_.
 
@@ -40,9 +47,7 @@ def join_related(left: DataFrame, right: DataFrame, r: Relation | str, resources
     """
     r = Relation(r) if isinstance(r, str) else r
     renamed = right.select("res", *[F.col(c).alias(f"r_{c}") for c in right.columns if c != "res"])
-    # Equality is an equi join.
-    if r.op in ("equals", "inset", "samerange", "samebegin", "sameend") and not r.negate:
-        same = {"samebegin": ["begin"], "sameend": ["end"]}.get(r.op, ["begin", "end"])
+    if same := same_columns(r):  # an equi join
         keyed = renamed.withColumns({c: F.col(f"r_{c}") for c in same})
         return left.join(keyed, ["res", *same]).select(*left.columns, *[c for c in renamed.columns if c != "res"])
     far = reach(r)

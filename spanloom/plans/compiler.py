@@ -20,7 +20,7 @@ from spanloom.functions.text import find
 from spanloom.functions.values import test
 from spanloom.model import ANNOTATION, DATASET, KEY, RESOURCE, TEXT, Store, settled, value
 from spanloom.model import DATA as DATA_KIND
-from spanloom.operators import collections, filters, mutations, related, scans, traversals
+from spanloom.operators import collections, filters, mutations, narrowing, related, scans, traversals
 from spanloom.plans.query import Constraint, Query, parse
 
 HANDLES = {"ANNOTATION": ["a"], "TEXT": ["res", "begin", "end"], "RESOURCE": ["res"], "DATA": ["set", "data"], "KEY": ["set", "key"], "DATASET": ["set"]}
@@ -78,7 +78,12 @@ class Compiler:
         def narrowed(frame: DataFrame, c: Constraint) -> DataFrame:
             if self._mixed(c, above):
                 return reduce(lambda a, b: a.unionByName(b), [narrowed(frame, p) for p in c.parts]).distinct()
-            pairs, x = self._pairs(q.type, c, above, parent)
+            store = self
+            if parent is not None and q.type == "ANNOTATION" and c.kind in ("DATA", "VALUE") and not c.var:
+                # Data are looked up for the annotations that are left.
+                frame = settled(frame)
+                store = self._on(frame.select(F.col(mine["a"]).alias("a")))
+            pairs, x = store._pairs(q.type, c, above, parent)
             return frame.join(rename(pairs).distinct(), [*x, *mine.values()], "left_semi")
 
         todo = list(q.constraints)
@@ -99,6 +104,12 @@ class Compiler:
                 frame = narrowed(frame, c)
         return frame
 
+    def _on(self, annotations: DataFrame) -> Compiler:
+        """As this one, with the data and targets of these annotations and of few others."""
+        count = annotations.count()
+        few = {n: narrowing.narrowed(getattr(self.store, n), annotations, ["a"], count) for n in ("annotation_data", "targets")}
+        return Compiler(self.store.with_tables(**few), self.context)
+
     def _places(self, c: Constraint, above) -> set[int | None]:
         """The ancestors that a constraint is on; None stands for no ancestor."""
         if c.kind == "UNION":
@@ -164,7 +175,7 @@ class Compiler:
             return filters.in_substore(s, self._all(kind), HANDLES[kind][0], item, None if not c.arg else ss["ss"] if ss else -2)
         if c.kind == "VALUE" or c.kind == "DATA" and not c.var:
             data = traversals.find_data(s, *c.arg, op=c.op) if c.kind == "DATA" else s.data.filter(test(F.col("value"), c.op))
-            return self._by_data(kind, data.select("set", "data"), meta, [])
+            return self._by_data(kind, settled(data.select("set", "data")), meta, [], few=True)
         if c.kind == "TEXT" and not c.var:
             return self._by_text(kind, c)
         what, items = source
@@ -183,13 +194,19 @@ class Compiler:
                 return data
             return self._by_data(kind, data, meta, keep)
         if c.kind == "RELATION":
-            spans = items if what == "TEXT" else items.join(s.spans().select("a", "res", "begin", "end"), "a")
-            spans = spans.select("res", "begin", "end", *keep).distinct()
-            pairs = related.join_related(spans, s.textselections, Relation(c.arg[0]), s.resources)
+            r = Relation(c.arg[0])
+            if what == "ANNOTATION":
+                items = settled(items)
+                items = items.join(narrowing.narrowed(s.spans(), items, ["a"], items.count()).select("a", "res", "begin", "end"), "a")
+            spans, known, same = items.select("res", "begin", "end", *keep).distinct(), s.textselections, related.same_columns(r)
+            if same:  # few selections have a begin or an end in common with these
+                spans = settled(spans)
+                known = narrowing.narrowed(known, spans, ["res", *same], spans.count())
+            pairs = related.join_related(spans, known, r, s.resources)
             if c.arg[0] != "equals":
                 pairs = pairs.filter((F.col("begin") != F.col("r_begin")) | (F.col("end") != F.col("r_end")))
             found = pairs.select(*keep, "res", F.col("r_begin").alias("begin"), F.col("r_end").alias("end"))
-            return self._by_span(kind, found, keep)
+            return self._by_span(kind, found, keep, few=bool(same))
         if c.kind == "TEXT":
             return self._by_span(kind, items, keep)
         if c.kind == "DATASET":
@@ -236,7 +253,8 @@ class Compiler:
             return items.join(traversals.annotation_resources(s, own, meta, transitive=False), "a")
         return items.join(traversals.annotation_datasets(s, own) if meta else s.annotation_data.select("a", "set").distinct(), "a")
 
-    def _by_data(self, kind: str, data: DataFrame, meta: bool, keep: list[str]) -> DataFrame:
+    def _by_data(self, kind: str, data: DataFrame, meta: bool, keep: list[str], few: bool = False) -> DataFrame:
+        """few: data are a settled table, and the rows that use them are told before they are moved."""
         s = self.store
         if kind == "DATA" and not meta:
             return data
@@ -245,6 +263,8 @@ class Compiler:
         if kind == "DATASET" and not meta:
             return data
         by = s.targets.filter(F.col("kind") == DATA_KIND).select("set", "data", "a") if meta and kind == "ANNOTATION" else s.annotation_data.select("set", "data", "a")
+        if few:
+            by = narrowing.narrowed(by, data, ["set", "data"], data.count())
         used = data.join(by, ["set", "data"]).select(*keep, "a").distinct()
         if kind == "ANNOTATION":
             return used
@@ -257,14 +277,16 @@ class Compiler:
             return used.join(s.targets.filter(F.col("kind") == DATASET).select("a", "set"), "a")
         raise NotImplementedError(f"DATA AS METADATA for {kind}")
 
-    def _by_span(self, kind: str, spans: DataFrame, keep: list[str]) -> DataFrame:
-        if kind == "TEXT":
+    def _by_span(self, kind: str, spans: DataFrame, keep: list[str], few: bool = False) -> DataFrame:
+        if kind in ("TEXT", "RESOURCE"):
             return spans
-        found = spans.join(self.store.spans().select("a", "res", "begin", "end"), ["res", "begin", "end"])
+        at, every = ["res", "begin", "end"], self.store.spans()
+        if few:
+            spans = settled(spans)
+            every = narrowing.narrowed(every, spans, at, spans.count())
+        found = spans.join(every.select("a", *at), at)
         if kind == "ANNOTATION":
             return found
-        if kind == "RESOURCE":
-            return spans
         return self._by_data_of(kind, found.select(*keep, "a"), keep)
 
     def _by_data_of(self, kind: str, annotations: DataFrame, keep: list[str]) -> DataFrame:
