@@ -46,5 +46,8 @@ def test_spans_that_begin_elsewhere_are_not_moved(spark, tmp_path):
         moved = _moved(spark, lambda: rows.extend(known["lang_nested_relation"](spark, sf).collect()))
         words = 100 * 403
         assert (len(rows), moved < words / 2) == (200, True), moved
+        rows.clear()
+        moved = _moved(spark, lambda: rows.extend(known["ext_web_annotations"](spark, sf).collect()))
+        assert (len(rows), moved < words / 2) == (300, True), moved
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
