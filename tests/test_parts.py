@@ -1,0 +1,25 @@
+"""Documents are cut in parts by their bytes, and small ones are whole."""
+
+from pyspark.sql import functions as F
+
+from spanloom.model import SCHEMAS, Store
+from spanloom.sources import includes, stores
+
+
+def test_no_part_has_all_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(includes, "PART_BYTES", 20_000, raising=False)
+    texts = [(i, f"r{i:03}", f"{i} " + 'a "}' * 400, 1600 + len(f"{i} "), None) for i in range(100)]
+    store = Store.empty(spark).with_tables(
+        resources=spark.createDataFrame(texts, SCHEMAS["resources"]),
+        datasets=spark.createDataFrame([(0, "s", "s.json")], SCHEMAS["datasets"]),
+        keys=spark.createDataFrame([(0, 0, "k")], SCHEMAS["keys"]),
+        annotations=spark.range(300).select(F.col("id").alias("a"), F.concat(F.lit("x"), "id").alias("id"), F.lit(None).cast("string").alias("complex")),
+        targets=spark.range(300).select(F.col("id").alias("a"), F.lit(0).alias("pos"), F.lit("ResourceSelector").alias("kind"), (F.col("id") % 100).alias("res"), *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SCHEMAS["targets"].split(", ")[4:])]),
+    )
+    includes.save_include(store, f"{tmp_path}/g", "root.json")
+    assert (tmp_path / "g/s.json").is_file()
+    sizes = [p.stat().st_size for p in (tmp_path / "g/root.json").glob("part-*")]
+    assert len(sizes) > 8 and max(sizes) < 60_000
+    again = stores.load_json(spark, f"{tmp_path}/g/root.json")
+    assert sorted((r["id"], r["text"]) for r in again.resources.collect()) == [(i, t) for _, i, t, _, _ in texts]
+    assert again.annotations.count() == again.targets.count() == 300 and again.keys.count() == 1
