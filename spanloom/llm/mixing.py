@@ -134,14 +134,16 @@ def mix(documents: DataFrame, order: list[str], block: int = 32, per_shard: int
     sources = plan_sources(slim, block, most)
     schema = "source string, sid int, source_size long, target double, blocks long, slots long, a long, b long"
     table = spark.createDataFrame([tuple(s[c.split()[0]] for c in schema.split(", ")) for s in sources], schema)
-    known = table.select(F.col("source").alias("_source"), "sid", "source_size", "target")
+    # A row per source, which the driver has anyway. Its size is unknown to Spark, which would else send the documents through the driver.
+    known = F.broadcast(table.select(F.col("source").alias("_source"), "sid", "source_size", "target"))
     named = lambda df: df.join(known, df["source"].eqNullSafe(F.col("_source"))).drop("_source")
     placed = row_numbers(named(sized), [order[0], "size", *order[1:]], "start", sum(s["rows"] for s in sources), "sid", F.col("size"), counted=named(slim))
     total = sum(s["slots"] for s in sources)
     drawn = draw(spark, [s["slots"] for s in sources], per_shard, seed)
+    # Sources are met before slots are made of the counts: Spark takes slots for as few as the counts, and would send them all through the driver.
+    drawn = drawn.join(F.broadcast(table.select(F.col("sid").alias("_sid"), "blocks", "a", "b")), F.col("sid") == F.col("_sid")).drop("_sid")
     dealt = drawn.repartition(max(8, math.ceil(total / 500_000)), "shard", "sid")
-    slots = dealt.select("shard", "sid", F.explode(F.sequence("first", F.expr("first + n - 1"))).alias("k"))
-    slots = slots.join(table.select(F.col("sid").alias("_sid"), "blocks", "a", "b"), F.col("sid") == F.col("_sid")).drop("_sid")
+    slots = dealt.select("shard", "sid", "blocks", "a", "b", F.explode(F.sequence("first", F.expr("first + n - 1"))).alias("k"))
     slots = slots.withColumns({"pass": whole(F.col("k"), F.col("blocks")).cast("int"), "_place": F.pmod("k", "blocks")})
     slack = max([0, *(s["slack"] for s in sources)])
     slots = slots.withColumn("block", permuted(F.col("_place"), F.col("blocks"), F.col("a"), F.col("b"), slack, [F.lit(seed), F.col("sid"), F.col("pass")]))

@@ -25,3 +25,15 @@ def test_the_pipelines_mix(spark, texts):
     docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     mixed = corpus_pipeline.mix_sources(spark, docs, "")
     assert joins(mixed) and all("SortMergeJoin" in j for j in joins(mixed))
+
+
+def test_documents_meet_their_sources_where_they_are(spark, tmp_path):
+    spark.range(1000).selectExpr("id as doc_id", "concat('s', id % 3) as source", "id % 50 as words").write.parquet(f"{tmp_path}/words")
+    stored = spark.read.parquet(f"{tmp_path}/words")  # files of a known, small size
+    placed, slots = mixing.mix(stored, ["doc_id"], size=F.col("words"))
+    lines = [line for line in placed._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "source" in line]
+    assert lines and all("BroadcastHashJoin" in line and "BuildRight" in line for line in lines)
+    assert placed.count() == 1000
+    lines = slots._jdf.queryExecution().sparkPlan().toString().splitlines()
+    above = lines[: next(i for i, line in enumerate(lines) if "Generate" in line)]
+    assert not [line for line in above if "Join" in line]  # slots, whose number Spark doesn't know, meet nothing that could have them broadcast
