@@ -263,17 +263,53 @@ def find_sequence(texts: DataFrame, fragments: list[str], skip: str = r"\s", cas
     return found.select(*_keys(texts), (F.col("grp") - 1).alias("pos"), "begin", "end")
 
 
+#: Positions that stand in one row, at most, while segments are made.
+WIDE = 1 << 14
+
+
+def _positions(spans: DataFrame) -> DataFrame:
+    """res, bucket, ats: the begins and ends of spans, those of a batch and of WIDE places of a resource in one row, each once."""
+
+    def run(batches):
+        for batch in batches:
+            res, ats = [], []
+            for c in (1, 2):
+                known = batch.filter(batch.column(c).is_valid())
+                res.append(np.array(known.column(0), np.int64))
+                ats.append(np.array(known.column(c), np.int64))
+            r, at = np.concatenate(res), np.concatenate(ats)
+            order = np.lexsort((at, r))
+            r, at = r[order], at[order]
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (at[1:] != at[:-1])
+            r, at = r[new], at[new]
+            bucket = at // WIDE
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (bucket[1:] != bucket[:-1])
+            first = np.flatnonzero(new)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(r)), pa.int32()), pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array(bucket[first], pa.int32()), lists], names=["res", "bucket", "ats"])
+
+    rows = spans.filter("res is not null").select(F.col("res").cast("long").alias("res"), "begin", "end")
+    return rows.mapInArrow(run, "res long, bucket int, ats array<int>")
+
+
 def segments(resources: DataFrame, spans: DataFrame, begin: int = 0, end: int | None = None) -> DataFrame:
     """The smallest pieces (res, begin, end) that all begins and ends of spans cut resources (res, textlen) into.
 
-    begin and end: the range to cover; a resource with nothing in it has no segments.
+    begin and end: the range to cover; a resource with nothing in it has no segments. Positions are moved in lists, each once for a batch, and not a row for each.
     """
     top = F.col("textlen") if end is None else F.least("textlen", F.lit(end))
-    bounds = resources.select("res", F.explode(F.array(F.lit(begin), top)).alias("at"), top.alias("top"))
-    inner = spans.select("res", F.explode(F.array("begin", "end")).alias("at")).join(resources.select("res", top.alias("top")), "res")
-    cuts = bounds.unionByName(inner).filter((F.col("at") >= begin) & (F.col("at") <= F.col("top"))).select("res", "at").distinct()
-    following = F.lead("at").over(Window.partitionBy("res").orderBy("at"))
-    return cuts.select("res", F.col("at").alias("begin"), following.alias("end")).filter("end is not null")
+    tops = resources.groupBy("res").agg(F.max(top).alias("top"))
+    bounds = resources.select("res", F.explode(F.array(F.lit(begin).cast("int"), top.cast("int"))).alias("at")).filter("at is not null")
+    bounds = bounds.select("res", F.floor(F.col("at") / WIDE).cast("int").alias("bucket"), F.array("at").alias("ats"))
+    lists = _positions(spans).unionByName(bounds).groupBy("res", "bucket").agg(F.flatten(F.collect_list("ats")).alias("ats"))
+    inside = F.filter("ats", lambda at: (at >= begin) & (at <= F.col("top")))
+    cuts = lists.join(tops, "res").select("res", "bucket", F.array_sort(F.array_distinct(inside)).alias("ats")).filter("size(ats) > 0")
+    following = F.lead(F.get("ats", F.lit(0))).over(Window.partitionBy("res").orderBy("bucket"))
+    ends = F.concat(F.slice("ats", F.lit(2), F.size("ats")), F.array("_next"))
+    pairs = cuts.withColumn("_next", following).select("res", F.inline(F.arrays_zip(F.col("ats").alias("begin"), ends.alias("end"))))
+    return pairs.filter("end is not null").select("res", "begin", "end")
 
 
 def byte_of(text: Column, position: Column) -> Column:
